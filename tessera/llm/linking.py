@@ -2,8 +2,9 @@
 
 Nothing here emits all pairs of a group. Each bucket of a band first compares its members with
 its smallest and largest id only. What those links connect needs no further comparison; only
-buckets whose members are then in more than one component are compared in full, in blocks of
-bounded size, across components.
+buckets whose members are then in more than one component are compared in full: in blocks of
+bounded size, across components, and each block passes on no more links than join what is still
+apart (a spanning forest), so rows stay in proportion to the members.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Members of one bucket that one task compares with as many others.
-CHUNK = 512
+#: Members of one bucket that one task compares with as many others, and their weight at most (bytes, about).
+CHUNK, CHUNK_WEIGHT = 256, 16 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,13 +78,51 @@ def _matrix(col) -> np.ndarray:
     return np.array([np.frombuffer(x, np.uint32) for x in col]).reshape(len(col), -1)
 
 
-def link_groups(bands: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], least: np.ndarray, batch: int, prune_stars: bool = True, matrix: Callable = _matrix) -> DataFrame:
+def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted arrays of distinct numbers."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], frozenset], percent: int) -> DataFrame:
+    """Pairs (u < v) whose sets, built from the texts (id, text), reach the threshold."""
+    both = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "tu"}).hint("merge"), "u").join(texts.withColumnsRenamed({"id": "v", "text": "tv"}).hint("merge"), "v")
+
+    def exact(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            us, vs, seen = [], [], {}
+            for u, v, a, b in zip(x.column("u").to_pylist(), x.column("v").to_pylist(), x.column("tu").to_pylist(), x.column("tv").to_pylist()):
+                if len(seen) > 64:
+                    seen.clear()
+                for t in (a, b):
+                    if t not in seen:
+                        seen[t] = shingles(t or "")
+                small, large = sorted((len(seen[a]), len(seen[b])))
+                if not small or 100 * small < percent * large:
+                    continue
+                shared = len(seen[a] & seen[b])
+                if 100 * shared >= percent * (small + large - shared):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return both.select("u", "v", "tu", "tv").mapInArrow(exact, "u long, v long").distinct()
+
+
+def link_groups(
+    bands: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
+    percent: int, least: np.ndarray, batch: int, matrix: Callable = _matrix,
+) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
-    bands: id, key. signatures: id, sig (uint32s as binary, or what matrix reads). verify: takes
-    pairs (u < v) and returns those that are links. least, batch: see pruning_table; with
-    prune_stars the pairs of all buckets are pruned by it, else only those of buckets compared in
-    full. Items without links are absent.
+    bands: id, key. signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's
+    weight in bytes). texts: from a table of ids, id and text. shingles: the exact set of a text.
+    sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. Items without
+    links are absent.
     """
     keys = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = cut(bands.join(keys.hint("merge"), "key"))
@@ -91,54 +130,63 @@ def link_groups(bands: DataFrame, signatures: DataFrame, verify: Callable[[DataF
     members = cut(members.join(ends.hint("merge"), "key"))
     stars = members.where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).unionByName(members.where("id <> hi").select(F.col("id").alias("u"), F.col("hi").alias("v")))
     tested = stars.where("u <> v").distinct()
-    if prune_stars:
-        ids = members.select("id").distinct()
-        sig = signatures.join(ids.hint("merge"), "id", "left_semi")
-        pairs = tested.join(sig.withColumnRenamed("id", "u").withColumnRenamed("sig", "su").hint("merge"), "u").join(sig.withColumnRenamed("id", "v").withColumnRenamed("sig", "sv").hint("merge"), "v")
+    signatures = cut(signatures.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
+    side = lambda n: signatures.select(F.col("id").alias(n), F.col("sig").alias(f"s{n}")).hint("merge")
+    pairs = tested.join(side("u"), "u").join(side("v"), "v")
 
-        def prune(batches):
-            import pyarrow as pa
+    def prune(batches):
+        import pyarrow as pa
 
-            for x in batches:
-                if x.num_rows:
-                    left = survivors(matrix(x.column("su").to_pylist()), matrix(x.column("sv").to_pylist()), least, batch)
-                    yield pa.RecordBatch.from_arrays([x.column("u").take(pa.array(left)), x.column("v").take(pa.array(left))], names=["u", "v"])
+        for x in batches:
+            if x.num_rows:
+                left = pa.array(survivors(matrix(x.column("su").to_pylist()), matrix(x.column("sv").to_pylist()), least, batch))
+                yield pa.RecordBatch.from_arrays([x.column("u").take(left), x.column("v").take(left)], names=["u", "v"])
 
-        tested = pairs.mapInArrow(prune, "u long, v long")
-    links = cut(verify(cut(tested)))
+    def verify(candidates: DataFrame) -> DataFrame:
+        ids = cut(candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct())
+        return cut(exact_links(candidates, texts(ids), shingles, percent))
+
+    links = verify(cut(pairs.mapInArrow(prune, "u long, v long")))
     found = cut(components(links))
 
     roots = members.select("key", "id", "c").where("c > 3").join(found.hint("merge"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
     split = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    rest = cut(roots.join(split.hint("merge"), "key", "left_semi"))
+    rest = cut(roots.join(split.hint("merge"), "key", "left_semi").join(signatures.hint("merge"), "id"))
     if rest.isEmpty():
         return found
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    placed = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root").join(signatures.hint("merge"), "id")
+    weights = rest.groupBy("key").agg(F.greatest(F.ceil(F.max("c") / CHUNK), F.ceil(F.sum("w") / CHUNK_WEIGHT)).cast("int").alias("chunks"))
+    placed = rest.join(weights.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig")
+    placed = placed.join(texts(cut(rest.select("id").distinct())).hint("merge"), "id")
 
     def across(g):
         import pandas as pd
 
         g = g.sort_values("id")
-        ids, root, chunk, sig = g["id"].to_numpy(), g["root"].to_numpy(), g["mine"].to_numpy(), matrix(g["sig"])
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
+        ids, chunk, sig = g["id"].to_numpy(), g["mine"].to_numpy(), matrix(g["sig"])
+        _, group = np.unique(g["root"].to_numpy(), return_inverse=True)  # the component of each member, merged as links appear
+        i, j, own = g["i"].iloc[0], g["j"].iloc[0], None
         us, vs = [], []
         for n in range(len(ids)):
             if i == j:
-                to = np.flatnonzero(root[n + 1 :] != root[n]) + n + 1
+                to = np.flatnonzero(group[n + 1 :] != group[n]) + n + 1
             elif chunk[n] == i:
-                to = np.flatnonzero((chunk == j) & (root != root[n]))
+                to = np.flatnonzero((chunk == j) & (group != group[n]))
             else:
                 continue
-            to = to[survivors(np.broadcast_to(sig[n], (len(to), sig.shape[1])), sig[to], least, batch)]
-            us.append(np.minimum(ids[n], ids[to]))
-            vs.append(np.maximum(ids[n], ids[to]))
-        return pd.DataFrame({"u": np.concatenate(us) if us else [], "v": np.concatenate(vs) if vs else []}, dtype="int64")
+            if not len(to):
+                continue
+            for m in to[survivors(np.broadcast_to(sig[n], (len(to), sig.shape[1])), sig[to], least, batch)]:
+                if group[m] == group[n]:
+                    continue
+                own = own if own is not None else sets(list(g["text"]))
+                if overlap(own[n], own[m], percent):
+                    us.append(min(ids[n], ids[m]))
+                    vs.append(max(ids[n], ids[m]))
+                    group[group == group[m]] = group[n]
+        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
 
     more = placed.groupBy("key", "i", "j").applyInPandas(across, "u long, v long").where("u <> v").distinct()
-    extra = cut(verify(cut(more)))
-    if extra.isEmpty():
-        return found
-    return cut(components(links.unionByName(extra)))
+    extra = verify(cut(more))
+    return found if extra.isEmpty() else cut(components(links.unionByName(extra)))

@@ -108,32 +108,11 @@ def _split(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _verifier(docs: DataFrame, percent: int):
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
-        texts = only(docs, ids, "id")
-        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-
-        def exact(batches):
-            import pyarrow as pa
-
-            for x in batches:
-                us, vs, seen = [], [], {}
-                for u, v, a, b in zip(x.column("u").to_pylist(), x.column("v").to_pylist(), x.column("tu").to_pylist(), x.column("tv").to_pylist()):
-                    if len(seen) > 64:
-                        seen.clear()
-                    for t in (a, b):
-                        if t not in seen:
-                            seen[t] = word_shingles(t or "")
-                    shared = len(seen[a] & seen[b])
-                    if shared and 100 * shared >= percent * (len(seen[a]) + len(seen[b]) - shared):
-                        us.append(u)
-                        vs.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-        return both.select("u", "v", "tu", "tv").mapInArrow(exact, "u long, v long").distinct()
-
-    return verify
+def hashed_sets(texts: list[str]) -> list[np.ndarray]:
+    parts = [(t or "").encode("utf-8") for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    values, at = shingle_sets(np.frombuffer(b"".join(parts), np.uint8), offsets)
+    return [values[a:b] for a, b in zip(at, at[1:])]
 
 
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,10 +129,10 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     groups = sets.groupBy("n", "d0", "d1").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = cut(sets.select("id", "n", "d0", "d1").join(groups.hint("merge"), ["n", "d0", "d1"]).where("id <> rep").select("id", "rep").distinct())
     reps = sets.join(copies.select("id").hint("merge"), "id", "left_anti")
-    found = link_groups(
-        reps.select("id", F.explode("bands").alias("key")), reps.select("id", "sig").dropDuplicates(["id"]),
-        _verifier(base.where("id IS NOT NULL"), percent), pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH,
-    )
+    bands = reps.select("id", F.explode("bands").alias("key"))
+    signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
+    known = base.where("id IS NOT NULL")
+    found = link_groups(bands, signatures, lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH)
     roots = copies.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).unionByName(found)
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", "n").join(roots.hint("merge"), "id", "left")
