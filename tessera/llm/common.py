@@ -176,8 +176,8 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 BROADCAST_BYTES = 32 << 20
 
 
-def attach(df: DataFrame, side: DataFrame, keys: list[str], row_bytes) -> DataFrame:
-    """df left-joined with side (checkpointed, one row a key), which is broadcast only if its measured size allows it."""
+def attach(df: DataFrame, side: DataFrame, keys: list[str], row_bytes, how: str = "left") -> DataFrame:
+    """df joined with side (checkpointed, one row a key), which is broadcast only if its measured size allows it."""
     rows, size = side.agg(F.count("*"), F.sum(row_bytes)).first()
     small = rows <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
-    return df.join(F.broadcast(side) if small else side.hint("merge"), keys, "left")
+    return df.join(F.broadcast(side) if small else side.hint("merge"), keys, how)

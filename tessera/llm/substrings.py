@@ -8,10 +8,11 @@ each other in the same reference (same document, same distance, no gap) make one
 longest one. Factors of 50 words or more are duplicate spans.
 
 Windows that run over a factor's boundary may still start in some other, earlier document.
-They are checked there: for blocks near the ends of factors every document that holds the block
-gives the windows around it, which are grouped by their content. So the result is exact (up to
-collisions of 128 bits, or of runs of 64-bit ones), and what is shuffled are some 7 % of the
-positions, plus the boundaries. No group is gathered in one place.
+They are checked there, in two steps: of the blocks near the ends of factors, every document that
+holds such a block gives a hash of it with the words up to one beyond the end; where that goes
+on in two documents, the windows around it are grouped by their content. So the result is exact
+(up to collisions of 128 bits, or of runs of 64-bit ones), and what is shuffled are some 7 % of
+the positions, plus the boundaries. No group is gathered in one place.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, cut, grams, only, slices, sliding_min, text_buffer, words
+from .common import attach, cut, grams, mix, slices, sliding_min, text_buffer, words
 
 WINDOW = 50
 W = 25
@@ -36,9 +37,21 @@ def _positions(h: np.ndarray, first: np.ndarray):
     m = sliding_min(g, W)
     end = np.repeat(first[1:], np.diff(first))
     m = np.where(np.arange(len(m)) + WINDOW <= end[: len(m)], m, np.uint64(0))
+    # of equal blocks in a row (repeated words) the first and last of every W positions are enough:
+    # every window still holds a selected block with its smallest hash
     padded = np.concatenate((np.zeros(W - 1, np.uint64), m, np.zeros(W - 1, np.uint64)))
     most = ~sliding_min(~padded, W)
-    return g, m, np.flatnonzero((most[: len(g)] == g) & (g != 0))
+    at = np.flatnonzero((most[: len(g)] == g) & (g != 0))
+    if len(at) > 1:
+        new = np.ones(len(at), bool)
+        new[1:] = (g[at[1:]] != g[at[:-1]]) | (np.diff(at) >= W)
+        if not new.all():
+            chain = np.cumsum(new) - 1
+            part = (at - at[new][chain]) // W
+            edge = np.ones(len(at) + 1, bool)
+            edge[1:-1] = new[1:] | (part[1:] != part[:-1])
+            at = at[edge[:-1] | edge[1:]]
+    return g, m, at
 
 
 def _anchors(batches):
@@ -54,21 +67,43 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), x.column(0).take(take), x.column(1).take(take), pa.array((at - first[row]).astype(np.int32))], names=["fp", "doc", "th", "pos"])
 
 
+#: A code asks for a block (position * 64), on a side (left 0, right 32), how many words further a window must reach (1 to 24).
+def _decode(codes: np.ndarray):
+    return codes >> 6, (codes >> 5) & 1, codes & 31
+
+
+def _runs(batches):
+    """Of each code, the hash of the block with the words up to its reach (64 bits: this only sorts out what can't continue)."""
+    import pyarrow as pa
+
+    for x in batches:
+        buf, offsets = text_buffer(x.column(2))
+        for i in range(x.num_rows):
+            _, _, h, _ = words(buf[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+            g, codes = grams(h, K), np.asarray(x.column(3)[i].values)
+            pos, side, reach = _decode(codes)
+            other = np.where(side == 0, pos - reach, pos + reach)
+            fits = (other >= 0) & (other < len(g))
+            codes, pos, side, other, n = codes[fits], pos[fits], side[fits], other[fits], int(fits.sum())
+            run = mix(mix(g[pos] * np.uint64(3) + (codes & 63).astype(np.uint64)) + g[other])
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(np.full(n, x.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, x.column(1)[i].as_py(), np.int32)), pa.array(codes)], names=["run", "doc", "th", "code"])
+
+
 def _boundary_windows(batches):
+    """The windows that hold a code's block as their smallest one and reach as far as it says."""
     import pyarrow as pa
 
     for x in batches:
         buf, offsets = text_buffer(x.column(2))
-        opened = x.column(3)
         for i in range(x.num_rows):
             a, b = offsets[i], offsets[i + 1]
             _, _, h, first = words(buf[a:b], np.array([0, b - a]))
             g, m, _ = _positions(h, first)
-            pos = np.asarray(opened[i].values)
-            s = (pos[:, None] - np.arange(W)[None, :]).reshape(-1)
-            of = np.repeat(pos, W)
-            fits = (s >= 0) & (s < len(m))
-            s, of = s[fits], of[fits]
+            pos, side, reach = _decode(np.asarray(x.column(3)[i].values))
+            s = pos[:, None] - np.arange(W)[None, :]
+            far = np.where(side[:, None] == 0, s <= (pos - reach)[:, None], s + WINDOW >= (pos + K + reach)[:, None])
+            fits = far & (s >= 0) & (s < len(m))
+            s, of = s[fits], np.repeat(pos, fits.sum(1))
             s = np.unique(s[(m[s] == g[of]) & (m[s] != 0)])
             n = len(s)
             yield pa.RecordBatch.from_arrays(
@@ -77,6 +112,21 @@ def _boundary_windows(batches):
             )
 
 
+def _merged(batches):
+    """Spans that overlap or touch become one."""
+    import pyarrow as pa
+
+    for x in batches:
+        out = []
+        for spans in x.column(2):
+            a, b = np.asarray(spans.values).reshape(-1, 2).T
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            first = np.concatenate(([True], a[1:] > b[:-1]))
+            out.append(np.stack((a[first], b[np.append(np.flatnonzero(first)[1:] - 1, len(b) - 1)]), 1).reshape(-1))
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc", "th", "spans"])
+
+
 def _cover(n: int, spans) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     if spans is not None and len(spans):
@@ -85,6 +135,13 @@ def _cover(n: int, spans) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _read(docs: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
+    """run over the texts of the documents that places (doc, th, code) names, with their codes."""
+    places = cut(places.groupBy("doc", "th").agg(F.collect_list("code").alias("codes")))
+    texts = attach(docs.select("doc", "th", "text"), places, ["doc", "th"], F.size("codes") * 8 + 40, "inner").select("doc", "th", "text", "codes")
+    return cut(texts.mapInArrow(run, schema))
+
+
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """doc, th, spans (start and end words, flat) of documents that have any. docs: doc, th (a hash of the text), text."""
     docs = docs.where("doc IS NOT NULL")
@@ -99,13 +156,18 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     later = cut(later.select("fp", "doc", "th", "pos", F.min("pos").over(factor).alias("a"), (F.max("pos").over(factor) + K).alias("b")))
     factors = later.where(F.col("b") - F.col("a") >= WINDOW).select("doc", "th", "a", "b").distinct()
     inner = (F.col("a") <= F.col("pos") - W + 1) & (F.col("pos") + WINDOW <= F.col("b"))
-    open_ = later.where(~inner).select("fp").distinct()
-    places = cut(occurs.join(open_.hint("merge"), "fp", "left_semi").groupBy("doc", "th").agg(F.collect_list("pos").alias("at")))
-    texts = only(docs.select("doc", "th", "text"), cut(places.select("doc").distinct()), "doc")
-    windows = cut(texts.join(places.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "at").mapInArrow(_boundary_windows, "k1 long, k2 long, doc long, th int, s int"))
+    # a window over a factor's end whose smallest block is `pos` holds that block and the words up to one beyond the end
+    left, right = F.col("pos") - F.col("a") + 1, F.col("b") - F.col("pos") - K + 1
+    asked = F.array_compact(F.array(F.when(left < W, left), F.when(right < W, right + 32)))
+    asked = later.where(~inner).select("fp", F.explode(asked).alias("ask")).distinct()
+    places = occurs.join(asked.hint("merge"), "fp").select("doc", "th", (F.col("pos").cast("long") * 64 + F.col("ask")).alias("code"))
+    runs = _read(docs, places, _runs, "run long, doc long, th int, code long")
+    going = runs.groupBy("run").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last").select("run")
+    windows = _read(docs, runs.join(going.hint("merge"), "run", "left_semi").select("doc", "th", "code"), _boundary_windows, "k1 long, k2 long, doc long, th int, s int")
     groups = windows.groupBy("k1", "k2").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last")
     found = windows.join(groups.hint("merge"), ["k1", "k2"]).where("doc > r").select("doc", "th", F.col("s").alias("a"), (F.col("s") + WINDOW).alias("b"))
-    return cut(factors.unionByName(found).groupBy("doc", "th").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans")))
+    spans = factors.unionByName(found).groupBy("doc", "th").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
+    return cut(spans.mapInArrow(_merged, "doc long, th int, spans array<int>"))
 
 
 def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
