@@ -1,7 +1,7 @@
 """Linking machinery of the two near-duplicate operators: banded candidates, links, components.
 
 Nothing here emits all pairs of a group. Each bucket of a band first compares its members with
-its smallest and largest id only. What those links connect needs no further comparison; only
+its smallest id only. What those links connect needs no further comparison; only
 buckets whose members are then in more than one component are compared in full: in blocks of
 bounded size, across components, and each block passes on no more links than join what is still
 apart (a spanning forest), so rows stay in proportion to the members.
@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Members of one bucket that one task compares with as many others, and their weight at most (bytes, about).
-CHUNK, CHUNK_WEIGHT = 256, 16 << 20
+CHUNK, CHUNK_WEIGHT = 4096, 16 << 20
+#: Members of small buckets that one call compares, bucket by bucket.
+PACK = 4096
+#: Hashes of sets that a call keeps.
+KEPT = 4 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,11 +129,10 @@ def link_groups(
     links are absent.
     """
     keys = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = cut(bands.join(keys.hint("merge"), "key"))
-    ends = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    members = cut(members.join(ends.hint("merge"), "key"))
-    stars = members.where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).unionByName(members.where("id <> hi").select(F.col("id").alias("u"), F.col("hi").alias("v")))
-    tested = stars.where("u <> v").distinct()
+    # the few keys of several items are the build side, so the many rows of bands need no sort
+    members = cut(bands.join(keys.hint("shuffle_hash"), "key"))
+    ends = members.groupBy("key").agg(F.min("id").alias("lo"))
+    tested = members.join(ends.hint("merge"), "key").where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).distinct()
     signatures = cut(signatures.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
     side = lambda n: signatures.select(F.col("id").alias(n), F.col("sig").alias(f"s{n}")).hint("merge")
     pairs = tested.join(side("u"), "u").join(side("v"), "v")
@@ -149,7 +152,7 @@ def link_groups(
     links = verify(cut(pairs.mapInArrow(prune, "u long, v long")))
     found = cut(components(links))
 
-    roots = members.select("key", "id", "c").where("c > 3").join(found.hint("merge"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
+    roots = members.where("c > 2").join(found.hint("merge"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
     split = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     rest = cut(roots.join(split.hint("merge"), "key", "left_semi").join(signatures.hint("merge"), "id"))
     if rest.isEmpty():
@@ -157,17 +160,13 @@ def link_groups(
     weights = rest.groupBy("key").agg(F.greatest(F.ceil(F.max("c") / CHUNK), F.ceil(F.sum("w") / CHUNK_WEIGHT)).cast("int").alias("chunks"))
     placed = rest.join(weights.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig")
+    packs = max(1, -(-rest.count() // PACK))
+    pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
+    placed = placed.select("key", pack.alias("pack"), F.col("chunks") > 1, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig").toDF("key", "pack", "big", "i", "j", "mine", "id", "root", "sig")
     placed = placed.join(texts(cut(rest.select("id").distinct())).hint("merge"), "id")
 
-    def across(g):
-        import pandas as pd
-
-        g = g.sort_values("id")
-        ids, chunk, sig = g["id"].to_numpy(), g["mine"].to_numpy(), matrix(g["sig"])
-        _, group = np.unique(g["root"].to_numpy(), return_inverse=True)  # the component of each member, merged as links appear
-        i, j, own = g["i"].iloc[0], g["j"].iloc[0], None
-        us, vs = [], []
+    def bucket(ids, root, chunk, sig, text, i, j, own, us, vs):
+        _, group = np.unique(root, return_inverse=True)  # the component of each member, merged as links appear
         for n in range(len(ids)):
             if i == j:
                 to = np.flatnonzero(group[n + 1 :] != group[n]) + n + 1
@@ -177,16 +176,33 @@ def link_groups(
                 continue
             if not len(to):
                 continue
-            for m in to[survivors(np.broadcast_to(sig[n], (len(to), sig.shape[1])), sig[to], least, batch)]:
+            if len(to) < 64:
+                to = to[(sig[to] == sig[n]).sum(axis=1) >= least[-1]]
+            else:
+                to = to[survivors(np.broadcast_to(sig[n], (len(to), sig.shape[1])), sig[to], least, batch)]
+            for m in to.tolist():
                 if group[m] == group[n]:
                     continue
-                own = own if own is not None else sets(list(g["text"]))
-                if overlap(own[n], own[m], percent):
+                if len(own) % 256 == 255 and sum(map(len, own.values())) > KEPT:
+                    own.clear()
+                new = [x for x in (n, m) if ids[x] not in own]
+                own.update(zip((ids[x] for x in new), sets([text[x] for x in new])) if new else ())
+                if overlap(own[ids[n]], own[ids[m]], percent):
                     us.append(min(ids[n], ids[m]))
                     vs.append(max(ids[n], ids[m]))
                     group[group == group[m]] = group[n]
+
+    def across(g):
+        import pandas as pd
+
+        g = g.sort_values(["key", "id"])
+        key, ids, root, chunk, text, sig = g["key"].to_numpy(), g["id"].to_numpy(), g["root"].to_numpy(), g["mine"].to_numpy(), list(g["text"]), matrix(g["sig"])
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        us, vs, own = [], [], {}
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            bucket(ids[a:b], root[a:b], chunk[a:b], sig[a:b], text[a:b], g["i"].iloc[0], g["j"].iloc[0], own, us, vs)
         return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
 
-    more = placed.groupBy("key", "i", "j").applyInPandas(across, "u long, v long").where("u <> v").distinct()
+    more = placed.groupBy("pack", "big", "i", "j").applyInPandas(across, "u long, v long").where("u <> v").distinct()
     extra = verify(cut(more))
     return found if extra.isEmpty() else cut(components(links.unionByName(extra)))
