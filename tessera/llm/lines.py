@@ -7,8 +7,12 @@ their signatures, candidates are verified on their exact sets, and the links' co
 found by distributed star contraction. Of each component, the occurrence with the smallest
 (doc_id, line number) stays.
 
-Bands: 12 of 4 hashes, each cut to 16 bits, so that a band's key is its four hashes. They miss a
-pair of similarity 0.8 with probability 0.2 %, one of 0.9 with 3e-6.
+Signatures are one-permutation MinHashes (Li, Owen and Zhang, 2012): a shingle's hash chooses a
+bin and competes there, and empty bins borrow from bins chosen by a hash of their own (optimal
+densification, Shrivastava, 2017). That reads each shingle once instead of once a hash. Bands:
+12 of 4 bins, each cut to 16 bits, so that a band's key is its four bins. They miss a pair of
+similarity 0.8 with probability 0.2 % (a few percent for lines of ten shingles or so), one of
+0.9 with 3e-6.
 """
 
 from __future__ import annotations
@@ -17,59 +21,63 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, attach, cut, grams, mix, only, slices, text_buffer
+from .common import attach, cut, grams, mix, only, slices, text_buffer
 from .linking import link_groups, pruning_table
 
 SHINGLE = 9
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
 PERCENT = 80
-_A = (mix(np.arange(5001, HASHES + 5001, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-_B = (mix(np.arange(7001, HASHES + 7001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+#: Bytes worked on at once: arrays of 8 bytes a character then stay in a core's cache.
+SLICE = 1 << 17
+_EMPTY = np.uint32(0xFFFFFFFF)
+#: Bins that an empty bin borrows from, in turn; then the next full one.
+_DONORS = (mix(np.arange(HASHES * 24, dtype=np.uint64).reshape(24, HASHES) + np.uint64(9001)) % np.uint64(HASHES)).astype(np.int64)
 _ID = ["h1", "h2", "doc", "th", "ln"]
 _KEYS = [f"b{i}" for i in range(BANDS)]
 
 
-def _lines(buf: np.ndarray, offsets: np.ndarray):
-    """Code points (lower-cased) of rows end to end; of each line its row, number, and first and last code point once stripped."""
-    raw = LOWER[buf]
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    before = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
-    row_at = before[offsets]
-    breaks = np.flatnonzero(points == 10)
-    n = len(offsets) - 1
-    starts = np.sort(np.concatenate((row_at[:-1], breaks + 1)), kind="stable")
-    # an empty row and the line after it start at one place: rows are told apart by counting
-    row_of_break = np.searchsorted(row_at, breaks, "right") - 1
-    per_row = 1 + np.bincount(row_of_break, minlength=n)
-    row = np.repeat(np.arange(n), per_row)
-    number = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(per_row)[:-1])), per_row)
-    ends = np.empty(len(row), np.int64)
-    last = np.cumsum(per_row) - 1
-    ends[last] = row_at[1:]
-    inner = np.ones(len(row), bool)
-    inner[last] = False
-    ends[inner] = breaks
-    solid = np.concatenate(([0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))))
-    where = np.flatnonzero(np.diff(solid))
-    lo, hi = solid[starts], solid[ends]
-    full = hi > lo
-    starts, ends = starts.copy(), ends.copy()
-    starts[full], ends[full] = where[lo[full]], where[hi[full] - 1] + 1
-    return points, row, number, starts, ends, full
-
-
-def _hash_lines(points, starts, ends):
-    """Two 64-bit hashes of each line (none is empty)."""
-    out = []
-    total = np.append(0, np.cumsum(ends - starts))
-    at = np.repeat(starts - total[:-1], ends - starts) + np.arange(total[-1])
-    place = np.arange(total[-1]) - np.repeat(total[:-1], ends - starts)
-    for seed in (11, 23):
-        salt = np.uint64(seed << 40)
-        value = mix((points[at].astype(np.uint64) + np.uint64(1)) + (place.astype(np.uint64) << np.uint64(21)) + salt)
-        out.append(mix(np.add.reduceat(value, total[:-1])) if len(starts) else np.empty(0, np.uint64))
-    return out
+def _lines(raw: bytes) -> list[tuple[int, bytes]]:
+    """Number and text of the lines that aren't blank, lower-cased (A-Z) and stripped."""
+    return [(n, x) for n, x in ((n, x.strip(b" \t\n\r\x0b\x0c")) for n, x in enumerate(raw.lower().split(b"\n"))) if x]
+
+
+def _digests(lines: list[bytes]) -> np.ndarray:
+    """(lines, 2) int64: a 128-bit hash of each line."""
+    import xxhash
+
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
+
+
+def signatures_of(points, starts, ends):
+    """(lines, HASHES) uint16 of lines that lie end to end with one separator between; those without a shingle get anything."""
+    g = grams(points.astype(np.uint64), SHINGLE)
+    cell = g >> np.uint64(32)
+    cell *= np.uint64(HASHES)
+    cell >>= np.uint64(32)
+    cell += np.repeat(np.arange(len(starts), dtype=np.uint64) * np.uint64(HASHES), ends - starts + 1)[: len(g)]
+    over = (ends[:, None] - np.arange(SHINGLE)[None, :]).reshape(-1)  # shingles that reach into the next line
+    cell[over[(over >= 0) & (over < len(g))]] = len(starts) * HASHES
+    out = np.full((len(starts) + 1) * HASHES, _EMPTY, np.uint32)
+    np.minimum.at(out, cell.view(np.int64), g.astype(np.uint32) >> np.uint32(1))
+    out = out[:-HASHES].reshape(-1, HASHES)
+    row, col = np.nonzero(out == _EMPTY)
+    filled = out.copy()
+    for donors in _DONORS:
+        if not len(row):
+            break
+        got = out[row, donors[col]]
+        full = got != _EMPTY
+        filled[row[full], col[full]] = got[full]
+        row, col = row[~full], col[~full]
+    for step in range(1, HASHES):
+        if not len(row):
+            break
+        got = out[row, (col + step) % HASHES]
+        full = got != _EMPTY
+        filled[row[full], col[full]] = got[full]
+        row, col = row[~full], col[~full]
+    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 def _sign(signatures: bool):
@@ -79,27 +87,19 @@ def _sign(signatures: bool):
 
         for x in batches:
             buf, offsets = text_buffer(x.column(2))
-            for lo, hi in slices(offsets):
-                points, row, number, starts, ends, full = _lines(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                row, number, starts, ends = row[full], number[full], starts[full], ends[full]
-                h1, h2 = _hash_lines(points, starts, ends)
-                take = pa.array(row + lo)
-                cols = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), x.column(0).take(take), x.column(1).take(take), pa.array(number.astype(np.int32))]
+            for lo, hi in slices(offsets, SLICE):
+                found = [(i, n, line) for i in range(lo, hi) for n, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
+                if not found:
+                    continue
+                row, number, lines = zip(*found)
+                h = _digests(lines)
+                take = pa.array(row, pa.int64())
+                cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(take), x.column(1).take(take), pa.array(number, pa.int32())]
                 if signatures:
-                    keys = np.zeros((len(row), BANDS), np.int64)
-                    long_ = np.flatnonzero(ends - starts >= SHINGLE)
-                    if len(long_):
-                        count = ends[long_] - starts[long_] - SHINGLE + 1
-                        total = np.append(0, np.cumsum(count))
-                        g = (grams(points.astype(np.uint64), SHINGLE) >> np.uint64(32)).astype(np.uint32)
-                        g = g[np.repeat(starts[long_] - total[:-1], count) + np.arange(total[-1])]
-                        sig, buffer = np.empty((HASHES, len(long_)), np.uint16), np.empty_like(g)
-                        for i in range(HASHES):
-                            np.bitwise_xor(g, _B[i], out=buffer)
-                            np.multiply(buffer, _A[i], out=buffer)
-                            sig[i] = (np.minimum.reduceat(buffer, total[:-1]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
-                        packed = np.ascontiguousarray(sig.T).view(np.int64)
-                        keys[long_] = packed ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+                    points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
+                    ends = np.append(np.flatnonzero(points == 10), len(points))
+                    starts = np.append(0, ends[:-1] + 1)
+                    keys = signatures_of(points, starts, ends).view(np.int64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
                     short = pa.array(ends - starts < SHINGLE)
                     cols += [pc.if_else(short, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]))) for i in range(BANDS)]
                 yield pa.RecordBatch.from_arrays(cols, names=_ID + (_KEYS if signatures else []))
@@ -119,11 +119,20 @@ def character_shingles(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)) if len(line) >= SHINGLE else frozenset([line])
 
 
-def _verifier(docs: DataFrame, distinct: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+def hashed_sets(lines: list[str]) -> list[np.ndarray]:
+    out = []
+    for x in lines:
+        points = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        out.append(np.unique(grams(points, min(SHINGLE, len(points)))))
+    return out
+
+
+def _texts(docs: DataFrame, distinct: DataFrame):
+    """From ids (h1) to id and text (the line), read again from one of the documents that hold it."""
+
+    def read(ids: DataFrame) -> DataFrame:
         at = cut(only(distinct.select(F.col("h1").alias("id"), "doc"), ids, "id").groupBy("doc").agg(F.collect_set("id").alias("ids")))
-        texts = only(docs, cut(at.select("doc")), "doc").join(at.hint("merge"), "doc").select("doc", "text", "ids")
+        holders = only(docs, cut(at.select("doc")), "doc").join(at.hint("merge"), "doc").select("doc", "text", "ids")
 
         def pick(batches):
             import pyarrow as pa
@@ -131,43 +140,25 @@ def _verifier(docs: DataFrame, distinct: DataFrame):
             for x in batches:
                 buf, offsets = text_buffer(x.column(1))
                 for i in range(x.num_rows):
-                    points, _, number, starts, ends, full = _lines(buf[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                    h1, _ = _hash_lines(points, starts[full], ends[full])
-                    h1 = h1.view(np.int64)
+                    lines = [line for _, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
+                    h1 = _digests(lines)[:, 0]
                     hit = np.flatnonzero(np.isin(h1, np.asarray(x.column(2)[i].values)))
-                    text = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[full][hit], ends[full][hit])]
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(text, pa.string())], names=["id", "line"])
-
-        lines = texts.mapInArrow(pick, "id long, line string").dropDuplicates(["id"])
-        both = pairs.join(lines.withColumnsRenamed({"id": "u", "line": "lu"}).hint("merge"), "u").join(lines.withColumnsRenamed({"id": "v", "line": "lv"}).hint("merge"), "v")
-
-        def exact(batches):
-            import pyarrow as pa
-
-            for x in batches:
-                us, vs = [], []
-                for u, v, a, b in zip(x.column("u").to_pylist(), x.column("v").to_pylist(), x.column("lu").to_pylist(), x.column("lv").to_pylist()):
-                    a, b = character_shingles(a), character_shingles(b)
-                    shared = len(a & b)
-                    if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
-                        us.append(u)
-                        vs.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array([lines[n].decode("utf-8") for n in hit], pa.string())], names=["id", "text"])
 
-        return both.select("u", "v", "lu", "lv").mapInArrow(exact, "u long, v long").distinct()
+        return cut(holders.mapInArrow(pick, "id long, text string").dropDuplicates(["id"]))
 
-    return verify
+    return read
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
     """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text."""
     signed = docs.mapInArrow(_sign(True), _LINE + "".join(f", {k} long" for k in _KEYS))
-    distinct = signed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc").alias("doc"), *[F.max(k).alias(k) for k in _KEYS])
+    distinct = cut(signed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc").alias("doc"), *[F.max(k).alias(k) for k in _KEYS]))
     bands = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.explode(F.array(*_KEYS)).alias("key"))
     known = distinct.select("h1", "h2", "c", "doc")
-    signatures = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.array(*_KEYS).alias("sig"))
+    signatures = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.array(*_KEYS).alias("sig"), F.lit(4000).alias("w"))
     matrix = lambda col: np.array([np.asarray(x, np.int64) for x in col]).reshape(len(col), -1).view(np.uint16)
-    found = link_groups(bands, signatures, _verifier(docs, known), pruning_table(HASHES, ROWS * 3, PERCENT / 100, 1e-6), ROWS * 3, prune_stars=False, matrix=matrix)
+    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, matrix)
     return known.join(found.withColumnRenamed("id", "h1").hint("merge"), "h1", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("group"))
 
 
