@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, neardup, quality, shards
-from tessera.llm.common import checkpoint_dir, table
+from tessera.llm.common import checkpoint_dir, cut, only, table
 
 SHARDS = 8
 
@@ -24,8 +24,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that repeat a kept id stay, unless they are near-duplicates under another id."""
     groups = neardup.near_groups(docs, percent=80)
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(groups.where("NOT kept").select("doc_id").distinct())
+    return only(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,14 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids (one column of the same name, distinct).
+def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is in ids (one column of the same name, distinct), or isn't (how: left_anti).
 
     Ids are broadcast only if they are counted and at most BROADCAST_IDS; beyond that the
     semi-join shuffles. ids should be cheap to count (a checkpointed table).
     """
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

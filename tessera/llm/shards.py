@@ -76,6 +76,15 @@ def shard_table(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED) -> DataFrame:
-    """docs' columns, shard and slot, text included; columns of docs with those two names are replaced."""
-    return stratified_shards(docs.select(*[c for c in docs.columns if c not in ("shard", "slot")]), shards, seed, tie=F.xxhash64("text"))
+def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs' columns, shard and slot, text included; columns of docs with those two names are replaced.
+
+    Places are found for ids, sources and hashes of the rows; the rows themselves are shuffled
+    once, to meet their place. Equal rows are numbered, so that each takes one.
+    """
+    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    w = Window.partitionBy("_row").orderBy("_row")
+    places = stratified_shards(keyed.select(id_col, source_col, "_row"), shards, seed, id_col, source_col, tie=F.col("_row"))
+    places = places.select("_row", "shard", "slot", F.row_number().over(Window.partitionBy("_row").orderBy("shard", "slot")).alias("_i"))
+    return keyed.withColumn("_i", F.row_number().over(w)).join(places.hint("merge"), ["_row", "_i"]).select(*docs.columns, "shard", "slot")
