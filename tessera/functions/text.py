@@ -221,3 +221,19 @@ def parse_advice(raw: Column, hypotheses: int = 3, tools: int = 2) -> Column:
 def is_empty_advice(advice: Column) -> Column:
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     return blank(advice["critique"]) & blank(advice["plan"]) & (F.size(advice["hypotheses"]) == 0) & (F.size(advice["tools"]) == 0) & advice["threshold"].isNull()
+
+
+# Debugger commands by preset, and query suites by bundle.
+PRESETS = {
+    "backtrace": "bt full", "registers": "info registers", "all_registers": "info all-registers", "stack": "info stack", "frame": "info frame", "locals": "info locals", "args": "info args", "threads": "info threads", "disas": "disas",
+    "full_analysis": "bt full; info registers; info frame; info locals; info proc mappings", "memory_maps": "info proc mappings",
+}
+BUNDLES = {
+    "security-extended": "codeql/cpp-queries:Security/CWE", "security-and-quality": "codeql/cpp-queries:Security and Quality", "buffer-overflow": "codeql/cpp-queries:Security/CWE/CWE-119",
+    "use-after-free": "codeql/cpp-queries:Security/CWE/CWE-416", "sql-injection": "codeql/cpp-queries:Security/CWE/CWE-089", "command-injection": "codeql/cpp-queries:Security/CWE/CWE-078",
+}
+
+
+def look_up(name: Column, table: dict[str, str]) -> Column:
+    """The table's value, or the name itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name), name)

@@ -153,3 +153,29 @@ def tool_outputs(steps: DataFrame, most: int = 800, n: int = 5) -> DataFrame:
         return F.struct(F.when(a["text"] == "", line).otherwise(F.concat(line, F.lit("\n"), a["text"])).alias("text"), (a["left"] - F.length(cut)).alias("left"))
 
     return lists.select("session", F.aggregate("rows", F.struct(F.lit("").alias("text"), F.lit(most).alias("left")), add)["text"].alias("text"))
+
+
+def error_counter(events: DataFrame, keys: list[str], order: list[str], failed: Column, reset: Column) -> DataFrame:
+    """Adds errors: failures since the last reset, by key; rows that are neither leave the count as it is."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumn("_f", F.when(failed, 1).otherwise(0)).withColumn("_i", F.sum(F.when(reset, 1).otherwise(0)).over(w))
+    run = Window.partitionBy(*keys, "_i").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("errors", F.sum("_f").over(run) - F.when(reset & failed, 1).otherwise(0)).drop("_f", "_i")
+
+
+def mark_last(events: DataFrame, keys: list[str], order: list[str], flag: str, marked: DataFrame) -> DataFrame:
+    """Sets flag on the newest row of each key that marked (keys) names."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    out = events.withColumn("_n", F.row_number().over(w)).join(marked.select(*keys).distinct().withColumn("_m", F.lit(True)), keys, "left")
+    return out.withColumn(flag, F.col(flag) | F.coalesce(F.col("_m") & (F.col("_n") == 1), F.lit(False))).drop("_n", "_m")
+
+
+def summary(events: DataFrame, costs: DataFrame) -> DataFrame:
+    """session, report: steps, errors, cost and the three most expensive files of 0.5 or more."""
+    w = Window.partitionBy("session").orderBy(F.desc("usd"), "file")
+    top = costs.where("file IS NOT NULL").groupBy("session", "file").agg(F.sum("usd").alias("usd")).where("usd >= 0.5").withColumn("_n", F.row_number().over(w)).where("_n <= 3")
+    files = top.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "file", "usd"))), lambda f: F.format_string("%s ($%.2f)", f["file"], f["usd"])), ", ").alias("files"))
+    total = costs.groupBy("session").agg(F.sum("usd").alias("usd"))
+    steps = events.groupBy("session").agg(F.count("*").alias("steps"), F.count_if(F.lower("observation").rlike("error|fail|timeout|crash")).alias("errors"))
+    out = steps.join(total, "session", "left").join(files, "session", "left")
+    return out.select("session", F.format_string("%d steps, %d errors, $%.2f; %s", "steps", "errors", F.coalesce("usd", F.lit(0.0)), F.coalesce("files", F.lit("no costly file"))).alias("report"))

@@ -74,3 +74,11 @@ def table_line(spots: DataFrame) -> DataFrame:
 
 def short_lines(lines: Column, n: int = 200) -> Column:
     return truncate(lines, n, "...")
+
+
+def blame(rows: DataFrame, file: str, line: int | None = None) -> DataFrame:
+    """Blame rows (file, line, author, sha) of a file, or of one line of it."""
+    if not file:
+        raise ValueError("blame needs a file")
+    out = rows.where(F.col("file") == file)
+    return out if line is None else out.where(F.col("line") == line)

@@ -65,3 +65,15 @@ def graph_evidence(nodes: DataFrame, threshold: float = 0.75) -> DataFrame:
     keywords = F.when(F.col("file").isNotNull(), F.array("type", stem(F.col("file")))).otherwise(F.array("type"))
     text = F.concat(F.col("type"), F.lit(" '"), F.col("label"), F.lit("' risk="), F.format_string("%.2f", "risk"), F.lit(" file="), F.coalesce("file", F.lit("None")), F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("None")))
     return nodes.where(F.col("risk") >= threshold).select(F.concat(F.lit("graph:"), "id").alias("pointer"), text.alias("fragment"), keywords.alias("keywords"))
+
+
+def with_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """hits with text and metadata of their ids; unknown ids get an empty text and map. hits are few (a top-k), texts are not."""
+    out = hits.join(texts.select(id_col, "text", "metadata"), id_col, "left")
+    return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+
+
+def listing(hits: DataFrame) -> DataFrame:
+    """text: the hits as a numbered list, best first."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ").alias("t"))))
+    return hits.agg(F.array_join(F.transform(rows, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), F.format_string("%.4f", -r["s"]), F.lit("] "), r["t"])), "\n").alias("text"))

@@ -382,6 +382,26 @@ def escalation_cooldown(spark, sf):
     return E.cooldown(e.select("user_id", "event_id", seq.alias("seq"), "wants"), ["user_id"], "seq", "wants")
 
 
+@query(f"""WITH x AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER {O} AS isle, CASE WHEN {ERR} THEN 1 ELSE 0 END AS bad FROM events)
+SELECT event_id, CAST(sum(bad) OVER (PARTITION BY user_id, isle ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors FROM x""")
+def error_counter(spark, sf):
+    return E.error_counter(T(spark, sf, "events"), ["user_id"], ["ts", "event_id"], failed(), F.col("event_type") == "purchase").select("event_id", "errors")
+
+
+@query("""SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AND conv_id % 3 = 0 AS essential FROM conversations""")
+def mark_last_step(spark, sf):
+    c = T(spark, sf, "conversations").select("conv_id", "turn").withColumn("essential", F.lit(False))
+    return E.mark_last(c, ["conv_id"], ["turn"], "essential", c.where("conv_id % 3 = 0").select("conv_id"))
+
+
+@query(f"""WITH f AS (SELECT user_id AS session, event_type AS file, sum(value) AS usd FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY usd DESC, file) AS n FROM f WHERE usd >= 0.5),
+t AS (SELECT session, string_agg(printf('%s ($%.2f)', file, usd), ', ' ORDER BY n) AS files FROM r WHERE n <= 3 GROUP BY 1), s AS (SELECT user_id AS session, count(*) AS steps, count(*) FILTER ({ERR}) AS errors, sum(value) AS usd FROM events GROUP BY 1)
+SELECT session, printf('%d steps, %d errors, $%.2f; %s', steps, errors, usd, coalesce(files, 'no costly file')) AS report FROM s LEFT JOIN t USING (session)""")
+def session_report(spark, sf):
+    e = T(spark, sf, "events")
+    return E.summary(e.select(F.col("user_id").alias("session"), F.col("event_type").alias("observation")), e.select(F.col("user_id").alias("session"), F.col("event_type").alias("file"), F.col("value").alias("usd")))
+
+
 # ---- votes: user_id is a hypothesis, event_type a model
 
 VOTES = "v AS (SELECT user_id AS h, event_type AS m, value >= 245 AS yes, CASE event_type WHEN 'view' THEN 1.25 WHEN 'click' THEN 0.9 ELSE 1.0 END AS w, value / 500 AS c FROM events)"

@@ -229,3 +229,15 @@ def test_registry(spark):
 def test_state_round_trip(spark, tmp_path):
     SRC.save_state(spark.range(3), str(tmp_path), "t")
     assert SRC.load_state(spark, str(tmp_path), "t", "id long").count() == 3 and SRC.load_state(spark, str(tmp_path), "new", "id long").count() == 0
+
+
+def test_small_look_ups(spark):
+    r = one(spark, p=X.look_up(F.lit("stack"), X.PRESETS), q=X.look_up(F.lit("bt 3"), X.PRESETS), b=X.look_up(F.lit("use-after-free"), X.BUNDLES))
+    assert r["p"] == "info stack" and r["q"] == "bt 3" and r["b"].endswith("CWE-416")
+    hits = spark.createDataFrame([("7", 0.9), ("8", 0.5)], "vec_id string, score double")
+    texts = spark.createDataFrame([("7", "seven\n7", {"a": "b"})], "vec_id string, text string, metadata map<string,string>")
+    out = R.with_texts(hits, texts)
+    assert {x["vec_id"]: (x["text"], x["metadata"]) for x in out.collect()} == {"7": ("seven\n7", {"a": "b"}), "8": ("", {})}
+    assert R.listing(out.withColumnRenamed("vec_id", "id")).first()[0] == "1. [0.9000] seven 7\n2. [0.5000] "
+    b = spark.createDataFrame([("a.c", 1, "ann"), ("a.c", 2, "bob"), ("b.c", 1, "eve")], "file string, line int, author string")
+    assert H.blame(b, "a.c").count() == 2 and H.blame(b, "a.c", 2).first()["author"] == "bob"
