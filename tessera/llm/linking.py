@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, only
 
 #: Members of one bucket that one task compares with as many others, and their weight at most (bytes, about).
 CHUNK, CHUNK_WEIGHT = 4096, 16 << 20
@@ -128,12 +128,13 @@ def link_groups(
     sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. Items without
     links are absent.
     """
-    keys = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # the few keys of several items are the build side, so the many rows of bands need no sort
-    members = cut(bands.join(keys.hint("shuffle_hash"), "key"))
-    ends = members.groupBy("key").agg(F.min("id").alias("lo"))
-    tested = members.join(ends.hint("merge"), "key").where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).distinct()
-    signatures = cut(signatures.join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
+    # one exchange by key serves the counts and the members: the aggregate and the join both accept its
+    # partitioning, and the few keys of several items are the build side, so bands need no sort
+    dealt = bands.select("key", "id").repartition("key")
+    keys = dealt.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo")).where("c > 1")
+    members = cut(dealt.join(keys.hint("shuffle_hash"), "key"))
+    tested = members.where("id <> lo").select(F.col("lo").alias("u"), F.col("id").alias("v")).distinct()
+    signatures = cut(only(signatures, cut(members.select("id").distinct()), "id"))
     side = lambda n: signatures.select(F.col("id").alias(n), F.col("sig").alias(f"s{n}")).hint("merge")
     pairs = tested.join(side("u"), "u").join(side("v"), "v")
 
