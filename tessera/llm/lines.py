@@ -80,6 +80,11 @@ def signatures_of(points, starts, ends):
     return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
+def keys_of(sig: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) int64: a band's key is its bins, told apart from other bands' by a constant."""
+    return np.ascontiguousarray(sig).view(np.int64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+
+
 def _sign(signatures: bool):
     def run(batches):
         import pyarrow as pa
@@ -99,7 +104,7 @@ def _sign(signatures: bool):
                     points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
                     ends = np.append(np.flatnonzero(points == 10), len(points))
                     starts = np.append(0, ends[:-1] + 1)
-                    keys = signatures_of(points, starts, ends).view(np.int64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+                    keys = keys_of(signatures_of(points, starts, ends))
                     short = pa.array(ends - starts < SHINGLE)
                     cols += [pc.if_else(short, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]))) for i in range(BANDS)]
                 yield pa.RecordBatch.from_arrays(cols, names=_ID + (_KEYS if signatures else []))
@@ -157,8 +162,9 @@ def line_groups(docs: DataFrame) -> DataFrame:
     bands = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.explode(F.array(*_KEYS)).alias("key"))
     known = distinct.select("h1", "h2", "c", "doc")
     signatures = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.array(*_KEYS).alias("sig"), F.lit(4000).alias("w"))
-    matrix = lambda col: np.array([np.asarray(x, np.int64) for x in col]).reshape(len(col), -1).view(np.uint16)
-    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, matrix)
+    apart = keys_of(np.zeros((1, HASHES), np.uint16))
+    matrix = lambda col: (np.array([np.asarray(x, np.int64) for x in col]).reshape(len(col), -1) ^ apart).view(np.uint16)
+    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, keys_of, matrix)
     return known.join(found.withColumnRenamed("id", "h1").hint("merge"), "h1", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("group"))
 
 

@@ -23,23 +23,26 @@ CHUNK, CHUNK_WEIGHT = 4096, 16 << 20
 PACK = 4096
 #: Hashes of sets that a call keeps.
 KEPT = 4 << 20
+#: Sets that are compared with one at once.
+BATCH = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root for every id in edges (u, v): root is the smallest id reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges stay the
-    same; every step is a join and an aggregation, with a checkpoint after each pair of them.
+    same. A step deals its edges out by their end once, for the minimum and for the join with it;
+    neither step makes more rows than it reads, so repeats go once a round, before its checkpoint.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
     sign = None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").repartition("a")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        small = large.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = cut(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == sign:
             break
@@ -82,17 +85,10 @@ def _matrix(col) -> np.ndarray:
     return np.array([np.frombuffer(x, np.uint32) for x in col]).reshape(len(col), -1)
 
 
-def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted arrays of distinct numbers."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], frozenset], percent: int) -> DataFrame:
     """Pairs (u < v) whose sets, built from the texts (id, text), reach the threshold."""
-    both = pairs.join(texts.withColumnsRenamed({"id": "u", "text": "tu"}).hint("merge"), "u").join(texts.withColumnsRenamed({"id": "v", "text": "tv"}).hint("merge"), "v")
+    # u, the end that many pairs share, is joined last: rows come sorted by it, and its set is built once
+    both = pairs.join(texts.withColumnsRenamed({"id": "v", "text": "tv"}).hint("merge"), "v").join(texts.withColumnsRenamed({"id": "u", "text": "tu"}).hint("merge"), "u")
 
     def exact(batches):
         import pyarrow as pa
@@ -119,14 +115,14 @@ def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], fr
 
 def link_groups(
     bands: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
-    percent: int, least: np.ndarray, batch: int, matrix: Callable = _matrix,
+    percent: int, least: np.ndarray, batch: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = _matrix,
 ) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
     bands: id, key. signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's
     weight in bytes). texts: from a table of ids, id and text. shingles: the exact set of a text.
-    sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. Items without
-    links are absent.
+    sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. keys_of: the
+    keys of each band, in order, from a matrix of signatures. Items without links are absent.
     """
     # one exchange by key serves the counts and the members: the aggregate and the join both accept its
     # partitioning, and the few keys of several items are the build side, so bands need no sort
@@ -166,32 +162,45 @@ def link_groups(
     placed = placed.select("key", pack.alias("pack"), F.col("chunks") > 1, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "sig").toDF("key", "pack", "big", "i", "j", "mine", "id", "root", "sig")
     placed = placed.join(texts(cut(rest.select("id").distinct())).hint("merge"), "id")
 
-    def bucket(ids, root, chunk, sig, text, i, j, own, us, vs):
-        _, group = np.unique(root, return_inverse=True)  # the component of each member, merged as links appear
-        for n in range(len(ids)):
-            if i == j:
-                to = np.flatnonzero(group[n + 1 :] != group[n]) + n + 1
-            elif chunk[n] == i:
-                to = np.flatnonzero((chunk == j) & (group != group[n]))
-            else:
-                continue
-            if not len(to):
-                continue
+    def linked(n, to, ids, text, own):
+        """Which of to are similar to n, by their sets: one search of all their hashes in n's."""
+        if len(own) % 256 == 255 and sum(map(len, own.values())) > KEPT:
+            own.clear()
+        new = [x for x in (n, *to) if ids[x] not in own]
+        own.update(zip((ids[x] for x in new), sets([text[x] for x in new])) if new else ())
+        mine, theirs = own[ids[n]], [own[ids[m]] for m in to]
+        sizes = np.array([len(x) for x in theirs])
+        every = np.concatenate(theirs)
+        at = np.searchsorted(mine, every)
+        shared = np.add.reduceat((mine[np.minimum(at, len(mine) - 1)] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * shared >= percent * (len(mine) + sizes - shared)
+
+    def bucket(key, ids, root, chunk, sig, keys, text, i, j, own, us, vs):
+        at = np.flatnonzero((keys == key).any(axis=0))
+        before = keys[:, : at[0] if len(at) else 0]  # items that share one of these keys too meet in its bucket
+        _, group, counts = np.unique(root, return_inverse=True, return_counts=True)  # the component of each member, merged as links appear
+        main = group == counts.argmax()  # pairs across components have an end outside the largest one
+        for n in np.flatnonzero(~main).tolist():
+            to = main | (np.arange(len(ids)) > n)
+            to &= group != group[n]
+            if i != j:
+                to &= chunk != chunk[n]
+            to = np.flatnonzero(to)
+            to = to[~(before[to] == before[n]).any(axis=1)]
             if len(to) < 64:
                 to = to[(sig[to] == sig[n]).sum(axis=1) >= least[-1]]
             else:
                 to = to[survivors(np.broadcast_to(sig[n], (len(to), sig.shape[1])), sig[to], least, batch)]
-            for m in to.tolist():
-                if group[m] == group[n]:
-                    continue
-                if len(own) % 256 == 255 and sum(map(len, own.values())) > KEPT:
-                    own.clear()
-                new = [x for x in (n, m) if ids[x] not in own]
-                own.update(zip((ids[x] for x in new), sets([text[x] for x in new])) if new else ())
-                if overlap(own[ids[n]], own[ids[m]], percent):
-                    us.append(min(ids[n], ids[m]))
-                    vs.append(max(ids[n], ids[m]))
-                    group[group == group[m]] = group[n]
+            if len(to) > BATCH:  # likely links first: what they join needs no comparison
+                to = to[np.argsort(-(sig[to] == sig[n]).sum(axis=1), kind="stable")]
+            while len(to):
+                some, to = to[:BATCH], to[BATCH:]
+                for m in some[linked(n, some.tolist(), ids, text, own)].tolist():
+                    if group[m] != group[n]:
+                        us.append(min(ids[n], ids[m]))
+                        vs.append(max(ids[n], ids[m]))
+                        group[group == group[m]] = group[n]
+                to = to[group[to] != group[n]]
 
     def across(g):
         import pandas as pd
@@ -199,11 +208,13 @@ def link_groups(
         g = g.sort_values(["key", "id"])
         key, ids, root, chunk, text, sig = g["key"].to_numpy(), g["id"].to_numpy(), g["root"].to_numpy(), g["mine"].to_numpy(), list(g["text"]), matrix(g["sig"])
         cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        us, vs, own = [], [], {}
+        keys, us, vs, own = keys_of(sig), [], [], {}
         for a, b in zip(cuts[:-1], cuts[1:]):
-            bucket(ids[a:b], root[a:b], chunk[a:b], sig[a:b], text[a:b], g["i"].iloc[0], g["j"].iloc[0], own, us, vs)
+            bucket(key[a], ids[a:b], root[a:b], chunk[a:b], sig[a:b], keys[a:b], text[a:b], g["i"].iloc[0], g["j"].iloc[0], own, us, vs)
         return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
 
     more = placed.groupBy("pack", "big", "i", "j").applyInPandas(across, "u long, v long").where("u <> v").distinct()
     extra = verify(cut(more))
-    return found if extra.isEmpty() else cut(components(links.unionByName(extra)))
+    if extra.isEmpty():
+        return found
+    return cut(components(found.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(extra)))

@@ -132,7 +132,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     bands = reps.select("id", F.explode("bands").alias("key"))
     signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
     known = base.where("id IS NOT NULL")
-    found = link_groups(bands, signatures, lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH)
+    found = link_groups(bands, signatures, lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, lambda sig: band_keys(sig, ROWS))
     roots = copies.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).unionByName(found)
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", "n").join(roots.hint("merge"), "id", "left")
