@@ -49,9 +49,28 @@ def _digests(lines: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
 
 
+def shingle_hashes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every SHINGLE (8 and one) code points, for signatures.
+
+    Code points are folded to bytes, those under 256 onto themselves, so that eight are read at
+    once. Shingles that fold alike compete as one; links are verified on the shingles themselves.
+    """
+    high = points >> np.uint32(8)
+    b = (points ^ high * np.uint32(157) if high.any() else points).astype(np.uint8)
+    if len(b) < SHINGLE:
+        return np.empty(0, np.uint64)
+    n = len(b) - SHINGLE + 1
+    h = np.ndarray((n,), np.dtype("<u8"), b, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h += b[SHINGLE - 1 :].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def signatures_of(points, starts, ends):
     """(lines, HASHES) uint16 of lines that lie end to end with one separator between; those without a shingle get anything."""
-    g = grams(points.astype(np.uint64), SHINGLE)
+    g = shingle_hashes(points)
     cell = g >> np.uint64(32)
     cell *= np.uint64(HASHES)
     cell >>= np.uint64(32)
@@ -179,7 +198,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     known = base.where("doc IS NOT NULL AND text IS NOT NULL")
     groups = cut(line_groups(known))
-    occurs = cut(known.mapInArrow(_sign(False), _LINE).join(groups.hint("merge"), ["h1", "h2"]).select("group", "doc", "ln", "th"))
+    occurs = cut(known.mapInArrow(_sign(False), _LINE).join(groups.hint("shuffle_hash"), ["h1", "h2"]).select("group", "doc", "ln", "th"))
     kept = occurs.groupBy("group").agg(F.min(F.struct("doc", "ln", "th")).alias("keep"))
     gone = occurs.join(kept.hint("merge"), "group").where(F.struct("doc", "ln", "th") != F.col("keep"))
     gone = cut(gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("ln")).alias("removed")))
