@@ -1,8 +1,9 @@
-"""Helpers shared by the corpus operators: checkpoints, size-checked joins and vectorised tokenising."""
+"""Helpers shared by the corpus operators: tables that cut lineage, size-checked joins and vectorised tokenising."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast semi-join may hold: 8 bytes each, so 4 MB of keys at most.
 BROADCAST_IDS = 500_000
 
+#: Bytes of a written table that one task reads at most, beyond one task a core.
+TASK_BYTES = 8 << 20
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -35,9 +39,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to a table in the shared checkpoint folder and read it again, which cuts its lineage.
+
+    Unlike checkpoint(), that runs the plan once rather than twice, and later reads take the
+    columns they need only. The table goes when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    # many small files would make many tasks, each with a file a shuffle partition: one task a core, or a TASK_BYTES
+    return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-store.getContentSummary(place).getLength() // TASK_BYTES)))
 
 
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
