@@ -144,10 +144,16 @@ def character_shingles(line: str) -> frozenset:
 
 
 def hashed_sets(lines: list[str]) -> list[np.ndarray]:
-    out = []
+    """Sorted distinct 64-bit hashes of the lines' shingles; all lines are hashed in one pass."""
+    points = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    every = grams(points, SHINGLE)
+    out, at = [], 0
     for x in lines:
-        points = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        out.append(np.unique(grams(points, min(SHINGLE, len(points)))))
+        h = every[at : at + len(x) - SHINGLE + 1] if len(x) >= SHINGLE else grams(points[at : at + len(x)], len(x))
+        h = np.sort(h)
+        twice = h[1:] == h[:-1]
+        out.append(np.delete(h, np.flatnonzero(twice)) if twice.any() else h)
+        at += len(x) + 1
     return out
 
 
@@ -183,7 +189,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
     signatures = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.array(*_KEYS).alias("sig"), F.lit(4000).alias("w"))
     apart = keys_of(np.zeros((1, HASHES), np.uint16))
     matrix = lambda col: (np.array([np.asarray(x, np.int64) for x in col]).reshape(len(col), -1) ^ apart).view(np.uint16)
-    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, keys_of, matrix)
+    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, keys_of, matrix, screen=True)
     return known.join(found.withColumnRenamed("id", "h1").hint("merge"), "h1", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("group"))
 
 

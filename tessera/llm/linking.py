@@ -25,6 +25,8 @@ PACK = 4096
 KEPT = 4 << 20
 #: Sets that are compared with one at once.
 BATCH = 32
+#: Pairs whose sets are hashed at once.
+SCREEN = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -85,17 +87,38 @@ def _matrix(col) -> np.ndarray:
     return np.array([np.frombuffer(x, np.uint32) for x in col]).reshape(len(col), -1)
 
 
-def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], frozenset], percent: int) -> DataFrame:
-    """Pairs (u < v) whose sets, built from the texts (id, text), reach the threshold."""
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted hashes reach the threshold."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    shared = np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], frozenset], percent: int, sets: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
+    """Pairs (u < v) whose sets, built from the texts (id, text), reach the threshold.
+
+    Given sets, pairs that the 64-bit hashes of their shingles already put under it are left out
+    first, for sets whose pairs mostly fail; those that stay are still compared on their shingles.
+    """
     # u, the end that many pairs share, is joined last: rows come sorted by it, and its set is built once
     both = pairs.join(texts.withColumnsRenamed({"id": "v", "text": "tv"}).hint("merge"), "v").join(texts.withColumnsRenamed({"id": "u", "text": "tu"}).hint("merge"), "u")
 
+    def screened(rows):
+        texts = list({t: None for r in rows for t in r[2:]})
+        hashed = dict(zip(texts, sets([t or "" for t in texts])))
+        return [r for r in rows if alike(hashed[r[2]], hashed[r[3]], percent)]
+
     def exact(batches):
         import pyarrow as pa
 
         for x in batches:
             us, vs, seen = [], [], {}
-            for u, v, a, b in zip(x.column("u").to_pylist(), x.column("v").to_pylist(), x.column("tu").to_pylist(), x.column("tv").to_pylist()):
+            rows = list(zip(x.column("u").to_pylist(), x.column("v").to_pylist(), x.column("tu").to_pylist(), x.column("tv").to_pylist()))
+            if sets:
+                rows = [r for lo in range(0, len(rows), SCREEN) for r in screened(rows[lo : lo + SCREEN])]
+            for u, v, a, b in rows:
                 if len(seen) > 64:
                     seen.clear()
                 for t in (a, b):
@@ -115,14 +138,15 @@ def exact_links(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], fr
 
 def link_groups(
     bands: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
-    percent: int, least: np.ndarray, batch: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = _matrix,
+    percent: int, least: np.ndarray, batch: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = _matrix, screen: bool = False,
 ) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
     bands: id, key. signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's
     weight in bytes). texts: from a table of ids, id and text. shingles: the exact set of a text.
     sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. keys_of: the
-    keys of each band, in order, from a matrix of signatures. Items without links are absent.
+    keys of each band, in order, from a matrix of signatures. screen: leave candidates out by
+    their hashed sets before comparing them exactly. Items without links are absent.
     """
     # one exchange by key serves the counts and the members: the aggregate and the join both accept its
     # partitioning, and the few keys of several items are the build side, so bands need no sort
@@ -144,7 +168,7 @@ def link_groups(
 
     def verify(candidates: DataFrame) -> DataFrame:
         ids = cut(candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct())
-        return cut(exact_links(candidates, texts(ids), shingles, percent))
+        return cut(exact_links(candidates, texts(ids), shingles, percent, sets if screen else None))
 
     links = verify(cut(pairs.mapInArrow(prune, "u long, v long")))
     found = cut(components(links))
