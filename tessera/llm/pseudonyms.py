@@ -166,8 +166,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     """
     keep = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     text = F.col(text_col)
-    # a cheap scan that most texts end at
-    found = F.when(text.rlike("[0-9]{3}|[@]|[0-9]\\.[0-9]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # a cheap scan: every pattern of ANY needs a digit or an @
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.select(*keep, F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
     out = out.withColumn("_pairs", F.transform("_found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
     out = out.withColumn("_new", F.transform("_pairs", lambda p: pseudonym(p["v"], p["k"], key)))
