@@ -5,7 +5,8 @@ Feistel network keyed with SHA-256, so equal values stay equal across documents
 valid value stays as it is:
 
 - card numbers of 13 to 19 digits (Luhn): the payload is permuted and the check digit set anew;
-  separators stay where they are and do not matter to the pseudonym,
+  separators stay where they are and do not matter to the pseudonym. Digit groups beside a card
+  are no part of it: from each group on, the longest run of whole groups that is valid counts,
 - dates from 1900 to 2100 (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy): permuted among the
   73,414 days of that span, written the same way,
 - telephone numbers (+1 (ddd) ddd-dddd and other international ones): the digits behind the country code,
@@ -31,8 +32,9 @@ IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+#: The first digit group of a card candidate; group 1 is the longest candidate from there.
+CARD_HEAD = r"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]))[0-9]+"
+ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD_HEAD))
 
 
 def _whole(p: str) -> str:
@@ -131,8 +133,15 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(feistel_text(F.substring_index(v, "@", 1), "email", key), F.lit("@"), F.substring_index(v, "@", -1))
 
 
+def _card_in(c: Column) -> Column:
+    """The longest valid card that c, a candidate, starts with and that ends where one of its digit groups does; null if there is none."""
+    ends = F.filter(F.sequence(F.length(c), F.lit(13), F.lit(-1)), lambda e: F.substring(c, e + 1, F.lit(1)).isin("", " ", "-"))
+    runs = F.transform(ends, lambda e: F.substring(c, F.lit(1), e))
+    return F.get(F.filter(runs, lambda r: (F.length(_digits(r)) >= 13) & r.rlike("[0-9]$") & (F.pmod(_luhn_sum(_digits(r)), F.lit(10)) == 0)), F.lit(0))
+
+
 def kind_of(v: Column) -> Column:
-    """email, ip, date, ssn, phone, card, or null for a match that isn't valid."""
+    """email, ip, date, ssn, phone, or null for a match that isn't valid. Cards are told by _card_in."""
     octets = F.forall(F.split(v, r"\."), lambda o: o.cast("int") <= 255)
     day = _day(v)
     return (
@@ -141,7 +150,6 @@ def kind_of(v: Column) -> Column:
         .when(v.rlike(r"^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2100-12-31").cast("date")), F.lit("date")))
         .when(v.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
         .when(v.startswith("+"), F.lit("phone"))
-        .otherwise(F.when(F.pmod(_luhn_sum(_digits(v)), F.lit(10)) == 0, F.lit("card")))
     )
 
 
@@ -167,11 +175,28 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     keep = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     text = F.col(text_col)
     # a cheap scan: every pattern of ANY needs a digit or an @
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.select(*keep, F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
-    out = out.withColumn("_pairs", F.transform("_found", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
-    out = out.withColumn("_new", F.transform("_pairs", lambda p: pseudonym(p["v"], p["k"], key)))
-    whole = F.zip_with(F.split(text, ANY, -1), F.col("_new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    none = F.array().cast("array<string>")
+    found = lambda group: F.coalesce(F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(group))), none)
+    out = docs.select(*keep, found(0).alias("_found"), found(1).alias("_runs"))
+    # m is what the pattern took, v the value, which for a card goes on behind its first group
+    out = out.withColumn("_cards", F.transform("_runs", lambda c: F.when(c != "", _card_in(c))))
+    value = lambda m, c: F.struct(m.alias("m"), F.coalesce(c, m).alias("v"), F.when(c.isNotNull(), F.lit("card")).otherwise(kind_of(m)).alias("k"))
+    out = out.withColumn("_pairs", F.zip_with("_found", "_cards", value))
+    out = out.withColumn("_new", F.transform("_pairs", lambda p: F.struct(p["m"].alias("m"), F.length(p["v"]).alias("n"), p["k"].alias("k"), pseudonym(p["v"], p["k"], key).alias("new"))))
+    steps = F.zip_with(F.split(text, ANY, -1), F.col("_new"), lambda gap, t: F.struct(gap.alias("gap"), t.alias("t")))
+
+    def step(a: Column, x: Column) -> Column:
+        """The part of a gap and a match that no earlier card covers (skip characters of it), and how far a card reaches on."""
+        gap, m = F.length(x["gap"]), F.coalesce(F.length(x["t"]["m"]), F.lit(0))
+        inside = a["skip"] > gap
+        rest = F.when(inside, F.substring(x["t"]["m"], a["skip"] - gap + 1, m)).otherwise(F.concat(F.substring(x["gap"], a["skip"] + 1, gap), F.coalesce(x["t"]["new"], F.lit(""))))
+        part = F.struct(F.coalesce(rest, F.lit("")).alias("s"), F.when(~inside, x["t"]["k"]).alias("k"))
+        skip = F.when(inside, F.greatest(a["skip"] - gap - m, F.lit(0))).otherwise(F.coalesce(x["t"]["n"] - m, F.lit(0)))
+        return F.struct(F.array_append(a["parts"], part).alias("parts"), skip.alias("skip"))
+
+    start = F.struct(F.array().cast("array<struct<s:string,k:string>>").alias("parts"), F.lit(0).alias("skip"))
+    out = out.withColumn("_parts", F.when(F.size("_found") > 0, F.aggregate(steps, start, step)["parts"]))
+    whole = F.transform("_parts", lambda p: p["s"])
     is_a = lambda k: lambda p: p["k"] == k
-    counts = [F.size(F.filter("_pairs", is_a(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.coalesce(F.size(F.filter("_parts", is_a(k))), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(*[F.when(F.size("_found") > 0, F.array_join(whole, "")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in keep], *counts)
