@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -146,25 +147,38 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     return ranks.select("id", "rank")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 10, most: int = 5, all_simple: bool = False) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None, most: int = 5, all_simple: bool = False) -> DataFrame:
     """src, dst, path, hops: all shortest paths of each pair (src, dst), `most` at most, in order of their nodes.
 
-    A frontier of paths grows one hop a round, by a join with the edges; pairs that have ended
-    leave the frontier. With all_simple longer simple paths count too, shorter first, up to depth.
+    A frontier of paths grows one hop a round, by a join with the edges, until every pair has
+    ended or nothing is left to follow (`depth` bounds the hops, if given). Nodes that a pair has
+    reached in fewer hops are not followed again, and of the paths to one node only the first
+    `most` are: later ones can't be among the result. With all_simple longer simple paths count
+    too, shorter first; a pair then ends with `most` paths, and one that has fewer is searched
+    along all its simple paths.
     """
     hop = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
     front = pairs.select("src", "dst").distinct().withColumn("path", F.array("src"))
-    done = front.where(F.lit(False))
-    for _ in range(depth):
-        front = front.join(hop, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).select("src", "dst", F.array_append("path", F.col("_t")).alias("path"))
+    done, seen = front.where(F.lit(False)), front.select("src", "dst", F.col("src").alias("_t"))
+    first = Window.partitionBy("src", "dst", "_t").orderBy("path")
+    for i in itertools.count(1):
+        if depth is not None and i > depth:
+            break
+        front = front.join(hop, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).select("src", "dst", "_t", F.array_append("path", F.col("_t")).alias("path"))
+        if not all_simple:
+            front = front.join(seen, ["src", "dst", "_t"], "left_anti").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
         front = _cut(front)
-        arrived = front.where(F.element_at("path", -1) == F.col("dst"))
+        arrived = front.where(F.col("_t") == F.col("dst")).select("src", "dst", "path")
         done = done.unionByName(arrived)
-        front = front.where(F.element_at("path", -1) != F.col("dst"))
+        ended = done.groupBy("src", "dst").count().where(F.col("count") >= most) if all_simple else arrived
+        front = front.where(F.col("_t") != F.col("dst")).join(ended.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+        if front.isEmpty():
+            break
         if not all_simple:
-            front = front.join(arrived.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-            if front.isEmpty():
-                break
+            seen = seen.unionByName(front.select("src", "dst", "_t").distinct())
+        if i % 5 == 0:
+            done, seen = _cut(done), _cut(seen)
+        front = front.drop("_t")
     w = Window.partitionBy("src", "dst").orderBy(F.size("path"), "path")
     return done.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("src", "dst", "path", (F.size("path") - 1).alias("hops"))
 

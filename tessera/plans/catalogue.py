@@ -550,7 +550,7 @@ t AS (SELECT src, path[-1] AS dst, path, hops, min(hops) OVER (PARTITION BY path
 SELECT src, dst, array_to_string(path, '>') AS path, hops FROM r WHERE n <= 5""")
 def shortest_paths(spark, sf):
     pairs = spark.createDataFrame([("r0", d) for d in ("n1", "n2", "s1", "s2", "s3", "s4", "s5")], "src string, dst string")
-    return G.shortest_paths(tree(spark, sf)[1], pairs, depth=4).withColumn("path", F.array_join("path", ">"))
+    return G.shortest_paths(tree(spark, sf)[1], pairs).withColumn("path", F.array_join("path", ">"))
 
 
 @query()

@@ -201,6 +201,17 @@ def test_paths_and_pagerank(spark):
     assert got == pytest.approx(rank, abs=1e-4)
 
 
+def test_shortest_paths_of_any_length(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(12)]
+    ladder = [(f"{a}{i}", f"{b}{i + 1}") for i in range(3) for a in "uv" for b in "uv"]  # 8 shortest paths to one end
+    edges = spark.createDataFrame([*chain, ("c5", "c0"), ("c3", "x"), *ladder], "source string, target string")
+    pairs = spark.createDataFrame([("c0", "c12"), ("c1", "c0"), ("x", "c0"), ("u0", "u3")], "src string, dst string")
+    got = sorted(r["path"] for r in G.shortest_paths(edges, pairs, most=3).collect())
+    want = sorted([a, b, c, d] for a in ["u0"] for b in ["u1", "v1"] for c in ["u2", "v2"] for d in ["u3"])[:3]
+    assert got == sorted([[f"c{i}" for i in range(13)], [f"c{i}" for i in range(1, 6)] + ["c0"], *want])
+    assert G.shortest_paths(edges, pairs, depth=11).where("src = 'c0'").isEmpty()
+
+
 def test_hypotheses_and_crashes_raise_risk(spark):
     nodes = spark.createDataFrame([("f:a", "function", "parse_header", 0.5, 1), ("f:b", "function", "parse", 0.5, 2)], "id string, type string, label string, risk double, ord long")
     edges = spark.createDataFrame([], "source string, target string, type string, weight double")
