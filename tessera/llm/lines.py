@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import attach, cut, grams, mix, only, slices, text_buffer
 from .linking import link_groups, pruning_table
 
-SHINGLE = 9
+SHINGLE = 5
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
 PERCENT = 80
@@ -50,9 +50,9 @@ def _digests(lines: list[bytes]) -> np.ndarray:
 
 
 def shingle_hashes(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every SHINGLE (8 and one) code points, for signatures.
+    """A 64-bit hash of every SHINGLE (4 and one) code points, for signatures.
 
-    Code points are folded to bytes, those under 256 onto themselves, so that eight are read at
+    Code points are folded to bytes, those under 256 onto themselves, so that four are read at
     once. Shingles that fold alike compete as one; links are verified on the shingles themselves.
     """
     high = points >> np.uint32(8)
@@ -60,7 +60,7 @@ def shingle_hashes(points: np.ndarray) -> np.ndarray:
     if len(b) < SHINGLE:
         return np.empty(0, np.uint64)
     n = len(b) - SHINGLE + 1
-    h = np.ndarray((n,), np.dtype("<u8"), b, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.ndarray((n,), np.dtype("<u4"), b, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     h += b[SHINGLE - 1 :].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)

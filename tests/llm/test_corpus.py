@@ -152,6 +152,14 @@ def test_lines(docs, rows):
     assert sum(map(len, gone.values())) > 10
 
 
+def test_short_lines_with_one_changed_character(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefghij ") for _ in range(58)) for _ in range(30)]
+    rows = [(i, f"x{t}y") for i, t in enumerate(base)] + [(100 + i, f"x{t[:30]}#{t[31:]}y") for i, t in enumerate(base)]
+    gone = {r["doc_id"] for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert gone <= set(range(100, 130)) and len(gone) >= 29  # 60 characters, Jaccard 51 / 61; MinHash may miss one
+
+
 def test_mixing(spark, docs):
     out = mixing.mix_sources(docs, {"s0": 2.0, "s1": 1.0, None: 1.0}, total=4000, seed=3)
     n = Counter(r["source"] for r in out.collect())
