@@ -18,8 +18,8 @@ def vote_weights(votes: DataFrame, weights: DataFrame, overrides: DataFrame | No
 
 
 def fill_votes(models: DataFrame, hypotheses: DataFrame, votes: DataFrame) -> DataFrame:
-    """A vote of every model on every hypothesis; missing ones are false, with confidence 0. The product is the result itself, models being few."""
-    grid = hypotheses.select("hypothesis").withColumn("model", F.explode(F.array(*[F.lit(r["model"]) for r in models.select("model").distinct().limit(1001).collect()])))
+    """A vote of every model on every hypothesis; missing ones are false, with confidence 0. The product is the result itself."""
+    grid = hypotheses.select("hypothesis").crossJoin(models.select("model").distinct())
     out = grid.join(votes, ["hypothesis", "model"], "left")
     return out.select("hypothesis", "model", F.coalesce("verdict", F.lit(False)).alias("verdict"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("reasoning", F.lit("not_evaluated")).alias("reasoning"))
 

@@ -131,6 +131,13 @@ def test_consensus_thresholds(spark):
     assert C.fill_votes(df.select("model"), every, df.withColumn("reasoning", F.lit("x"))).where("reasoning = 'not_evaluated'").count() == 4
 
 
+def test_votes_are_filled_for_more_than_a_thousand_models(spark):
+    models = spark.range(1500).select(F.concat(F.lit("m"), "id").alias("model"))
+    votes = models.limit(1).selectExpr("'h1' AS hypothesis", "'m1499' AS model", "true AS verdict", "0.9D AS confidence", "'x' AS reasoning")
+    got = C.fill_votes(models.unionByName(models), spark.createDataFrame([("h1",), ("h2",)], "hypothesis string"), votes)
+    assert got.count() == got.distinct().count() == 3000 and got.where("verdict").count() == 1
+
+
 def test_routing(spark):
     m = spark.createDataFrame([("big", 100, 1, True, True), ("mid", 50, 2, False, False), ("tiny", 50, 3, True, False)], "name string, tier int, ord int, is_local boolean, requires_gpu boolean")
     want = spark.createDataFrame([("big",), ("mid",), ("new",)], "requested string")
