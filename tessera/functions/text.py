@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
 # Patterns and replacements of the scrubbing rules.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -185,9 +186,17 @@ def critique(text: Column, confidence: Column) -> tuple[Column, Column]:
     return F.when(wrong, confidence * 0.3).when(more, confidence).when(right, F.least(confidence + 0.1, F.lit(0.95))).otherwise(confidence), ~wrong & more
 
 
-def json_safe(x: Column) -> Column:
-    """NaN as null, for JSON."""
-    return F.when(~F.isnan(x), x)
+def json_safe(x: Column, kind: DataType) -> Column:
+    """A value that JSON can hold, at every depth: NaN as null, what JSON has no form for as text, map keys as text."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(x), x)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: json_safe(e, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].cast("string").alias("key"), json_safe(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[json_safe(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return x if isinstance(kind, (StringType, BooleanType, IntegralType, NullType)) else x.cast("string")
 
 
 def parse_verdict(raw: Column) -> Column:
@@ -237,3 +246,11 @@ BUNDLES = {
 def look_up(name: Column, table: dict[str, str]) -> Column:
     """The table's value, or the name itself."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name), name)
+
+
+def format_for_llm(success: Column, error: Column, output: Column, findings: Column, count: Column, most: int = 1000) -> Column:
+    """A tool's result as text: what was found, then the output's start. findings and count are null where the result has none."""
+    head = F.coalesce(F.concat(F.lit("[OK] Found "), findings.cast("string"), F.lit(" potential issues")), F.concat(F.lit("[OK] Found "), count.cast("string"), F.lit(" items")), F.lit("[OK] Success"))
+    more = F.when(F.length(output) > most, F.concat(F.lit("... ["), F.length(output).cast("string"), F.lit(" chars total]"))).otherwise("")
+    shown = F.substring(output, 1, most)
+    return F.when(success, F.concat(head, F.lit("\n"), shown, more)).otherwise(F.concat(F.lit("[ERROR:"), F.coalesce(error, F.lit("None")), F.lit("]: "), shown))

@@ -112,3 +112,19 @@ def new_hypotheses(rows: DataFrame, blacklist: DataFrame | None = None, top: int
 def tool_choice(suggested: Column, available: Column, most: int = 2) -> tuple[Column, Column]:
     """Suggested tools that exist (at most `most`), and those that don't."""
     return F.slice(F.array_intersect(suggested, available), 1, most), F.array_except(suggested, available)
+
+
+def with_confirmed(findings: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """findings plus a row (hypothesis, verified) for each one that the votes confirm; columns that one side lacks are null."""
+    return findings.unionByName(confirmed.select("hypothesis", F.lit(True).alias("verified")), allowMissingColumns=True)
+
+
+def dead_ends(blacklist: Column, tried: Column) -> Column:
+    """Both, each entry once, in order of first appearance."""
+    return F.array_union(blacklist, tried)
+
+
+def distinct_tools(failures: DataFrame, key: str = "session", tool: str = "tool", order: str = "seq") -> DataFrame:
+    """key, tools: the tools that failed, each once, in order of their first failure."""
+    first = failures.groupBy(key, tool).agg(F.min(order).alias("_n"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", tool))), lambda t: t[tool]).alias("tools"))

@@ -89,18 +89,43 @@ def cost_escalation(costs: DataFrame, confirmed: DataFrame, limit: float = 2.0,
 
 
 def cooldown(events: DataFrame, keys: list[str], seq: str, wants: str, rest: int = 5) -> DataFrame:
-    """Adds escalates: a row that wants to and comes at least `rest` after the last one that did (sequential, so one pass a key)."""
+    """Adds escalates: a row that wants to and comes at least `rest` after the last one that did.
 
-    def run(g):
-        g = g.sort_values(seq)
-        last, out = None, []
-        for at, want in zip(g[seq], g[wants]):
-            go = bool(want) and (last is None or at - last >= rest)
-            last = at if go else last
-            out.append(go)
-        return g.assign(escalates=out)
+    Each decision depends on the one before, so a key is passed once, in order: sorted rows stream
+    through with one number of state, whatever a key holds. Only rows that want to are looped over.
+    """
+    cols = events.columns
+    at, want = cols.index(seq), cols.index(wants)
+    places = [cols.index(k) for k in keys]
 
-    return events.groupBy(*keys).applyInPandas(run, StructType([*events.schema.fields, StructField("escalates", BooleanType())]))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, last = None, None
+        for x in batches:
+            out = np.zeros(x.num_rows, bool)
+            rows = np.flatnonzero(np.asarray(x.column(want).fill_null(False)))
+            names = list(zip(*[x.column(p).take(pa.array(rows)).to_pylist() for p in places]))
+            for i, k, n in zip(rows.tolist(), names, x.column(at).take(pa.array(rows)).to_pylist()):
+                if k != key:
+                    key, last = k, None
+                if last is None or n - last >= rest:
+                    out[i], last = True, n
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out)], names=[*cols, "escalates"])
+
+    return events.repartition(*keys).sortWithinPartitions(*keys, seq).mapInArrow(run, StructType([*events.schema.fields, StructField("escalates", BooleanType())]))
+
+
+def wants_escalation(confidence: Column, errors: Column, steps: Column, hypotheses: Column, threshold: Column, late: int = 15, most: int = 3) -> Column:
+    """An agent's condition, before the cool-down: low confidence, late without hypotheses, or over `most` errors. A null confidence is not low."""
+    return F.coalesce(confidence < threshold, F.lit(False)) | ((hypotheses == 0) & (steps > late)) | (errors > most)
+
+
+def local_trigger(confidence: Column, errors: Column, steps: Column, hypotheses: Column, blacklist: Column, low: float = 0.55, most: int = 4, late: int = 18) -> Column:
+    """Low confidence, many errors, or late without a hypothesis that isn't blacklisted (both are arrays)."""
+    novel = F.size(F.array_except(hypotheses, blacklist))
+    return F.coalesce(confidence < low, F.lit(False)) | (errors >= most) | ((steps > late) & (novel == 0))
 
 
 def rule_trigger(confidence: Column, errors: Column, steps: Column, hypotheses: Column, low: float = 0.5, most: int = 3, late: int = 15) -> Column:
@@ -108,10 +133,21 @@ def rule_trigger(confidence: Column, errors: Column, steps: Column, hypotheses:
     return F.coalesce(confidence < low, F.lit(False)) | (errors >= most) | ((steps > late) & (hypotheses == 0))
 
 
-def rule_advice(confidence: Column, errors: Column, steps: Column, hypotheses: Column, threshold: Column) -> tuple[Column, Column]:
-    low = F.coalesce(confidence < 0.5, F.lit(False))
-    text = F.concat_ws(" ", F.when(low, F.lit("Confidence is low: gather more evidence.")), F.when(errors >= 3, F.lit("Errors repeat: change the tool.")), F.when((steps > 15) & (hypotheses == 0), F.lit("No hypotheses yet: state one.")))
-    return text, F.when(low, F.greatest(F.lit(0.4), threshold - 0.1)).otherwise(threshold)
+# The advice that rules give.
+LOW_ADVICE = ("Confidence low (", "). Broaden search: try IPC boundaries and adjacent modules.")
+ERROR_ADVICE = ("Model has ", " parse errors. Simplify prompt or reduce grammar complexity.")
+STALLED_ADVICE = "No hypotheses after many steps. Focus on allocators, GC roots, and IPC serialization."
+NO_ADVICE = "Rules check passed."
+
+
+def rule_advice(confidence: Column, errors: Column, steps: Column, hypotheses: Column, low: float = 0.5, most: int = 3, late: int = 15) -> tuple[Column, Column]:
+    """The advice of the rules that hold, and a new threshold (null: as it is) if confidence is low."""
+    bad = F.coalesce(confidence < low, F.lit(False))
+    text = F.concat_ws(
+        " ", F.when(bad, F.concat(F.lit(LOW_ADVICE[0]), F.format_string("%.2f", confidence), F.lit(LOW_ADVICE[1]))),
+        F.when(errors >= most, F.concat(F.lit(ERROR_ADVICE[0]), errors.cast("string"), F.lit(ERROR_ADVICE[1]))), F.when((steps > late) & (hypotheses == 0), F.lit(STALLED_ADVICE)),
+    )
+    return F.when(text == "", F.lit(NO_ADVICE)).otherwise(text), F.when(bad, F.lit(max(0.4, low - 0.1)))
 
 
 def cloud_trigger(ready: Column, confidence: Column, local_asked: Column, errors: Column, steps: Column, hypotheses: Column) -> Column:
@@ -132,27 +168,47 @@ def clamp_level(level: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(4), level))
 
 
+# The advice in place of an advisor that failed, and the threshold that comes with the cloud's.
+FALLBACK_ADVICE = (
+    "Simplify actions. Use explicit parameters. Avoid nested tool calls.",
+    "Switch to rag_search with CVE patterns. Try different file directories.",
+    "Continue current strategy with reduced confidence threshold.",
+)
+CLOUD_FALLBACK = "Cloud advisor unavailable. Continue with local reasoning. Focus on memory-unsafe patterns and recent file changes."
+CLOUD_FALLBACK_THRESHOLD = 0.55
+
+
 def fallback_text(errors: Column, hypotheses: Column) -> Column:
-    return F.when(errors > 3, "simplify").when(hypotheses == 0, "switch").otherwise("continue")
+    """By over three errors, no hypotheses, else."""
+    many, none, other = FALLBACK_ADVICE
+    return F.when(errors > 3, F.lit(many)).when(hypotheses == 0, F.lit(none)).otherwise(F.lit(other))
 
 
 def within_budget(calls: Column, most_calls: int, spent: Column, cost_in: Column, cost_out: Column, most: float) -> Column:
     return (calls < most_calls) & (spent + 2 * cost_in + cost_out <= most)
 
 
+def over_budget(spent: Column, estimate: Column, most: Column) -> Column:
+    """The message of a call that its budget forbids, else null; a null budget forbids nothing."""
+    text = F.format_string("Budget $%.2f would be exceeded (used: $%.4f, est: $%.4f)", most, spent, estimate)
+    return F.when(spent + estimate > most, text)
+
+
 def tool_outputs(steps: DataFrame, most: int = 800, n: int = 5) -> DataFrame:
-    """session, text: the newest n observations, newest first cut to half of what is left, then written oldest first."""
+    """session, text: of the last n steps those with an observation, newest first cut to half of what is left, written oldest first."""
     w = Window.partitionBy("session").orderBy(F.desc("step_num"))
-    rows = steps.where("observation IS NOT NULL AND observation <> ''").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    lists = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("_n", "action", "observation"))).alias("rows"))
+    rows = steps.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    seen = F.when(F.coalesce("observation", F.lit("")) != "", F.struct("_n", "observation"))
+    lists = rows.groupBy("session").agg(F.array_sort(F.collect_list(seen)).alias("rows"))
 
     def add(a: Column, r: Column) -> Column:
-        cut = F.substring(r["observation"], F.lit(1), F.floor(a["left"] / 2).cast("int"))
-        mark = F.when(F.lower(r["observation"]).rlike("error|fail|timeout|crash"), "[FAIL] ").otherwise("[OK] ")
-        line = F.concat(mark, r["action"], F.lit(": "), cut)
-        return F.struct(F.when(a["text"] == "", line).otherwise(F.concat(line, F.lit("\n"), a["text"])).alias("text"), (a["left"] - F.length(cut)).alias("left"))
+        mark = F.when(F.lower(r["observation"]).rlike("error|fail|timeout|crash"), F.lit("[FAIL] ")).otherwise("[OK] ")
+        line = F.substring(F.concat(mark, r["observation"]), F.lit(1), F.floor(a["left"] / 2).cast("int"))
+        return F.struct(F.array_append(a["lines"], line).alias("lines"), (a["left"] - F.length(line)).alias("left"))
 
-    return lists.select("session", F.aggregate("rows", F.struct(F.lit("").alias("text"), F.lit(most).alias("left")), add)["text"].alias("text"))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(most).alias("left"))
+    lines = F.aggregate("rows", start, add)["lines"]
+    return lists.select("session", F.when(F.size("rows") == 0, F.lit("No tool outputs yet.")).otherwise(F.array_join(F.reverse(lines), "\n")).alias("text"))
 
 
 def error_counter(events: DataFrame, keys: list[str], order: list[str], failed: Column, reset: Column) -> DataFrame:

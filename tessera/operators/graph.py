@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut as _cut
 from .logs import LINES
 from .vector import latest
 
-# Names that are no functions, and the extensions read.
+# Names that are no functions, the patterns of functions, and the extensions read.
 CPP_KEYWORDS = ("if", "else", "while", "for", "switch", "case", "return", "try", "catch", "throw", "new", "delete", "do", "goto", "static_assert", "sizeof", "alignof", "decltype", "auto")
 JS_KEYWORDS = ("if", "else", "while", "for", "switch", "return", "try", "catch", "throw", "new", "delete", "do", "await")
 CPP_FUNCTION = r"^\s*(?:[\w:<>*&]+\s+)+(\w+)\s*\([^;)]{0,200}\)\s*(?:const\s*)?(?:override\s*)?[{;]"
@@ -63,6 +63,10 @@ def upsert_edges(edges: DataFrame, order: str = "ord") -> DataFrame:
     return latest(edges, ["source", "target", "type"], order)
 
 
+def outgoing(edges: DataFrame, node: str) -> DataFrame:
+    return edges.where(F.col("source") == node)
+
+
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("source") == node).select("target").distinct()
 
@@ -80,14 +84,14 @@ def add_hypotheses(nodes: DataFrame, edges: DataFrame, hypotheses: DataFrame) ->
 def add_crashes(nodes: DataFrame, edges: DataFrame, crashes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """crashes: id, functions. Each named function's first node (by ord) whose label holds the name gets an edge to the crash and risk 0.85 at least.
 
-    The match is by containment, so it is a nested loop of function nodes and the distinct names,
-    which are few (stack frames); names are broadcast only while they are.
+    The match is by containment. Labels and names meet by the name's first three characters (all, if
+    it has fewer), so it is a join by equal keys whose hits are tested, not a loop over all pairs.
     """
     names = crashes.select(F.col("id").alias("crash"), F.explode("functions").alias("name")).distinct()
-    wanted = names.select("name").distinct()
-    small = wanted.limit(10_001).count() <= 10_000
-    funcs = nodes.where("type = 'function'").select(F.col("id").alias("node"), "label", "ord")
-    match = funcs.join(F.broadcast(wanted) if small else wanted, F.contains("label", "name")).groupBy("name").agg(F.min_by("node", "ord").alias("node"))
+    wanted = names.select("name", F.substring("name", 1, 3).alias("_g")).where("name <> ''").distinct()
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))), lambda i: F.substring("label", i, F.lit(n)))
+    funcs = nodes.where("type = 'function'").select(F.col("id").alias("node"), "label", "ord", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))).alias("_g"))
+    match = funcs.join(wanted, "_g").where(F.contains("label", "name")).groupBy("name").agg(F.min_by("node", "ord").alias("node"))
     hits = names.join(match, "name").select("crash", "node").distinct()
     raised = nodes.join(hits.select(F.col("node").alias("id")).distinct().withColumn("_h", F.lit(0.85)), "id", "left").withColumn("risk", F.greatest("risk", F.coalesce("_h", F.lit(0.0)))).select(*nodes.columns)
     made = crashes.select("id", F.lit("crash").alias("type"), F.col("id").alias("label"), F.lit(0.9).alias("risk"))
@@ -107,13 +111,6 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """id, rank: PageRank personalised by risk; dangling mass goes by the personalisation too.
 
@@ -189,3 +186,10 @@ def high_risk_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.7,
     pairs = risky.alias("a").join(F.broadcast(risky).alias("b"), F.col("a.ord") < F.col("b.ord")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.ord").alias("oa"), F.col("b.ord").alias("ob"))
     paths = shortest_paths(edges, pairs, depth=longest - 1, most=1)
     return paths.join(pairs, ["src", "dst"]).orderBy("oa", "ob").limit(most).select("src", "dst", "path", "hops")
+
+
+def link_edges(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """source (page:<id>), target, weight: the links of pages, with how often each occurs."""
+    found = F.explode(F.regexp_extract_all(html_col, F.lit('href="([^"]+)"'), F.lit(1)))
+    rows = pages.select(F.concat(F.lit("page:"), F.col(id_col).cast("string")).alias("source"), found.alias("target"))
+    return rows.groupBy("source", "target").agg(F.count("*").alias("weight"))

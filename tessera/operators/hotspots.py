@@ -67,9 +67,26 @@ def blame_authors(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.where(F.startswith(col, F.lit("author "))).agg(F.slice(F.array_sort(F.collect_set(F.substring(col, 8, 1_000_000))), 1, 10).alias("authors"))
 
 
+# What stands below a table of hotspots.
+TABLE_NOTES = (
+    "Churn = commits touching the file in the analysis window.",
+    "Score = churn × (1 + √authors)  (coordination complexity).",
+    "CRITICAL (>10 churn, >3 authors) → audit before fuzzing.",
+)
+
+
 def table_line(spots: DataFrame) -> DataFrame:
+    """spots with line: names over 44 characters keep their last 41."""
     name = F.when(F.length("file") > 44, F.concat(F.lit("..."), F.right("file", F.lit(41)))).otherwise(F.col("file"))
-    return spots.withColumn("line", F.format_string("%-44s %6d %6d %8.1f %s", name, "changes", "authors", "score", "risk"))
+    return spots.withColumn("line", F.format_string("%-45s %6d %5d %8s %6.1f", name, "changes", "authors", "risk", "score"))
+
+
+def table(spots: DataFrame) -> DataFrame:
+    """text: the ten best hotspots as a table with a head and notes."""
+    head = [f"{'File':<45} {'Churn':>6} {'Auth':>5} {'Risk':>8} {'Score':>6}", "-" * 72]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "file", "line"))), lambda r: r["line"])
+    best = table_line(spots.orderBy(F.desc("score"), "file").limit(10))
+    return best.agg(F.array_join(F.concat(F.array(*[F.lit(x) for x in head]), rows, F.array(*[F.lit(x) for x in ("", *TABLE_NOTES)])), "\n").alias("text"))
 
 
 def short_lines(lines: Column, n: int = 200) -> Column:

@@ -71,6 +71,7 @@ def address_entropy(text: Column) -> Column:
     return F.when(F.size(all_) >= 5, F.round(F.size(F.array_distinct(F.transform(all_, lambda a: F.substring(a, 1, 8)))) / F.size(all_) * 32, 2))
 
 
+# The patterns of a debugger's lines, and what two of its marks say.
 def debugger_sessions(logs: DataFrame, path: str = "path", col: str = "text") -> DataFrame:
     """path, stack, signal_info, fault_address, registers (last value), memory_maps, findings (100 at most), aslr_entropy.
 
@@ -91,8 +92,8 @@ def debugger_sessions(logs: DataFrame, path: str = "path", col: str = "text") ->
         F.when(is_map(x), F.struct(F.lit("memory_map").alias("type"), F.substring(x, 1, 150).alias("raw"))),
     ))))
     marks = F.array_compact(F.array(
-        F.when(F.col(col).rlike("(?i)0x41414141|0x61616161|0x42424242"), F.struct(F.lit("exploit_pattern").alias("type"), F.lit("repeating pattern in an address").alias("raw"))),
-        F.when(F.col(col).rlike("(?i)heap.use.after.free|double.free|heap.buffer.overflow"), F.struct(F.lit("asan_signal").alias("type"), F.lit("memory corruption reported").alias("raw"))),
+        F.when(F.col(col).rlike("(?i)0x41414141|0x61616161|0x42424242"), F.struct(F.lit("exploit_pattern").alias("type"), F.lit("Repeating pattern detected (AAAA/aaaa/BBBB) — possible buffer overflow control").alias("raw"))),
+        F.when(F.col(col).rlike("(?i)heap.use.after.free|double.free|heap.buffer.overflow"), F.struct(F.lit("asan_signal").alias("type"), F.lit("AddressSanitizer: memory corruption detected").alias("raw"))),
     ))
     return rows.select(
         path, F.filter("_l", is_frame).alias("stack"), F.try_element_at("_s", F.lit(-1)).alias("signal_info"), F.try_element_at(at, F.lit(-1)).alias("fault_address"), F.map_from_entries(last).alias("registers"),

@@ -48,3 +48,27 @@ def health(calls: DataFrame, disabled: DataFrame) -> DataFrame:
 def token_metrics(runs: DataFrame, key: str = "model") -> DataFrame:
     ms, out = F.sum("ms"), F.sum("tokens_out")
     return runs.groupBy(key).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), out.alias("tokens_out"), F.round(F.avg("ms"), 1).alias("avg_ms"), F.when(ms > 0, out / (ms / 1000)).otherwise(0.0).alias("tokens_per_s"))
+
+
+def advisor_metrics(calls: DataFrame, key: str = "name") -> DataFrame:
+    """key, calls, errors, total_ms and avg_ms (one place)."""
+    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("errors"), F.round(F.sum("latency_ms"), 1).alias("total_ms"), F.round(F.avg("latency_ms"), 1).alias("avg_ms"))
+
+
+def cascade_summary(tries: DataFrame, key: str = "id") -> DataFrame:
+    """key, path, attempted, failures, winner and total_ms (whole milliseconds) of each cascade. tries: key, pos, name, ms, error, answered.
+
+    A try that failed has an error; the path names all tries in order; the winner is the last one if it answered.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("pos", "name", F.floor("ms").cast("long").alias("ms"), "error", "answered")))
+    out = tries.groupBy(key).agg(rows.alias("r"))
+    last = F.element_at("r", -1)
+    return out.select(
+        key, F.transform("r", lambda t: t["name"]).alias("path"), F.size("r").alias("attempted"), F.transform(F.filter("r", lambda t: t["error"].isNotNull()), lambda t: F.concat_ws(": ", t["name"], t["error"])).alias("failures"),
+        F.when(last["answered"], last["name"]).alias("winner"), F.aggregate("r", F.lit(0).cast("long"), lambda a, t: a + t["ms"]).alias("total_ms"),
+    )
+
+
+def chain_state(calls: DataFrame, disabled: DataFrame) -> DataFrame:
+    """One row: chain length, active members and the names of disabled ones."""
+    return health(calls, disabled).agg(F.count("*").alias("chain_length"), F.count_if("active").alias("active"), F.array_sort(F.collect_list(F.when(~F.col("active"), F.col("name")))).alias("disabled"))

@@ -10,7 +10,11 @@ from .vector import dot, hash_embedding, normalise
 
 
 def scored(texts: DataFrame, query: str, id_col: str, text_col: str, dim: int = 384) -> DataFrame:
-    """id, text, score: cosine similarity of hash embeddings to the query's."""
+    """id, text, score: cosine similarity of hash embeddings to the query's.
+
+    They repeat every 64 places, so the similarity of one period is that of any number of whole ones.
+    """
+    dim = 64 if dim % 64 == 0 else dim
     q = normalise(hash_embedding(F.lit(query), dim))
     return texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), dot(normalise(hash_embedding(F.col(text_col), dim)), q).alias("score"))
 
@@ -73,7 +77,17 @@ def with_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id") -> Dat
     return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
 
 
-def listing(hits: DataFrame) -> DataFrame:
-    """text: the hits as a numbered list, best first."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ").alias("t"))))
-    return hits.agg(F.array_join(F.transform(rows, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". ["), F.format_string("%.4f", -r["s"]), F.lit("] "), r["t"])), "\n").alias("text"))
+def listing(hits: DataFrame, query: str) -> DataFrame:
+    """text: the hits (id, text, score, source) as a numbered list, best first. hits are few (a top-k)."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "source", "text")))
+    short = lambda t: F.concat(F.substring(t, 1, 400), F.when(F.length(t) > 400, "...").otherwise(""))
+    line = lambda r, i: F.concat(F.format_string("%d. [score=%.3f] [id=%s] [src=%s]\n   ", i + 1, -r["s"], r["id"], r["source"]), short(r["text"]), F.lit("\n"))
+    head = F.lit(f"### RAG Search Results for: {query}\n\n")
+    return hits.agg(F.when(F.count("*") == 0, F.lit(f"No relevant results found for query: {query}")).otherwise(F.concat(head, F.array_join(F.transform(rows, line), "\n"))).alias("text"))
+
+
+def context_texts(hypotheses: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """ord, text of a session: its hypotheses, then what confirmed findings say (hypothesis, else description). Both have ord, from 0."""
+    before = hypotheses.agg(F.count("*").alias("_n"))
+    said = confirmed.crossJoin(F.broadcast(before)).select((F.col("ord") + F.col("_n")).alias("ord"), F.coalesce("hypothesis", "description").alias("text"))
+    return hypotheses.select("ord", F.col("hypothesis").alias("text")).unionByName(said.where("text IS NOT NULL"))

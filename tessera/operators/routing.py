@@ -1,4 +1,7 @@
-"""Model routing: fallback chains, executors, advisors, budgets, costs and prices."""
+"""Model routing: fallback chains, executors, advisors, budgets, costs and prices.
+
+Which side of a join is broadcast is left to Spark, which goes by measured sizes.
+"""
 
 from __future__ import annotations
 
@@ -9,20 +12,30 @@ from ..functions.text import token_estimate
 
 
 def fallback_chain(models: DataFrame, requested: DataFrame) -> DataFrame:
-    """requested, name, pos: other models of the requested one's tier or below, by tier downwards; ties in table order (ord). models is a small dimension."""
+    """requested, name, pos: other models of the requested one's tier or below, by tier downwards; ties in table order (ord).
+
+    The result holds a row for each pair, so both are small dimensions here; where only the best
+    member is wanted, resolve_executor finds it without the chain.
+    """
     want = requested.join(models.select(F.col("name").alias("requested"), F.col("tier").alias("_t")), "requested", "left")
-    out = F.broadcast(models).join(want, (F.col("tier") <= F.coalesce("_t", F.lit(0))) & (F.col("name") != F.col("requested")))
+    out = models.join(want, (F.col("tier") <= F.coalesce("_t", F.lit(0))) & (F.col("name") != F.col("requested")))
     w = Window.partitionBy("requested").orderBy(F.desc("tier"), "ord")
     return out.select("requested", "name", "tier", F.row_number().over(w).alias("pos"))
 
 
 def resolve_executor(models: DataFrame, requested: DataFrame, available: DataFrame, gpu: bool, local_only: bool) -> DataFrame:
-    """requested, executor: the first of the model and its chain that is available and fits; null if none does."""
-    own = requested.select("requested", F.col("requested").alias("name"), F.lit(0).alias("pos"))
-    chain = own.unionByName(fallback_chain(models, requested).select("requested", "name", "pos"))
-    fits = chain.join(F.broadcast(models.drop("ord", "tier")), "name").join(F.broadcast(available.select("name")), "name", "left_semi")
-    fits = fits.where((F.lit(gpu) | ~F.col("requires_gpu")) & (F.lit(not local_only) | F.col("is_local")))
-    return requested.join(fits.groupBy("requested").agg(F.min_by("name", "pos").alias("executor")), "requested", "left")
+    """requested, executor: the model itself if it is available and fits, else the first such one of its chain; null if none does.
+
+    The chain isn't built: one row a tier holds its first usable model, and a running maximum over
+    the tiers gives the best one at or below each. An unknown model has tier 0.
+    """
+    fits = models.join(available.select("name").distinct(), "name", "left_semi").where((F.lit(gpu) | ~F.col("requires_gpu")) & (F.lit(not local_only) | F.col("is_local")))
+    want = requested.join(models.select(F.col("name").alias("requested"), "tier"), "requested", "left").select("requested", F.coalesce("tier", F.lit(0)).alias("tier"))
+    best = fits.groupBy("tier").agg(F.min_by("name", "ord").alias("best"))
+    tiers = want.select("tier").unionByName(best.select("tier")).distinct().join(best, "tier", "left")
+    below = tiers.select("tier", F.last("best", ignorenulls=True).over(Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, 0)).alias("below"))
+    own = want.join(fits.select(F.col("name").alias("requested"), F.lit(True).alias("own")), "requested", "left").join(below, "tier")
+    return own.select("requested", F.when(F.col("own"), F.col("requested")).otherwise(F.col("below")).alias("executor"))
 
 
 def resolve_advisors(wanted: DataFrame, advisors: DataFrame, air_gapped: bool) -> DataFrame:
@@ -30,9 +43,9 @@ def resolve_advisors(wanted: DataFrame, advisors: DataFrame, air_gapped: bool) -
     known = advisors.select("name", "requires_network")
     usable = known.where(~F.col("requires_network")) if air_gapped else known
     look = lambda c: usable.select(F.col("name").alias(c), F.col("name").alias(f"_{c}"))
-    out = wanted.join(F.broadcast(look("primary")), "primary", "left").join(F.broadcast(look("fallback")), "fallback", "left")
+    out = wanted.join(look("primary"), "primary", "left").join(look("fallback"), "fallback", "left")
     links = wanted.select("id", F.posexplode("chain").alias("pos", "name"))
-    kept = links.join(F.broadcast(usable), "name", "left_semi") if air_gapped else links
+    kept = links.join(usable, "name", "left_semi") if air_gapped else links
     chains = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("usable_chain"))
     out = out.join(chains, "id", "left").withColumn("usable_chain", F.coalesce("usable_chain", F.array().cast("array<string>")))
     return out.select("id", F.coalesce("_primary", "_fallback", F.get("usable_chain", F.lit(0))).alias("advisor"), "usable_chain")
@@ -45,7 +58,7 @@ def budget(profile: Column, user: Column, air_gapped: Column) -> Column:
 
 def priced(calls: DataFrame, prices: DataFrame, per: float = 1000.0) -> DataFrame:
     """calls (model, tokens_in, tokens_out) with usd; unknown models cost nothing. The price's unit is a parameter."""
-    out = calls.join(F.broadcast(prices.select("model", "usd_in", "usd_out")), "model", "left")
+    out = calls.join(prices.select("model", "usd_in", "usd_out"), "model", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.withColumn("usd", (F.col("tokens_in") * zero("usd_in") + F.col("tokens_out") * zero("usd_out")) / per).drop("usd_in", "usd_out")
 

@@ -53,10 +53,13 @@ def similarity_search(index: DataFrame, query: list[float], k: int = 5, id_col:
 def batch_search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Top k for each row of queries (query_id, query), exactly.
 
+    Null vectors are left out on both sides. A shorter vector counts as filled up with zeros.
+
     Queries go to the tasks in blocks of QUERY_BLOCK rows; each task scores its vectors against
     a block with one matrix product and passes on its own k best a query, so what is shuffled is
     k rows a query and task, whatever the index holds.
     """
+    queries, index = queries.where("query IS NOT NULL"), index.where(F.col(vec_col).isNotNull())
     total, out = queries.count(), None
     blocks = max(1, -(-total // QUERY_BLOCK))
     for b in range(blocks):
@@ -67,6 +70,13 @@ def batch_search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", "rank")
 
 
+def filled(values, lengths, np):
+    """Rows that lie end to end as a matrix, filled up with zeros."""
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = values
+    return out
+
+
 def _block(index: DataFrame, queries: list, k: int) -> DataFrame:
     ids, vectors = [r["query_id"] for r in queries], [[float(x) for x in r["query"]] for r in queries]
 
@@ -74,15 +84,17 @@ def _block(index: DataFrame, queries: list, k: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        q = np.array(vectors, np.float64).reshape(len(ids), -1)
+        q = filled(np.array([x for v in vectors for x in v], np.float64), np.array([len(v) for v in vectors], np.int64), np)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
         for x in batches:
             if not x.num_rows or not len(ids):
                 continue
-            v = np.asarray(x.column(1).flatten()).reshape(x.num_rows, -1)
+            flat = x.column(1).flatten().fill_null(0.0)
+            v = filled(np.asarray(flat), np.diff(np.asarray(x.column(1).offsets)), np)
             n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = q @ (v / np.where(n > 0, n, 1)).T
+            d = min(q.shape[1], v.shape[1])
+            s = q[:, :d] @ (v / np.where(n > 0, n, 1))[:, :d].T
             i = np.broadcast_to(np.asarray(x.column(0)), s.shape)
             s, i = np.concatenate((best_s, s), 1), np.concatenate((best_i, i), 1)
             order = np.lexsort((i, -s), axis=1)[:, :k]

@@ -102,10 +102,7 @@ t AS (SELECT * FROM m WHERE n = 1 ORDER BY score DESC, id LIMIT 8)
 SELECT id, substr(text, 1, 500) AS text, round(score, 4) AS score, src FROM t WHERE score >= 0.2 AND length(text) >= 20""")
 def rag_search(spark, sf):
     docs, ctx = T(spark, sf, "documents"), T(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), "text")
-    hits = R.scored(docs, "use after free", "doc_id", "text", 64).orderBy(F.desc("score"), "id").limit(24)
-    own = R.scored(ctx, "use after free", "ord", "text", 64).where("score >= 0.2").withColumn("id", F.concat(F.lit("ctx_"), "id")).orderBy(F.desc("score"), "id").limit(5)
-    out = R.merge_hits(own, hits, 8).where((F.col("score") >= 0.2) & (F.length("text") >= 20))
-    return out.select("id", F.substring("text", 1, 500).alias("text"), F.round("score", 4).alias("score"), "src")
+    return R.rag_search(docs, ctx, "use after free", 8, 0.2)
 
 
 WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')"
@@ -219,14 +216,18 @@ def churn_by_file(spark, sf):
     return H.churn(commits(spark, sf), commit_files(spark, sf))
 
 
+def churn_and_authors(spark, sf):
+    c, f = commits(spark, sf), commit_files(spark, sf)
+    return H.churn(c, f), f.join(c, "sha").select("file", "author")
+
+
 @query(f"""WITH {CHURN}, best AS (SELECT file FROM ch ORDER BY changes DESC, file LIMIT 15),
 au AS (SELECT file, count(DISTINCT author) AS n, array_to_string((list_sort(list_distinct(list(author))))[1:3], ',') AS top FROM f JOIN c USING (sha) JOIN best USING (file) GROUP BY file),
 s AS (SELECT ch.file, changes, coalesce(n, 0) AS authors, coalesce(top, '') AS top FROM ch LEFT JOIN au USING (file) WHERE changes >= 2)
 SELECT file, changes, authors, round(changes * (1 + sqrt(authors)), 1) AS score, CASE WHEN changes > 10 AND authors > 3 THEN 'CRITICAL' WHEN changes > 5 AND authors > 2 THEN 'HIGH' WHEN changes > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk, top
 FROM s ORDER BY round(changes * (1 + sqrt(authors)), 1) DESC, file LIMIT 10""")
 def hotspots(spark, sf):
-    c, f = commits(spark, sf), commit_files(spark, sf)
-    out = H.hotspots(H.churn(c, f), f.join(c, "sha").select("file", "author"))
+    out = H.hotspots(*churn_and_authors(spark, sf))
     return out.select("file", "changes", "authors", "score", "risk", F.array_join("top_authors", ",").alias("top"))
 
 
@@ -419,9 +420,12 @@ def consensus(spark, sf):
     return C.consensus(votes(spark, sf), 0.55).withColumns({"weighted": F.round("weighted", 4), "ratio": F.round("ratio", 4)})
 
 
-@query(f"WITH {CONS} SELECT round(sum(weighted) / 1000, 6) AS weighted, round(sum(ratio) / 1000, 6) AS ratio FROM c WHERE h < 1000")
+@query(f"WITH {CONS} SELECT round(sum(weighted) / (count(*) + 25), 6) AS weighted, round(sum(ratio) / (count(*) + 25), 6) AS ratio FROM c")
 def consensus_mean(spark, sf):
-    out = C.consensus_mean(votes(spark, sf), spark.range(1000).withColumnRenamed("id", "hypothesis"), 0.55)
+    """All hypotheses that have votes, and one a nation that has none."""
+    v = votes(spark, sf)
+    named = v.select("hypothesis").distinct().unionByName(T(spark, sf, "nation").select((-1 - F.col("n_nationkey")).alias("hypothesis")))
+    out = C.consensus_mean(v, named, 0.55)
     return out.withColumns({"weighted": F.round("weighted", 6), "ratio": F.round("ratio", 6)})
 
 
@@ -474,25 +478,24 @@ def blacklist_antijoin(spark, sf):
     return T(spark, sf, "documents").join(T(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_anti").select("doc_id")
 
 
-# ---- routing: parts are models (tier is p_size)
+# ---- routing: parts are models (tier is p_size), and so are nations (tier is the region) where pairs are the result
 
-MODELS = "m AS (SELECT 'm' || p_partkey AS name, p_size AS tier, p_partkey AS ord, p_partkey % 2 = 0 AS is_local, p_partkey % 3 = 0 AS requires_gpu FROM part WHERE p_partkey <= 60)"
+MODELS = "m AS (SELECT 'm' || p_partkey AS name, p_size AS tier, p_partkey AS ord, p_partkey % 2 = 0 AS is_local, p_partkey % 3 = 0 AS requires_gpu FROM part)"
 
 
 def models(spark, sf):
     k = F.col("p_partkey")
-    return T(spark, sf, "part").where("p_partkey <= 60").select(F.concat(F.lit("m"), k.cast("string")).alias("name"), F.col("p_size").alias("tier"), k.alias("ord"), (k % 2 == 0).alias("is_local"), (k % 3 == 0).alias("requires_gpu"))
+    return T(spark, sf, "part").select(F.concat(F.lit("m"), k.cast("string")).alias("name"), F.col("p_size").alias("tier"), k.alias("ord"), (k % 2 == 0).alias("is_local"), (k % 3 == 0).alias("requires_gpu"))
 
 
-@query(f"WITH {MODELS} SELECT r.name AS requested, m.name, CAST(row_number() OVER (PARTITION BY r.name ORDER BY m.tier DESC, m.ord) AS INTEGER) AS pos FROM m r JOIN m ON m.tier <= r.tier AND m.name <> r.name")
+@query("WITH m AS (SELECT n_name AS name, n_regionkey AS tier, n_nationkey AS ord FROM nation) SELECT r.name AS requested, m.name, CAST(row_number() OVER (PARTITION BY r.name ORDER BY m.tier DESC, m.ord) AS INTEGER) AS pos FROM m r JOIN m ON m.tier <= r.tier AND m.name <> r.name")
 def fallback_chain(spark, sf):
-    m = models(spark, sf)
+    m = T(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("tier"), F.col("n_nationkey").alias("ord"))
     return RT.fallback_chain(m, m.select(F.col("name").alias("requested"))).select("requested", "name", "pos")
 
 
-@query(f"""WITH {MODELS}, c AS (SELECT r.name AS requested, m.name, m.is_local, m.requires_gpu, m.ord, CASE WHEN m.name = r.name THEN 0 ELSE 1 END AS own, m.tier FROM m r JOIN m ON (m.tier <= r.tier OR m.name = r.name)),
-x AS (SELECT requested, name, row_number() OVER (PARTITION BY requested ORDER BY own, tier DESC, ord) AS pos FROM c WHERE NOT requires_gpu AND is_local AND ord % 5 <> 0)
-SELECT r.name AS requested, x.name AS executor FROM m r LEFT JOIN x ON x.requested = r.name AND x.pos = 1""")
+@query(f"""WITH {MODELS}, f AS (SELECT * FROM m WHERE NOT requires_gpu AND is_local AND ord % 5 <> 0), b AS (SELECT tier, arg_min(name, ord) AS best FROM f GROUP BY 1), t AS (SELECT DISTINCT tier FROM m),
+x AS (SELECT t.tier, arg_max(best, b.tier) AS below FROM t LEFT JOIN b ON b.tier <= t.tier GROUP BY 1) SELECT m.name AS requested, CASE WHEN f.name IS NOT NULL THEN m.name ELSE below END AS executor FROM m LEFT JOIN f USING (name) JOIN x ON x.tier = m.tier""")
 def resolve_executor(spark, sf):
     m = models(spark, sf)
     return RT.resolve_executor(m, m.select(F.col("name").alias("requested")), m.where("ord % 5 <> 0"), gpu=False, local_only=True)
@@ -518,9 +521,9 @@ def priority_answer(spark, sf):
     return RT.first_answer(a).select("id", "name")
 
 
-# ---- graphs: region > nation > supplier and customer
+# ---- graphs: region > nation > supplier and customer, and some suppliers > another nation
 
-TREE = """e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 's' || s_suppkey, 'n' || ((s_nationkey + 1) % 25) FROM supplier WHERE s_suppkey % 10 = 0)"""
+TREE = """e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 's' || s_suppkey, 'n' || ((s_nationkey + 1) % 25) FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
 
 
 def tree(spark, sf):
@@ -528,10 +531,12 @@ def tree(spark, sf):
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     e = n.select(name("r", F.col("n_regionkey")).alias("source"), name("n", F.col("n_nationkey")).alias("target"))
     e = e.unionByName(s.select(name("n", F.col("s_nationkey")).alias("source"), name("s", F.col("s_suppkey")).alias("target")))
+    c = T(spark, sf, "customer")
+    e = e.unionByName(c.select(name("n", F.col("c_nationkey")).alias("source"), name("c", F.col("c_custkey")).alias("target")))
     e = e.unionByName(s.where("s_suppkey % 10 = 0").select(name("s", F.col("s_suppkey")).alias("source"), name("n", (F.col("s_nationkey") + 1) % 25).alias("target"))).distinct()
     nodes = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct()
     kind = F.substring("id", 1, 1)
-    nodes = nodes.select("id", kind.alias("type"), F.when(kind == "r", 0.9).when(kind == "n", 0.75).otherwise(0.3).alias("risk"), F.substring("id", 2, 20).cast("long").alias("ord"))
+    nodes = nodes.select("id", kind.alias("type"), F.when(kind == "r", 0.9).when(kind == "n", 0.75).otherwise(0.3).alias("risk"), (F.when(kind == "r", 0).when(kind == "n", 100).when(kind == "s", 1000).otherwise(1_000_000_000) + F.substring("id", 2, 20).cast("long")).alias("ord"))
     return nodes, e.withColumns({"type": F.lit("contains"), "weight": F.lit(1.0)})
 
 
@@ -545,32 +550,22 @@ def graph_counts(spark, sf):
     return G.counts(*tree(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {TREE}, p AS (SELECT 'r0' AS src, ['r0'] AS path, 0 AS hops UNION ALL SELECT src, list_append(path, e.target), hops + 1 FROM p JOIN e ON e.source = path[-1] WHERE hops < 4 AND NOT list_contains(path, e.target)),
-t AS (SELECT src, path[-1] AS dst, path, hops, min(hops) OVER (PARTITION BY path[-1]) AS least FROM p WHERE path[-1] IN ('n1', 'n2', 's1', 's2', 's3', 's4', 's5')), r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY path) AS n FROM t WHERE hops = least)
-SELECT src, dst, array_to_string(path, '>') AS path, hops FROM r WHERE n <= 5""")
+@query(f"""WITH RECURSIVE {TREE}, d AS (SELECT 'r0' AS node, 0 AS h UNION SELECT e.target, h + 1 FROM d JOIN e ON e.source = node WHERE h < 16), m AS (SELECT node, min(h) AS h FROM d GROUP BY 1),
+g AS (SELECT e.* FROM e JOIN m a ON a.node = source JOIN m b ON b.node = target AND b.h = a.h + 1), p AS (SELECT ['r0'] AS path UNION ALL SELECT list_append(path, g.target) FROM p JOIN g ON g.source = path[-1]),
+r AS (SELECT path, row_number() OVER (PARTITION BY path[-1] ORDER BY path) AS n FROM p WHERE path[-1] IN ('n1', 'n2', 's1', 's2', 's3', 's4', 's5', 'c7')) SELECT 'r0' AS src, path[-1] AS dst, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM r WHERE n <= 5""")
 def shortest_paths(spark, sf):
-    pairs = spark.createDataFrame([("r0", d) for d in ("n1", "n2", "s1", "s2", "s3", "s4", "s5")], "src string, dst string")
+    pairs = spark.createDataFrame([("r0", d) for d in ("n1", "n2", "s1", "s2", "s3", "s4", "s5", "c7")], "src string, dst string")
     return G.shortest_paths(tree(spark, sf)[1], pairs).withColumn("path", F.array_join("path", ">"))
 
 
-@query()
-def high_risk_paths(spark, sf):
-    return G.high_risk_paths(*tree(spark, sf), threshold=0.7).withColumn("path", F.array_join("path", ">"))
-
-
-def _rank_sql(rounds: int) -> str:
-    out = f"""WITH {TREE}, i AS (SELECT id, CASE substr(id, 1, 1) WHEN 'r' THEN 0.9 WHEN 'n' THEN 0.75 ELSE 0.3 END AS risk FROM (SELECT source AS id FROM e UNION SELECT target FROM e)),
-w AS (SELECT source, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY source) AS w FROM e),
-k0 AS (SELECT id, risk::DOUBLE / (SELECT sum(risk) FROM i) AS p, 1.0::DOUBLE / (SELECT count(*) FROM i) AS rank, id NOT IN (SELECT source FROM e) AS dangling FROM i)"""
-    for n in range(1, rounds + 1):
-        out += f""", k{n} AS (SELECT id, p, 0.85 * (coalesce(f, 0) + (SELECT coalesce(sum(rank), 0) FROM k{n - 1} WHERE dangling) * p) + 0.15 * p AS rank, dangling
-FROM k{n - 1} LEFT JOIN (SELECT target AS id, sum(rank * w) AS f FROM k{n - 1} JOIN w ON w.source = k{n - 1}.id GROUP BY 1) USING (id))"""
-    return out + f" SELECT id, round(rank, 6) AS rank FROM k{rounds}"
-
-
-@query(_rank_sql(5))
+@query(f"""WITH RECURSIVE {TREE}, i AS (SELECT id, CASE substr(id, 1, 1) WHEN 'r' THEN 0.9::DOUBLE WHEN 'n' THEN 0.75 ELSE 0.3 END AS risk, id NOT IN (SELECT source FROM e) AS dangling FROM (SELECT source AS id FROM e UNION SELECT target FROM e)),
+s AS (SELECT id, risk / (SELECT sum(risk) FROM i) AS p, dangling FROM i), w AS (SELECT source, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY source) AS w FROM e UNION ALL SELECT id, id, 0 FROM s),
+k AS (SELECT id, 0 AS n, 1.0::DOUBLE / (SELECT count(*) FROM s) AS rank FROM s
+UNION ALL SELECT t.id, min(a.n) + 1, 0.85 * (sum(a.rank * w) + max(a.lost) * max(t.p)) + 0.15 * max(t.p) FROM (SELECT k.id, n, rank, sum(CASE WHEN dangling THEN rank ELSE 0 END) OVER () AS lost FROM k JOIN s ON s.id = k.id WHERE n < 40) a JOIN w ON w.source = a.id JOIN s t ON t.id = w.target GROUP BY t.id)
+SELECT id, round(rank, 6) AS rank FROM k WHERE n = 40""")
 def pagerank(spark, sf):
-    return G.pagerank(*tree(spark, sf), rounds=5).withColumn("rank", F.round("rank", 6))
+    """To convergence; its SQL takes forty rounds, after which nothing changes at six places."""
+    return G.pagerank(*tree(spark, sf), tolerance=1e-9).withColumn("rank", F.round("rank", 6))
 
 
 LINKS = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages)"""
@@ -578,8 +573,7 @@ LINKS = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)
 
 @query(f"WITH {LINKS} SELECT 'page:' || page_id AS source, href AS target, count(*) AS weight FROM l GROUP BY ALL")
 def link_edges(spark, sf):
-    rows = T(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
-    return rows.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    return G.link_edges(T(spark, sf, "pages"))
 
 
 def sources(spark, sf):
@@ -670,3 +664,8 @@ def stream_streak(spark, sf):
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def window_counts(spark, sf):
     return S.window_counts(T(spark, sf, "events"), ["event_type"], "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import graphs as _graphs  # noqa: E402, F401 (these add their queries)
+from . import sessions as _sessions  # noqa: E402, F401
+from . import stores as _stores  # noqa: E402, F401

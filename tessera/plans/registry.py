@@ -1,14 +1,24 @@
-"""Named operators: registration, look-up, dispatch in input order, and failures as rows."""
+"""Named operators, advisors and model back ends: registration, look-up, dispatch in input order, and failures as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..functions.text import is_empty_advice, sha_prefix, token_estimate
+from ..sources.shared import cut
 
 OUTPUT_CAP, OUTPUT_DEFAULT = 10_000, 2_000
+RESULT = "ord int, name string, success boolean, output string, error string"
 
 
 @dataclass
@@ -44,21 +54,52 @@ class Registry:
         """ord, name, success, output, error: one row a result row (as JSON, cut to cap), or one for a failure."""
         return self.run_all(spark, [(name, args, kwargs)], cap)
 
-    def run_all(self, spark: SparkSession, calls: Iterable[tuple[str, tuple, dict]], cap: int = OUTPUT_DEFAULT) -> DataFrame:
-        """All calls, in input order; unknown and unavailable tools and exceptions become rows."""
-        cap, out = min(cap, OUTPUT_CAP), None
-        for ord_, (name, args, kwargs) in enumerate(calls):
+    def run_all(self, spark: SparkSession, calls: Iterable[tuple[str, tuple, dict]], cap: int = OUTPUT_DEFAULT, timeout: float | None = None, at_once: int = 4) -> DataFrame:
+        """All calls, `at_once` at a time, in input order; unknown and unavailable tools, exceptions and calls over `timeout` seconds become rows.
+
+        Each call is run to its end into a table of its own, so a failure at execution is a row too
+        and takes no other call with it. A call that takes too long is cancelled by its tag.
+        """
+        cap, calls = min(cap, OUTPUT_CAP), list(calls)
+
+        def one(ord_: int, name: str, args: tuple, kwargs: dict) -> DataFrame:
+            timer, late = None, threading.Event()
+            tag = f"tool-{uuid.uuid4().hex}"
+
+            def stop() -> None:
+                late.set()
+                spark.sparkContext.cancelJobsWithTag(tag)
+
             try:
                 if name not in self.tools:
                     raise LookupError("unknown tool")
                 if not self.available[name]():
                     raise LookupError("tool is not available")
+                spark.sparkContext.addJobTag(tag)
+                if timeout is not None:
+                    timer = threading.Timer(timeout, stop)
+                    timer.start()
                 got = self.tools[name](*args, **kwargs)
                 rows = got.select(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.lit(True).alias("success"), F.substring(F.to_json(F.struct("*")), 1, cap).alias("output"), F.lit(None).cast("string").alias("error"))
+                rows = cut(rows)
+                if late.is_set():
+                    raise TimeoutError
+                return rows
             except Exception as exc:  # a tool's failure is a result
-                rows = spark.createDataFrame([(ord_, name, False, None, str(exc)[:cap])], "ord int, name string, success boolean, output string, error string")
-            out = rows if out is None else out.unionByName(rows)
-        return out if out is not None else spark.createDataFrame([], "ord int, name string, success boolean, output string, error string")
+                said = "timeout" if late.is_set() else (str(exc).strip().splitlines() or [type(exc).__name__])[0][:cap]
+                return spark.createDataFrame([(ord_, name, False, None, said)], RESULT)
+            finally:
+                if timer:
+                    timer.cancel()
+                spark.sparkContext.removeJobTag(tag)
+
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            tasks = [pool.submit(inheritable_thread_target(spark)(one), i, *call) for i, call in enumerate(calls)]
+            parts = [t.result() for t in tasks]
+        out = spark.createDataFrame([], RESULT)
+        for rows in parts:
+            out = out.unionByName(rows)
+        return out
 
     def chain(self, first: str, fallbacks: dict[str, str]) -> list[str]:
         """A tool and its fallbacks, each once: cycles end the chain."""
@@ -67,3 +108,127 @@ class Registry:
             out.append(first)
             first = fallbacks.get(first)
         return [n for n in out if n in self.tools]
+
+
+def register_function(spark: SparkSession, name: str, parameters: str, returns: str, body: str) -> None:
+    """A named function for SQL, as an expression over its parameters: Catalyst inlines it."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
+
+
+ADVICE = "struct<critique:string,plan:string,hypotheses:array<string>,tools:array<string>,threshold:double>"
+
+
+@dataclass(frozen=True)
+class Advisor:
+    """When it is asked (a boolean column) and what it says (a column of type ADVICE, null or empty: nothing)."""
+
+    name: str
+    triggers: Column
+    advises: Column
+    priority: int = 50
+    requires_network: bool = False
+
+
+@dataclass
+class Advisors:
+    """Advisors by name, over a table of contexts (one a row). All modes are projections: no shuffle, one pass."""
+
+    members: dict[str, Advisor] = field(default_factory=dict)
+    default: str | None = None
+    fallbacks: dict[str, str] = field(default_factory=dict)
+
+    def register(self, advisor: Advisor) -> None:
+        self.members[advisor.name] = advisor
+        self.default = self.default or advisor.name
+
+    def unregister(self, name: str) -> None:
+        self.members.pop(name, None)
+        self.default = next(iter(self.members), None) if self.default == name else self.default
+
+    def set_default(self, name: str) -> None:
+        if name not in self.members:
+            raise LookupError(f"unknown advisor {name}")
+        self.default = name
+
+    def has(self, name: str) -> bool:
+        return name in self.members
+
+    def names(self) -> list[str]:
+        return sorted(self.members)
+
+    def chain(self, first: str | None = None) -> list[Advisor]:
+        """An advisor (the default one) and its fallbacks, each once: a cycle ends the chain."""
+        out, name = [], first or self.default
+        while name and name not in out:
+            out.append(name)
+            name = self.fallbacks.get(name)
+        return [self.members[n] for n in out if n in self.members]
+
+    def by_priority(self) -> list[Advisor]:
+        return sorted(self.members.values(), key=lambda a: (a.priority, a.name))
+
+    @staticmethod
+    def _said(a: Advisor) -> Column:
+        advice = a.advises.cast(ADVICE)
+        return F.when(F.coalesce(a.triggers, F.lit(False)) & advice.isNotNull() & ~is_empty_advice(advice), advice)
+
+    def first(self, contexts: DataFrame, order: Sequence[Advisor] | None = None) -> DataFrame:
+        """contexts plus advisor and advice: the first in order (the default's chain) that is asked and says something."""
+        order = self.chain() if order is None else order
+        if not order:
+            return contexts.withColumns({"advisor": F.lit(None).cast("string"), "advice": F.lit(None).cast(ADVICE)})
+        found = F.coalesce(*[F.when(self._said(a).isNotNull(), F.struct(F.lit(a.name).alias("n"), self._said(a).alias("a"))) for a in order])
+        return contexts.withColumn("_f", found).withColumns({"advisor": F.col("_f.n"), "advice": F.col("_f.a")}).drop("_f")
+
+    def every(self, contexts: DataFrame) -> DataFrame:
+        """contexts plus advisor and advice, a row for each advisor that is asked and says something."""
+        if not self.members:
+            return self.first(contexts, []).limit(0)
+        said = F.array(*[F.when(self._said(a).isNotNull(), F.struct(F.lit(a.name).alias("n"), self._said(a).alias("a"))) for a in self.members.values()])
+        return contexts.withColumn("_f", F.explode(F.array_compact(said))).withColumns({"advisor": F.col("_f.n"), "advice": F.col("_f.a")}).drop("_f")
+
+
+class Model(Protocol):
+    """A back end: run() takes texts and gives an answer for each, or an exception in an answer's place."""
+
+    name: str
+    usd_in: float
+    usd_out: float
+
+    def run(self, texts: list[str]) -> Iterator: ...
+
+
+def with_model(rows: DataFrame, model: Model, answer: str, text_col: str = "text") -> DataFrame:
+    """rows plus answer (of the type given, null where the back end failed), error, tokens_in and usd (by 1,000 tokens).
+
+    Null texts aren't sent and have neither. The back end is called an Arrow batch at a time, so its
+    memory is bounded by the batch; it must be importable on executors.
+    """
+    cols = rows.columns
+    place = cols.index(text_col)
+    extra = StructType([StructField("answer", rows.sparkSession.createDataFrame([], f"answer {answer}").schema["answer"].dataType), StructField("error", rows.sparkSession.createDataFrame([], "e string").schema["e"].dataType)])
+    schema = StructType([*rows.schema.fields, *extra.fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(extra["answer"].dataType)
+        for x in batches:
+            texts = x.column(place).to_pylist()
+            got = iter(model.run([t for t in texts if t is not None]))
+            out = [None if t is None else next(got) for t in texts]
+            bad = [str(o) or type(o).__name__ if isinstance(o, Exception) else None for o in out]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([None if b is not None else o for o, b in zip(out, bad)], kind), pa.array(bad, pa.string())], names=[*cols, "answer", "error"])
+
+    out = rows.mapInArrow(run, schema)
+    tokens = F.when(F.col(text_col).isNotNull(), token_estimate(F.col(text_col)))
+    return out.withColumns({"tokens_in": tokens, "usd": tokens * F.lit(model.usd_in) / 1000})
+
+
+def embed(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """rows plus embedding and error. Equal texts are sent once: they meet by a hash of 128 bits, and the vectors are joined back."""
+    key = sha_prefix(F.col(text_col), 32)
+    texts = rows.select(key.alias("_k"), F.col(text_col).alias("_text")).where("_k IS NOT NULL").groupBy("_k").agg(F.first("_text").alias("_text"))
+    vectors = with_model(texts, model, "array<double>", "_text").select("_k", F.col("answer").alias("embedding"), "error")
+    return rows.withColumn("_k", key).join(cut(vectors).hint("merge"), "_k", "left").drop("_k")

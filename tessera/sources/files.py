@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha_prefix
 from ..operators.graph import EXTENSIONS
+from ..operators.logs import sanitizer_crashes
+from ..operators.routing import overlay
 from ..operators.vector import latest
 
 
@@ -34,6 +36,11 @@ def crash_files(spark: SparkSession, folder: str, layout: str = "afl") -> DataFr
     return names.where((F.col("name") != "README.txt") & ~F.endswith("name", F.lit(".log"))).select("path")
 
 
+def crash_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """path, crash_type, stack, fault_address of the sanitizer logs in a folder."""
+    return sanitizer_crashes(reports(spark, folder, "text"))
+
+
 _NODE = "struct<type:string,label:string,file:string,line:int,risk:double,metadata:map<string,string>>"
 _GRAPH = f"version int, nodes map<string,{_NODE}>, edges array<struct<source:string,target:string,type:string,weight:double,metadata:map<string,string>>>"
 
@@ -49,9 +56,14 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """json: the whole graph as one document. One document is one row, so this is for graphs that fit one; larger ones are kept as tables."""
     safe = F.when(~F.isnan("risk"), F.col("risk"))
-    entry = F.struct(F.col("id").alias("key"), F.struct("type", "label", "file", "line", safe.alias("risk")).alias("value"))
-    n = nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("nodes"), F.count("*").alias("nn"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("source", "target", "type", "weight"))).alias("edges"), F.count("*").alias("ne"))
+    none = F.create_map().cast("map<string,string>")
+    note = lambda df: (F.coalesce("metadata", none) if "metadata" in df.columns else none).alias("metadata")
+    entry = F.struct(F.col("id").alias("key"), F.struct("type", "label", "file", "line", safe.alias("risk"), note(nodes)).alias("value"))
+    order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    n = nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(entry), order)).alias("nodes"), F.count("*").alias("nn"))
+    by = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    rows = F.array_sort(F.collect_list(F.struct(F.struct("source", "target", "type").alias("k"), F.struct("source", "target", "type", "weight", note(edges)).alias("v"))), by)
+    e = edges.agg(F.transform(rows, lambda r: r["v"]).alias("edges"), F.count("*").alias("ne"))
     doc = F.struct(F.lit(1).alias("version"), "nodes", "edges", F.struct(F.col("nn").alias("node_count"), F.col("ne").alias("edge_count")).alias("metrics"))
     return n.crossJoin(e).select(F.to_json(doc).alias("json"))
 
@@ -110,11 +122,45 @@ def profiles(spark: SparkSession, settings: dict) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in settings.items()], "name string, settings string")
 
 
-def write_session(steps: DataFrame, evidence: DataFrame, folder: str) -> None:
-    """Steps and evidence, explicit keywords included."""
-    steps.write.mode("overwrite").parquet(f"{folder}/steps")
-    evidence.write.mode("overwrite").parquet(f"{folder}/evidence")
+def read_profiles(spark: SparkSession, path: str, defaults: dict) -> DataFrame:
+    """Profiles as a small table: the defaults, with what a YAML file has under `capabilities` laid over them; the defaults alone if it can't be read."""
+    import yaml
+    from pyspark.errors import PySparkException
+
+    try:
+        text = reports(spark, path, "text").first()
+        user = (yaml.safe_load(text["text"]) or {}).get("capabilities", {}) if text else {}
+    except (PySparkException, yaml.YAMLError, AttributeError):
+        user = {}
+    return profiles(spark, overlay(defaults, user))
+
+
+#: Tables of a session. Keywords of evidence are kept as they were given.
+SESSION = ("steps", "evidence", "costs", "hypotheses", "blacklist", "failed_tools", "confirmed", "critiques", "state")
+
+
+def write_session(parts: dict[str, DataFrame], folder: str) -> None:
+    """The named tables of a session (SESSION has the names); a session may lack some."""
+    for name, df in parts.items():
+        if name not in SESSION:
+            raise ValueError(f"{name} is no part of a session")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_session(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that were written, by name."""
+    from pyspark.errors import PySparkException
+
+    out = {}
+    for name in SESSION:
+        try:
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+        except PySparkException:  # a part that the session lacks
+            continue
+    return out
 
 
-def read_session(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/steps"), spark.read.parquet(f"{folder}/evidence")
+def checkpoint_steps(steps: DataFrame, every: int = 5, key: str = "session", order: str = "step_num") -> DataFrame:
+    """The rows after which a session's state is saved: each `every`-th step. The last of them is where it resumes."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return steps.where((F.col(order) > 0) & (F.col(order) % every == 0)).withColumn("resumes", F.row_number().over(w) == 1)

@@ -1,18 +1,18 @@
 """Streaming twins of the event-log operators, over any streaming DataFrame.
 
-State is per key and bounded; the file sink and its checkpoint lie in the shared folder, so a
-restarted query goes on where it stopped.
+State is per key and bounded. Sink and checkpoint lie in one folder of shared storage; a query that
+is started again with the same folder goes on where it stopped.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.vector import latest
+from ..sources.shared import scratch
+
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream of the Parquet files of this name (or pattern) in a folder."""
@@ -20,14 +20,31 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a stream over what there is now into Parquet files (append mode) and read them."""
+    """Run a stream over what there is now into Parquet files (append mode) and read all that it has written.
+
+    With a folder (in shared storage) the stream goes on where the last run with that folder
+    stopped; without one it starts anew in the shared folder.
+    """
     spark = stream.sparkSession
-    folder = folder or f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tessera-')}/stream-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """As drain(), in update mode: of each key the row of its last batch. A batch that is run again replaces its own files."""
+    spark = stream.sparkSession
+    folder = folder or scratch(spark, "stream")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    put(spark.createDataFrame([], stream.schema), -1)  # so that there is a table even without a batch
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return latest(spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out"), keys, "batch").drop("batch")
+
+
 def streaks(events: DataFrame, key: str, failed: Column, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """key, tie, streak for each event: failures in a row, carried over batches by state. Late rows count when they come."""
 
@@ -46,31 +63,42 @@ def streaks(events: DataFrame, key: str, failed: Column, ts: str = "ts", tie: st
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {tie} long, streak long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def circuits(events: DataFrame, key: str, failed: Column, limit: int = 5, rest_ms: int = 60_000) -> DataFrame:
-    """key, state for each change: opens after `limit` failures in a row, half-opens by a timer, closes on success."""
+def circuits(events: DataFrame, key: str, failed: Column, limit: int = 5, rest_ms: int = 60_000, late: str | None = None) -> DataFrame:
+    """key, state for each change: opens after `limit` failures in a row, half-opens by a timer, closes on success.
+
+    The timer runs by the wall clock, or, with `late`, by event time as far as the watermark (`late`
+    behind the newest event) has come. A wall clock never ends, so only the latter can be drained.
+    """
 
     def step(k, batches, state: GroupState):
         import pandas as pd
 
         count, name = state.get if state.exists else (0, "closed")
-        out = []
+        out, last = [], None
         if state.hasTimedOut:
             name = "half_open"
             out.append(name)
         else:
-            for bad in pd.concat(list(batches)).sort_values("_ts")["_bad"]:
+            rows = pd.concat(list(batches)).sort_values(["_ts", "_tie"])
+            last = rows["_ts"].iloc[-1]
+            for bad in rows["_bad"]:
                 count = count + 1 if bad else 0
                 new = "closed" if not bad else "open" if count >= limit else name
                 if new != name:
                     out.append(new)
                 name = new
         state.update((count, name))
-        if name == "open":
+        if name == "open" and late is None:
             state.setTimeoutDuration(rest_ms)
+        elif name == "open" and last is not None:
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + rest_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), "state": out})
 
-    rows = events.select(key, F.col("ts").cast("timestamp").alias("_ts"), failed.alias("_bad"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, state string", "n long, name string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(key, F.col("ts").cast("timestamp").alias("_ts"), F.col("event_id").alias("_tie"), failed.alias("_bad"))
+    if late is not None:
+        rows = rows.withWatermark("_ts", late)
+    clock = GroupStateTimeout.ProcessingTimeTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, state string", "n long, name string", "append", clock)
 
 
 def mailbox(messages: DataFrame) -> DataFrame:
