@@ -1,20 +1,16 @@
-"""Helpers shared by the corpus operators: tables that cut lineage, size-checked joins and vectorised tokenising."""
+"""Helpers shared by the corpus operators: size-checked joins and vectorised tokenising."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, scratch  # noqa: F401 (the operators take them from here)
+
 #: Ids that a broadcast semi-join may hold: 8 bytes each, so 4 MB of keys at most.
 BROADCAST_IDS = 500_000
 
-#: Bytes of a written table that one task reads at most, beyond one task a core.
-TASK_BYTES = 8 << 20
-
 SPACE = r"[\x20\x09-\x0D]+"
 
 _U = np.uint64
@@ -28,33 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared checkpoint folder and read it again, which cuts its lineage.
-
-    Unlike checkpoint(), that runs the plan once rather than twice, and later reads take the
-    columns they need only. The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    # many small files would make many tasks, each with a file a shuffle partition: one task a core, or a TASK_BYTES
-    return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-store.getContentSummary(place).getLength() // TASK_BYTES)))
-
-
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids (one column of the same name, distinct), or isn't (how: left_anti).
 
@@ -149,8 +118,8 @@ def words(buf: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np
             e = s + filled[stop] - filled[s]
             position = np.arange(len(piece), dtype=np.int64) - np.repeat(np.append(0, s), np.diff(np.append(np.append(0, s), len(piece))))
             value = (piece.astype(np.uint64) + _U(1)) * _POW[position & 4095]
-            if len(piece) > 4096 and position.max() > 4095:  # words of over 4096 bytes: mix in the page
-                value = np.where(position > 4095, mix(value + (position >> 12).astype(np.uint64) * _U(_WORD_BASE)), value)
+            if len(piece) > 256 and position.max() > 255:  # in long words sums of powers alone would have known collisions
+                value = np.where(position > 255, mix(value + (position >> 12).astype(np.uint64) * _U(_WORD_BASE)), value)
             value[~solid] = 0
             h = np.add.reduceat(value, s)
             starts.append(s + at)

@@ -10,9 +10,10 @@ found by distributed star contraction. Of each component, the occurrence with th
 Signatures are one-permutation MinHashes (Li, Owen and Zhang, 2012): a shingle's hash chooses a
 bin and competes there, and empty bins borrow from bins chosen by a hash of their own (optimal
 densification, Shrivastava, 2017). That reads each shingle once instead of once a hash. Bands:
-12 of 4 bins, each cut to 16 bits, so that a band's key is its four bins. They miss a pair of
-similarity 0.8 with probability 0.2 % (a few percent for lines of ten shingles or so), one of
-0.9 with 3e-6.
+16 of 5 bins, each cut to 12 bits, so that a band's key is its number and its five bins. They
+miss a pair of similarity 0.8 with probability 0.2 % (more for lines of ten shingles or so; the
+tests measure it), one of 0.9 with 4e-7. Five bins rather than four cost more keys, but lines of
+half that similarity, which texts of one subject have many of, share far fewer.
 """
 
 from __future__ import annotations
@@ -22,19 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, grams, mix, only, slices, text_buffer
-from .linking import link_groups, pruning_table
+from .linking import binary_matrix, link_groups, pruning_table
 
 SHINGLE = 5
-ROWS, BANDS = 4, 12
+ROWS, BANDS = 5, 16
+#: Bits of a bin; a band's bins and its number make one 64-bit key.
+BITS = 12
 HASHES = ROWS * BANDS
 PERCENT = 80
+#: Bins that a step of the sequential comparison reads.
+BATCH = 20
 #: Bytes worked on at once: arrays of 8 bytes a character then stay in a core's cache.
 SLICE = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: Bins that an empty bin borrows from, in turn; then the next full one.
 _DONORS = (mix(np.arange(HASHES * 24, dtype=np.uint64).reshape(24, HASHES) + np.uint64(9001)) % np.uint64(HASHES)).astype(np.int64)
 _ID = ["h1", "h2", "doc", "th", "ln"]
-_KEYS = [f"b{i}" for i in range(BANDS)]
 
 
 def _lines(raw: bytes) -> list[tuple[int, bytes]]:
@@ -96,41 +100,117 @@ def signatures_of(points, starts, ends):
         full = got != _EMPTY
         filled[row[full], col[full]] = got[full]
         row, col = row[~full], col[~full]
-    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
+
+
+_SHIFTS = np.arange(ROWS, dtype=np.uint64) * np.uint64(BITS)
+_BAND = np.arange(BANDS, dtype=np.uint64) << np.uint64(BITS * ROWS)
 
 
 def keys_of(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) int64: a band's key is its bins, told apart from other bands' by a constant."""
-    return np.ascontiguousarray(sig).view(np.int64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+    """(lines, BANDS) int64: a band's key is its bins, with the band's number in front."""
+    bins = sig.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(_BAND, bins.shape[:2]).copy()
+    for r in range(ROWS):
+        key |= bins[:, :, r].astype(np.uint64) << _SHIFTS[r]
+    return key.view(np.int64)
+
+
+def _keys_in(col) -> np.ndarray:
+    """(rows, BANDS) int64 of an Arrow column of keys as binaries."""
+    return binary_matrix(col, np.int64).reshape(len(col), BANDS)
+
+
+def matrix_of(col) -> np.ndarray:
+    """(rows, HASHES) uint16 of an Arrow column of keys: keys_of the other way round."""
+    keys = _keys_in(col).view(np.uint64).reshape(-1)
+    out = np.empty((len(keys), ROWS), np.uint16)
+    for r in range(ROWS):
+        out[:, r] = (keys >> _SHIFTS[r]) & np.uint64((1 << BITS) - 1)
+    return out.reshape(-1, HASHES)
+
+
+def _found(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[tuple, tuple, list[bytes]]:
+    """Row, number and text of the lines of rows lo to hi that aren't blank."""
+    found = [(i, n, line) for i in range(lo, hi) for n, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
+    return tuple(zip(*found)) if found else ((), (), [])
+
+
+def _occurrences(batches):
+    """h1, h2, doc, th, ln of every line."""
+    import pyarrow as pa
+
+    for x in batches:
+        buf, offsets = text_buffer(x.column(2))
+        for lo, hi in slices(offsets, SLICE):
+            row, number, lines = _found(buf, offsets, lo, hi)
+            if lines:
+                h, take = _digests(lines), pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(take), x.column(1).take(take), pa.array(number, pa.int32())], names=_ID)
+
+
+#: A line on its way to the task that knows all its occurrences: hashes, first document, occurrences, whether it is shorter than a shingle, keys.
+_RECORD = np.dtype([("h1", np.int64), ("h2", np.int64), ("doc", np.int64), ("c", np.int64), ("short", np.int64), ("keys", np.int64, BANDS)])
+
+
+def _combined(rows: np.ndarray) -> np.ndarray:
+    """One record a line."""
+    rows = rows[np.lexsort((rows["h2"], rows["h1"]))]
+    first = np.flatnonzero(np.concatenate(([True], (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]))))
+    out = rows[first]
+    out["doc"], out["c"] = np.minimum.reduceat(rows["doc"], first), np.add.reduceat(rows["c"], first)
+    return out
+
 
+def _signed(tasks: int):
+    """Records of the lines of a batch, combined, as one block for each task that they go to."""
 
-def _sign(signatures: bool):
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         for x in batches:
             buf, offsets = text_buffer(x.column(2))
+            docs, parts = np.asarray(x.column(0)), []
             for lo, hi in slices(offsets, SLICE):
-                found = [(i, n, line) for i in range(lo, hi) for n, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
-                if not found:
+                row, _, lines = _found(buf, offsets, lo, hi)
+                if not lines:
                     continue
-                row, number, lines = zip(*found)
+                part = np.zeros(len(lines), _RECORD)
                 h = _digests(lines)
-                take = pa.array(row, pa.int64())
-                cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(take), x.column(1).take(take), pa.array(number, pa.int32())]
-                if signatures:
-                    points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
-                    ends = np.append(np.flatnonzero(points == 10), len(points))
-                    starts = np.append(0, ends[:-1] + 1)
-                    keys = keys_of(signatures_of(points, starts, ends))
-                    short = pa.array(ends - starts < SHINGLE)
-                    cols += [pc.if_else(short, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]))) for i in range(BANDS)]
-                yield pa.RecordBatch.from_arrays(cols, names=_ID + (_KEYS if signatures else []))
+                points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
+                ends = np.append(np.flatnonzero(points == 10), len(points))
+                starts = np.append(0, ends[:-1] + 1)
+                part["h1"], part["h2"], part["doc"], part["c"], part["short"] = h[:, 0], h[:, 1], docs[np.array(row)], 1, ends - starts < SHINGLE
+                part["keys"] = keys_of(signatures_of(points, starts, ends))
+                parts.append(part)
+            if parts:
+                rows = _combined(np.concatenate(parts))
+                pid = ((mix(rows["h1"].view(np.uint64)) >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
+                order = np.argsort(pid, kind="stable")
+                rows, (to, start) = rows[order], np.unique(pid[order], return_index=True)
+                blocks = [rows[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(rows)))]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blocks, pa.binary())], names=["pid", "rows"])
 
     return run
 
 
+def _distinct(batches):
+    """h1, h2, c, doc, keys (null for lines without a shingle) of the lines in a partition's blocks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    blocks = [r for x in batches for r in x.column("rows").to_pylist()]
+    if not blocks:
+        return
+    every = _combined(np.frombuffer(b"".join(blocks), _RECORD))
+    del blocks
+    for lo in range(0, len(every), 1 << 14):
+        rows = every[lo : lo + (1 << 14)]
+        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["keys"]).tobytes())]).cast(pa.binary())
+        keys = pc.if_else(pa.array(rows["short"] == 1), pa.scalar(None, pa.binary()), keys)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c])) for c in ("h1", "h2", "c", "doc")), keys], names=["h1", "h2", "c", "doc", "keys"])
+
+
 _LINE = "h1 long, h2 long, doc long, th int, ln int"
 
 
@@ -143,6 +223,32 @@ def character_shingles(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)) if len(line) >= SHINGLE else frozenset([line])
 
 
+def numbered_sets(lines: list[str]) -> list[np.ndarray] | None:
+    """Sorted distinct numbers of the lines' shingles, equal for equal shingles only; None for lines of over 4,096 characters apart.
+
+    The characters of these lines are numbered from 1, so that a shingle's five numbers fit 60 bits
+    and nothing rests on a hash. A line shorter than a shingle is one of its own.
+    """
+    points = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
+    known, at = np.unique(points, return_inverse=True)
+    if len(known) >= 1 << BITS:
+        return None
+    code = at.astype(np.int64) + 1
+    every = code[: max(len(code) - SHINGLE + 1, 0)].copy()
+    for i in range(1, SHINGLE):
+        every |= code[i : len(every) + i] << (BITS * i)
+    out, at = [], 0
+    for x in lines:
+        if len(x) >= SHINGLE:
+            h = np.sort(every[at : at + len(x) - SHINGLE + 1])
+            twice = h[1:] == h[:-1]
+            out.append(h[np.append(True, ~twice)] if twice.any() else h)
+        else:
+            out.append(np.array([sum(int(c) << (BITS * i) for i, c in enumerate(code[at : at + len(x)]))], np.int64))
+        at += len(x) + 1
+    return out
+
+
 def hashed_sets(lines: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the lines' shingles; all lines are hashed in one pass."""
     points = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -182,14 +288,12 @@ def _texts(docs: DataFrame, distinct: DataFrame):
 
 def line_groups(docs: DataFrame) -> DataFrame:
     """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text."""
-    signed = docs.mapInArrow(_sign(True), _LINE + "".join(f", {k} long" for k in _KEYS))
-    distinct = cut(signed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc").alias("doc"), *[F.max(k).alias(k) for k in _KEYS]))
-    bands = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.explode(F.array(*_KEYS)).alias("key"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
+    distinct = cut(blocks.mapInArrow(_distinct, "h1 long, h2 long, c long, doc long, keys binary"))
     known = distinct.select("h1", "h2", "c", "doc")
-    signatures = distinct.where("b0 IS NOT NULL").select(F.col("h1").alias("id"), F.array(*_KEYS).alias("sig"), F.lit(4000).alias("w"))
-    apart = keys_of(np.zeros((1, HASHES), np.uint16))
-    matrix = lambda col: (np.array([np.asarray(x, np.int64) for x in col]).reshape(len(col), -1) ^ apart).view(np.uint16)
-    found = link_groups(bands, signatures, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, ROWS * 4, PERCENT / 100, 1e-5), ROWS * 4, keys_of, matrix, screen=True)
+    signatures = distinct.where("keys IS NOT NULL").select(F.col("h1").alias("id"), F.col("keys").alias("sig"), F.lit(4000).alias("w"))
+    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, keys_of, matrix_of, screen=numbered_sets)
     return known.join(found.withColumnRenamed("id", "h1").hint("merge"), "h1", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("group"))
 
 
@@ -204,14 +308,21 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     known = base.where("doc IS NOT NULL AND text IS NOT NULL")
     groups = cut(line_groups(known))
-    occurs = cut(known.mapInArrow(_sign(False), _LINE).join(groups.hint("shuffle_hash"), ["h1", "h2"]).select("group", "doc", "ln", "th"))
-    kept = occurs.groupBy("group").agg(F.min(F.struct("doc", "ln", "th")).alias("keep"))
+    occurs = cut(known.mapInArrow(_occurrences, _LINE).join(groups.hint("shuffle_hash"), ["h1", "h2"]).select("group", "doc", "ln", "th"))
+    # written first, so that the join has plain exchanges on both sides, and a line of every document is split
+    kept = cut(occurs.groupBy("group").agg(F.min(F.struct("doc", "ln", "th")).alias("keep")))
     gone = occurs.join(kept.hint("merge"), "group").where(F.struct("doc", "ln", "th") != F.col("keep"))
     gone = cut(gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("ln")).alias("removed")))
     rows = attach(base, gone, ["doc", "th"], F.size("removed") * 4 + 40)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     parts = F.split("text", "\n", -1)
-    kept_text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(removed, i)), "\n"))
+
+    def rest(p):
+        """The parts left, by a hashed set of positions: array_contains in a filter would take lines times removed lines."""
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), removed), lambda i: F.get(p, i)), "\n")
+
+    # a lambda's variable is computed once, a column inside a lambda for each element
+    kept_text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.transform(F.array(parts), rest)[0])
     return rows.select(
         F.col("doc").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), kept_text.alias("kept_text"),
