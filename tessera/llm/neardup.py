@@ -11,12 +11,14 @@ sets of words. Bands: 24 of 6 hashes, which miss a pair with similarity 0.85 wit
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, grams, mix, only, slices, text_buffer, words
-from .linking import link_groups, pruning_table
+from .linking import binary_matrix, exact_links, link_groups, pruning_table
 
 SHINGLE = 5
 ROWS, BANDS = 6, 24
@@ -82,17 +84,16 @@ def _sign(batches):
             n = np.diff(at)
             full = np.flatnonzero(n > 0)
             sig = minhashes(values, at, _A, _B)
-            keys = band_keys(sig, ROWS)
             digest = np.zeros((2, hi - lo), np.int64)
             if len(full):
                 digest[0, full] = np.add.reduceat(mix(values), at[:-1][full]).view(np.int64)
                 digest[1, full] = np.bitwise_xor.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full]).view(np.int64)
             empty = n == 0
-            place = np.concatenate(([0], np.cumsum(~empty)))
-            bands = pa.ListArray.from_arrays(pa.array(place * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
+            low = LOWER[buf[offsets[lo] : offsets[hi]]].tobytes()
+            whole = [hashlib.blake2b(low[a:b], digest_size=16).digest() for a, b in zip((offsets[lo:hi] - offsets[lo]).tolist(), (offsets[lo + 1 : hi + 1] - offsets[lo]).tolist())]
             raw = iter(sig)
             sigs = pa.array([None if e else next(raw).tobytes() for e in empty], pa.binary())
-            yield pa.RecordBatch.from_arrays([x.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), sigs, bands], names=["id", "n", "d0", "d1", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([x.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(whole, pa.binary()), sigs], names=["id", "n", "d0", "d1", "raw", "sig"])
 
 
 def word_shingles(text: str, k: int = SHINGLE) -> frozenset:
@@ -124,17 +125,40 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Rows that repeat an id share its component. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(base.mapInArrow(_sign, "id long, n long, d0 long, d1 long, sig binary, bands array<long>"))
+    signed = cut(base.mapInArrow(_sign, "id long, n long, d0 long, d1 long, raw binary, sig binary"))
     sets = signed.where("n > 0 AND id IS NOT NULL")
-    groups = sets.groupBy("n", "d0", "d1").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = cut(sets.select("id", "n", "d0", "d1").join(groups.hint("merge"), ["n", "d0", "d1"]).where("id <> rep").select("id", "rep").distinct())
-    reps = sets.join(copies.select("id").hint("merge"), "id", "left_anti")
-    bands = reps.select("id", F.explode("bands").alias("key"))
-    signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
     known = base.where("id IS NOT NULL")
-    found = link_groups(bands, signatures, lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, lambda sig: band_keys(sig, ROWS))
+    # copies: equal texts (A-Z folded) by 128 bits of a cryptographic hash; texts whose sets have equal sizes and hashes
+    # are confirmed on the sets. The groups are written first: their joins then have plain exchanges on both sides
+    texts = cut(sets.groupBy("n", "d0", "d1", "raw").agg(F.min("id").alias("t"), F.count("*").alias("c")))
+    same = cut(sets.select("id", "n", "d0", "d1", "raw").join(texts.where("c > 1").hint("merge"), ["n", "d0", "d1", "raw"]).where("id <> t").select("id", "t").distinct())
+    groups = cut(texts.groupBy("n", "d0", "d1").agg(F.min("t").alias("u"), F.countDistinct("t").alias("c")).where("c > 1").drop("c"))
+    alike = texts.join(groups.hint("merge"), ["n", "d0", "d1"]).where("t <> u").select("u", F.col("t").alias("v")).distinct()
+    alike = cut(alike)
+    ends = alike.select(F.col("u").alias("id")).unionByName(alike.select(F.col("v").alias("id"))).distinct()
+    alike = cut(exact_links(alike, only(known, cut(ends), "id"), word_shingles, 100)) if not alike.isEmpty() else alike
+    copies = same.join(alike.select(F.col("v").alias("t"), "u").hint("merge"), "t", "left").select("id", F.coalesce("u", "t").alias("rep"))
+    copies = cut(copies.unionByName(alike.select(F.col("v").alias("id"), F.col("u").alias("rep"))).distinct())
+    reps = sets.join(copies.select("id").distinct().hint("merge"), "id", "left_anti")
+    signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
+    keys = lambda sig: band_keys(sig, ROWS)
+    found = link_groups(signatures, lambda col: keys(binary_matrix(col)), lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, keys)
     roots = copies.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).unionByName(found)
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", "n").join(roots.hint("merge"), "id", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+#: The query at 85 percent, from all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS to_ FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_),
+c AS (SELECT doc_id, min(to_) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
