@@ -145,10 +145,12 @@ def _read(docs: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """doc, th, spans (start and end words, flat) of documents that have any. docs: doc, th (a hash of the text), text."""
     docs = docs.where("doc IS NOT NULL")
-    anchors = docs.select("doc", "th", "text").mapInArrow(_anchors, "fp long, doc long, th int, pos int")
-    shared = anchors.groupBy("fp").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last").select("fp", "r")
+    # what is aggregated by a key is written before it is joined by that key: the join then has plain exchanges
+    # on both sides, and a passage that very many documents share is split among tasks
+    anchors = cut(docs.select("doc", "th", "text").mapInArrow(_anchors, "fp long, doc long, th int, pos int"))
+    shared = cut(anchors.groupBy("fp").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last").select("fp", "r"))
     occurs = cut(anchors.join(shared.hint("merge"), "fp"))
-    refs = occurs.where("doc = r").groupBy("fp").agg(F.min("pos").alias("q"))
+    refs = cut(occurs.where("doc = r").groupBy("fp").agg(F.min("pos").alias("q")))
     later = occurs.where("doc > r").join(refs.hint("merge"), "fp").withColumn("d", F.col("q") - F.col("pos"))
     line = Window.partitionBy("doc", "th", "r", "d").orderBy("pos")
     later = later.withColumn("gap", (F.col("pos") - F.lag("pos").over(line) > K).cast("int")).withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(line))
@@ -162,9 +164,9 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     asked = later.where(~inner).select("fp", F.explode(asked).alias("ask")).distinct()
     places = occurs.join(asked.hint("merge"), "fp").select("doc", "th", (F.col("pos").cast("long") * 64 + F.col("ask")).alias("code"))
     runs = _read(docs, places, _runs, "run long, doc long, th int, code long")
-    going = runs.groupBy("run").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last").select("run")
+    going = cut(runs.groupBy("run").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last").select("run"))
     windows = _read(docs, runs.join(going.hint("merge"), "run", "left_semi").select("doc", "th", "code"), _boundary_windows, "k1 long, k2 long, doc long, th int, s int")
-    groups = windows.groupBy("k1", "k2").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last")
+    groups = cut(windows.groupBy("k1", "k2").agg(F.min("doc").alias("r"), F.max("doc").alias("last")).where("r < last"))
     found = windows.join(groups.hint("merge"), ["k1", "k2"]).where("doc > r").select("doc", "th", F.col("s").alias("a"), (F.col("s") + WINDOW).alias("b"))
     spans = factors.unionByName(found).groupBy("doc", "th").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
     return cut(spans.mapInArrow(_merged, "doc long, th int, spans array<int>"))
@@ -204,3 +206,16 @@ def drop_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def substring_digests(docs: DataFrame) -> DataFrame:
     return drop_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The query, from all windows as texts.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS v FROM w WHERE len(w) >= 50),
+f AS (SELECT v, min(doc_id) AS first FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT s.doc_id, s.i FROM s JOIN f USING (v) WHERE s.doc_id > f.first),
+k AS (SELECT w.doc_id, t.word, t.pos FROM w, LATERAL (SELECT unnest(w.w) AS word, unnest(range(1, len(w.w) + 1)) AS pos) t),
+m AS (SELECT k.doc_id, k.word, k.pos, sum(CASE WHEN g.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY k.doc_id ORDER BY k.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.i = k.pos),
+o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)
+"""
