@@ -7,8 +7,8 @@ document; documents have equal texts exactly when they end at the same level wit
 name. No name depends on a hash alone: where two different blocks share the 64-bit join key,
 those keys are joined by their text.
 
-Only one shuffle carries text (the distinct blocks, combined before it); everything else moves
-a few integers a block. A block that very many documents share is combined before the shuffle,
+Texts are read, normalised and cut once, into a table of blocks. Only one shuffle carries text (the
+distinct blocks, combined before it); everything else moves a few integers a block. A block that very many documents share is combined before the shuffle,
 and the join back to its occurrences is one that adaptive execution may split.
 """
 
@@ -39,6 +39,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     cells = base.select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), parts.alias("parts"))
     cells = cells.select("doc_id", "sha", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "block")).withColumn("key", key(F.col("block")))
+    cells = cut(cells)  # texts are normalised, hashed and cut into blocks once; what follows reads the columns that it needs
     names = cut(cells.select("key", "block").distinct().sortWithinPartitions("key", "block").select("key", F.monotonically_increasing_id().alias("name")))
     shared = cut(names.groupBy("key").count().where("count > 1").select("key"))
     at = cells.groupBy("doc_id", "sha", "n", "pos", "key").agg(F.count("*").alias("copies"))
@@ -63,7 +64,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("right"), F.count("*").alias("sides")
         )
         pairs = pairs.withColumn("right", F.when(F.col("sides") == 2, F.col("right")).otherwise(F.lit(-(1 << 62)))).drop("sides")
-        named = pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").withColumn("name", F.monotonically_increasing_id())
+        # written first: a join with an aggregate of the same stage can't be split where many copies share a pair
+        named = cut(pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").withColumn("name", F.monotonically_increasing_id()))
         level = cut(pairs.join(named.hint("merge"), ["left", "right"]).select("doc_id", "sha", "copies", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name"))
         depth += 1
     whole = ended[0]
