@@ -70,7 +70,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     out = out.withColumn("_k", poisson(F.col("_rate"), F.lit(seed), F.col(id_col))).where("_k > 0")
     out = out.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy_no"))
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
-    return out.orderBy("mix_key")
+    # the key is uniform, so ranges of it need no sample of the rows (which would run all of the above twice)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("mix_key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    out = out.withColumn("_part", F.floor(place * parts).cast("int")).repartitionById(parts, F.col("_part"))
+    return out.drop("_part").sortWithinPartitions("mix_key")
 
 
 SQL = f"""
@@ -78,7 +82,7 @@ WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY source
 r AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM s)) / (SELECT sum(w) FROM (SELECT 1.0::DOUBLE / (SELECT count(*) FROM s) AS w FROM s)) * (SELECT sum(n) FROM s)::DOUBLE / n AS rate FROM s),
 c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS below FROM r
       UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), below + p * rate / (k + 1) FROM c WHERE k < {TOP}),
-u AS (SELECT doc_id, source, ('0x' || substr(md5('{SEED}|' || doc_id::VARCHAR || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
-k AS (SELECT u.doc_id, u.source, count(*) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND u.u >= c.below GROUP BY ALL)
-SELECT doc_id, source, CAST(i AS INTEGER) AS copy_no, md5('order{SEED}|' || doc_id::VARCHAR || '|' || i::VARCHAR) AS mix_key FROM (SELECT doc_id, source, unnest(range(1, k + 1)) AS i FROM k)
+u AS (SELECT doc_id, source, ('0x' || substr(md5('{SEED}|' || doc_id::VARCHAR || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u, text FROM documents),
+k AS (SELECT u.doc_id, u.text, u.source, count(*) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND u.u >= c.below GROUP BY ALL)
+SELECT doc_id, text, source, CAST(i AS INTEGER) AS copy_no, md5('order{SEED}|' || doc_id::VARCHAR || '|' || i::VARCHAR) AS mix_key FROM (SELECT doc_id, text, source, unnest(range(1, k + 1)) AS i FROM k)
 """
