@@ -2,9 +2,13 @@
 
 Three base patterns (assignments, access keys, long hex runs) are searched in every whole text.
 The method adds strings that a tiktoken vocabulary splits into many short tokens: text of a
-language, however odd, takes two to five characters a token, random strings fewer. Strings that
-are no secrets though random are left out: hex digests of the usual lengths, UUIDs, numbers, and
-those that a base span covers already.
+language, however odd, takes two to five characters a token, random strings fewer. A run of
+letters, digits and + is judged by its parts between `/`, `_`, `=` and `-`, so that paths, slugs
+and time stamps are judged word by word; a span reaches from the first random part of a run to
+the last. Strings that are no secrets though random are left out before: UUIDs, hex digests of
+the usual lengths, and those that a base span covers. Numbers are none either.
+
+Limits, measured by the tests on strings made at random: see RATIO.
 
 One pass, no shuffle. A vectorised pre-filter (RE2 over the Arrow column) drops texts in which
 none of the patterns can match, so that the Python patterns see few texts.
@@ -13,6 +17,7 @@ none of the patterns can match, so that the Python patterns see few texts.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 
@@ -22,18 +27,22 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabularies cut texts before merging (a fixed value of those vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fewer characters a token than this is random.
-RATIO = 2.0
-LEAST = 16
+#: Fewer characters a token than this is random, in a part of LEAST characters or more.
+RATIO, LEAST = 2.0, 16
+#: Shorter parts, from SHORT characters on, that mix digits with letters or cases and have fewer characters a token than
+#: this count if those of a run add up to TOGETHER characters: random strings that hold separators.
+SHORT_RATIO, SHORT, TOGETHER = 1.8, 6, 14
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PART = re.compile(rf"[A-Za-z0-9+]{{{SHORT},}}")
+#: Taken out of a run before its parts are judged.
+KNOWN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[0-9a-f]+|[0-9A-F]+)(?![0-9A-Za-z]))")
 ANY_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|[0-9]"""
+MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"""
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -45,16 +54,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _known(m: re.Match) -> str:
+    """Blanks for a UUID, a digest or an identifier of 16 hex digits, else the match itself."""
+    return " " * len(m[0]) if "-" in m[0] or len(m[0]) == 16 or len(m[0]) in DIGEST_LENGTHS else m[0]
+
+
+def is_random(part: str, encode) -> bool:
+    """Whether a part has few characters a token. Numbers aren't, nor are short hex strings and short words."""
+    digits, letters = sum(map(str.isdigit, part)), sum(map(str.isalpha, part))
+    if not letters:
+        return False
+    if len(part) >= LEAST:
+        return len(part) < RATIO * len(encode(part))
+    mixed = digits > 0 or not (part[1:].islower() or part.isupper())
+    return mixed and not ANY_HEX.fullmatch(part) and len(part) < SHORT_RATIO * len(encode(part))
+
+
 def random_spans(text: str, covered: list[tuple[int, int, int]], encode) -> list[tuple[int, int, int]]:
-    out = []
+    out, starts, reach = [], [], []
+    for a, _, b in covered:  # ends so far, so that one look-up tells whether anything reaches into a run
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
     for m in RUN.finditer(text):
-        s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and ANY_HEX.fullmatch(s)):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in covered):
+        run = KNOWN.sub(_known, m[0])
+        found = [p.span() for p in PART.finditer(run) if is_random(p[0], encode)]
+        if not any(b - a >= LEAST for a, b in found) and sum(b - a for a, b in found) < TOGETHER:
             continue
-        if len(s) < RATIO * len(encode(s)):
-            out.append((m.start(), 3, m.end()))
+        a, b = m.start() + found[0][0], m.start() + found[-1][1]
+        before = bisect.bisect_left(starts, b)
+        if not (before and reach[before - 1] > a):
+            out.append((a, 3, b))
     return out
 
 
