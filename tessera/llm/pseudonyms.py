@@ -11,10 +11,13 @@ valid value stays as it is:
   73,414 days of that span, written the same way,
 - telephone numbers (+1 (ddd) ddd-dddd and other international ones): the digits behind the country code,
 - social security numbers (ddd-dd-dddd, no 000, 666, 9dd, 00 or 0000 groups),
-- IPv4 addresses: permuted as 32-bit numbers,
-- e-mail addresses: letters and digits of the local part permuted within their kinds.
+- IPv4 addresses: permuted among the addresses whose four numbers have as many digits, and leading
+  zeros where these have them,
+- e-mail addresses: letters and digits of the local part permuted within their kinds. The domain
+  stays as it is, in clear.
 
-All of it is one projection: no shuffle, no Python. Texts without digits and @ are only scanned.
+A Feistel network can be run backwards by whoever has the key, so there is no default key: keep it
+apart from the data. All of it is one projection: no shuffle, no Python. Texts without digits and @ are only scanned.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "tessera"
 ROUNDS = 8
 #: Days from 1900-01-01 to 2100-12-31 are 517 * 142.
 DAYS_A, DAYS_B, FIRST_DAY = 517, 142, "1900-01-01"
@@ -41,9 +43,9 @@ def _whole(p: str) -> str:
     return f"^(?:{p})$"
 
 
-def _number(seed: Column, modulus) -> Column:
+def _number(seed: Column, modulus: Column) -> Column:
     """A number below modulus from a string, by 15 hex digits of its SHA-256."""
-    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 15), 16, 10).cast("long"), F.lit(modulus).cast("long"))
+    return F.pmod(F.conv(F.substring(F.sha2(seed, 256), 1, 15), 16, 10).cast("long"), modulus.cast("long"))
 
 
 def _shift(part: Column, seed: Column) -> Column:
@@ -59,7 +61,7 @@ def _shift(part: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), one), "")
 
 
-def feistel_text(value: Column, kind: str, key: str = KEY) -> Column:
+def feistel_text(value: Column, kind: str, key: str) -> Column:
     """A keyed permutation of the ASCII strings that have value's pattern of letters, capitals and digits."""
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
@@ -73,13 +75,14 @@ def feistel_text(value: Column, kind: str, key: str = KEY) -> Column:
     return F.concat(out["l"], out["r"])
 
 
-def feistel_pair(left: Column, right: Column, a: int, b: int, kind: str, key: str = KEY) -> Column:
+def feistel_pair(left: Column, right: Column, a: int | Column, b: int | Column, kind: str, key: str) -> Column:
     """A keyed permutation of pairs below (a, b), as a struct of l and r."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
 
     def turn(x: Column, i: Column) -> Column:
         tweak = lambda other: F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other.cast("string"))
-        l2 = F.when(i % 2 == 0, F.pmod(x["l"] + _number(tweak(x["r"]), a), F.lit(a).cast("long"))).otherwise(x["l"])
-        return F.struct(l2.alias("l"), F.when(i % 2 == 1, F.pmod(x["r"] + _number(tweak(x["l"]), b), F.lit(b).cast("long"))).otherwise(x["r"]).alias("r"))
+        l2 = F.when(i % 2 == 0, F.pmod(x["l"] + _number(tweak(x["r"]), a), a.cast("long"))).otherwise(x["l"])
+        return F.struct(l2.alias("l"), F.when(i % 2 == 1, F.pmod(x["r"] + _number(tweak(x["l"]), b), b.cast("long"))).otherwise(x["r"]).alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
@@ -123,10 +126,16 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _ip(v: Column, key: str) -> Column:
-    o = [F.split(v, r"\.")[i].cast("long") for i in range(4)]
-    p = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", key)
-    part = lambda x: F.concat(F.floor(x / 256).cast("string"), F.lit("."), F.pmod(x, F.lit(256)).cast("string"))
-    return F.concat(part(p["l"]), F.lit("."), part(p["r"]))
+    """Each number stays in its class: as many digits, with or without a leading zero."""
+    texts = [F.split(v, r"\.")[i] for i in range(4)]
+    zero = [F.startswith(t, F.lit("0")) & (F.length(t) > 1) for t in texts]
+    # the least number of a class and how many it has: 0-9, 10-99, 100-255; 00-09, 000-099
+    least = [F.when(z | (F.length(t) == 1), 0).when(F.length(t) == 2, 10).otherwise(100).cast("long") for t, z in zip(texts, zero)]
+    many = [F.when(F.length(t) == 1, 10).when(F.length(t) == 2, F.when(z, 10).otherwise(90)).otherwise(F.when(z, 100).otherwise(156)).cast("long") for t, z in zip(texts, zero)]
+    n = [t.cast("long") - low for t, low in zip(texts, least)]
+    p = feistel_pair(n[0] * many[1] + n[1], n[2] * many[3] + n[3], many[0] * many[1], many[2] * many[3], "ip", key)
+    new = [F.floor(p["l"] / many[1]), F.pmod(p["l"], many[1]), F.floor(p["r"] / many[3]), F.pmod(p["r"], many[3])]
+    return F.concat_ws(".", *[F.lpad((x + low).cast("string"), F.length(t), F.lit("0")) for x, low, t in zip(new, least, texts)])
 
 
 def _email(v: Column, key: str) -> Column:
@@ -153,7 +162,7 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(v: Column, kind: Column, key: str) -> Column:
     country = F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     national = F.substring(v, F.length(country) + 1, F.length(v))
     phone = F.concat(country, _refill(national, feistel_text(_digits(national), "phone", key)))
@@ -166,7 +175,7 @@ def pseudonym(v: Column, kind: Column, key: str = KEY) -> Column:
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text replaced, plus n_email, n_ip, n_date, n_ssn, n_phone and n_card (values replaced).
 
     Null texts stay null with counts of 0; texts without values stay as they are. Repeated rows
