@@ -123,12 +123,19 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th int, items array<long>, least long")
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    count = max(-(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES), 1)
+def _rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def _count(benchmark: DataFrame) -> int:
+    """Blocks that the benchmark is sent in."""
+    n, size = _rows(benchmark).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return max(-(-n // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES), 1)
+
+
+def _blocks(benchmark: DataFrame, count: int):
     for b in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
+        part = _rows(benchmark) if count == 1 else _rows(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
         yield sorted((r["item_id"], clean(r["text"])) for r in part.collect())
 
 
@@ -140,12 +147,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark leaves every row clean; other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("th"))
-    parts = [_pass(base, items) for items in _blocks(benchmark)]
-    out = parts[0].drop("th")
-    if len(parts) > 1:
+    count = _count(benchmark)
+    if count > 1:
         base = base.withColumn("th", F.hash("text"))
-        parts = [_pass(base, items) for items in _blocks(benchmark)]
-        out = parts[0]
+    parts = [_pass(base, items) for items in _blocks(benchmark, count)]
+    out = parts[0]
+    if count > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
         copies = base.groupBy("doc_id", "th").agg(F.count("*").alias("c"))
@@ -159,7 +166,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no test item occurs, with their columns. One pass a block, no shuffle."""
     place = docs.columns.index("text")
     out = docs
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, _count(benchmark)):
 
         def run(batches, items=items):
             import pyarrow as pa
