@@ -24,14 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the map that leaves rows out before a shuffle: 262,144 rows of 16 bytes when it is broadcast, however many keys there are.
+MAP_BITS = 1 << 24
+
+
+def _maybe(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """df plus _maybe: whether a bit map of the keys' hashes has the row's bit. False is certain, true is not."""
+    place = F.pmod(F.xxhash64(*names), F.lit(MAP_BITS))
+    bits = keys.select(place.alias("_h")).groupBy(F.expr("shiftright(_h, 6)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, CAST(_h % 64 AS INT)))").alias("_b"))
+    out = df.withColumn("_h", place).withColumn("_w", F.expr("shiftright(_h, 6)")).join(F.broadcast(bits), "_w", "left")
+    return out.withColumn("_maybe", F.expr("coalesce(shiftright(_b, CAST(_h % 64 AS INT)) & 1, 0) = 1")).drop("_w", "_h", "_b")
+
+
+def _met(df: DataFrame, side: DataFrame, names: list[str], how: str) -> DataFrame:
+    """df joined with side (inner, left, left_semi or left_anti), where only rows that a bit map of side's keys can't leave out are shuffled."""
+    marked = _maybe(df, side, names)
+    met = marked.where("_maybe").drop("_maybe").join(side.hint("merge"), names, how)
+    if how in ("inner", "left_semi"):
+        return met
+    return met.unionByName(marked.where("NOT _maybe").drop("_maybe"), allowMissingColumns=True)
+
+
 def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ids (one column of the same name, distinct), or isn't (how: left_anti).
 
-    Ids are broadcast only if they are counted and at most BROADCAST_IDS; beyond that the
-    semi-join shuffles. ids should be cheap to count (a checkpointed table).
+    Ids are broadcast only if they are counted and at most BROADCAST_IDS; beyond that the semi-join
+    shuffles the rows that a bit map of the ids does not leave out. ids should be cheap to count (a
+    written table).
     """
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(ids), key, how)
+    return _met(df, ids, [key], how).select(*df.columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -161,7 +184,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 def attach(df: DataFrame, side: DataFrame, keys: list[str], row_bytes, how: str = "left") -> DataFrame:
-    """df joined with side (checkpointed, one row a key), which is broadcast only if its measured size allows it."""
+    """df joined with side (a written table, one row a key), which is broadcast only if its measured size allows it; see only() for what is shuffled else."""
     rows, size = side.agg(F.count("*"), F.sum(row_bytes)).first()
-    small = rows <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
-    return df.join(F.broadcast(side) if small else side.hint("merge"), keys, how)
+    if rows <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side), keys, how)
+    return _met(df, side, keys, how)

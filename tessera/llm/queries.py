@@ -29,7 +29,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's spark.tessera.pii.key; without one, a public key that serves for trying the query out only."""
+    key = spark.conf.get("spark.tessera.pii.key", "public key of the registered query")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no", "mix_key")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "text", "source", "copy_no", "mix_key")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +57,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_near_dedup, op4_quality, op5_substring_dedup, op6_pii, op7_sharding, op8_secrets, op9_mixing, op10_decontamination, pipeline)}
-SQL = {"op2_exact_dedup": blocks.SQL, "op9_mixing": mixing.SQL}
+SQL = {"op2_exact_dedup": blocks.SQL, "op3_near_dedup": neardup.SQL, "op5_substring_dedup": substrings.SQL, "op7_sharding": shards.SQL, "op9_mixing": mixing.SQL}

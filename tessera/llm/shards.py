@@ -40,8 +40,8 @@ def stratified_shards(rows: DataFrame, shards: int = 8, seed: int = SEED, id_col
     """rows plus shard (0 to shards - 1) and slot (from 0, without gaps, in every shard).
 
     A null source is a source of its own. Rows with one id are ordered by `tie` and else by all
-    they hold, so equal rows are exchangeable. Fewer rows than shards leave the last shards
-    empty; an empty table gives no rows.
+    they hold, so equal rows are exchangeable. Fewer rows than shards leave some shards empty
+    and give the others one row each; an empty table gives no rows.
     """
     h = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     base = cut(rows.withColumn("_h", h).withColumn("_tie", tie if tie is not None else F.xxhash64(*rows.columns)))
@@ -88,3 +88,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED, id_col:
     places = stratified_shards(keyed.select(id_col, source_col, "_row"), shards, seed, id_col, source_col, tie=F.col("_row"))
     places = places.select("_row", "shard", "slot", F.row_number().over(Window.partitionBy("_row").orderBy("shard", "slot")).alias("_i"))
     return keyed.withColumn("_i", F.row_number().over(w)).join(places.hint("merge"), ["_row", "_i"]).select(*docs.columns, "shard", "slot")
+
+
+#: The query over shard_table(), with CRC-32 by its table, which is made from the polynomial.
+SQL = f"""
+WITH RECURSIVE bits AS (SELECT i::UBIGINT AS b, i::UBIGINT AS v, 0 AS n FROM range(256) t(i)
+UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, n + 1 FROM bits WHERE n < 8),
+tab AS (SELECT list(v ORDER BY b) AS c FROM bits WHERE n = 8),
+d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, source, octet_length(encode(t)) + 1 AS size, CASE WHEN t = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+  lambda a, h: xor(a >> 8, c[((xor(a, h) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) END::BIGINT AS crc, md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM d, tab),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS LAST, crc) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f, count(*) OVER () AS n FROM x),
+g AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS LAST, crc) - 1 AS g FROM f)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (g * 8 // n)::INTEGER AS shard, (g - ((g * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM g
+"""

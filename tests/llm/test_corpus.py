@@ -193,7 +193,7 @@ def test_shards(spark):
 def test_pseudonyms(spark):
     texts = ["card 4111 1111 1111 1111, 4111111111111111 not 4111111111111112", "born 1987-05-14 or 14/05/1987, not 30.02.1999", "10.1.2.3 and 256.1.1.1", "a.b@c.org +1 (938) 555-1226 123-45-6789", None, "", "x" * 100_000 + " 10.1.2.3"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_card int")
-    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df).collect()}
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df, "k").collect()}
     luhn = lambda s: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
     m = re.match(r"card (\d{4} \d{4} \d{4} \d{4}), (\d{16}) not 4111111111111112$", out[0]["text"])
     assert m and m[1].replace(" ", "") == m[2] != "4111111111111111" and luhn(m[2]) and out[0]["n_card"] == 2
@@ -202,14 +202,14 @@ def test_pseudonyms(spark):
     assert out[2]["text"].endswith(" and 256.1.1.1") and out[2]["n_ip"] == 1 and out[6]["text"][:100_000] == "x" * 100_000 and out[6]["text"][100_001:] == out[2]["text"].split()[0]
     assert re.match(r"[a-z]\.[a-z]@c\.org \+1 \(\d{3}\) \d{3}-\d{4} \d{3}-\d\d-\d{4}$", out[3]["text"]) and out[3]["text"] != texts[3]
     assert out[4]["text"] is None and out[4]["n_card"] == 0 and out[5]["text"] == ""
-    n = spark.range(73414).select(pseudonyms.feistel_pair(F.floor(F.col("id") / 142), F.col("id") % 142, 517, 142, "date").alias("p"))
+    n = spark.range(73414).select(pseudonyms.feistel_pair(F.floor(F.col("id") / 142), F.col("id") % 142, 517, 142, "date", "k").alias("p"))
     assert n.distinct().count() == 73414
-    assert spark.range(10000).select(pseudonyms.feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k")).distinct().count() == 10000
+    assert spark.range(10000).select(pseudonyms.feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "k")).distinct().count() == 10000
 
 
 def test_pseudonyms_of_values_in_digit_pairs(spark):
     texts = ["call +49 30 12 34 56 78", "call +49 30 12 34 56 78 room 123", "pay 41 11 11 11 11 11 11 11", "a@bc.de", "no value 12"]
-    out = [r.asDict() for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.asDict() for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert [(r["n_phone"], r["n_card"], r["n_email"]) for r in out] == [(1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
     assert out[0]["text"] != texts[0] and out[1]["text"] == out[0]["text"] + " room 123" and out[4]["text"] == texts[4]
     assert re.match(r"pay \d\d( \d\d){7}$", out[2]["text"]) and out[2]["text"] != texts[2]
@@ -218,7 +218,7 @@ def test_pseudonyms_of_values_in_digit_pairs(spark):
 def test_cards_beside_other_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [card, f"{card} 12/27", f"{card} 123", f"1234 5678 {card}", f"{card} 12/05/1999", f"{card} 5500-0000-0000-0004 7", "row 1 4111111111111111", "12 2024-01-01 12345", "4111 1111 1111 1112 12/27", "1 " * 3000 + card]
-    out = [r.asDict() for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    out = [r.asDict() for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     new = out[0]["text"]
     assert new != card and [r["n_card"] for r in out[:7]] == [1, 1, 1, 1, 1, 2, 1] and out[4]["n_date"] == out[7]["n_date"] == 1
     assert [out[i]["text"] for i in (1, 2, 3, 6)] == [f"{new} 12/27", f"{new} 123", f"1234 5678 {new}", "row 1 " + new.replace(" ", "")]
@@ -293,12 +293,12 @@ def test_quality_held_out(spark):
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (blocks.exact_groups(empty), neardup.near_groups(empty), substrings.drop_substrings(empty), lines.drop_lines(empty), mixing.mix_sources(empty), shards.shard_documents(empty),
-                pseudonyms.pseudonymise(empty), secrets.scan_secrets(empty), decontaminate.contamination(empty, bench)):
+                pseudonyms.pseudonymise(empty, "k"), secrets.scan_secrets(empty), decontaminate.contamination(empty, bench)):
         assert out.count() == 0
 
 
 def test_clashing_columns(docs):
-    for out in (mixing.mix_sources(docs), shards.shard_documents(docs), pseudonyms.pseudonymise(docs)):
+    for out in (mixing.mix_sources(docs), shards.shard_documents(docs), pseudonyms.pseudonymise(docs, "k")):
         assert set(docs.columns) <= set(out.columns) and out.count() > 0
     assert lines.drop_lines(docs).count() == substrings.drop_substrings(docs).count() == secrets.scan_secrets(docs).count() == docs.count()
 
