@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
-# Patterns and replacements of the scrubbing rules.
+# Patterns and replacements of the scrubbing rules. Those under "cloud" are known in a form that has lost
+# its escapes; they stand here as they were meant.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 SCRUB_RULES: dict[str, list[tuple[str, str]]] = {
@@ -16,7 +17,7 @@ SCRUB_RULES: dict[str, list[tuple[str, str]]] = {
         (r"/home/[^/\s]+", "/workspace"),
         (r"/Users/[^/\s]+", "/workspace"),
         (r"C:\\Users\\[^\\]+", r"C:\\workspace"),
-        (EMAIL, "[EMAIL]"),
+        (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
         (r"\b([0-9a-f]{7})[0-9a-f]{33}\b", "$1…"),
     ],
     "scan": [
@@ -24,7 +25,7 @@ SCRUB_RULES: dict[str, list[tuple[str, str]]] = {
         (r"(?i)/Users/[^/\s]+", "/Users/user"),
         (r"(?i)C:\\Users\\[^\\\s]+", r"C:\\Users\\user"),
         (IPV4, "x.x.x.x"),
-        (r"\b[\w.-]+@[\w.-]+\.\w+\b", "user@example.com"),
+        (r"\b[\w\.-]+@[\w\.-]+\.\w+\b", "user@example.com"),
         (r"sk-[a-zA-Z0-9]{20,}", "sk-***"),
     ],
     "fuzz": [

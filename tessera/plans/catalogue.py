@@ -376,7 +376,10 @@ def triggers(spark, sf):
     )
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value < 150 AS wants FROM events),
+n AS (SELECT a.user_id, a.seq, min(b.seq) AS nxt FROM w a LEFT JOIN w b ON a.user_id = b.user_id AND b.wants AND b.seq >= a.seq + 5 WHERE a.wants GROUP BY 1, 2),
+g AS (SELECT user_id, min(seq) AS seq FROM w WHERE wants GROUP BY 1 UNION ALL SELECT n.user_id, n.nxt FROM g JOIN n USING (user_id, seq) WHERE n.nxt IS NOT NULL)
+SELECT w.user_id, w.event_id, CAST(w.seq AS INTEGER) AS seq, w.wants, g.seq IS NOT NULL AS escalates FROM w LEFT JOIN g USING (user_id, seq)""")
 def escalation_cooldown(spark, sf):
     e = T(spark, sf, "events").withColumn("wants", F.col("value") < 150)
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
