@@ -44,15 +44,19 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{folder}/data"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write df to a table in the shared folder and read it again, which cuts its lineage.
 
     Unlike checkpoint(), that runs the plan once rather than twice, and later reads take the
-    columns they need only. The table survives lost executors.
+    columns they need only. The table survives lost executors. With free, for steps that shuffle
+    much, Spark is made to drop the shuffle files of finished steps now: it does so only when the
+    driver's JVM collects garbage, which a driver with little to do puts off until disks are full.
     """
     spark = df.sparkSession
     path = scratch(spark, "table")
     df.write.parquet(path)
+    if free:
+        spark._jvm.System.gc()
     place, store = _store(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     # many small files would make many tasks, each with a file a shuffle partition: one task a core, or a TASK_BYTES
