@@ -162,15 +162,28 @@ def _combined(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Lines that are combined before they are sent on. More would hold more memory, fewer make more rows to shuffle.
+HELD = 1 << 14
+
+
 def _signed(tasks: int):
-    """Records of the lines of a batch, combined, as one block for each task that they go to."""
+    """Records of lines, combined HELD at a time, as one block for each task that they go to."""
 
-    def run(batches):
+    def sent(parts):
         import pyarrow as pa
 
+        rows = _combined(np.concatenate(parts))
+        pid = ((mix(rows["h1"].view(np.uint64)) >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
+        order = np.argsort(pid, kind="stable")
+        rows, (to, start) = rows[order], np.unique(pid[order], return_index=True)
+        blocks = [rows[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(rows)))]
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blocks, pa.binary())], names=["pid", "rows"])
+
+    def run(batches):
+        parts, held = [], 0
         for x in batches:
             buf, offsets = text_buffer(x.column(2))
-            docs, parts = np.asarray(x.column(0)), []
+            docs = np.asarray(x.column(0))
             for lo, hi in slices(offsets, SLICE):
                 row, _, lines = _found(buf, offsets, lo, hi)
                 if not lines:
@@ -183,13 +196,12 @@ def _signed(tasks: int):
                 part["h1"], part["h2"], part["doc"], part["c"], part["short"] = h[:, 0], h[:, 1], docs[np.array(row)], 1, ends - starts < SHINGLE
                 part["keys"] = keys_of(signatures_of(points, starts, ends))
                 parts.append(part)
-            if parts:
-                rows = _combined(np.concatenate(parts))
-                pid = ((mix(rows["h1"].view(np.uint64)) >> np.uint64(32)) % np.uint64(tasks)).astype(np.int32)
-                order = np.argsort(pid, kind="stable")
-                rows, (to, start) = rows[order], np.unique(pid[order], return_index=True)
-                blocks = [rows[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(rows)))]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blocks, pa.binary())], names=["pid", "rows"])
+                held += len(part)
+                if held >= HELD:
+                    yield sent(parts)
+                    parts, held = [], 0
+        if parts:
+            yield sent(parts)
 
     return run
 
@@ -290,7 +302,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
     """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
-    distinct = cut(blocks.mapInArrow(_distinct, "h1 long, h2 long, c long, doc long, keys binary"))
+    distinct = cut(blocks.mapInArrow(_distinct, "h1 long, h2 long, c long, doc long, keys binary"), free=True)
     known = distinct.select("h1", "h2", "c", "doc")
     signatures = distinct.where("keys IS NOT NULL").select(F.col("h1").alias("id"), F.col("keys").alias("sig"), F.lit(4000).alias("w"))
     found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, keys_of, matrix_of, screen=numbered_sets)

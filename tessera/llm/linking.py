@@ -378,7 +378,7 @@ def link_groups(
     # share are dealt by a part of the id too, and their parts meet in their smallest ids and in phase two
     tasks = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signatures.select("id", "sig").mapInArrow(_dealer(tasks, _hot(signatures, keys_in), keys_in), "pid int, keys binary, parts binary, ids binary")
-    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"))
+    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"), free=True)
 
     # phase one: members meet with their signatures, bucket by bucket
     kind = signatures.schema["sig"].dataType
@@ -398,7 +398,7 @@ def link_groups(
             rows = t.filter(pa.array(live))
             yield from pa.table([*rows.select(["key", "part", "id"]).columns, pa.nulls(rows.num_rows, pa.int64()), pa.array(count[live].astype(np.int64)), rows.column("w"), rows.column("sig")], names=schema.names).to_batches()
 
-    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema))
+    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema), free=True)
     tops = seen.where("part >= 0 AND n IS NOT NULL").groupBy("key", "part").agg(F.min("id").alias("v"))
     heads = cut(tops.groupBy("key").agg(F.min("v").alias("u")))
     tested = seen.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v"))
