@@ -154,7 +154,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None,
     too, shorter first; a pair then ends with `most` paths, and one that has fewer is searched
     along all its simple paths.
     """
-    hop = edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
+    hop = _cut(edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())  # every round reads it
     front = pairs.select("src", "dst").distinct().withColumn("path", F.array("src"))
     done, seen = front.where(F.lit(False)), front.select("src", "dst", F.col("src").alias("_t"))
     first = Window.partitionBy("src", "dst", "_t").orderBy("path")
