@@ -249,6 +249,7 @@ def look_up(name: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name), name)
 
 
+# The texts around a result.
 def format_for_llm(success: Column, error: Column, output: Column, findings: Column, count: Column, most: int = 1000) -> Column:
     """A tool's result as text: what was found, then the output's start. findings and count are null where the result has none."""
     head = F.coalesce(F.concat(F.lit("[OK] Found "), findings.cast("string"), F.lit(" potential issues")), F.concat(F.lit("[OK] Found "), count.cast("string"), F.lit(" items")), F.lit("[OK] Success"))

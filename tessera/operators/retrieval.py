@@ -77,6 +77,7 @@ def with_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id") -> Dat
     return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
 
 
+# The texts of a listing.
 def listing(hits: DataFrame, query: str) -> DataFrame:
     """text: the hits (id, text, score, source) as a numbered list, best first. hits are few (a top-k)."""
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "source", "text")))
