@@ -1,10 +1,10 @@
-"""The ten operators and the pipeline as queries over the tables."""
+"""The thirteen operators and the pipeline as queries over the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, decontaminate, lines, mixing, neardup, pseudonyms, quality, secrets, shards, substrings
+from . import blocks, decontaminate, dialogue, lines, manifest, mixing, neardup, packing, pseudonyms, quality, secrets, shards, substrings
 from .common import table
 
 
@@ -50,11 +50,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_near_dedup, op4_quality, op5_substring_dedup, op6_pii, op7_sharding, op8_secrets, op9_mixing, op10_decontamination, pipeline)}
-SQL = {"op2_exact_dedup": blocks.SQL, "op3_near_dedup": neardup.SQL, "op5_substring_dedup": substrings.SQL, "op7_sharding": shards.SQL, "op9_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_near_dedup, op4_quality, op5_substring_dedup, op6_pii, op7_sharding, op8_secrets, op9_mixing, op10_decontamination, op11_packing, op12_repair, op13_manifest, pipeline)}
+SQL = {"op2_exact_dedup": blocks.SQL, "op3_near_dedup": neardup.SQL, "op5_substring_dedup": substrings.SQL, "op7_sharding": shards.SQL, "op9_mixing": mixing.SQL, "op12_repair": dialogue.SQL, "op13_manifest": manifest.SQL}
