@@ -111,22 +111,26 @@ def traverse(leaves: list[bytes], height: int, sub: int = SUB):
                     wish(at, ((i + 1) >> top) + 1)
 
 
-def _block(table):
-    """A block's rows (a table of g, pos, total, digest and more, in any order) plus path and, at its first leaf, top: the block's root."""
-    import numpy as np
-    import pyarrow as pa
-
-    table = table.sort_by("pos")
-    height = min(HEIGHT, (table.column("total")[0].as_py() - 1).bit_length())
-    steps = traverse(table.column("digest").to_pylist(), height)
-    root = next(steps)
-    flat = [d for path in steps for d in path]
-    place = np.repeat(table.column("pos").to_numpy(), height)
-    left = (place >> np.tile(np.arange(height), table.num_rows)) & 1 == 1
-    digests = pa.array(flat, pa.binary())
-    items = pa.StructArray.from_arrays([pa.array(left, pa.bool_()), digests], names=["left", "digest"], mask=digests.is_null())
-    path = pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1, dtype=np.int32) * height), items)
-    return table.append_column("path", path).append_column("top", pa.array([root] + [None] * (table.num_rows - 1), pa.binary()))
+def _block(levels: int):
+    """For applyInArrow: a block's rows (g, pos, total, digest and more, in any order) plus path and, at its first leaf, top: the block's root."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("pos")
+        height = min(levels, (table.column("total")[0].as_py() - 1).bit_length())
+        steps = traverse(table.column("digest").to_pylist(), height)
+        root = next(steps)
+        flat = [d for path in steps for d in path]
+        place = np.repeat(table.column("pos").to_numpy(), height)
+        left = (place >> np.tile(np.arange(height), table.num_rows)) & 1 == 1
+        digests = pa.array(flat, pa.binary())
+        items = pa.StructArray.from_arrays([pa.array(left, pa.bool_()), digests], names=["left", "digest"], mask=digests.is_null())
+        path = pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1, dtype=np.int32) * height), items)
+        return table.append_column("path", path).append_column("top", pa.array([root] + [None] * (table.num_rows - 1), pa.binary()))
+
+    return run
 
 
 def _placed(rows: DataFrame, *order: str) -> DataFrame:
@@ -139,33 +143,33 @@ def _placed(rows: DataFrame, *order: str) -> DataFrame:
     return attach(at, runs, ["g", "_p"], F.octet_length("g") + 24, "inner").withColumn("pos", F.col("_shift") + F.col("_i")).drop("_p", "_i", "_shift")
 
 
-def _proved(nodes: DataFrame) -> DataFrame:
+def _proved(nodes: DataFrame, height: int) -> DataFrame:
     """nodes (g, pos, total, digest and more) plus path, up to the root of g, and root."""
-    named = nodes.withColumn("block", F.shiftright("pos", HEIGHT))
+    named = nodes.withColumn("block", F.shiftright("pos", height))
     schema = StructType([*named.schema.fields, StructField("path", PATH), StructField("top", BinaryType())])
-    own = cut(named.groupBy("g", "block").applyInArrow(_block, schema))
-    tops = own.where("top IS NOT NULL").select("g", F.col("block").alias("pos"), F.shiftright(F.col("total") + ((1 << HEIGHT) - 1), HEIGHT).alias("total"), F.col("top").alias("digest"))
+    own = cut(named.groupBy("g", "block").applyInArrow(_block(height), schema))
+    tops = own.where("top IS NOT NULL").select("g", F.col("block").alias("pos"), F.shiftright(F.col("total") + ((1 << height) - 1), height).alias("total"), F.col("top").alias("digest"))
     if tops.where("total > 1").isEmpty():
         upper = tops.select("g", F.col("pos").alias("block"), F.array().cast(PATH).alias("_up"), F.col("digest").alias("root"))
     else:
-        upper = _proved(tops).select("g", F.col("pos").alias("block"), F.col("path").alias("_up"), "root")
+        upper = _proved(tops, height).select("g", F.col("pos").alias("block"), F.col("path").alias("_up"), "root")
     upper = cut(upper)
     out = attach(own.drop("top"), upper, ["g", "block"], F.octet_length("g") + 48 + 40 * F.size("_up"), "inner")
     return out.withColumn("path", F.concat("path", "_up")).drop("_up", "block")
 
 
-def manifest(rows: DataFrame, group_col: str = "lang", order_col: str = "doc_id", leaf_col: str = "leaf") -> DataFrame:
+def manifest(rows: DataFrame, group_col: str = "lang", order_col: str = "doc_id", leaf_col: str = "leaf", height: int = HEIGHT) -> DataFrame:
     """rows (with hex digests in leaf_col) plus subroot, root and path: from the leaf up to root, every level's sibling and its side, null where a node is alone.
 
     Groups come in the order of their UTF-8 bytes, null first. Rows of a group come by order_col,
     null first, and then by their digest: equal rows are exchangeable. An empty table gives no rows.
-    Other columns of rows are carried along; those with the three names are replaced.
+    height: levels of a block. Other columns of rows are carried along; those with the three names are replaced.
     """
     kept = [c for c in rows.columns if c not in ("subroot", "root", "path")]
     base = cut(rows.select(F.struct(*kept).alias("row"), F.when(F.col(group_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(group_col).cast("string"))).alias("g"), F.col(order_col).alias("_by"), F.unhex(leaf_col).alias("digest"), F.monotonically_increasing_id().alias("_row")))
-    own = cut(_proved(_placed(base, "_by", "digest", "_row").drop("_by", "_row")))
+    own = cut(_proved(_placed(base, "_by", "digest", "_row").drop("_by", "_row"), height))
     subroots = own.where("pos = 0").select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("digest"))
-    above = _proved(_placed(subroots, "name")).select(F.col("name").alias("g"), F.col("path").alias("_up"), F.col("root").alias("_root"))
+    above = _proved(_placed(subroots, "name"), height).select(F.col("name").alias("g"), F.col("path").alias("_up"), F.col("root").alias("_root"))
     out = attach(own, cut(above), ["g"], F.octet_length("g") + 48 + 40 * F.size("_up"), "inner")
     hex_ = lambda c: F.lower(F.hex(c))
     return out.select("row.*", hex_("root").alias("subroot"), hex_("_root").alias("root"), F.concat("path", "_up").alias("path"))
