@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut as _cut
+from ..sources.shared import cut
 from .logs import LINES
+from .paths import shortest_paths, simple_paths  # noqa: F401 (the second is taken from here)
 from .vector import latest
 
 # Names that are no functions, the patterns of functions, and the extensions read.
@@ -81,20 +80,56 @@ def add_hypotheses(nodes: DataFrame, edges: DataFrame, hypotheses: DataFrame) ->
     return raised.unionByName(made, allowMissingColumns=True), edges.unionByName(new, allowMissingColumns=True)
 
 
+#: Characters of a gram, and labels with one gram that one key holds, about.
+GRAM, SHARE = 3, 4096
+
+
+def _grams(c: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    return F.array_distinct(F.transform(F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def first_containing(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """name, node: for each name (distinct, not empty) the first node (by ord, then node) whose label holds it. labels: node, label, ord.
+
+    A name meets only labels that hold its rarest run of GRAM characters: how many labels hold each
+    run is counted first, for runs that names ask for. Labels with a run that is not rare enough are
+    dealt to several keys by their node. A run that no label holds ends its names. Names shorter than
+    a run are runs themselves: of those each has one first label, found by one aggregation.
+    """
+    names, best = cut(names.select("name").distinct()), F.min_by("node", F.struct("ord", "node")).alias("node")
+    runs = lambda n: labels.select("node", "label", "ord", F.explode(_grams(F.col("label"), n)).alias("gram"))
+    asked = cut(names.where(F.length("name") >= GRAM).select("name", F.explode(_grams(F.col("name"), GRAM)).alias("gram")))
+    held = cut(runs(GRAM).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")))
+    rare = asked.join(held, "gram", "left").groupBy("name").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).where("least > 0")
+    rare = cut(rare.select("name", "gram", F.ceil(F.col("least") / SHARE).cast("int").alias("parts")))
+    dealt = runs(GRAM).join(rare.select("gram", "parts").distinct(), "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    wanted = rare.select("name", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    out = dealt.join(wanted, ["gram", "part"]).where(F.contains("label", "name")).groupBy("name").agg(best)
+    for n in sorted(r[0] for r in names.where(F.length("name") < GRAM).select(F.length("name")).distinct().collect()):
+        short = names.where(F.length("name") == n).select(F.col("name").alias("gram"))
+        out = out.unionByName(runs(n).join(short, "gram", "left_semi").groupBy(F.col("gram").alias("name")).agg(best))
+    return out
+
+
 def add_crashes(nodes: DataFrame, edges: DataFrame, crashes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """crashes: id, functions. Each named function's first node (by ord) whose label holds the name gets an edge to the crash and risk 0.85 at least.
+    """crashes: id, functions and, if known, crash_type, stack_trace (an array) and fault_address.
 
-    The match is by containment. Labels and names meet by the name's first three characters (all, if
-    it has fewer), so it is a join by equal keys whose hits are tested, not a loop over all pairs.
+    Each named function's first node (by ord) whose label holds the name gets an edge to the crash
+    and risk 0.85 at least. A crash becomes a node with its type as label, and in its metadata the
+    type, the first ten frames (a JSON array) and the address. Of rows with one id the first by what they
+    hold makes the node; null and empty names match nothing.
     """
-    names = crashes.select(F.col("id").alias("crash"), F.explode("functions").alias("name")).distinct()
-    wanted = names.select("name", F.substring("name", 1, 3).alias("_g")).where("name <> ''").distinct()
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))), lambda i: F.substring("label", i, F.lit(n)))
-    funcs = nodes.where("type = 'function'").select(F.col("id").alias("node"), "label", "ord", F.explode(F.array_distinct(F.concat(parts(1), parts(2), parts(3)))).alias("_g"))
-    match = funcs.join(wanted, "_g").where(F.contains("label", "name")).groupBy("name").agg(F.min_by("node", "ord").alias("node"))
-    hits = names.join(match, "name").select("crash", "node").distinct()
+    names = crashes.select(F.col("id").alias("crash"), F.explode("functions").alias("name")).where("name <> ''").distinct()
+    funcs = nodes.where("type = 'function'").select(F.col("id").alias("node"), "label", "ord")
+    match = first_containing(funcs, names)
+    hits = cut(names.join(match, "name").select("crash", "node").distinct())
     raised = nodes.join(hits.select(F.col("node").alias("id")).distinct().withColumn("_h", F.lit(0.85)), "id", "left").withColumn("risk", F.greatest("risk", F.coalesce("_h", F.lit(0.0)))).select(*nodes.columns)
-    made = crashes.select("id", F.lit("crash").alias("type"), F.col("id").alias("label"), F.lit(0.9).alias("risk"))
+    has = lambda c, kind: F.col(c) if c in crashes.columns else F.lit(None).cast(kind)
+    kind, frames = F.coalesce(has("crash_type", "string"), F.lit("unknown")), F.coalesce(has("stack_trace", "array<string>"), F.array().cast("array<string>"))
+    known = F.map_filter(F.create_map(F.lit("crash_type"), kind, F.lit("stack_trace"), F.to_json(F.slice(frames, 1, 10)), F.lit("fault_address"), has("fault_address", "string")), lambda _, v: v.isNotNull())
+    made = crashes.select("id", F.struct(F.concat(F.lit("Crash: "), kind).alias("label"), F.map_entries(known).alias("m")).alias("c")).groupBy("id").agg(F.min("c").alias("c"))
+    made = made.select("id", F.lit("crash").alias("type"), F.col("c.label").alias("label"), F.lit(0.9).alias("risk"), F.map_from_entries("c.m").alias("metadata"))
     new = hits.select(F.col("node").alias("source"), F.col("crash").alias("target"), F.lit("crash_link").alias("type"), F.lit(1.0).alias("weight"))
     return raised.unionByName(made, allowMissingColumns=True), edges.unionByName(new, allowMissingColumns=True)
 
@@ -120,12 +155,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     tolerance) is tested as well; `rounds` fixes their number instead.
     """
     e = edges.where("source IS NOT NULL AND target IS NOT NULL").groupBy("source", "target").agg(F.max_by("weight", "type").alias("w"))
-    e = _cut(e.join(e.groupBy("source").agg(F.sum("w").alias("all")), "source").select("source", "target", (F.col("w") / F.col("all")).alias("w")))
+    e = cut(e.join(e.groupBy("source").agg(F.sum("w").alias("all")), "source").select("source", "target", (F.col("w") / F.col("all")).alias("w")))
     ids = nodes.select("id", "risk").unionByName(e.select(F.col("source").alias("id"), F.lit(0.0).alias("risk"))).unionByName(e.select(F.col("target").alias("id"), F.lit(0.0).alias("risk")))
     ids = ids.groupBy("id").agg(F.max("risk").alias("risk"))
     total = ids.agg(F.sum("risk").alias("t"), F.count("*").alias("n"))
     ranks = ids.crossJoin(F.broadcast(total)).select("id", F.when(F.col("t") > 0, F.col("risk") / F.col("t")).otherwise(1 / F.col("n")).alias("p"), (1 / F.col("n")).alias("rank"))
-    ranks = _cut(ranks.join(e.select(F.col("source").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").select("id", "p", "rank", F.col("_out").isNull().alias("dangling")))
+    ranks = cut(ranks.join(e.select(F.col("source").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").select("id", "p", "rank", F.col("_out").isNull().alias("dangling")))
     n = ranks.count()
     if n <= 1:
         return ranks.select("id", "rank")
@@ -135,7 +170,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         ranks = ranks.join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", "p", (F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"), "dangling")
         if i % 5 == 0 or i == rounds:
-            ranks = _cut(ranks)
+            ranks = cut(ranks)
             if rounds is None:
                 change = ranks.join(old.select("id", F.col("rank").alias("_o")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("_o")))).first()[0]
                 if change < 5 * n * tolerance:
@@ -144,42 +179,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: in
     return ranks.select("id", "rank")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None, most: int = 5, all_simple: bool = False) -> DataFrame:
-    """src, dst, path, hops: all shortest paths of each pair (src, dst), `most` at most, in order of their nodes.
-
-    A frontier of paths grows one hop a round, by a join with the edges, until every pair has
-    ended or nothing is left to follow (`depth` bounds the hops, if given). Nodes that a pair has
-    reached in fewer hops are not followed again, and of the paths to one node only the first
-    `most` are: later ones can't be among the result. With all_simple longer simple paths count
-    too, shorter first; a pair then ends with `most` paths, and one that has fewer is searched
-    along all its simple paths.
-    """
-    hop = _cut(edges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())  # every round reads it
-    front = pairs.select("src", "dst").distinct().withColumn("path", F.array("src"))
-    done, seen = front.where(F.lit(False)), front.select("src", "dst", F.col("src").alias("_t"))
-    first = Window.partitionBy("src", "dst", "_t").orderBy("path")
-    for i in itertools.count(1):
-        if depth is not None and i > depth:
-            break
-        front = front.join(hop, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).select("src", "dst", "_t", F.array_append("path", F.col("_t")).alias("path"))
-        if not all_simple:
-            front = front.join(seen, ["src", "dst", "_t"], "left_anti").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
-        front = _cut(front)
-        arrived = front.where(F.col("_t") == F.col("dst")).select("src", "dst", "path")
-        done = done.unionByName(arrived)
-        ended = done.groupBy("src", "dst").count().where(F.col("count") >= most) if all_simple else arrived
-        front = front.where(F.col("_t") != F.col("dst")).join(ended.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-        if front.isEmpty():
-            break
-        if not all_simple:
-            seen = seen.unionByName(front.select("src", "dst", "_t").distinct())
-        if i % 5 == 0:
-            done, seen = _cut(done), _cut(seen)
-        front = front.drop("_t")
-    w = Window.partitionBy("src", "dst").orderBy(F.size("path"), "path")
-    return done.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("src", "dst", "path", (F.size("path") - 1).alias("hops"))
-
-
 def high_risk_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.7, longest: int = 5, sources: int = 50, most: int = 20) -> DataFrame:
     """One shortest path for each pair of the first `sources` risky nodes (by ord, earlier one first), of `longest` nodes at most; `most` rows."""
     risky = nodes.where(F.col("risk") >= threshold).orderBy("ord").limit(sources).select("id", "ord")

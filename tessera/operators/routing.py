@@ -87,9 +87,11 @@ def overlay(defaults: dict, user: dict | None) -> dict:
 
 
 def first_answer(answers: DataFrame, order: str = "priority", default: int = 50) -> DataFrame:
-    """Per id the first non-empty answer by priority (default 50), then by name."""
-    w = Window.partitionBy("id").orderBy(F.coalesce(order, F.lit(default)), "name")
-    return answers.where(~F.col("empty")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Per id the first answer that is not empty, by priority (default 50) and then name; where all are empty, the last one asked."""
+    place = F.struct(F.coalesce(F.col(order), F.lit(default)), F.col("name"))
+    whole = F.struct(*answers.columns)
+    picked = answers.groupBy("id").agg(F.min_by(F.when(~F.col("empty"), whole), F.when(~F.col("empty"), place)).alias("_a"), F.max_by(whole, place).alias("_b"))
+    return picked.select(F.coalesce("_a", "_b").alias("_a")).select("_a.*")
 
 
 def cascade(answers: DataFrame, confidence: str = "confidence") -> DataFrame:

@@ -319,20 +319,21 @@ def cost_by_file(spark, sf):
     return E.cost_by_file(e).withColumn("usd", F.round("usd", 3))
 
 
-@query("SELECT user_id AS session, event_type AS file, round(sum(value), 3) AS usd FROM events GROUP BY 1, 2 HAVING sum(value) >= 3000")
+@query("SELECT user_id AS session, event_type AS file, round(sum(value), 3) AS usd FROM events GROUP BY 1, 2 HAVING sum(value) >= 800")
 def costly_files(spark, sf):
     e = T(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("file"), F.col("value").alias("usd"))
-    return E.costly_files(e, 3000).withColumn("usd", F.round("usd", 3))
+    return E.costly_files(e, 800).withColumn("usd", F.round("usd", 3))
 
 
-@query("""WITH f AS (SELECT user_id AS session, event_type AS file, sum(value) AS usd, min(event_id) AS first FROM events GROUP BY 1, 2 HAVING sum(value) > 2500),
-o AS (SELECT * FROM f WHERE NOT (session % 3 = 0 AND file = 'click')), b AS (SELECT session, arg_min(file, first) AS file FROM o GROUP BY 1),
-t AS (SELECT user_id AS session FROM events GROUP BY 1 HAVING sum(value) > 10000)
+@query("""WITH f AS (SELECT user_id AS session, event_type AS file, sum(value) AS usd, min(event_id) AS first FROM events GROUP BY 1, 2 HAVING sum(value) > 900),
+o AS (SELECT * FROM f WHERE NOT (session % 3 = 0 AND file IN ('click', 'view'))), b AS (SELECT session, arg_min(file, first) AS file FROM o GROUP BY 1),
+t AS (SELECT user_id AS session FROM events GROUP BY 1 HAVING sum(value) > 3000)
 SELECT session, file, 'file' AS reason FROM b UNION ALL SELECT session, NULL, 'total' FROM t WHERE session % 3 <> 0 AND session NOT IN (SELECT session FROM b)""")
 def cost_escalation(spark, sf):
+    """Observations of every third session name two files within their first 50 characters, and a third one after them."""
     e = T(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("file"), F.col("value").alias("usd"), F.col("event_id").alias("seq"))
-    sure = e.where("session % 3 = 0").select("session").distinct().withColumn("observation", F.lit("VULN_CONFIRMED in click handler"))
-    return E.cost_escalation(e, sure, 2500, 10000)
+    sure = e.where("session % 3 = 0").select("session").distinct().withColumn("observation", F.lit("VULN_CONFIRMED in click and view handlers, " + 20 * "." + " purchase"))
+    return E.cost_escalation(e, sure, 900, 3000)
 
 
 @query("""WITH x AS (SELECT event_id, user_id, ts, value, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM events)
@@ -516,12 +517,12 @@ def token_cost(spark, sf):
     return RT.priced(c, spark.createDataFrame([("A", 2.5, 10.0), ("N", 0.15, 0.6)], "model string, usd_in double, usd_out double")).groupBy("model").agg(F.round(F.sum("usd"), 3).alias("usd"))
 
 
-@query("""WITH a AS (SELECT user_id AS id, event_type AS name, avg(value) AS value FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE name WHEN 'view' THEN 10 WHEN 'error' THEN 20 ELSE 50 END, name) AS n FROM a WHERE value >= 250) SELECT id, name FROM r WHERE n = 1""")
+@query("""WITH a AS (SELECT user_id AS id, event_type AS name, avg(value) >= 60 AS said FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY said DESC, CASE WHEN said THEN 1 ELSE -1 END * CASE name WHEN 'view' THEN 10 WHEN 'error' THEN 20 ELSE 50 END, CASE WHEN said THEN name END, name DESC) AS n FROM a) SELECT id, name, NOT said AS empty FROM r WHERE n = 1""")
 def priority_answer(spark, sf):
-    a = T(spark, sf, "events").where("event_type <> 'click'").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("name")).agg((F.avg("value") < 250).alias("empty"))
+    a = T(spark, sf, "events").where("event_type <> 'click'").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("name")).agg((F.avg("value") < 60).alias("empty"))
     a = a.withColumn("priority", F.when(F.col("name") == "view", 10).when(F.col("name") == "error", 20))
-    return RT.first_answer(a).select("id", "name")
+    return RT.first_answer(a).select("id", "name", "empty")
 
 
 # ---- graphs: region > nation > supplier and customer, and some suppliers > another nation

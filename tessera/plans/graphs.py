@@ -59,7 +59,9 @@ def crash_graph(spark, sf):
     nodes = T(spark, sf, "part").select(F.concat(F.lit("f"), k.cast("string")).alias("id"), F.lit("function").alias("type"), F.concat(F.lit("fn_"), k.cast("string"), F.lit("_"), "p_name").alias("label"), F.lit(0.5).alias("risk"), k.alias("ord"))
     edges = spark.createDataFrame([], "source string, target string, type string, weight double")
     names = F.array(F.concat(F.lit("_"), F.col("n_nationkey").cast("string"), F.lit("_")), F.col("n_nationkey").cast("string"), F.lit("nowhere"), F.lit("main_loop"))
-    return G.add_crashes(nodes, edges, T(spark, sf, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), names.alias("functions")))
+    frame = F.transform(F.sequence(F.lit(0), F.col("n_nationkey")), lambda i: F.concat(F.lit("#"), i.cast("string"), F.lit(" in "), "n_name"))
+    crashes = T(spark, sf, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("id"), names.alias("functions"), F.when(F.col("n_regionkey") > 0, F.concat(F.lit("kind "), F.col("n_regionkey").cast("string"))).alias("crash_type"), frame.alias("stack_trace"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("0x"), F.hex("n_nationkey"))).alias("fault_address"))
+    return G.add_crashes(nodes, edges, crashes)
 
 
 CRASH = """p AS (SELECT 'f' || p_partkey AS id, 'fn_' || p_partkey || '_' || p_name AS label, p_partkey AS ord FROM part), c AS (SELECT 'c' || n_nationkey AS crash, unnest(['_' || n_nationkey || '_', CAST(n_nationkey AS VARCHAR), 'nowhere', 'main_loop']) AS name FROM nation),
@@ -71,9 +73,12 @@ def crash_edges(spark, sf):
     return crash_graph(spark, sf)[1]
 
 
-@query(f"WITH {CRASH} SELECT id, 'function' AS type, CASE WHEN id IN (SELECT node FROM x) THEN 0.85::DOUBLE ELSE 0.5 END AS risk FROM p UNION ALL SELECT DISTINCT crash, 'crash', 0.9 FROM c")
+@query(f"""WITH {CRASH} SELECT id, 'function' AS type, label, CASE WHEN id IN (SELECT node FROM x) THEN 0.85::DOUBLE ELSE 0.5 END AS risk, NULL AS kind, NULL AS frames, NULL AS address FROM p UNION ALL
+SELECT 'c' || n_nationkey, 'crash', 'Crash: ' || CASE WHEN n_regionkey > 0 THEN 'kind ' || n_regionkey ELSE 'unknown' END, 0.9, CASE WHEN n_regionkey > 0 THEN 'kind ' || n_regionkey ELSE 'unknown' END,
+'["' || array_to_string(list_transform(range(0, least(n_nationkey + 1, 10)), lambda i: '#' || i || ' in ' || n_name), '","') || '"]', CASE WHEN n_nationkey % 2 = 0 THEN '0x' || hex(n_nationkey) END FROM nation""")
 def crash_nodes(spark, sf):
-    return crash_graph(spark, sf)[0].select("id", "type", "risk")
+    note = lambda k: F.try_element_at("metadata", F.lit(k))
+    return crash_graph(spark, sf)[0].select("id", "type", "label", "risk", note("crash_type").alias("kind"), note("stack_trace").alias("frames"), note("fault_address").alias("address"))
 
 
 @query(f"WITH {TREE}, {RISKS} SELECT id, risk FROM i ORDER BY risk DESC, ord LIMIT 10")
@@ -81,11 +86,11 @@ def top_risk(spark, sf):
     return G.top_risk(tree(spark, sf)[0]).select("id", "risk")
 
 
-@query(f"""WITH RECURSIVE {TREE}, p AS (SELECT 'r' || r_regionkey AS src, ['r' || r_regionkey] AS path, 0 AS hops FROM region UNION ALL SELECT src, list_append(path, e.target), hops + 1 FROM p JOIN e ON e.source = path[-1] WHERE hops < 4 AND NOT list_contains(path, e.target)),
+@query(f"""WITH RECURSIVE {TREE}, p AS (SELECT 'r' || r_regionkey AS src, ['r' || r_regionkey] AS path, 0 AS hops FROM region UNION ALL SELECT src, list_append(path, e.target), hops + 1 FROM p JOIN e ON e.source = path[-1] WHERE NOT list_contains(path, e.target)),
 t AS (SELECT src, path[-1] AS dst, path, hops FROM p WHERE path[-1] IN ('n0', 'n1', 'n2', 's1', 's2', 's3', 'c5')), r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS n FROM t) SELECT src, dst, array_to_string(path, '>') AS path, hops FROM r WHERE n <= 5""")
 def simple_paths(spark, sf):
     pairs = spark.createDataFrame([(f"r{r}", d) for r in range(5) for d in ("n0", "n1", "n2", "s1", "s2", "s3", "c5")], "src string, dst string")
-    return G.shortest_paths(tree(spark, sf)[1], pairs, depth=4, all_simple=True).withColumn("path", F.array_join("path", ">"))
+    return G.simple_paths(tree(spark, sf)[1], pairs).withColumn("path", F.array_join("path", ">"))
 
 
 @query(f"""WITH RECURSIVE {TREE}, {RISKS}, k AS (SELECT id, ord FROM i WHERE risk >= 0.7 ORDER BY ord LIMIT 50), p AS (SELECT id AS src, [id] AS path FROM k UNION ALL SELECT src, list_append(path, e.target) FROM p JOIN e ON e.source = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, e.target)),

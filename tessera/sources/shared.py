@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a written table that one task reads at most, beyond one task a core.
 TASK_BYTES = 8 << 20
@@ -63,6 +64,14 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-store.getContentSummary(place).getLength() // TASK_BYTES)))
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the rows that were written, which are counted on their way."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get.get("rows")
+    return out, out.count() if rows is None else rows
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete all that scratch() and cut() have made so far in this driver; DataFrames that read it end. For drivers that live long, between queries."""
     n = len(_written)
