@@ -10,28 +10,56 @@ from pyspark.sql import functions as F
 from ..sources.shared import counted, cut
 
 
-def _hops(edges: DataFrame) -> DataFrame:
-    return cut(edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct())  # every round reads it
+#: Edges that are sent to every task at most: two names a row, so some 30 MB.
+SMALL = 500_000
+#: Walks that a search may follow from one table to the next, by the largest number of edges into a node; and hops.
+WALKS, STRIDE = 1 << 20, 8
 
 
-def distances(hop: DataFrame, pairs: DataFrame, depth: int | None = None, whole: bool = False) -> DataFrame:
+class Hops:
+    """The distinct edges (_s, _t) in a table that every round reads."""
+
+    def __init__(self, edges: DataFrame):
+        known = edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
+        self.table, self.rows = counted(known)
+        self.small = self.rows <= SMALL
+        self.read = F.broadcast(self.table) if self.small else self.table
+        self.into = max(2, self.table.groupBy("_t").count().agg(F.max("count")).first()[0] or 0) if self.small else 0
+
+    def stride(self, rows: int) -> int:
+        """Hops from a frontier of so many rows that make at most WALKS rows, if edges need no shuffle; else one at a time."""
+        n = 1
+        while self.small and n < STRIDE and rows * self.into ** (n + 1) <= WALKS:
+            n += 1
+        return n
+
+
+def distances(hop: Hops, pairs: DataFrame, depth: int | None = None, whole: bool = False) -> DataFrame:
     """dst, node, hops: how many edges part a node from the end of a pair at least.
 
     One breadth-first search for each end, not for each pair, over reversed edges and all of them
     in step: a level is a table of ends and nodes, and no row holds a path. An end whose starts are
-    all reached is not followed any more, unless the whole of what leads to it is asked for.
+    all reached is not followed any more, unless the whole of what leads to it is asked for. Few
+    short steps are taken at once, and the least number of them counts.
     """
-    level = cut(pairs.select("dst", F.col("dst").alias("node"), F.lit(0).alias("hops")).distinct())
-    seen = level
+    level, rows = counted(pairs.select("dst", F.col("dst").alias("node"), F.lit(0).alias("hops")).distinct())
+    seen, at = level, 0
     for i in itertools.count(1):
-        if depth is not None and i > depth:
+        step = min(hop.stride(rows), depth - at if depth is not None else STRIDE)
+        if step < 1:
             break
-        front = level
+        front = level.where(F.col("hops") == at).select("dst", "node")
         if not whole:
             open_ = pairs.join(seen.select("dst", F.col("node").alias("src")), ["dst", "src"], "left_anti").select("dst").distinct()
-            front = level.join(open_, "dst", "left_semi")
-        reached = front.join(hop, F.col("node") == F.col("_t")).select("dst", F.col("_s").alias("node")).distinct()
-        level, rows = counted(reached.join(seen.select("dst", "node"), ["dst", "node"], "left_anti").withColumn("hops", F.lit(i)))
+            front = front.join(open_, "dst", "left_semi")
+        reached = None
+        for n in range(1, step + 1):
+            front = front.join(hop.read, F.col("node") == F.col("_t")).select("dst", F.col("_s").alias("node"))
+            now = front.withColumn("hops", F.lit(at + n))
+            reached = now if reached is None else reached.unionByName(now)
+        reached = reached.groupBy("dst", "node").agg(F.min("hops").alias("hops"))
+        level, rows = counted(reached.join(seen.select("dst", "node"), ["dst", "node"], "left_anti"))
+        at += step
         if not rows:
             break
         seen = seen.unionByName(level)
@@ -40,9 +68,9 @@ def distances(hop: DataFrame, pairs: DataFrame, depth: int | None = None, whole:
     return seen
 
 
-def _grown(front: DataFrame, hop: DataFrame, far: DataFrame) -> DataFrame:
+def _grown(front: DataFrame, hop: Hops, far: DataFrame) -> DataFrame:
     """Prefixes one hop on (next, rest: how far it is from there), where that doesn't close a cycle and leads to the end."""
-    on = front.join(hop, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).drop("_s")
+    on = front.join(hop.read, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t"))).drop("_s")
     return on.join(far.select("dst", F.col("node").alias("_t"), F.col("hops").alias("rest")), ["dst", "_t"]).withColumn("path", F.array_append("path", F.col("_t")))
 
 
@@ -54,7 +82,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None,
     can hold: rows stay in proportion to the pairs. depth: hops at most, if given. A node is its
     own path of no hops; nulls have none; repeated pairs count once.
     """
-    hop, pairs = _hops(edges), cut(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    hop, pairs = Hops(edges), cut(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     far = cut(distances(hop, pairs, depth))
     front = cut(pairs.join(far.withColumnRenamed("node", "src"), ["dst", "src"]).select("src", "dst", F.array("src").alias("path"), "hops", F.col("hops").alias("rest")))
     longest = front.agg(F.max("hops")).first()[0] or 0
@@ -63,7 +91,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None,
     for i in range(1, longest + 1):
         near = _grown(front.where("rest > 0").withColumnRenamed("rest", "_r"), hop, far).where("rest = _r - 1")
         front = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("src", "dst", "path", "hops", "rest")
-        if i < longest:
+        if i < longest and (i % STRIDE == 0 or not hop.small):
             front = cut(front)
         done = done.unionByName(front.where("rest = 0"))
     return done.select("src", "dst", "path", "hops")
@@ -77,7 +105,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 5, depth: int |
     taken a hop on. So lengths are raised one at a time, until a pair has `most` paths and none that
     waits can be as short. depth: hops at most, if given. A node is its own path of no hops.
     """
-    hop, pairs = _hops(edges), cut(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    hop, pairs = Hops(edges), cut(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     far = cut(distances(hop, pairs, depth, whole=True))
     start = pairs.join(far.withColumnRenamed("node", "src"), ["dst", "src"]).select("src", "dst", F.array("src").alias("path"), F.col("hops").alias("bound"))
     start = cut(start)
