@@ -37,7 +37,10 @@ GROUP = 8192
 #: Sequences with a residual of a SLACK-th of their tokens or more are packed again with those of other groups.
 SLACK = 64
 #: Words whose ids a Python worker keeps, and the longest of them in bytes.
-KNOWN, LONG = 600_000, 128
+KNOWN, LONG = 1_000_000, 128
+#: One piece to the tokenizer whatever stands beside it: letters that neither decompose nor change their number in lower case. And marks that are a piece of their own after one.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+").fullmatch
+AFTER = b".,;:!?"
 #: Bytes of a text that are split into words at once, and new words that are encoded at once.
 SLICE, NEW = 1 << 20, 8192
 
@@ -46,40 +49,73 @@ _loaded: dict = {}
 
 
 class Words:
-    """Ids of words by a tokenizers file, as little-endian unsigned 32-bit bytes."""
+    """Ids of words by a tokenizers file, as little-endian unsigned 32-bit bytes.
+
+    Words of Latin letters are one piece to the tokenizer and end in an id that ends words, so many are
+    encoded in one call and parted at those ids. A mark after such a word is a piece of its own.
+    Between all other words stands a character whose id is known.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.mark = self._ids("\0")
+        self.after = {c: self._ids(chr(c)).tobytes() for c in AFTER}
         assert len(self.mark) == 1
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = words
-        plain = [w for w in new if b"\0" not in w]
-        for lo in range(0, len(plain), NEW):
-            part = plain[lo : lo + NEW]
-            ids = self._ids(" \0 ".join(w.decode("utf-8", "replace") for w in part))  # one call; marks part the words
-            marks = np.flatnonzero(ids == self.mark[0])
-            starts, ends = np.append(0, marks + 1) * 4, np.append(marks, len(ids)) * 4
+    def _parted(self, words: list[bytes], gap: bytes) -> None:
+        for lo in range(0, len(words), NEW):
+            part = words[lo : lo + NEW]
+            ids = self._ids(gap.join(part).decode("utf-8", "replace"))
+            if gap == b" ":
+                ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                starts = np.append(0, ends[:-1])
+            else:
+                marks = np.flatnonzero(ids == self.mark[0])
+                starts, ends = np.append(0, marks + 1) * 4, np.append(marks, len(ids)) * 4
             raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True))
-        self.known.update((w, self._ids(w.decode("utf-8", "replace")).tobytes()) for w in new if b"\0" in w)
+            for word, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
+                self.known[word] = raw[a:b]
 
-    def encode(self, words: list[bytes]) -> bytes:
-        """The words must have been learnt, but for long ones."""
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            return b"".join(self.known[w] if w in self.known else self._ids(w.decode("utf-8", "replace")).tobytes() for w in words)
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > KNOWN:
+            self.known.clear()
+        plain, ended, other, alone = set(), [], [], []
+        for w in words:
+            if PLAIN(w):
+                plain.add(w)
+            elif w[-1] in self.after and PLAIN(w[:-1]):
+                ended.append(w)
+                if w[:-1] not in self.known:
+                    plain.add(w[:-1])
+            else:
+                (alone if b"\0" in w else other).append(w)
+        self._parted(list(plain), b" ")
+        self._parted(other, b" \0 ")
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.after[w[-1]]
+        for w in alone:
+            self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of some texts' words, end to end."""
+        get = self.known.get
+        found = [list(map(get, words)) for words in texts]
+        new = {w for words, ids in zip(texts, found) if None in ids for w, i in zip(words, ids) if i is None and len(w) <= LONG}
+        if new:
+            self.learn(new)
+        for ids, words in zip(found, texts):
+            if None in ids:
+                ids[:] = [i if i is not None else get(w) if len(w) <= LONG else self._ids(w.decode("utf-8", "replace")).tobytes() for w, i in zip(words, ids)]
+        return list(map(b"".join, found))
 
 
 def _worded(path: str) -> Words:
@@ -121,16 +157,11 @@ def _cut_up(path: str, end: int, capacity: int, with_ids: bool):
             out, rows = [], []
             for lo, hi in slices(offsets, SLICE):
                 raws = [buf[a:b].tobytes() for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1])]
-                split = [raw.split() for raw in raws] if hi - lo > 1 else None  # splits at ASCII white space
-                if split:
-                    words.learn({w for s in split for w in s if len(w) <= LONG})
+                coded = words.encode([raw.split() for raw in raws]) if hi - lo > 1 else None  # split at ASCII white space
                 for i, raw in enumerate(raws):
                     ids, piece = bytearray(), 0
-                    parts = [split[i]] if split else (part.split() for part in _parts(raw))
-                    for part in parts:
-                        if not split:
-                            words.learn({w for w in part if len(w) <= LONG})
-                        ids += words.encode(part)
+                    for part in [coded[i]] if coded else (words.encode([part.split()])[0] for part in _parts(raw)):
+                        ids += part
                         while len(ids) > step:  # one id is left at least, for the end of the document
                             one = bytes(ids[:step])
                             out.append((lo + i, piece, capacity, zlib.crc32(one)))
