@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from ..sources.stored import merge_into
 from .logs import LINES
 from .paths import shortest_paths, simple_paths  # noqa: F401 (the second is taken from here)
-from .vector import latest
 
 # Names that are no functions, the patterns of functions, and the extensions read.
 CPP_KEYWORDS = ("if", "else", "while", "for", "switch", "case", "return", "try", "catch", "throw", "new", "delete", "do", "goto", "static_assert", "sizeof", "alignof", "decltype", "auto")
@@ -54,12 +54,14 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, found.agg(F.count("*").alias("functions_found"))
 
 
-def upsert_nodes(nodes: DataFrame, order: str = "ord") -> DataFrame:
-    return latest(nodes, ["id"], order)
+def put_nodes(nodes: DataFrame, path: str, order: str = "ord") -> int:
+    """Upsert nodes into a store by id; see merge_into()."""
+    return merge_into(nodes, path, ["id"], order)
 
 
-def upsert_edges(edges: DataFrame, order: str = "ord") -> DataFrame:
-    return latest(edges, ["source", "target", "type"], order)
+def put_edges(edges: DataFrame, path: str, order: str = "ord") -> int:
+    """Upsert edges into a store by source, target and type. They lie in parts by source, so outgoing edges are in one."""
+    return merge_into(edges, path, ["source", "target", "type"], order, within=["source"])
 
 
 def outgoing(edges: DataFrame, node: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem
+from ..sources.stored import merge_into, read_store
 from .vector import dot, hash_embedding, normalise
 
 
@@ -55,8 +56,29 @@ def evidence_index(evidence: DataFrame) -> DataFrame:
     return evidence.select(F.explode(words).alias("keyword"), "pointer").distinct()
 
 
-def find_evidence(evidence: DataFrame, keyword: str) -> DataFrame:
-    return evidence_index(evidence).where(F.col("keyword") == keyword.lower()).join(evidence, "pointer").select("pointer", "fragment")
+_POSTING, _FRAGMENT = "keyword string, pointer {0}, fragment string, ord long", "pointer {0}, fragment string, ord long"
+
+
+def put_evidence(evidence: DataFrame, path: str, ord_: int = 0) -> None:
+    """Add evidence (pointer, fragment and, if given, keywords) to a store: its fragments, and postings that lie in parts by keyword and carry their fragment.
+
+    A pointer that comes again with a higher ord_ replaces its fragment, and its new keywords are
+    added to those that it has. Of rows with one pointer in one call the last fragment counts.
+    """
+    last = evidence.groupBy("pointer").agg(F.max("fragment").alias("fragment"))
+    postings = evidence_index(evidence).join(last, "pointer").select("keyword", "pointer", "fragment", F.lit(ord_).cast("long").alias("ord"))
+    merge_into(last.withColumn("ord", F.lit(ord_).cast("long")), f"{path}/fragments", ["pointer"], "ord")
+    merge_into(postings, f"{path}/postings", ["keyword", "pointer"], "ord", within=["keyword"])
+
+
+def find_evidence(spark: SparkSession, path: str, keyword: str, pointer: str = "string") -> DataFrame:
+    """pointer, fragment of a keyword's postings (pointer: the type of pointers): only the part that may hold the keyword is read."""
+    return read_store(spark, f"{path}/postings", _POSTING.format(pointer), keyword=keyword.lower()).select("pointer", "fragment")
+
+
+def get_evidence(spark: SparkSession, path: str, pointer) -> DataFrame:
+    """pointer, fragment of one pointer, from its part alone."""
+    return read_store(spark, f"{path}/fragments", _FRAGMENT.format("long" if isinstance(pointer, int) else "string"), pointer=pointer).select("pointer", "fragment")
 
 
 def evidence_counts(evidence: DataFrame) -> DataFrame:
@@ -78,13 +100,16 @@ def with_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id") -> Dat
 
 
 # The texts of a listing.
+HEAD, LINE, NOTHING = "### RAG Search Results for: {0}\n\n", "%d. [score=%.3f] [id=%s] [src=%s]\n   ", "No relevant results found for query: {0}"
+
+
 def listing(hits: DataFrame, query: str) -> DataFrame:
     """text: the hits (id, text, score, source) as a numbered list, best first. hits are few (a top-k)."""
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "source", "text")))
     short = lambda t: F.concat(F.substring(t, 1, 400), F.when(F.length(t) > 400, "...").otherwise(""))
-    line = lambda r, i: F.concat(F.format_string("%d. [score=%.3f] [id=%s] [src=%s]\n   ", i + 1, -r["s"], r["id"], r["source"]), short(r["text"]), F.lit("\n"))
-    head = F.lit(f"### RAG Search Results for: {query}\n\n")
-    return hits.agg(F.when(F.count("*") == 0, F.lit(f"No relevant results found for query: {query}")).otherwise(F.concat(head, F.array_join(F.transform(rows, line), "\n"))).alias("text"))
+    line = lambda r, i: F.concat(F.format_string(LINE, i + 1, -r["s"], r["id"], r["source"]), short(r["text"]), F.lit("\n"))
+    head = F.lit(HEAD.format(query))
+    return hits.agg(F.when(F.count("*") == 0, F.lit(NOTHING.format(query))).otherwise(F.concat(head, F.array_join(F.transform(rows, line), "\n"))).alias("text"))
 
 
 def context_texts(hypotheses: DataFrame, confirmed: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import routing as RT
 from ..operators import vector as V
+from ..sources.shared import scratch
 from ..streaming import steps as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,8 +116,11 @@ def evidence_index(spark, sf):
 
 @query(rf"""SELECT doc_id AS pointer, n_chars FROM documents WHERE list_contains(list_filter(({WORDS})[1:3], lambda w: length(w) > 3), 'that')""")
 def evidence_find(spark, sf):
-    d = T(spark, sf, "documents")
-    return R.find_evidence(d.select(F.col("doc_id").alias("pointer"), F.col("text").alias("fragment")), "That").join(d.select(F.col("doc_id").alias("pointer"), "n_chars"), "pointer").select("pointer", "n_chars")
+    d, path = T(spark, sf, "documents"), scratch(spark, "evidence")
+    said = d.select(F.col("doc_id").alias("pointer"), F.col("text").alias("fragment"))
+    R.put_evidence(said.where("pointer % 2 = 0"), path)
+    R.put_evidence(said.where("pointer % 2 = 1"), path, 1)
+    return R.find_evidence(spark, path, "That", "long").join(d.select(F.col("doc_id").alias("pointer"), "n_chars"), "pointer").select("pointer", "n_chars")
 
 
 # ---- texts

@@ -8,6 +8,7 @@ from ..operators import graph as G
 from ..operators import retrieval as R
 from ..sources import files as S
 from ..sources.shared import scratch
+from ..sources.stored import read_store
 from .catalogue import TREE, T, query, tree
 
 RISKS = "i AS (SELECT id, CASE substr(id, 1, 1) WHEN 'r' THEN 0.9::DOUBLE WHEN 'n' THEN 0.75 ELSE 0.3 END AS risk, CASE substr(id, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 100 WHEN 's' THEN 1000 ELSE 1000000000 END + CAST(substr(id, 2) AS BIGINT) AS ord FROM (SELECT source AS id FROM e UNION SELECT target FROM e))"
@@ -18,13 +19,19 @@ def node_upserts(spark, sf):
     k = F.col("n_nationkey")
     put = lambda ord_, label: T(spark, sf, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), label.alias("label"), F.lit(ord_).alias("ord"))
     own = F.concat(F.lit("v"), (k % 3).cast("string"))
-    return G.upsert_nodes(put(1, own).unionByName(put(0, F.lit("old"))).unionByName(put(3, own).where("id IN ('n2', 'n5', 'n8', 'n11', 'n14', 'n17', 'n20', 'n23')")))
+    path = scratch(spark, "nodes")
+    G.put_nodes(put(1, own).unionByName(put(0, F.lit("old"))), path)
+    G.put_nodes(put(0, F.lit("late")).unionByName(put(3, own).where("id IN ('n2', 'n5', 'n8', 'n11', 'n14', 'n17', 'n20', 'n23')")), path)
+    return read_store(spark, path, "id string, label string, ord int")
 
 
 @query("SELECT l_orderkey AS source, l_partkey AS target, 'contains' AS type, arg_max(l_quantity, l_linenumber)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2")
 def edge_upserts(spark, sf):
     e = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.lit("contains").alias("type"), F.col("l_quantity").cast("double").alias("weight"), F.col("l_linenumber").alias("ord"))
-    return G.upsert_edges(e).drop("ord")
+    path = scratch(spark, "edges")
+    G.put_edges(e.where("ord < 4"), path)
+    G.put_edges(e.where("ord > 2"), path)
+    return read_store(spark, path, "source long, target long, type string, weight double")
 
 
 @query(f"WITH {TREE} SELECT 'edge' AS kind, target, type, 1.0::DOUBLE AS weight FROM (SELECT target, 'contains' AS type FROM e WHERE source = 'n3') UNION ALL SELECT 'neighbour', target, NULL, NULL FROM (SELECT DISTINCT target FROM e WHERE source = 'n4')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -10,12 +11,13 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import is_empty_advice, sha_prefix, token_estimate
+from ..functions.text import is_empty_advice, token_estimate
 from ..sources.shared import cut
+from ..sources.stored import load_version, save_version
 
 OUTPUT_CAP, OUTPUT_DEFAULT = 10_000, 2_000
 RESULT = "ord int, name string, success boolean, output string, error string"
@@ -36,6 +38,12 @@ class Registry:
         for name, tool in tools.items():
             self.register(name, tool)
 
+    def register_table_function(self, spark: SparkSession, name: str, tool: type, returns: str) -> None:
+        """A tool that SQL can call by this name, and this registry with a table, its keys and their order."""
+        register_table_function(spark, name, tool, returns)
+        by = lambda cols: ", ".join(f"`{c}`" for c in cols)
+        self.register(name, lambda table, keys, order: spark.sql(f"SELECT * FROM {name}(TABLE({{t}}) PARTITION BY ({by(keys)}) ORDER BY ({by(order)}))", t=table))
+
     def unregister(self, name: str) -> None:
         self.tools.pop(name, None)
         self.available.pop(name, None)
@@ -198,15 +206,27 @@ class Model(Protocol):
     def run(self, texts: list[str]) -> Iterator: ...
 
 
+def _answers(model: Model, texts: list[str]) -> list:
+    """As many answers as texts: what a back end raises, or leaves out, stands in the place of those that it didn't give."""
+    out: list = []
+    try:
+        for answer in itertools.islice(model.run(texts), len(texts)):
+            out.append(answer)
+    except Exception as exc:  # a back end's failure is a result
+        return out + [exc] * (len(texts) - len(out))
+    return out + [LookupError("no answer")] * (len(texts) - len(out))
+
+
 def with_model(rows: DataFrame, model: Model, answer: str, text_col: str = "text") -> DataFrame:
     """rows plus answer (of the type given, null where the back end failed), error, tokens_in and usd (by 1,000 tokens).
 
     Null texts aren't sent and have neither. The back end is called an Arrow batch at a time, so its
-    memory is bounded by the batch; it must be importable on executors.
+    memory is bounded by the batch; it must be importable on executors. An exception in an answer's
+    place, one that the back end raises, answers that are missing and such of another type are errors of their rows; the others keep theirs.
     """
     cols = rows.columns
     place = cols.index(text_col)
-    extra = StructType([StructField("answer", rows.sparkSession.createDataFrame([], f"answer {answer}").schema["answer"].dataType), StructField("error", rows.sparkSession.createDataFrame([], "e string").schema["e"].dataType)])
+    extra = StructType([StructField("answer", rows.sparkSession.createDataFrame([], f"answer {answer}").schema["answer"].dataType), StructField("error", StringType())])
     schema = StructType([*rows.schema.fields, *extra.fields])
 
     def run(batches):
@@ -214,21 +234,85 @@ def with_model(rows: DataFrame, model: Model, answer: str, text_col: str = "text
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(extra["answer"].dataType)
+
+        def fits(x):
+            try:
+                pa.array([x], kind)
+            except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError) as exc:
+                return exc
+            return x
+
         for x in batches:
             texts = x.column(place).to_pylist()
-            got = iter(model.run([t for t in texts if t is not None]))
+            got = iter(_answers(model, [t for t in texts if t is not None]))
             out = [None if t is None else next(got) for t in texts]
+            try:
+                values = pa.array([None if isinstance(o, Exception) else o for o in out], kind)
+            except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError):
+                out = [o if isinstance(o, Exception) else fits(o) for o in out]
+                values = pa.array([None if isinstance(o, Exception) else o for o in out], kind)
             bad = [str(o) or type(o).__name__ if isinstance(o, Exception) else None for o in out]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([None if b is not None else o for o, b in zip(out, bad)], kind), pa.array(bad, pa.string())], names=[*cols, "answer", "error"])
+            yield pa.RecordBatch.from_arrays([*x.columns, values, pa.array(bad, pa.string())], names=[*cols, "answer", "error"])
 
     out = rows.mapInArrow(run, schema)
     tokens = F.when(F.col(text_col).isNotNull(), token_estimate(F.col(text_col)))
     return out.withColumns({"tokens_in": tokens, "usd": tokens * F.lit(model.usd_in) / 1000})
 
 
-def embed(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """rows plus embedding and error. Equal texts are sent once: they meet by a hash of 128 bits, and the vectors are joined back."""
-    key = sha_prefix(F.col(text_col), 32)
-    texts = rows.select(key.alias("_k"), F.col(text_col).alias("_text")).where("_k IS NOT NULL").groupBy("_k").agg(F.first("_text").alias("_text"))
-    vectors = with_model(texts, model, "array<double>", "_text").select("_k", F.col("answer").alias("embedding"), "error")
-    return rows.withColumn("_k", key).join(cut(vectors).hint("merge"), "_k", "left").drop("_k")
+#: Vectors that a cache keeps, and how a row of one looks: the text's SHA-256, its vector, and the number of the last call that used it.
+KEPT = 8192
+CACHE = "key string, embedding array<double>, used long"
+#: Cells that keys of one call fall into by their first digits, when some of them must go.
+CELLS = 4096
+
+
+def _stay(cache: DataFrame, most: int) -> DataFrame:
+    """The keys that stay, `most` at most: those of the newest calls, and of the call in which the limit falls the smallest."""
+    calls = cache.groupBy("used").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("used")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    calls = calls.withColumn("room", F.lit(most) - before).where("room > 0")  # a row a call
+    kept = cache.select("key", "used").join(calls, "used")
+    cell = F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
+    edge = kept.where("n > room").withColumn("cell", cell)
+    cells = edge.groupBy("cell", "room").agg(F.count("*").alias("m"))
+    below = F.coalesce(F.sum("m").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("cell", (F.col("room") - below).alias("left")).where("left > 0")  # CELLS rows at most
+    some = edge.join(F.broadcast(cells), "cell").withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("key"))).where("i <= left")
+    return kept.where("n <= room").select("key").unionByName(some.select("key"))
+
+
+def embed(rows: DataFrame, model: Model, text_col: str = "text", cache: str | None = None, most: int = KEPT) -> DataFrame:
+    """rows plus embedding and error. Equal texts are sent once: they meet by their SHA-256, and the vectors are joined back.
+
+    cache: a folder in shared storage that keeps vectors between calls, `most` of them. What is
+    there is not sent, and wins over what another call has added meanwhile. Each call marks what it
+    uses; beyond `most` the vectors that were used longest ago go. Failures are not kept. A cache serves one model.
+    """
+    spark, key = rows.sparkSession, F.sha2(F.col(text_col), 256)
+    texts = rows.select(key.alias("key"), F.col(text_col).alias("_text")).where("key IS NOT NULL").groupBy("key").agg(F.first("_text").alias("_text"))
+    if cache is None:
+        vectors = cut(with_model(texts, model, "array<double>", "_text").select("key", F.col("answer").alias("embedding"), "error"))
+    else:
+        kept = load_version(spark, cache, CACHE)
+        call = (kept.agg(F.max("used")).first()[0] or 0) + 1
+        texts = cut(texts)
+        hits = texts.select("key").join(kept, "key").select("key", "embedding", F.lit(None).cast("string").alias("error"))
+        misses = texts.join(kept.select("key"), "key", "left_anti")
+        sent = with_model(misses, model, "array<double>", "_text").select("key", F.col("answer").alias("embedding"), "error")
+        vectors = cut(hits.unionByName(sent))  # the back end is called here, once
+        mine = vectors.where("embedding IS NOT NULL").select("key", "embedding", F.lit(call).cast("long").alias("used"))
+        whole = cut(mine.unionByName(load_version(spark, cache, CACHE).join(mine.select("key"), "key", "left_anti")))
+        if whole.count() > most:
+            whole = whole.join(cut(_stay(whole, most)), "key", "left_semi")
+        save_version(whole, cache)
+    return rows.withColumn("_k", key).join(vectors.withColumnRenamed("key", "_k").hint("merge"), "_k", "left").drop("_k")
+
+
+def register_table_function(spark: SparkSession, name: str, tool: type, returns: str) -> None:
+    """A tool for SQL: `SELECT * FROM name(TABLE(t) PARTITION BY k ORDER BY s)`.
+
+    tool has eval(row), called for each row, and may have terminate(), called at the end of each
+    partition; both yield tuples of the type `returns`. An instance serves one partition, so what it keeps
+    must be bounded, whatever the partition holds. Rows come in Arrow batches.
+    """
+    spark.udtf.register(name, F.udtf(tool, returnType=returns, useArrow=True))

@@ -60,9 +60,9 @@ def json_safe(spark, sf):
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END, 3) + 0.0 AS total FROM embeddings")
 def vector_store(spark, sf):
     path, e = scratch(spark, "vectors"), T(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    S.append_vectors(e.withColumn("ord", F.lit(0)), path)
-    S.append_vectors(e.where("vec_id % 10 = 0").select("vec_id", F.transform("embedding", lambda x: x * 2).alias("embedding"), F.lit(1).alias("ord")), path)
-    return S.read_vectors(spark, path).select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total")).withColumn("total", F.col("total") + 0.0)
+    S.add_vectors(e.withColumn("ord", F.lit(0)), path)
+    S.add_vectors(e.where("vec_id % 10 = 0").select("vec_id", F.transform("embedding", lambda x: x * 2).alias("embedding"), F.lit(1).alias("ord")), path)
+    return S.read_vectors(spark, path, "vec_id long, embedding array<double>, ord int").select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total")).withColumn("total", F.col("total") + 0.0)
 
 
 @query("SELECT 'saved' AS state, CAST(n_nationkey + 100 AS BIGINT) AS k, n_name AS v FROM nation WHERE n_nationkey < 5")
@@ -76,7 +76,11 @@ def state_store(spark, sf):
 
 @query("SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS resumes FROM conversations WHERE turn > 0 AND turn % 5 = 0")
 def checkpoint_steps(spark, sf):
-    return S.checkpoint_steps(T(spark, sf, "conversations").select("conv_id", "turn"), key="conv_id", order="turn")
+    """Saved after the first turns, and again when all are there; then read back."""
+    steps, folder = T(spark, sf, "conversations").select("conv_id", "turn"), scratch(spark, "saved")
+    S.checkpoint_steps(steps.where("turn < 7"), folder, key="conv_id", order="turn")
+    S.checkpoint_steps(steps, folder, key="conv_id", order="turn")
+    return S.resume_steps(spark, folder, "conv_id long, turn long", "conv_id", "turn").where("turn > 0 AND turn % 5 = 0")
 
 
 @query("""SELECT 'steps' AS part, count(*) AS n, CAST(sum(turn) AS DOUBLE) AS total FROM conversations UNION ALL SELECT 'costs', count(*), round(sum(value), 2) FROM events UNION ALL SELECT 'evidence', count(*), CAST(sum(n_nationkey) AS DOUBLE) FROM nation
@@ -131,7 +135,10 @@ COUNTS = "list_transform(range(97, 123), lambda c: CAST(length(text) - length(re
 
 @query(f"SELECT doc_id, CASE WHEN text NOT LIKE 'De%' THEN list_sum({COUNTS}) END AS letters, CASE WHEN text NOT LIKE 'De%' THEN ({COUNTS})[5] END AS e, CASE WHEN text LIKE 'De%' THEN 'no such language' END AS error FROM documents")
 def embed_texts(spark, sf):
-    out = P.embed(T(spark, sf, "documents").select("doc_id", "text"), Letters())
+    """A third of the documents first, into a cache; then all of them, of which the others only are sent."""
+    docs, cache = T(spark, sf, "documents").select("doc_id", "text"), scratch(spark, "vectors")
+    P.embed(docs.where("doc_id % 3 = 0"), Letters(), cache=cache, most=10_000_000)
+    out = P.embed(docs, Letters(), cache=cache, most=10_000_000)
     return out.select("doc_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("letters"), F.get("embedding", F.lit(4)).alias("e"), "error")
 
 
@@ -156,6 +163,43 @@ def called_function(spark, sf):
     return T(spark, sf, "events").selectExpr("event_id", "round(tessera_scored(value, user_id), 4) AS scored")
 
 
+class Streaks:
+    """A tool for SQL: the longest run of failures of a partition."""
+
+    def __init__(self):
+        self.user, self.now, self.most = None, 0, 0
+
+    def eval(self, row):
+        self.user = row["user_id"]
+        self.now = self.now + 1 if row["event_type"] == "error" else 0
+        self.most = max(self.most, self.now)
+
+    def terminate(self):
+        yield self.user, self.most
+
+
+class Jumps:
+    """A tool for SQL: the rows whose value is more than twice the one before."""
+
+    def __init__(self):
+        self.last = None
+
+    def eval(self, row):
+        if self.last is not None and row["value"] > 2 * self.last:
+            yield row["user_id"], row["event_id"]
+        self.last = row["value"]
+
+
+@query(f"""WITH {STREAK}, m AS (SELECT user_id, max(streak) AS streak FROM s GROUP BY 1), v AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events),
+j AS (SELECT user_id, count(*) AS jumps FROM v WHERE value > 2 * last GROUP BY 1) SELECT user_id, streak, coalesce(jumps, 0) AS jumps FROM m LEFT JOIN j USING (user_id)""")
+def sql_tools(spark, sf):
+    r = P.Registry()
+    r.register_table_function(spark, "tessera_streaks", Streaks, "user_id long, streak long")
+    r.register_table_function(spark, "tessera_jumps", Jumps, "user_id long, event_id long")
+    return spark.sql("""SELECT s.user_id, streak, coalesce(jumps, 0) AS jumps FROM tessera_streaks(TABLE({e}) PARTITION BY user_id ORDER BY (ts, event_id)) s
+        LEFT JOIN (SELECT user_id, count(*) AS jumps FROM tessera_jumps(TABLE({e}) PARTITION BY user_id ORDER BY (ts, event_id)) GROUP BY user_id) j ON j.user_id = s.user_id""", e=T(spark, sf, "events"))
+
+
 # ---- registries
 
 
@@ -237,11 +281,19 @@ def stream_resume(spark, sf):
     return run()
 
 
-@query("""WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN 'clear' WHEN 2 THEN 'consume' ELSE 'put' END AS kind, substr(text, 1, 1000) AS text FROM conversations),
-l AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS said FROM m) SELECT CAST(conv_id AS VARCHAR) AS session, said AS advice FROM l WHERE kind = 'consume' AND before = 'put'""")
+@query("""WITH m AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS k, substr(text, 1, 1500) AS text FROM conversations),
+q AS (SELECT conv_id, turn * 3 + k AS seq, CASE k WHEN 0 THEN CASE turn % 4 WHEN 3 THEN 'clear' WHEN 1 THEN 'guide' ELSE 'put' END WHEN 1 THEN CASE turn % 3 WHEN 0 THEN 'has' ELSE 'peek' END ELSE CASE turn % 3 WHEN 2 THEN 'consume' WHEN 1 THEN 'guidance' ELSE 'has' END END AS kind, text FROM m),
+w AS (SELECT *, arg_max(CASE kind WHEN 'put' THEN text ELSE '' END, seq) FILTER (kind IN ('put', 'clear', 'consume')) OVER o AS said, arg_max(kind, seq) FILTER (kind IN ('put', 'clear', 'consume')) OVER o AS last, arg_max(substr(text, 1, 1000), seq) FILTER (kind = 'guide') OVER o AS guide
+  FROM q WINDOW o AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(conv_id AS VARCHAR) AS session, seq, kind, CASE kind WHEN 'has' THEN CASE WHEN last = 'put' THEN 'true' ELSE 'false' END WHEN 'guidance' THEN coalesce(guide, '') ELSE said END AS answer
+FROM w WHERE kind IN ('has', 'guidance') OR (kind IN ('peek', 'consume') AND last = 'put')""")
 def stream_mailbox(spark, sf):
-    k = F.col("turn") % 4
-    m = ST.stream_table(spark, sf, "conversations.parquet").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.when(k == 3, "clear").when(k == 2, "consume").otherwise("put").alias("kind"), "text")
+    """Each turn puts, guides or clears, then asks, then asks or consumes."""
+    t, k = F.col("turn"), F.col("k")
+    first, second = F.when(t % 4 == 3, "clear").when(t % 4 == 1, "guide").otherwise("put"), F.when(t % 3 == 0, "has").otherwise("peek")
+    third = F.when(t % 3 == 2, "consume").when(t % 3 == 1, "guidance").otherwise("has")
+    rows = ST.stream_table(spark, sf, "conversations.parquet").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    m = rows.select(F.col("conv_id").cast("string").alias("session"), (t * 3 + k).alias("seq"), F.when(k == 0, first).when(k == 1, second).otherwise(third).alias("kind"), F.substring("text", 1, 1500).alias("text"))
     return ST.drain(ST.mailbox(m))
 
 

@@ -11,7 +11,8 @@ from ..functions.text import sha_prefix
 from ..operators.graph import EXTENSIONS
 from ..operators.logs import sanitizer_crashes
 from ..operators.routing import overlay
-from ..operators.vector import latest
+from .shared import path_in
+from .stored import load_version, merge_into, read_store, save_version
 
 
 def source_tree(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
@@ -83,38 +84,34 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return fixed.unionByName(n).unionByName(e).orderBy("part", "ord").select("value")
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("append").parquet(path)
+def add_vectors(vectors: DataFrame, path: str, order: str = "ord") -> int:
+    """Upsert vectors (vec_id, embedding, an order and more) into a store; see merge_into()."""
+    return merge_into(vectors, path, ["vec_id"], order)
 
 
-def read_vectors(spark: SparkSession, path: str, order: str = "ord") -> DataFrame:
-    """One vector an id, the last one added."""
-    return latest(spark.read.parquet(path), ["vec_id"], order)
+def read_vectors(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One vector an id, the last one added: a plain scan, which was settled when it was written."""
+    return read_store(spark, path, schema)
 
 
 def checkpoint_key(target):
     return sha_prefix(target, 12)
 
 
-def save_state(df: DataFrame, folder: str, target: str) -> str:
-    """Overwrite a target's state; the name is the start of the target's SHA-256."""
+def _of(folder: str, target: str) -> str:
     import hashlib
 
-    path = f"{folder}/{hashlib.sha256(target.encode()).hexdigest()[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    return f"{folder}/{hashlib.sha256(target.encode()).hexdigest()[:12]}"
 
 
-def load_state(spark: SparkSession, folder: str, target: str, schema: str) -> DataFrame:
-    """A target's state, an empty table if there is none that can be read."""
-    import hashlib
+def save_state(df: DataFrame, folder: str, target: str) -> int:
+    """A new version of a target's state, committed as a whole; the folder's name is the start of the target's SHA-256."""
+    return save_version(df, _of(folder, target))
 
-    from pyspark.errors import PySparkException
 
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/{hashlib.sha256(target.encode()).hexdigest()[:12]}")
-    except PySparkException:
-        return spark.createDataFrame([], schema)
+def load_state(spark: SparkSession, folder: str, target: str, schema: str) -> DataFrame:
+    """The last committed state of a target, an empty table if there is none. What can't be read raises."""
+    return load_version(spark, _of(folder, target), schema)
 
 
 def profiles(spark: SparkSession, settings: dict) -> DataFrame:
@@ -123,14 +120,14 @@ def profiles(spark: SparkSession, settings: dict) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str, defaults: dict) -> DataFrame:
-    """Profiles as a small table: the defaults, with what a YAML file has under `capabilities` laid over them; the defaults alone if it can't be read."""
+    """Profiles as a small table: the defaults, with what a YAML file has under `capabilities` laid over them; the defaults alone if there is no such file or it is no YAML map."""
     import yaml
-    from pyspark.errors import PySparkException
 
+    place, store = path_in(spark, path)
+    text = reports(spark, path, "text").first() if store.exists(place) else None
     try:
-        text = reports(spark, path, "text").first()
         user = (yaml.safe_load(text["text"]) or {}).get("capabilities", {}) if text else {}
-    except (PySparkException, yaml.YAMLError, AttributeError):
+    except (yaml.YAMLError, AttributeError):
         user = {}
     return profiles(spark, overlay(defaults, user))
 
@@ -149,18 +146,29 @@ def write_session(parts: dict[str, DataFrame], folder: str) -> None:
 
 def read_session(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables that were written, by name."""
-    from pyspark.errors import PySparkException
-
     out = {}
     for name in SESSION:
-        try:
+        place, store = path_in(spark, f"{folder}/{name}")
+        if store.exists(place):  # a session may lack a part; one that is there but can't be read raises
             out[name] = spark.read.parquet(f"{folder}/{name}")
-        except PySparkException:  # a part that the session lacks
-            continue
     return out
 
 
-def checkpoint_steps(steps: DataFrame, every: int = 5, key: str = "session", order: str = "step_num") -> DataFrame:
-    """The rows after which a session's state is saved: each `every`-th step. The last of them is where it resumes."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return steps.where((F.col(order) > 0) & (F.col(order) % every == 0)).withColumn("resumes", F.row_number().over(w) == 1)
+def checkpoint_steps(steps: DataFrame, folder: str, every: int = 5, key: str = "session", order: str = "step_num") -> int:
+    """Save every session up to its last `every`-th step as one version; sessions with fewer steps save none. Returns its number.
+
+    A session that was saved before and has no new mark stays as it was saved.
+    """
+    spark = steps.sparkSession
+    marks = steps.where((F.col(order) > 0) & (F.col(order) % every == 0)).groupBy(F.col(key).alias("_k")).agg(F.max(order).alias("_m"))
+    now = steps.join(marks, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) <= F.col("_m"))).select(*steps.columns)
+    before = load_version(spark, folder, steps.schema)
+    gone = before.join(marks.select("_k"), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    return save_version(now.unionByName(gone), folder)
+
+
+def resume_steps(spark: SparkSession, folder: str, schema: str, key: str = "session", order: str = "step_num") -> DataFrame:
+    """The saved steps plus resumes: whether a session goes on after that one."""
+    saved = load_version(spark, folder, schema)
+    last = F.max(order).over(Window.partitionBy(key))
+    return saved.withColumn("resumes", F.coalesce(F.col(order) == last, F.lit(False)))

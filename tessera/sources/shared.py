@@ -30,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def _store(spark: SparkSession, path: str):
+def path_in(spark: SparkSession, path: str):
+    """A path and the store that holds it, of any kind that Spark reaches."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -38,7 +39,7 @@ def _store(spark: SparkSession, path: str):
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder. What is written there goes when the driver's JVM ends, or by drop_tables()."""
     folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    place, store = _store(spark, folder)
+    place, store = path_in(spark, folder)
     store.mkdirs(place)
     store.deleteOnExit(place)  # takes folders that exist only
     _written.append(folder)
@@ -58,7 +59,7 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     df.write.parquet(path)
     if free:
         spark._jvm.System.gc()
-    place, store = _store(spark, path)
+    place, store = path_in(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     # many small files would make many tasks, each with a file a shuffle partition: one task a core, or a TASK_BYTES
     return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-store.getContentSummary(place).getLength() // TASK_BYTES)))
@@ -76,7 +77,7 @@ def drop_tables(spark: SparkSession) -> int:
     """Delete all that scratch() and cut() have made so far in this driver; DataFrames that read it end. For drivers that live long, between queries."""
     n = len(_written)
     while _written:
-        place, store = _store(spark, _written.pop())
+        place, store = path_in(spark, _written.pop())
         store.delete(place, True)
         store.cancelDeleteOnExit(place)
     return n
@@ -85,8 +86,18 @@ def drop_tables(spark: SparkSession) -> int:
 def put_files(spark: SparkSession, folder: str, texts: dict[str, str]) -> str:
     """Write a few small named files below a folder of any store that Spark reaches."""
     for name, text in texts.items():
-        place, store = _store(spark, f"{folder}/{name}")
+        place, store = path_in(spark, f"{folder}/{name}")
         out = store.create(place, True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
     return folder
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    place, store = path_in(spark, path)
+    source = store.open(place)
+    try:
+        return bytes(source.readAllBytes()).decode("utf-8")
+    finally:
+        source.close()

@@ -117,7 +117,7 @@ def test_mailbox_stream(spark, tmp_path):
     rows = [("s", 1, "put", "a"), ("s", 2, "put", "b"), ("s", 3, "consume", None), ("s", 4, "consume", None), ("t", 1, "put", "c"), ("t", 2, "clear", None), ("t", 3, "consume", None)]
     spark.createDataFrame(rows, "session string, seq long, kind string, text string").coalesce(1).write.parquet(str(tmp_path / "m"))
     out = S.drain(S.mailbox(S.stream_table(spark, str(tmp_path / "m"), "*.parquet")), folder=str(tmp_path / "o")).collect()
-    assert [tuple(r) for r in out] == [("s", "b")]
+    assert [tuple(r) for r in out] == [("s", 3, "consume", "b")]
 
 
 def test_circuit_and_cooldown(spark):
@@ -249,10 +249,17 @@ def test_hypotheses_and_crashes_raise_risk(spark):
     assert [tuple(r)[:2] for r in short.collect()] == [("f:a", "c")]
 
 
-def test_evidence(spark):
+def test_evidence(spark, tmp_path):
     ev = spark.createDataFrame([("p1", "The Heap was freed early", None), ("p2", "x", ["UAF"])], "pointer string, fragment string, keywords array<string>")
     assert {(r["keyword"], r["pointer"]) for r in R.evidence_index(ev).collect()} == {("heap", "p1"), ("uaf", "p2")}
-    assert [r["pointer"] for r in R.find_evidence(ev, "UAF").collect()] == ["p2"]
+    path = str(tmp_path / "evidence")
+    assert R.find_evidence(spark, path, "UAF").isEmpty() and R.get_evidence(spark, path, "p2").isEmpty()
+    R.put_evidence(ev, path)
+    R.put_evidence(spark.createDataFrame([("p2", "y", ["New", "uaf"]), ("p3", "z", ["uaf"])], ev.schema), path, 1)
+    assert sorted(tuple(r) for r in R.find_evidence(spark, path, "UAF").collect()) == [("p2", "y"), ("p3", "z")]
+    assert R.get_evidence(spark, path, "p2").first()["fragment"] == "y" and R.get_evidence(spark, path, "p9").isEmpty()
+    plan = R.find_evidence(spark, path, "heap")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("PartitionFilters: [")[1].split("]")[0].count("_part") == 2  # only the part that may hold it is read
     assert tuple(R.evidence_counts(ev).first()) == (2, 2)
 
 
