@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -46,19 +47,31 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{folder}/data"
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+#: Spark then drops an execution's shuffle files when it ends, and not only when the driver's JVM comes to collect garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _freed(spark: SparkSession):
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again, which cuts its lineage.
 
     Unlike checkpoint(), that runs the plan once rather than twice, and later reads take the
-    columns they need only. The table survives lost executors. With free, for steps that shuffle
-    much, Spark is made to drop the shuffle files of finished steps now: it does so only when the
-    driver's JVM collects garbage, which a driver with little to do puts off until disks are full.
+    columns they need only. The table survives lost executors, so the shuffle files of the plan are
+    dropped as soon as it is written.
     """
     spark = df.sparkSession
     path = scratch(spark, "table")
-    df.write.parquet(path)
-    if free:
-        spark._jvm.System.gc()
+    with _freed(spark):
+        df.write.parquet(path)
     place, store = path_in(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     # many small files would make many tasks, each with a file a shuffle partition: one task a core, or a TASK_BYTES
