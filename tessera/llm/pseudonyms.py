@@ -9,13 +9,16 @@ valid value stays as it is:
   are no part of it: from each group on, the longest run of whole groups that is valid counts,
 - dates from 1900 to 2100 (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy): permuted among the
   73,414 days of that span, written the same way,
-- telephone numbers (+1 (ddd) ddd-dddd and other international ones): the digits behind the country code,
-- social security numbers (ddd-dd-dddd, no 000, 666, 9dd, 00 or 0000 groups),
+- telephone numbers in international form of 7 to 15 digits, spaced, bracketed or in one piece: the digits behind the country code, which is
+  told from the digits, so that all spellings of a number get one pseudonym; a trunk zero as (0) is no part of it,
+- social security numbers (ddd-dd-dddd, no 000, 666, 9dd, 00 or 0000 groups): permuted among the valid ones,
 - IPv4 addresses: permuted among the addresses whose four numbers have as many digits, and leading
   zeros where these have them,
 - e-mail addresses: letters and digits of the local part permuted within their kinds. The domain
   stays as it is, in clear.
 
+Telephone numbers without a country code, IBANs, IPv6 addresses, names and places are not looked for and stay in clear.
+
 A Feistel network can be run backwards by whoever has the key, so there is no default key: keep it
 apart from the data. All of it is one projection: no shuffle, no Python. Texts without digits and @ are only scanned.
 """
@@ -33,9 +36,10 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
 #: The first digit group of a card candidate; group 1 is the longest candidate from there.
 CARD_HEAD = r"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]))[0-9]+"
+PHONE_DIGITS = (7, 15)
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD_HEAD))
 
 
@@ -149,6 +153,30 @@ def _card_in(c: Column) -> Column:
     return F.get(F.filter(runs, lambda r: (F.length(_digits(r)) >= 13) & r.rlike("[0-9]$") & (F.pmod(_luhn_sum(_digits(r)), F.lit(10)) == 0)), F.lit(0))
 
 
+#: The country codes of one and of two digits; all others have three.
+COUNTRY_1 = ("1", "7")
+COUNTRY_2 = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: Area numbers run from 1 to 899 without 666, group numbers from 1 to 99, serial numbers from 1 to 9999.
+AREAS, GROUPS, SERIALS, NO_AREA = 898, 99, 9999, 666
+
+
+def _phone(v: Column, key: str) -> Column:
+    shape = F.replace(v, F.lit("(0)"), F.lit("(_)"))
+    digits = _digits(shape)
+    code = F.when(F.substring(digits, 1, 1).isin(*COUNTRY_1), 1).when(F.substring(digits, 1, 2).isin(*COUNTRY_2), 2).otherwise(3)
+    national = feistel_text(F.substring(digits, code + 1, F.length(digits)), "phone", key)
+    return F.replace(_refill(shape, F.concat(F.substring(digits, F.lit(1), code), national)), F.lit("(_)"), F.lit("(0)"))
+
+
+def _ssn(v: Column, key: str) -> Column:
+    area, group, serial = (F.split(v, "-")[i].cast("long") for i in range(3))
+    place = F.when(area < NO_AREA, area - 1).otherwise(area - 2)
+    p = feistel_pair(place * GROUPS + group - 1, serial - 1, AREAS * GROUPS, SERIALS, "ssn", key)
+    place = F.floor(p["l"] / GROUPS)
+    area = F.when(place < NO_AREA - 1, place + 1).otherwise(place + 2)
+    return F.format_string("%03d-%02d-%04d", area, F.pmod(p["l"], F.lit(GROUPS)) + 1, p["r"] + 1)
+
+
 def kind_of(v: Column) -> Column:
     """email, ip, date, ssn, phone, or null for a match that isn't valid. Cards are told by _card_in."""
     octets = F.forall(F.split(v, r"\."), lambda o: o.cast("int") <= 255)
@@ -158,17 +186,14 @@ def kind_of(v: Column) -> Column:
         .when(v.rlike(_whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")), F.when(octets, F.lit("ip")))
         .when(v.rlike(r"^(?:[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit("2100-12-31").cast("date")), F.lit("date")))
         .when(v.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
-        .when(v.startswith("+"), F.lit("phone"))
+        .when(v.startswith("+"), F.when(F.length(_digits(F.replace(v, F.lit("(0)"), F.lit("")))).between(*PHONE_DIGITS), F.lit("phone")))
     )
 
 
 def pseudonym(v: Column, kind: Column, key: str) -> Column:
-    country = F.regexp_extract(v, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    national = F.substring(v, F.length(country) + 1, F.length(v))
-    phone = F.concat(country, _refill(national, feistel_text(_digits(national), "phone", key)))
     return (
-        F.when(kind == "email", _email(v, key)).when(kind == "ip", _ip(v, key)).when(kind == "date", _date(v, key)).when(kind == "ssn", _refill(v, feistel_text(_digits(v), "ssn", key)))
-        .when(kind == "phone", phone).when(kind == "card", _card(v, key)).otherwise(v)
+        F.when(kind == "email", _email(v, key)).when(kind == "ip", _ip(v, key)).when(kind == "date", _date(v, key)).when(kind == "ssn", _ssn(v, key))
+        .when(kind == "phone", _phone(v, key)).when(kind == "card", _card(v, key)).otherwise(v)
     )
 
 

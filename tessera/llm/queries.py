@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import blocks, decontaminate, dialogue, lines, manifest, mixing, neardup, packing, pseudonyms, quality, secrets, shards, substrings
@@ -30,7 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is the session's spark.tessera.pii.key; without one, a public key that serves for trying the query out only."""
-    key = spark.conf.get("spark.tessera.pii.key", "public key of the registered query")
+    key = spark.conf.get("spark.tessera.pii.key", None)
+    if key is None:
+        key = "public key of the registered query"
+        warnings.warn("spark.tessera.pii.key is not set: pseudonyms are made with a key that everyone has", stacklevel=2)
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
