@@ -24,13 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the map that leaves rows out before a shuffle: 262,144 rows of 16 bytes when it is broadcast, however many keys there are.
-MAP_BITS = 1 << 24
+#: Bits a key of the map that leaves rows out before a shuffle, and the powers of two that it may have: a row of 16 bytes holds 64 bits when it is broadcast, so 16 MB at most.
+MAP_SHARE, MAP_BITS = 16, (16, 26)
 
 
 def _maybe(df: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """df plus _maybe: whether a bit map of the keys' hashes has the row's bit. False is certain, true is not."""
-    place = F.pmod(F.xxhash64(*names), F.lit(MAP_BITS))
+    """df plus _maybe: whether a bit map of the keys' hashes has the row's bit. False is certain, true is not. The map grows with the keys up to its bound, beyond which it leaves out less."""
+    bits_ = 1 << min(max((keys.count() * MAP_SHARE).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+    place = F.pmod(F.xxhash64(*names), F.lit(bits_))
     bits = keys.select(place.alias("_h")).groupBy(F.expr("shiftright(_h, 6)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, CAST(_h % 64 AS INT)))").alias("_b"))
     out = df.withColumn("_h", place).withColumn("_w", F.expr("shiftright(_h, 6)")).join(F.broadcast(bits), "_w", "left")
     return out.withColumn("_maybe", F.expr("coalesce(shiftright(_b, CAST(_h % 64 AS INT)) & 1, 0) = 1")).drop("_w", "_h", "_b")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, cut, grams, mix, only, slices, text_buffer
-from .linking import binary_matrix, link_groups, pruning_table
+from .linking import binary_matrix, dealt_to, link_groups, pruning_table
 
 SHINGLE = 5
 ROWS, BANDS = 5, 16
@@ -38,6 +38,8 @@ SLICE = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: Bins that an empty bin borrows from, in turn; then the next full one.
 _DONORS = (mix(np.arange(HASHES * 24, dtype=np.uint64).reshape(24, HASHES) + np.uint64(9001)) % np.uint64(HASHES)).astype(np.int64)
+#: Bytes of a line that is worth a record, for the number of tasks: shorter ones on average only make tasks hold more.
+LINE_BYTES = 40
 _ID = ["h1", "h2", "doc", "th", "ln"]
 
 
@@ -149,8 +151,8 @@ def _occurrences(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(take), x.column(1).take(take), pa.array(number, pa.int32())], names=_ID)
 
 
-#: A line on its way to the task that knows all its occurrences: hashes, first document, occurrences, whether it is shorter than a shingle, keys.
-_RECORD = np.dtype([("h1", np.int64), ("h2", np.int64), ("doc", np.int64), ("c", np.int64), ("short", np.int64), ("keys", np.int64, BANDS)])
+#: A line on its way to the task that knows all its occurrences: hashes, first document, occurrences, characters, keys.
+_RECORD = np.dtype([("h1", np.int64), ("h2", np.int64), ("doc", np.int64), ("c", np.int64), ("size", np.int64), ("keys", np.int64, BANDS)])
 
 
 def _combined(rows: np.ndarray) -> np.ndarray:
@@ -193,7 +195,7 @@ def _signed(tasks: int):
                 points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
                 ends = np.append(np.flatnonzero(points == 10), len(points))
                 starts = np.append(0, ends[:-1] + 1)
-                part["h1"], part["h2"], part["doc"], part["c"], part["short"] = h[:, 0], h[:, 1], docs[np.array(row)], 1, ends - starts < SHINGLE
+                part["h1"], part["h2"], part["doc"], part["c"], part["size"] = h[:, 0], h[:, 1], docs[np.array(row)], 1, ends - starts
                 part["keys"] = keys_of(signatures_of(points, starts, ends))
                 parts.append(part)
                 held += len(part)
@@ -206,8 +208,15 @@ def _signed(tasks: int):
     return run
 
 
+def _other_name(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return mix(mix(h1.view(np.uint64)) + h2.view(np.uint64)).view(np.int64)
+
+
 def _distinct(batches):
-    """h1, h2, c, doc, keys (null for lines without a shingle) of the lines in a partition's blocks."""
+    """id, h1, h2, c, doc, size, keys (null for lines without a shingle) of the lines in a partition's blocks.
+
+    A line's id is h1; of lines that share h1, which meet here, all but the first are named by both hashes.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -216,11 +225,16 @@ def _distinct(batches):
         return
     every = _combined(np.frombuffer(b"".join(blocks), _RECORD))
     del blocks
+    twin = np.append(False, every["h1"][1:] == every["h1"][:-1])
     for lo in range(0, len(every), 1 << 14):
         rows = every[lo : lo + (1 << 14)]
         keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["keys"]).tobytes())]).cast(pa.binary())
-        keys = pc.if_else(pa.array(rows["short"] == 1), pa.scalar(None, pa.binary()), keys)
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c])) for c in ("h1", "h2", "c", "doc")), keys], names=["h1", "h2", "c", "doc", "keys"])
+        keys = pc.if_else(pa.array(rows["size"] < SHINGLE), pa.scalar(None, pa.binary()), keys)
+        cols = [np.ascontiguousarray(rows[c]) for c in ("h1", "h2", "c", "doc", "size")]
+        named = cols[0].copy()
+        again = twin[lo : lo + (1 << 14)]
+        named[again] = _other_name(cols[0][again], cols[1][again])
+        yield pa.RecordBatch.from_arrays([pa.array(named), *map(pa.array, cols), keys], names=["id", "h1", "h2", "c", "doc", "size", "keys"])
 
 
 _LINE = "h1 long, h2 long, doc long, th int, ln int"
@@ -276,11 +290,11 @@ def hashed_sets(lines: list[str]) -> list[np.ndarray]:
 
 
 def _texts(docs: DataFrame, distinct: DataFrame):
-    """From ids (h1) to id and text (the line), read again from one of the documents that hold it."""
+    """From ids to id and text (the line), read again from one of the documents that hold it."""
 
     def read(ids: DataFrame) -> DataFrame:
-        at = cut(only(distinct.select(F.col("h1").alias("id"), "doc"), ids, "id").groupBy("doc").agg(F.collect_set("id").alias("ids")))
-        holders = only(docs, cut(at.select("doc")), "doc").join(at.hint("merge"), "doc").select("doc", "text", "ids")
+        at = cut(only(distinct.select("id", "h2", "doc"), ids, "id").groupBy("doc").agg(F.collect_list("id").alias("ids"), F.collect_list("h2").alias("h2s")))
+        holders = only(docs, cut(at.select("doc")), "doc").join(at.hint("merge"), "doc").select("doc", "text", "ids", "h2s")
 
         def pick(batches):
             import pyarrow as pa
@@ -289,24 +303,32 @@ def _texts(docs: DataFrame, distinct: DataFrame):
                 buf, offsets = text_buffer(x.column(1))
                 for i in range(x.num_rows):
                     lines = [line for _, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
-                    h1 = _digests(lines)[:, 0]
-                    hit = np.flatnonzero(np.isin(h1, np.asarray(x.column(2)[i].values)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array([lines[n].decode("utf-8") for n in hit], pa.string())], names=["id", "text"])
+                    h = _digests(lines)
+                    ids, h2s = np.asarray(x.column(2)[i].values), np.asarray(x.column(3)[i].values)
+                    known = set(zip(ids.tolist(), h2s.tolist()))
+                    hit = np.flatnonzero(np.isin(h[:, 1], h2s))
+                    other = _other_name(np.ascontiguousarray(h[hit, 0]), np.ascontiguousarray(h[hit, 1]))
+                    found = [(name, n) for n, a, b, c in zip(hit.tolist(), h[hit, 0].tolist(), h[hit, 1].tolist(), other.tolist()) for name in (a, c) if (name, b) in known]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([lines[n].decode("utf-8") for _, n in found], pa.string())], names=["id", "text"])
 
         return cut(holders.mapInArrow(pick, "id long, text string").dropDuplicates(["id"]))
 
     return read
 
 
-def line_groups(docs: DataFrame) -> DataFrame:
-    """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that a line takes beside its characters, and a character with the sets made of it, where lines are compared.
+WEIGHT = (1024, 24)
+
+
+def line_groups(docs: DataFrame, text_bytes: int = 0) -> DataFrame:
+    """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text. text_bytes: how many their texts have, about."""
+    tasks = dealt_to(docs.sparkSession, text_bytes * _RECORD.itemsize // LINE_BYTES)
     blocks = docs.mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
-    distinct = cut(blocks.mapInArrow(_distinct, "h1 long, h2 long, c long, doc long, keys binary"), free=True)
-    known = distinct.select("h1", "h2", "c", "doc")
-    signatures = distinct.where("keys IS NOT NULL").select(F.col("h1").alias("id"), F.col("keys").alias("sig"), F.lit(4000).alias("w"))
-    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, keys_of, matrix_of, screen=numbered_sets)
-    return known.join(found.withColumnRenamed("id", "h1").hint("merge"), "h1", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "h1").alias("group"))
+    distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, size long, keys binary"))
+    known = distinct.select("id", "h1", "h2", "c", "doc")
+    signatures = distinct.where("keys IS NOT NULL").select("id", F.col("keys").alias("sig"), (F.lit(WEIGHT[0]) + F.col("size") * WEIGHT[1]).alias("w"))
+    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, BANDS, keys_of, matrix_of, screen=numbered_sets)
+    return known.join(found.hint("merge"), "id", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("group"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +341,9 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     known = base.where("doc IS NOT NULL AND text IS NOT NULL")
-    groups = cut(line_groups(known))
-    occurs = cut(known.mapInArrow(_occurrences, _LINE).join(groups.hint("shuffle_hash"), ["h1", "h2"]).select("group", "doc", "ln", "th"))
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0]
+    groups = cut(line_groups(known, size or 0))
+    occurs = cut(attach(known.mapInArrow(_occurrences, _LINE), groups, ["h1", "h2"], F.lit(24), "inner").select("group", "doc", "ln", "th"))
     # written first, so that the join has plain exchanges on both sides, and a line of every document is split
     kept = cut(occurs.groupBy("group").agg(F.min(F.struct("doc", "ln", "th")).alias("keep")))
     gone = occurs.join(kept.hint("merge"), "group").where(F.struct("doc", "ln", "th") != F.col("keep"))

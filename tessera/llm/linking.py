@@ -215,10 +215,11 @@ def _before(key, keys: np.ndarray) -> np.ndarray:
     return keys[:, : at[0] if len(at) else 0]
 
 
-def _dealt(rows: DataFrame, size) -> DataFrame:
-    """rows (key, id, root, w, sig) in packs of small buckets, and in pairs (i, j) of the chunks of large ones."""
+def _dealt(rows: DataFrame, size, texts: bool = False) -> DataFrame:
+    """rows (key, id, root, w, sig) in packs of small buckets, and in pairs (i, j) of the chunks of large ones. texts: whether rows bring their texts, of weight w."""
     large = cut(rows.groupBy("key").agg(size.cast("int").alias("chunks")).where("chunks > 1"))
-    packs = max(1, -(-rows.count() // PACK))
+    many, weight = rows.agg(F.count("*"), F.sum("w")).first()
+    packs = max(1, -(-many // PACK), -(-(weight or 0) // CHUNK_WEIGHT) if texts else 0)
     placed = rows.join(large.hint("merge"), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -245,6 +246,15 @@ def _hot(signatures: DataFrame, keys_in: Callable) -> list[tuple[int, int]]:
     return sorted((r["key"], -(-r["n"] // HOT_ROWS)) for r in some.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect())
 
 
+#: Bytes of a key, a part and an id, and bytes of blocks that one task holds, about: arrays to sort them take several times as much.
+ENTRY, DEALT = 20, 48 << 20
+
+
+def dealt_to(spark, size: int) -> int:
+    """Tasks for blocks of so many bytes: as many as Spark would make, and more where each would hold more than DEALT."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // DEALT))
+
+
 def _dealer(tasks: int, hot: list[tuple[int, int]], keys_in: Callable):
     """Rows (id, sig) as blocks: pid, and the keys, parts and ids of a batch that go to task pid, end to end.
 
@@ -364,21 +374,21 @@ def _candidates(key, part, ids, sig, keys, least, batch):
 
 def link_groups(
     signatures: DataFrame, keys_in: Callable, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
-    percent: int, least: np.ndarray, batch: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = binary_matrix, screen: Callable | None = None,
+    percent: int, least: np.ndarray, batch: int, bands: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = binary_matrix, screen: Callable | None = None,
 ) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
     signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's weight in bytes).
     keys_in: the keys of each band from an Arrow column of signatures. texts: from a table of ids, id and text. shingles: the exact set of a text.
     sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. keys_of: the
-    keys of each band, in order, from a matrix of signatures. screen: see exact_links. Items
+    keys of each of the bands, in order, from a matrix of signatures. screen: see exact_links. Items
     without links are absent.
     """
     # one exchange by key finds the keys of several items, in one pass over each partition. Keys that very many items
     # share are dealt by a part of the id too, and their parts meet in their smallest ids and in phase two
-    tasks = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = dealt_to(signatures.sparkSession, signatures.count() * bands * ENTRY)
     dealt = signatures.select("id", "sig").mapInArrow(_dealer(tasks, _hot(signatures, keys_in), keys_in), "pid int, keys binary, parts binary, ids binary")
-    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"), free=True)
+    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"))
 
     # phase one: members meet with their signatures, bucket by bucket
     kind = signatures.schema["sig"].dataType
@@ -398,7 +408,7 @@ def link_groups(
             rows = t.filter(pa.array(live))
             yield from pa.table([*rows.select(["key", "part", "id"]).columns, pa.nulls(rows.num_rows, pa.int64()), pa.array(count[live].astype(np.int64)), rows.column("w"), rows.column("sig")], names=schema.names).to_batches()
 
-    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema), free=True)
+    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema))
     tops = seen.where("part >= 0 AND n IS NOT NULL").groupBy("key", "part").agg(F.min("id").alias("v"))
     heads = cut(tops.groupBy("key").agg(F.min("v").alias("u")))
     tested = seen.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v"))
@@ -433,7 +443,7 @@ def link_groups(
     rest = cut(placed.groupBy("pack", "big", "i", "j").applyInArrow(marked, rest.select("key", "id", "root", "w", "sig").schema).dropDuplicates(["key", "id"]))
     if rest.isEmpty():
         return found
-    placed = _dealt(rest, F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("w") / CHUNK_WEIGHT)))
+    placed = _dealt(rest, F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("w") / CHUNK_WEIGHT)), texts=True)
     placed = placed.join(texts(cut(rest.select("id").distinct())).hint("merge"), "id")
 
     def linked(n, to, ids, text, own):

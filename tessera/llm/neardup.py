@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, grams, mix, only, slices, text_buffer, words
-from .linking import binary_matrix, exact_links, link_groups, pruning_table
+from .linking import binary_matrix, components, exact_links, link_groups, pruning_table
 
 SHINGLE = 5
 ROWS, BANDS = 6, 24
@@ -116,17 +116,12 @@ def hashed_sets(texts: list[str]) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at, at[1:])]
 
 
-def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Links: 100 * intersection >= percent * union of the shingle sets. Null and empty texts, and
-    those of white space only, have no shingles and no links. Fewer than five words make one
-    shingle. component_id is the smallest id reachable; a null id is its own component and kept.
-    Rows that repeat an id share its component. An empty table gives no rows.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _linked(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Of rows (id, text) a table with id and n (shingles), the roots of ids in components of several (id, root), and whether an id has several texts: then the roots don't hold."""
     signed = cut(base.mapInArrow(_sign, "id long, n long, d0 long, d1 long, raw binary, sig binary"))
     sets = signed.where("n > 0 AND id IS NOT NULL")
+    if not sets.groupBy("id").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").isEmpty():
+        return signed.select("id", "n"), signed.select("id", F.col("id").alias("root")), True
     known = base.where("id IS NOT NULL")
     # copies: equal texts (A-Z folded) by 128 bits of a cryptographic hash; texts whose sets have equal sizes and hashes
     # are confirmed on the sets. The groups are written first: their joins then have plain exchanges on both sides
@@ -142,10 +137,32 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     reps = sets.join(copies.select("id").distinct().hint("merge"), "id", "left_anti")
     signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
     keys = lambda sig: band_keys(sig, ROWS)
-    found = link_groups(signatures, lambda col: keys(binary_matrix(col)), lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, keys)
+    found = link_groups(signatures, lambda col: keys(binary_matrix(col)), lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, BANDS, keys)
     roots = copies.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).unionByName(found)
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
-    out = signed.select("id", "n").join(roots.hint("merge"), "id", "left")
+    return signed.select("id", "n"), roots, False
+
+
+def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Links: 100 * intersection >= percent * union of the shingle sets. Null and empty texts, and
+    those of white space only, have no shingles and no links. Fewer than five words make one
+    shingle. component_id is the smallest id reachable; a null id is its own component and kept.
+    Rows that repeat an id share its component, whatever their texts: where an id has several, rows are
+    linked by numbers of their own first, and ids by their rows then. An empty table gives no rows.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows, roots, several = _linked(base, percent)
+    if several:
+        own = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())
+        base = cut(base.select(F.col("id").alias("doc"), own.alias("id"), "text"))
+        of = base.where("id IS NOT NULL").select("id", "doc")
+        rows, roots, _ = _linked(base.select("id", "text"), percent)
+        rows = rows.join(of.hint("merge"), "id", "left").select(F.col("doc").alias("id"), "n")
+        joined = roots.join(of.hint("merge"), "id").select("doc", F.col("root").alias("id")).join(of.withColumnRenamed("doc", "v").hint("merge"), "id")
+        roots = components(joined.select(F.col("doc").alias("u"), "v"))
+    out = rows.join(roots.hint("merge"), "id", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
