@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, dealt
 from ..sources.stored import merge_into
 from .logs import LINES
 from .paths import shortest_paths, simple_paths  # noqa: F401 (the second is taken from here)
@@ -148,37 +148,44 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
+#: Rounds of PageRank between two written tables.
+ROUNDS = 10
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """id, rank: PageRank personalised by risk; dangling mass goes by the personalisation too.
 
     Parallel edges count once, with the last type's weight. Endpoints that no node declares take
-    part with no personalisation. Each round is one join and one aggregation; sums over nodes are
-    joined as single rows. Lineage is cut every five rounds, where convergence (mean change below
-    tolerance) is tested as well; `rounds` fixes their number instead.
+    part with no personalisation. What comes back by the personalisation, from dangling nodes or by the damping, is a
+    multiple of it, so the ranks are those of x = p + damping * A x, made to sum up to one. That
+    sum only grows, and the rounds (`most` at most) end when ROUNDS of them add less than the tolerance.
+
+    Edges are dealt into buckets by source once, nodes and x by id, so a round shuffles
+    contributions only.
     """
+    spark = nodes.sparkSession
     e = edges.where("source IS NOT NULL AND target IS NOT NULL").groupBy("source", "target").agg(F.max_by("weight", "type").alias("w"))
-    e = cut(e.join(e.groupBy("source").agg(F.sum("w").alias("all")), "source").select("source", "target", (F.col("w") / F.col("all")).alias("w")))
+    e = cut(e)
+    e = e.join(e.groupBy("source").agg(F.sum("w").alias("all")), "source").select("source", "target", (F.col("w") / F.col("all")).alias("w"))
     ids = nodes.select("id", "risk").unionByName(e.select(F.col("source").alias("id"), F.lit(0.0).alias("risk"))).unionByName(e.select(F.col("target").alias("id"), F.lit(0.0).alias("risk")))
-    ids = ids.groupBy("id").agg(F.max("risk").alias("risk"))
-    total = ids.agg(F.sum("risk").alias("t"), F.count("*").alias("n"))
-    ranks = ids.crossJoin(F.broadcast(total)).select("id", F.when(F.col("t") > 0, F.col("risk") / F.col("t")).otherwise(1 / F.col("n")).alias("p"), (1 / F.col("n")).alias("rank"))
-    ranks = cut(ranks.join(e.select(F.col("source").alias("id"), F.lit(True).alias("_out")).distinct(), "id", "left").select("id", "p", "rank", F.col("_out").isNull().alias("dangling")))
-    n = ranks.count()
-    if n <= 1:
-        return ranks.select("id", "rank")
-    old = ranks
-    for i in range(1, (rounds or most) + 1):
-        flow = ranks.join(e, ranks["id"] == e["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = ranks.join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", "p", (F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"), "dangling")
-        if i % 5 == 0 or i == rounds:
-            ranks = cut(ranks)
-            if rounds is None:
-                change = ranks.join(old.select("id", F.col("rank").alias("_o")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("_o")))).first()[0]
-                if change < 5 * n * tolerance:
-                    break
-            old = ranks
-    return ranks.select("id", "rank")
+    ids = cut(ids.groupBy("id").agg(F.max("risk").alias("risk")))
+    total, n = ids.agg(F.sum("risk"), F.count("*")).first()
+    p = F.col("risk") / F.lit(total) if total and total > 0 else F.lit(1.0 / max(n, 1))
+    with dealt(spark) as put:
+        e = put(e, "source")
+        base = put(ids.select("id", p.alias("p")), "id")
+        x, before = base.select("id", F.col("p").alias("x")), 1.0
+        for _ in range(-(-most // ROUNDS)):
+            for _ in range(ROUNDS):
+                flow = x.join(e, x["id"] == e["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("in"))
+                x = base.join(flow, "id", "left").select("id", (F.col("p") + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("x"))
+            seen = Observation()
+            x = put(x.observe(seen, F.sum("x").alias("sum")), "id")
+            now = seen.get.get("sum") or x.agg(F.sum("x")).first()[0] or 0.0
+            if now - before <= tolerance * now:
+                break
+            before = now
+        return cut(x.select("id", (F.col("x") / F.lit(now or 1.0)).alias("rank")))
 
 
 def high_risk_paths(nodes: DataFrame, edges: DataFrame, threshold: float = 0.7, longest: int = 5, sources: int = 50, most: int = 20) -> DataFrame:

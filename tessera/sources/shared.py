@@ -86,6 +86,29 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, out.count() if rows is None else rows
 
 
+@contextlib.contextmanager
+def dealt(spark: SparkSession):
+    """Gives put(df, column): df as a table in the shared folder, in as many buckets by that column as shuffles have partitions.
+
+    Joins by such columns read the buckets as they are, without an exchange. The tables' names, not their
+    files, go at the end: what is still wanted then must have been written elsewhere.
+    """
+    names: list[str] = []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(df: DataFrame, column: str) -> DataFrame:
+        names.append(f"tessera_{uuid.uuid4().hex}")
+        with _freed(spark):
+            df.write.bucketBy(parts, column).option("path", scratch(spark, "dealt")).saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    try:
+        yield put
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete all that scratch() and cut() have made so far in this driver; DataFrames that read it end. For drivers that live long, between queries."""
     n = len(_written)

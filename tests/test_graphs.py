@@ -82,3 +82,36 @@ def test_crash_nodes(spark):
     got = {r["id"]: r for r in G.add_crashes(nodes, edges, crashes)[0].collect()}
     assert len(got) == 3 and got["c1"]["label"] == "Crash: heap" and got["c1"]["metadata"]["fault_address"] == "0x1" and got["c1"]["metadata"]["stack_trace"].count("#") == 10
     assert got["c2"]["label"] == "Crash: unknown" and got["c2"]["metadata"] == {"crash_type": "unknown", "stack_trace": "[]"}
+
+
+def test_ranks_against_power_iteration(spark):
+    edges = [(a, b) for a, b in random_graph(5, 20, 40)] + [("n1", "n2")]
+    nodes = [(f"n{i}", (i % 4) / 4) for i in range(25)]
+    ids, risk = [f"n{i}" for i in range(25)], dict(nodes)
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    p, rank = {i: risk[i] / sum(risk.values()) for i in ids}, {i: 1 / 25 for i in ids}
+    for _ in range(200):
+        lost = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.85 * (sum(rank[j] / len(out[j]) for j in ids if i in out[j]) + lost * p[i]) + 0.15 * p[i] for i in ids}
+    e = spark.createDataFrame([(a, b, "t", 1.0) for a, b in edges], "source string, target string, type string, weight double")
+    got = {r["id"]: r["rank"] for r in G.pagerank(spark.createDataFrame(nodes, "id string, risk double"), e, most=200, tolerance=1e-12).collect()}
+    assert got == pytest.approx(rank, abs=1e-9)
+    none = spark.createDataFrame(nodes, "id string, risk double").withColumn("risk", F.lit(0.0))
+    assert {round(r["rank"], 6) for r in G.pagerank(none, e.limit(0)).collect()} == {0.04} and G.pagerank(none.limit(0), e.limit(0)).isEmpty()
+
+
+def test_a_round_shuffles_contributions_only(spark):
+    from tessera.sources.shared import dealt
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with dealt(spark) as put:
+            e = put(spark.range(1000).selectExpr("cast(id % 100 as string) source", "cast(id % 77 as string) target", "1.0D w"), "source")
+            x = put(spark.range(100).selectExpr("cast(id as string) id", "1.0D x", "1.0D p"), "id")
+            flow = x.join(e, x["id"] == e["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("in"))
+            plan = x.select("id", "p").join(flow, "id", "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
