@@ -250,9 +250,13 @@ def look_up(name: Column, table: dict[str, str]) -> Column:
 
 
 # The texts around a result.
+ISSUES, ITEMS, SUCCESS, CHARS, FAILED = ("[OK] Found ", " potential issues"), ("[OK] Found ", " items"), "[OK] Success", ("... [", " chars total]"), ("[ERROR:", "]: ")
+
+
 def format_for_llm(success: Column, error: Column, output: Column, findings: Column, count: Column, most: int = 1000) -> Column:
     """A tool's result as text: what was found, then the output's start. findings and count are null where the result has none."""
-    head = F.coalesce(F.concat(F.lit("[OK] Found "), findings.cast("string"), F.lit(" potential issues")), F.concat(F.lit("[OK] Found "), count.cast("string"), F.lit(" items")), F.lit("[OK] Success"))
-    more = F.when(F.length(output) > most, F.concat(F.lit("... ["), F.length(output).cast("string"), F.lit(" chars total]"))).otherwise("")
+    around = lambda texts, c: F.concat(F.lit(texts[0]), c, F.lit(texts[1]))
+    head = F.coalesce(around(ISSUES, findings.cast("string")), around(ITEMS, count.cast("string")), F.lit(SUCCESS))
+    more = F.when(F.length(output) > most, around(CHARS, F.length(output).cast("string"))).otherwise("")
     shown = F.substring(output, 1, most)
-    return F.when(success, F.concat(head, F.lit("\n"), shown, more)).otherwise(F.concat(F.lit("[ERROR:"), F.coalesce(error, F.lit("None")), F.lit("]: "), shown))
+    return F.when(success, F.concat(head, F.lit("\n"), shown, more)).otherwise(F.concat(around(FAILED, F.coalesce(error, F.lit("None"))), shown))

@@ -71,7 +71,12 @@ def address_entropy(text: Column) -> Column:
     return F.when(F.size(all_) >= 5, F.round(F.size(F.array_distinct(F.transform(all_, lambda a: F.substring(a, 1, 8)))) / F.size(all_) * 32, 2))
 
 
-# The patterns of a debugger's lines, and what two of its marks say.
+# The patterns of a debugger's lines, and what two of its marks look for and say.
+FRAME, SIGNALS, MAPPING, REGISTER, FAULT = r"^#\d", "sigsegv|sigabrt|sigill|sigfpe|sigbus", r"^0x[0-9a-fA-F]+-0x[0-9a-fA-F]+", r"(?i)^([a-z][a-z0-9]{1,4})\s+(0x[0-9a-f]+)", r"at (0x[0-9a-fA-F]+)"
+PATTERN, PATTERN_SAYS = "(?i)0x41414141|0x61616161|0x42424242", "Repeating pattern detected (AAAA/aaaa/BBBB) — possible buffer overflow control"
+CORRUPTION, CORRUPTION_SAYS = "(?i)heap.use.after.free|double.free|heap.buffer.overflow", "AddressSanitizer: memory corruption detected"
+
+
 def debugger_sessions(logs: DataFrame, path: str = "path", col: str = "text") -> DataFrame:
     """path, stack, signal_info, fault_address, registers (last value), memory_maps, findings (100 at most), aslr_entropy.
 
@@ -79,21 +84,20 @@ def debugger_sessions(logs: DataFrame, path: str = "path", col: str = "text") ->
     """
     lines = F.transform(F.split(col, LINES), lambda x: F.trim(x))
     rows = logs.select(path, col, lines.alias("_l"))
-    is_frame = lambda x: x.rlike(r"^#\d")
-    is_signal = lambda x: ~is_frame(x) & F.lower(x).contains("signal") & F.lower(x).rlike("sigsegv|sigabrt|sigill|sigfpe|sigbus")
-    is_map = lambda x: ~is_frame(x) & x.rlike(r"^0x[0-9a-fA-F]+-0x[0-9a-fA-F]+")
-    reg = r"(?i)^([a-z][a-z0-9]{1,4})\s+(0x[0-9a-f]+)"
-    regs = F.transform(F.filter("_l", lambda x: ~is_frame(x) & x.rlike(reg)), lambda x: F.struct(F.regexp_extract(x, reg, 1).alias("k"), F.regexp_extract(x, reg, 2).alias("v")))
+    is_frame = lambda x: x.rlike(FRAME)
+    is_signal = lambda x: ~is_frame(x) & F.lower(x).contains("signal") & F.lower(x).rlike(SIGNALS)
+    is_map = lambda x: ~is_frame(x) & x.rlike(MAPPING)
+    regs = F.transform(F.filter("_l", lambda x: ~is_frame(x) & x.rlike(REGISTER)), lambda x: F.struct(F.regexp_extract(x, REGISTER, 1).alias("k"), F.regexp_extract(x, REGISTER, 2).alias("v")))
     rows = rows.withColumn("_r", regs).withColumn("_s", F.filter("_l", is_signal))
     last = F.filter("_r", lambda r, i: ~F.exists(F.slice("_r", i + 2, F.greatest(F.size("_r"), F.lit(1))), lambda q: q["k"] == r["k"]))
-    at = F.filter(F.transform("_s", lambda s: F.regexp_extract(s, r"at (0x[0-9a-fA-F]+)", 1)), lambda a: a != "")
+    at = F.filter(F.transform("_s", lambda s: F.regexp_extract(s, FAULT, 1)), lambda a: a != "")
     found = F.flatten(F.transform("_l", lambda x: F.array_compact(F.array(
         F.when(is_frame(x), F.struct(F.lit("stack_frame").alias("type"), F.substring(x, 1, 200).alias("raw"))), F.when(is_signal(x), F.struct(F.lit("signal").alias("type"), x.alias("raw"))),
         F.when(is_map(x), F.struct(F.lit("memory_map").alias("type"), F.substring(x, 1, 150).alias("raw"))),
     ))))
     marks = F.array_compact(F.array(
-        F.when(F.col(col).rlike("(?i)0x41414141|0x61616161|0x42424242"), F.struct(F.lit("exploit_pattern").alias("type"), F.lit("Repeating pattern detected (AAAA/aaaa/BBBB) — possible buffer overflow control").alias("raw"))),
-        F.when(F.col(col).rlike("(?i)heap.use.after.free|double.free|heap.buffer.overflow"), F.struct(F.lit("asan_signal").alias("type"), F.lit("AddressSanitizer: memory corruption detected").alias("raw"))),
+        F.when(F.col(col).rlike(PATTERN), F.struct(F.lit("exploit_pattern").alias("type"), F.lit(PATTERN_SAYS).alias("raw"))),
+        F.when(F.col(col).rlike(CORRUPTION), F.struct(F.lit("asan_signal").alias("type"), F.lit(CORRUPTION_SAYS).alias("raw"))),
     ))
     return rows.select(
         path, F.filter("_l", is_frame).alias("stack"), F.try_element_at("_s", F.lit(-1)).alias("signal_info"), F.try_element_at(at, F.lit(-1)).alias("fault_address"), F.map_from_entries(last).alias("registers"),

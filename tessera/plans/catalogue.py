@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import routing as RT
 from ..operators import vector as V
+from ..sources import files as SRC
 from ..sources.shared import scratch
 from ..streaming import steps as S
 
@@ -612,20 +613,27 @@ def graph_build(spark, sf):
 
 
 def scan_reports(spark, sf):
+    """A report a user, one file each: all their events as results, of more steps than are kept for every tenth event."""
     e = T(spark, sf, "events")
     place = lambda n: F.struct(F.struct(F.struct(F.concat(F.lit("src/"), "event_type", F.lit(".c")).alias("uri")).alias("artifactLocation"), F.struct(n.cast("int").alias("startLine"), F.lit(1).alias("startColumn")).alias("region")).alias("physicalLocation"))
     step = lambda n: F.struct(place(n).alias("location"))
-    u = F.col("user_id")
-    result = F.struct(F.concat(F.lit("rule"), (u % 3).cast("string")).alias("ruleId"), F.struct(F.col("event_type").alias("text")).alias("message"), F.when(u % 5 == 0, F.filter(F.array(place(u)), lambda x: F.lit(False))).otherwise(F.array(place(u))).alias("locations"),
-                      F.array(F.struct(F.array(F.struct(F.array(step(u), step(u), step(u + 1)).alias("locations"))).alias("threadFlows"))).alias("codeFlows"))
+    u, k = F.col("user_id"), F.col("event_id")
+    steps = F.when(k % 10 == 0, F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: step(F.floor(i / 2)))).otherwise(F.array(step(u), step(u), step(u + 1)))
+    result = F.struct(F.concat(F.lit("rule"), (k % 3).cast("string")).alias("ruleId"), F.struct(F.col("event_type").alias("text")).alias("message"), F.when(k % 5 == 0, F.filter(F.array(place(k)), lambda x: F.lit(False))).otherwise(F.array(place(k))).alias("locations"),
+                      F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows"))).alias("codeFlows"))
     rules = F.array(*[F.struct(F.lit(f"rule{i}").alias("id"), F.struct(F.lit(s).alias("level")).alias("defaultConfiguration")) for i, s in ((0, "error"), (1, "note"), (1, "error"))])
-    run = F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"), F.array(result).alias("results"))
-    return e.select(F.col("event_id").alias("path"), F.to_json(F.struct(F.array(run).alias("runs"))).alias("json"))
+    results = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), result.alias("r")))), lambda x: x["r"])
+    run = F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"), results.alias("results"))
+    folder = scratch(spark, "reports")
+    e.groupBy("user_id").agg(F.to_json(F.struct(F.array(run).alias("runs"))).alias("json")).select("json").write.option("maxRecordsPerFile", 1).text(folder)
+    return SRC.reports(spark, folder)
 
 
-@query("""SELECT event_id AS path, 'rule' || (user_id % 3) AS rule_id, event_type AS message, 'src/' || event_type || '.c' AS file, CAST(user_id AS INTEGER) AS line, CASE user_id % 3 WHEN 2 THEN 'warning' ELSE 'error' END AS severity, 2 AS steps FROM events WHERE user_id % 5 <> 0""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT event_id AS line, 'rule' || (event_id % 3) AS rule_id, event_type AS message, 'src/' || event_type || '.c' AS file, CAST(n - 1 AS INTEGER) AS pos, CASE event_id % 3 WHEN 2 THEN 'warning' ELSE 'error' END AS severity,
+CASE WHEN event_id % 10 = 0 THEN 10 ELSE 2 END AS steps FROM n WHERE event_id % 5 <> 0 AND n <= 50""")
 def sarif_findings(spark, sf):
-    return L.scan_findings(scan_reports(spark, sf)).select("path", "rule_id", "message", "file", "line", "severity", F.size("flow_steps").alias("steps"))
+    """Read from a folder of reports: 50 results a run at most, before those without a place go, and ten steps."""
+    return L.scan_findings(scan_reports(spark, sf)).select(F.col("line").cast("long").alias("line"), "rule_id", "message", "file", "pos", "severity", F.size("flow_steps").alias("steps"))
 
 
 def crash_logs(spark, sf):

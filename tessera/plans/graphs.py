@@ -143,15 +143,17 @@ def graph_document(spark, sf):
     return rows.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight", F.lit(-1).alias("line"), F.col("metadata")["to"].alias("note")))
 
 
-@query(f"""WITH {TREE}, {RISKS} SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="risk" for="node" attr.name="risk" attr.type="double"/>', '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>', '<graph edgedefault="directed">', '</graph>', '</graphml>']) AS value
-UNION ALL SELECT '<node id="' || id || '"><data key="risk">' || risk || '</data></node>' FROM i UNION ALL SELECT '<edge source="' || source || '" target="' || target || '"><data key="weight">1.0</data></edge>' FROM e""")
+@query(f"""WITH {TREE}, {RISKS}, k AS (SELECT unnest([['node', 'type', 'string'], ['node', 'label', 'string'], ['node', 'file', 'string'], ['node', 'line', 'int'], ['node', 'risk', 'double'], ['edge', 'type', 'string'], ['edge', 'weight', 'double']]) AS k)
+SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<graph edgedefault="directed">', '</graph>', '</graphml>']) AS value UNION ALL SELECT '<key id="' || k[1] || '-' || k[2] || '" for="' || k[1] || '" attr.name="' || k[2] || '" attr.type="' || k[3] || '"/>' FROM k
+UNION ALL SELECT '<node id="' || id || '"><data key="node-type">' || substr(id, 1, 1) || '</data><data key="node-label">&lt;' || id || '&gt;</data>' || CASE WHEN ord % 2 = 0 THEN '<data key="node-file">src/a.' || id || '.c</data>' ELSE '' END || CASE WHEN ord % 4 = 0 THEN '<data key="node-line">' || ord || '</data>' ELSE '' END || '<data key="node-risk">' || risk || '</data></node>' FROM i
+UNION ALL SELECT '<edge source="' || source || '" target="' || target || '"><data key="edge-type">contains</data><data key="edge-weight">1.0</data></edge>' FROM e""")
 def graphml(spark, sf):
-    return S.graphml_lines(*tree(spark, sf))
+    return S.graphml_lines(risky(spark, sf).withColumn("label", F.concat(F.lit("<"), "id", F.lit(">"))), tree(spark, sf)[1])
 
 
-@query("""WITH h AS (SELECT vec_id, 1.0::DOUBLE / (vec_id + 1) AS score FROM embeddings ORDER BY vec_id LIMIT 2000) SELECT vec_id, coalesce(text, '') AS text, coalesce(source, 'none') AS source FROM h LEFT JOIN documents ON doc_id = vec_id""")
+@query("""WITH h AS (SELECT vec_id, 1.0::DOUBLE / (vec_id + 1) AS score FROM embeddings) SELECT vec_id, coalesce(text, '') AS text, coalesce(source, 'none') AS source FROM h LEFT JOIN documents ON doc_id = vec_id""")
 def hit_texts(spark, sf):
-    hits = T(spark, sf, "embeddings").orderBy("vec_id").limit(2000).select("vec_id", (F.lit(1.0) / (F.col("vec_id") + 1)).alias("score"))
+    hits = T(spark, sf, "embeddings").select("vec_id", (F.lit(1.0) / (F.col("vec_id") + 1)).alias("score"))
     texts = T(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
     return R.with_texts(hits, texts).select("vec_id", "text", F.coalesce(F.try_element_at("metadata", F.lit("source")), F.lit("none")).alias("source"))
 

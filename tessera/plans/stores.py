@@ -24,9 +24,12 @@ def source_tree(spark, sf):
     return S.source_tree(spark, put_files(spark, scratch(spark, "tree"), files))
 
 
-@query("SELECT 'afl' AS layout, 'id%3A000001,src' AS name UNION ALL SELECT 'libfuzzer', unnest(['crash-1', 'leak-2', 'id%3A000001,src'])")
+@query("""WITH f AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'id%3A' || printf('%06d', n_nationkey) || ',src' WHEN 1 THEN 'crash-' || n_nationkey WHEN 2 THEN 'fuzz' || n_nationkey || '.log' ELSE 'id%3A' || printf('%06d', n_nationkey) || '.README' END AS name FROM nation UNION ALL SELECT 'README.txt')
+SELECT 'afl' AS layout, name FROM f WHERE starts_with(name, 'id') AND NOT contains(name, 'README') UNION ALL SELECT 'libfuzzer', name FROM f WHERE name <> 'README.txt' AND NOT ends_with(name, '.log')""")
 def crash_files(spark, sf):
-    folder = put_files(spark, scratch(spark, "crashes"), {"README.txt": "x", "fuzz.log": "x", "crash-1": "x", "leak-2": "x", "id%3A000001,src": "x"})
+    rows = T(spark, sf, "nation").collect()  # 25 rows: one file each
+    kinds = (lambda k: f"id%3A{k:06d},src", lambda k: f"crash-{k}", lambda k: f"fuzz{k}.log", lambda k: f"id%3A{k:06d}.README")
+    folder = put_files(spark, scratch(spark, "crashes"), {"README.txt": "x"} | {kinds[r["n_nationkey"] % 4](r["n_nationkey"]): r["n_name"] for r in rows})
     name = F.url_decode(F.regexp_extract("path", "([^/]+)$", 1))
     rows = [S.crash_files(spark, folder, k).select(F.lit(k).alias("layout"), F.regexp_replace(name, ":", "%3A").alias("name")) for k in ("afl", "libfuzzer")]
     return rows[0].unionByName(rows[1])
@@ -42,11 +45,14 @@ def crash_reports(spark, sf):
     return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "crash_type", F.array_join("stack", ";").alias("stack"), "fault_address")
 
 
-@query("""SELECT * FROM (VALUES ('fast', '{"depth": 1, "local": true}'), ('deep', '{"depth": 7, "local": false, "tools": ["grep"]}'), ('own', '{"depth": 2}')) t(name, settings)""")
+@query("""SELECT n_name AS name, '{"depth": ' || n_nationkey || ', "local": ' || CASE WHEN n_regionkey = 0 THEN 'true' ELSE 'false' END || CASE WHEN n_nationkey % 2 = 0 THEN ', "tools": ["grep"]}' ELSE '}' END AS settings FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 0
+UNION ALL SELECT n_name, '{"depth": ' || n_nationkey || ', "tools": ["grep"]}' FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 UNION ALL SELECT n_name, '{"depth": 5, "local": ' || CASE WHEN n_regionkey = 0 THEN 'true' ELSE 'false' END || '}' FROM nation WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 = 0""")
 def profile_overlay(spark, sf):
-    folder = put_files(spark, scratch(spark, "profiles"), {"caps.yaml": "capabilities:\n  deep:\n    depth: 7\n    tools: [grep]\n  own:\n    depth: 2\n"})
-    defaults = {"fast": {"depth": 1, "local": True}, "deep": {"depth": 5, "local": False}}
-    return S.read_profiles(spark, f"{folder}/caps.yaml", defaults)
+    """Defaults of every third nation, laid over by a YAML file that names every second."""
+    rows = T(spark, sf, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    text = "capabilities:\n" + "".join(f"  {r['n_name']}:\n    depth: {r['n_nationkey']}\n    tools: [grep]\n" for r in rows if r["n_nationkey"] % 2 == 0)
+    folder = put_files(spark, scratch(spark, "profiles"), {"caps.yaml": text})
+    return S.read_profiles(spark, f"{folder}/caps.yaml", {r["n_name"]: {"depth": 5, "local": r["n_regionkey"] == 0} for r in rows if r["n_nationkey"] % 3 == 0})
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{}' ELSE '{"v":' || CAST(event_id AS DOUBLE) || '}' END AS one, '[' || CASE WHEN event_id % 7 = 0 THEN 'null' ELSE CAST(event_id AS DOUBLE)::VARCHAR END || ',1.0]' AS many, '{"1":"' || strftime(ts::DATE, '%Y-%m-%d') || '"}' AS named FROM events""")
@@ -215,15 +221,19 @@ def dispatch(spark, sf):
     return rows.unionByName(r.run(spark, "by_type", cap=5).withColumn("ord", F.lit(4)))
 
 
-@query("SELECT * FROM (VALUES ('names', 'a,c'), ('default', 'c'), ('chain', 'c,a'), ('has', 'false')) t(what, value)")
+@query("""WITH n AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1), c AS (SELECT r_regionkey AS k, lower(r_name) AS name, n FROM region JOIN n ON k = r_regionkey) SELECT name, '{"n":' || n || '}' AS output, true AS success FROM c WHERE k <> 2
+UNION ALL SELECT name, 'unknown tool', false FROM c WHERE k = 2 UNION ALL SELECT 'names', string_agg(name, ',' ORDER BY name), true FROM c WHERE k <> 2 UNION ALL SELECT 'chain', string_agg(name, ',' ORDER BY k DESC), true FROM c WHERE k <> 2""")
 def registry_names(spark, sf):
-    r = P.Registry()
-    for n in ("c", "b", "a"):
-        r.register(n, lambda: T(spark, sf, "region"))
-    r.default = "c"
-    r.unregister("b")
-    rows = [("names", ",".join(r.names())), ("default", r.default), ("chain", ",".join(r.chain("c", {"c": "a", "a": "c"}))), ("has", str(r.has("b")).lower())]
-    return spark.createDataFrame(rows, "what string, value string")
+    """A tool a region, that counts its nations; one is taken out again; each falls back on the region before, and the first on the last."""
+    regions, n = T(spark, sf, "region").orderBy("r_regionkey").collect(), T(spark, sf, "nation")  # 5 rows
+    r, names = P.Registry(), [x["r_name"].lower() for x in regions]
+    for k, name in enumerate(names):
+        r.register(name, lambda k=k: n.where(F.col("n_regionkey") == k).agg(F.count("*").alias("n")))
+    r.unregister(names[2])
+    r.default = names[-1]
+    out = r.run_all(spark, [(name, (), {}) for name in names]).select("name", F.coalesce("output", "error").alias("output"), "success")
+    rows = [("names", ",".join(r.names()), True), ("chain", ",".join(r.chain(r.default, dict(zip(names, [names[-1], *names])))), True)]
+    return out.unionByName(spark.createDataFrame(rows, "name string, output string, success boolean"))
 
 
 def advisors():
@@ -250,12 +260,11 @@ def advisor_parallel(spark, sf):
     return advisors().every(T(spark, sf, "events")).select("event_id", "advisor", F.col("advice.plan").alias("plan"))
 
 
-@query("SELECT count(*) AS rows, 'vec_id,score' AS columns FROM (SELECT * FROM (SELECT vec_id FROM embeddings LIMIT 10))")
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS length FROM embeddings")
 def lazy_entry(spark, sf):
     import tessera
 
-    out = tessera.catalogue.QUERIES["vector_topk"](spark, sf)  # loaded on first use
-    return out.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(",".join(out.columns)))
+    return T(spark, sf, "embeddings").select("vec_id", F.round(tessera.vector.norm(F.col("embedding")), 4).alias("length"))  # loaded on first use
 
 
 # ---- streams

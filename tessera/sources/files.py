@@ -73,14 +73,24 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     graph_document(nodes, edges).write.mode("overwrite").text(path)
 
 
+#: Attributes of a GraphML document: for what, name, type.
+GRAPHML = (("node", "type", "string"), ("node", "label", "string"), ("node", "file", "string"), ("node", "line", "int"), ("node", "risk", "double"), ("edge", "type", "string"), ("edge", "weight", "double"))
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """ord, value: GraphML, a line a row."""
+    """value: GraphML, a line a row, in order. Attributes that are null, or that the tables lack, are left out."""
     spark = nodes.sparkSession
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="risk" for="node" attr.name="risk" attr.type="double"/>', '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>', '<graph edgedefault="directed">']
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{what}-{name}" for="{what}" attr.name="{name}" attr.type="{kind}"/>' for what, name, kind in GRAPHML), '<graph edgedefault="directed">']
     fixed = spark.createDataFrame([(0, f"{i:04d}", x) for i, x in enumerate(head)] + [(3, "0", "</graph>"), (3, "1", "</graphml>")], "part int, ord string, value string")
-    n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("ord"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"><data key="risk">'), F.col("risk").cast("string"), F.lit("</data></node>")).alias("value"))
-    e = edges.select(F.lit(2).alias("part"), F.concat_ws("|", "source", "target", "type").alias("ord"), F.concat(F.lit('<edge source="'), esc("source"), F.lit('" target="'), esc("target"), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("value"))
+
+    def data(df: DataFrame, what: str):
+        put = lambda n: F.coalesce(F.concat(F.lit(f'<data key="{what}-{n}">'), esc(F.col(n)), F.lit("</data>")), F.lit(""))
+        return F.concat(F.lit(""), *[put(n) for w, n, _ in GRAPHML if w == what and n in df.columns])
+
+    named = lambda c: esc(F.coalesce(F.col(c), F.lit("")))
+    n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("ord"), F.concat(F.lit('<node id="'), named("id"), F.lit('">'), data(nodes, "node"), F.lit("</node>")).alias("value"))
+    e = edges.select(F.lit(2).alias("part"), F.concat_ws("|", "source", "target", "type").alias("ord"), F.concat(F.lit('<edge source="'), named("source"), F.lit('" target="'), named("target"), F.lit('">'), data(edges, "edge"), F.lit("</edge>")).alias("value"))
     return fixed.unionByName(n).unionByName(e).orderBy("part", "ord").select("value")
 
 

@@ -209,7 +209,13 @@ def test_functions_and_graph(spark, tmp_path):
     SRC.write_graph(nodes, edges, str(tmp_path / "g"))
     n2, e2 = SRC.read_graph(spark, str(tmp_path / "g"))
     assert n2.count() == nodes.count() and e2.count() == edges.count()
-    assert SRC.graphml_lines(nodes, edges).count() == 5 + 7 + 5 + 2
+    lines = [r["value"] for r in SRC.graphml_lines(nodes, edges).collect()]
+    import xml.etree.ElementTree as ET
+
+    tree, ns = ET.fromstring("\n".join(lines).encode()), "{http://graphml.graphdrawing.org/xmlns}"
+    assert len(lines) == 10 + 7 + 5 + 2 and len(tree.findall(f"{ns}graph/{ns}node")) == 7
+    main = {d.get("key"): d.text for d in next(n for n in tree.iter(f"{ns}node") if n.get("id") == "func:src/a.c:main")}
+    assert main == {"node-type": "function", "node-label": "main", "node-file": "src/a.c", "node-line": "1", "node-risk": "0.5"}
 
 
 def test_paths_and_pagerank(spark):
