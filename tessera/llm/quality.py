@@ -12,16 +12,17 @@ smallest hashes, each with all its passages. Scoring reads every passage of ever
 
 from __future__ import annotations
 
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, words
+from .common import cut, slices, text_buffer, words
 
 PASSAGE = 64
 TRAIN_DOCS = 6000
+#: Bytes of their passages' features that are fitted on at most, in the order of the ids' hashes: some 900,000 passages of 64 words. The driver holds a few times as much.
+TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.7
 HIDDEN = 16
 EPOCHS = 30
@@ -154,7 +155,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Attention | float:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Attention | float:
     """The model, or a constant score where the labelled rows are of one kind (0.5 without any)."""
     rows = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
@@ -176,7 +177,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Att
                 bags.append(f.tobytes())
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
 
-    found = sorted((r["doc_id"], bytes(r["bag"])) for r in some.mapInArrow(encode, "doc_id long, bag binary").collect())
+    encoded = cut(some.mapInArrow(encode, "doc_id long, bag binary").withColumn("size", F.octet_length("bag")))
+    size = {r["doc_id"]: r["size"] for r in encoded.select("doc_id", "size").collect()}
+    left, taken = train_bytes, []
+    for i in quality:  # in the order of their hashes; bags that don't fit any more are passed over
+        if size.get(i, left + 1) <= left:
+            taken.append(i)
+            left -= size[i]
+    if len(taken) < len(size):
+        encoded = encoded.where(F.col("doc_id").isin(taken)) if taken else encoded.limit(0)
+    found = sorted((r["doc_id"], bytes(r["bag"])) for r in encoded.select("doc_id", "bag").collect())
     label = np.array([quality[i] for i, _ in found], np.float64)
     if not len(label) or label.min() == label.max():
         return float(label[0]) if len(label) else 0.5
@@ -218,6 +228,3 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns."""
     return score(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
 
-
-def crc32_mod4(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 4

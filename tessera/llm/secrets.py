@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import hashlib
 import re
 
 from pyspark.sql import DataFrame
@@ -31,7 +30,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 RATIO, LEAST = 2.0, 16
 #: Shorter parts, from SHORT characters on, that mix digits with letters or cases and have fewer characters a token than
 #: this count if those of a run add up to TOGETHER characters: random strings that hold separators.
-SHORT_RATIO, SHORT, TOGETHER = 1.8, 6, 14
+SHORT_RATIO, SHORT, TOGETHER = 2.0, 6, 11
+#: A part of fewer different characters, such as a DNA sequence, is none.
+DIFFERENT = 6
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -60,9 +61,9 @@ def _known(m: re.Match) -> str:
 
 
 def is_random(part: str, encode) -> bool:
-    """Whether a part has few characters a token. Numbers aren't, nor are short hex strings and short words."""
+    """Whether a part has few characters a token. Numbers aren't, nor are short hex strings, short words and repetitions of a few letters."""
     digits, letters = sum(map(str.isdigit, part)), sum(map(str.isalpha, part))
-    if not letters:
+    if not letters or len(set(part.lower())) < DIFFERENT:
         return False
     if len(part) >= LEAST:
         return len(part) < RATIO * len(encode(part))
@@ -134,6 +135,3 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def secret_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return scan_secrets(docs, vocabulary).select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

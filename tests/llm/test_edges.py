@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import string
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -119,13 +120,13 @@ def test_secrets_found_among_random_strings_and_plain_ones_left():
     r = random.Random(8)
     both = string.ascii_letters + string.digits
     for alphabet, least in ((both, 0.99), (both + "+/", 0.95), (both + "-_", 0.9), (string.ascii_letters, 0.95), (string.ascii_lowercase, 0.9), (string.ascii_lowercase + string.digits, 0.95)):
-        for n in (20, 32, 64):
+        for n in (16, 17, 20, 32, 64):
             texts = [f"key {''.join(r.choice(alphabet) for _ in range(n))} end" for _ in range(200)]
-            assert sum(bool(secrets.random_spans(t, [], encode)) for t in texts) >= least * 200, (alphabet, n)
+            assert sum(bool(secrets.random_spans(t, [], encode)) for t in texts) >= min(least, 0.85 if n < 20 else 1) * 200, (alphabet, n)
     plain = [
         "this-is-a-long-slug-2024", "2024-01-01T00-00-00Z-run", "/usr/lib/x86_64-linux-gnu/libc6", "ABC-12345-DEF-67890-GHI", "getUserAccountInformation", "src/main/java/com/example/HttpServletRequestWrapper", "internationalization-of-things",
         "release-v2.10.3-rc1-build-20240131", "order_id=1234567890123456", "4111111111111111111", "https://example.org/a/b/index.html", "__init__file_system_watcher__", "Schwierigkeitsgrad-Einstellungen", "SELECT_COUNT_DISTINCT_USER_ID",
-        "20240101T000000Z-backup-full", "python3-numpy-1-26-4-py311-linux-x86-64", "aaaaaaaaaaaaaaaaaaaaaaaa", "123e4567-e89b-12d3-a456-426614174000", "/blobs/123e4567-e89b-12d3-a456-426614174000/a1b2c3d4", "feature/JIRA-12345-fix-login-redirect-loop",
+        "ACGTACGTTAGCATCGATCGATCGA", "20240101T000000Z-backup-full", "python3-numpy-1-26-4-py311-linux-x86-64", "aaaaaaaaaaaaaaaaaaaaaaaa", "123e4567-e89b-12d3-a456-426614174000", "/blobs/123e4567-e89b-12d3-a456-426614174000/a1b2c3d4", "feature/JIRA-12345-fix-login-redirect-loop",
     ]
     assert [t for t in plain if secrets.random_spans(t, [], encode)] == []
 
@@ -256,7 +257,7 @@ def test_quality_of_odd_rows(spark):
     out = {r["doc_id"]: r["score"] for r in quality.score(odd(spark).select("doc_id", "text").unionByName(long_), model).collect()}
     assert all(0 <= s <= 1 for s in out.values()) and out[1] == out[2] == out[901] and out[900] > 0.7
     assert quality.quality_scores(good.limit(0), labels).count() == 0
-    assert all(quality.crc32_mod4(i) == r for i, r in [(x["doc_id"], 2) for x in quality.quality_scores(good, labels).where("held_out").collect()])
+    assert all(zlib.crc32(str(i).encode()) % 4 == r for i, r in [(x["doc_id"], 2) for x in quality.quality_scores(good, labels).where("held_out").collect()])
 
 
 def test_secrets_and_benchmark_items_in_long_texts(spark):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, lines, linking, neardup, pseudonyms
+from tessera.llm import common, lines, linking, neardup, pseudonyms, quality, secrets
 from tests.llm.test_corpus import components
 from tests.llm.test_edges import plain_pair, plain_text
 
@@ -221,3 +221,62 @@ def test_bit_maps_grow_with_their_keys(spark):
     marked = common._maybe(spark.range(60_000).withColumnRenamed("id", "k"), keys, ["k"]).groupBy((F.col("k") % 3 == 0).alias("in"), "_maybe").count().collect()
     n = defaultdict(int, {(x["in"], x["_maybe"]): x["count"] for x in marked})
     assert n[True, True] == 20_000 and n[True, False] == 0 and n[False, True] < 5_000
+
+
+# ---- secrets and quality
+
+
+def plain_base(text):
+    """The base patterns character by character."""
+    out, n = [], len(text)
+    run = lambda i, ok: next((j for j in range(i, n) if not ok(text[j])), n)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    value = lambda c: c.lower() in letters + digits + "+/_.=-" and c.isascii()
+    i = 0
+    while i < n:
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(word)].isascii() and text[i : i + len(word)].lower() == word:
+                j = i + len(word)
+                j += text[j : j + 1] in ('"', "'") and j < n
+                j = run(j, lambda c: c == " ")
+                if text[j : j + 1] in (":", "=") and j < n:
+                    j = run(j + 1, lambda c: c == " ")
+                    j += text[j : j + 1] in ('"', "'") and j < n
+                    end = run(j, value)
+                    if end == j:
+                        end = None
+                    elif end - j >= 6:
+                        out.append((i, 0, end))
+                break
+        i = end or i + 1
+    i = 0
+    while i < n:
+        end = run(i + 4, lambda c: c in letters.upper() + digits) if text.startswith("AKIA", i) else i
+        if end > i + 4 and end - i >= 20:
+            out.append((i, 1, end))
+        i = end if end > i + 4 else i + 1
+    i = 0
+    while i < n:
+        end = run(i, lambda c: c in digits + "abcdef")
+        if end - i >= 24:
+            out.append((i, 2, end))
+        i = max(end, i + 1)
+    return sorted(out)
+
+
+def test_base_spans_against_a_second_implementation():
+    r = random.Random(16)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "tokentoken", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "AKIAKIA", "abcdef0123456789", "deadbeef", "Z9", "ABCDEFGH12", "x/y+z=", "-_.", "é", "\n", "ſecret", "toKen", "0123456789abcdef01234567"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        assert secrets.base_spans(text) == plain_base(text), repr(text)
+
+
+def test_a_byte_bound_leaves_large_documents_out_of_the_fit(spark):
+    docs = spark.createDataFrame([(i, ("good words here again " if i % 2 else "zq xv 77 && ") * (8 if i else 50_000)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, train_bytes=20_000)
+    out = {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
+    assert min(v for i, v in out.items() if i % 2) > max(v for i, v in out.items() if i % 2 == 0)
+    assert quality.fit(docs, labels, train_bytes=0) == 0.5
