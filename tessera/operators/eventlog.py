@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ..sources.shared import cut
 
 
 def failure_streak(events: DataFrame, keys: list[str], order: list[str], failed: Column) -> DataFrame:
@@ -88,33 +89,42 @@ def cost_escalation(costs: DataFrame, confirmed: DataFrame, limit: float = 2.0,
     return by_file.unionByName(totals.select("session", F.lit(None).cast("string").alias("file"), F.lit("total").alias("reason")))
 
 
+#: Rests that one chunk of a key's steps is long.
+CHUNK = 1024
+
+
 def cooldown(events: DataFrame, keys: list[str], seq: str, wants: str, rest: int = 5) -> DataFrame:
-    """Adds escalates: a row that wants to and comes at least `rest` after the last one that did.
+    """Adds escalates: a row that wants to and comes at least `rest` after the last one that did. seq holds whole numbers; a row without one never escalates.
 
-    Each decision depends on the one before, so a key is passed once, in order: sorted rows stream
-    through with one number of state, whatever a key holds. Only rows that want to are looped over.
+    Each decision depends on the one before, but a chunk of a key's steps depends on what came before it by a
+    number below `rest` only: how far into the chunk the last escalation still holds. So each chunk
+    tells, for every such number, its last escalation; a key's chunks are then chained, one step a
+    chunk; and each chunk, which now knows its number, names its escalations. A key of many rows is spread over tasks.
+    Of rows with one key and number, one escalates: the first by a hash of what it holds.
     """
-    cols = events.columns
-    at, want = cols.index(seq), cols.index(wants)
-    places = [cols.index(k) for k in keys]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        key, last = None, None
-        for x in batches:
-            out = np.zeros(x.num_rows, bool)
-            rows = np.flatnonzero(np.asarray(x.column(want).fill_null(False)))
-            names = list(zip(*[x.column(p).take(pa.array(rows)).to_pylist() for p in places]))
-            for i, k, n in zip(rows.tolist(), names, x.column(at).take(pa.array(rows)).to_pylist()):
-                if k != key:
-                    key, last = k, None
-                if last is None or n - last >= rest:
-                    out[i], last = True, n
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out)], names=[*cols, "escalates"])
-
-    return events.repartition(*keys).sortWithinPartitions(*keys, seq).mapInArrow(run, StructType([*events.schema.fields, StructField("escalates", BooleanType())]))
+    if rest < 1:
+        return events.withColumn("escalates", F.coalesce(F.col(wants), F.lit(False)))
+    width = rest * CHUNK
+    named = {"_k": F.struct(*keys), "_s": F.col(seq).cast("long")}  # structs with equal nulls are equal
+    steps = events.where(F.col(wants)).select(*[c.alias(n) for n, c in named.items()]).where("_s IS NOT NULL")
+    chunks = cut(steps.groupBy("_k", F.floor(F.col("_s") / width).alias("_c")).agg(F.array_sort(F.collect_set("_s")).alias("_a")))
+    begin = lambda c, o: c * width + o - rest  # noqa: E731  # the last escalation before a chunk, as far as the chunk can tell
+    ends = F.transform(F.sequence(F.lit(0), F.lit(rest - 1)), lambda o: F.aggregate("_a", begin(F.col("_c"), o), lambda a, s: F.when(s - a >= rest, s).otherwise(a)))
+    chains = chunks.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_c", ends.alias("_e")))).alias("_f"))
+
+    def follow(a: Column, f: Column) -> Column:
+        o = F.greatest(F.coalesce(a["last"] + rest - f["_c"] * width, F.lit(0)), F.lit(0)).cast("int")
+        end = F.get(f["_e"], o)
+        return F.struct(F.when(end == begin(f["_c"], o), a["last"]).otherwise(end).alias("last"), F.array_append(a["at"], F.struct(f["_c"].alias("_c"), begin(f["_c"], o).alias("_b"))).alias("at"))
+
+    at = F.aggregate("_f", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<_c:bigint,_b:bigint>>").alias("at")), follow)["at"]
+    known = chains.select("_k", F.explode(at).alias("_p")).select("_k", "_p._c", "_p._b")
+    pick = lambda a, s: F.when(s - a["last"] >= rest, F.struct(s.alias("last"), F.array_append(a["out"], s).alias("out"))).otherwise(a)
+    picks = F.aggregate("_a", F.struct(F.col("_b").alias("last"), F.array().cast("array<bigint>").alias("out")), pick)["out"]
+    chosen = cut(chunks.join(known, ["_k", "_c"]).select("_k", F.explode(picks).alias("_s")).withColumn("_hit", F.lit(True)))
+    first = F.row_number().over(Window.partitionBy("_k", "_s", "_w").orderBy(F.xxhash64(*events.columns))) == 1
+    out = events.withColumns(named | {"_w": F.coalesce(F.col(wants), F.lit(False))}).join(chosen.hint("merge"), ["_k", "_s"], "left")
+    return out.withColumn("escalates", F.col("_w") & F.coalesce("_hit", F.lit(False)) & first).select(*events.columns, "escalates")
 
 
 def wants_escalation(confidence: Column, errors: Column, steps: Column, hypotheses: Column, threshold: Column, late: int = 15, most: int = 3) -> Column:

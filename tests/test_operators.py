@@ -365,3 +365,20 @@ def test_small_look_ups(spark):
     assert R.listing(hits.limit(0), "q").first()[0] == "No relevant results found for query: q"
     b = spark.createDataFrame([("a.c", 1, "ann"), ("a.c", 2, "bob"), ("b.c", 1, "eve")], "file string, line int, author string")
     assert H.blame(b, "a.c").count() == 2 and H.blame(b, "a.c", 2).first()["author"] == "bob"
+
+
+@pytest.mark.parametrize("rest", [1, 5])
+def test_cooldown_against_a_loop(spark, rest):
+    r = random.Random(rest)
+    rows = [(k, s, r.random() < 0.6) for k, n in ((1, 30), (2, 1), (None, 20), (3, 0)) for s in sorted(r.sample(range(-20, 60), n))]
+    rows += [(4, s, r.random() < 0.7) for s in sorted(r.sample(range(-3000, 16_000), 9_000)) if not 6_000 < s < 12_500] + [(5, 7, True)] * 4 + [(5, 7 + rest, True), (6, None, True)]  # chunks, an empty one among them
+    want, last = set(), {}
+    for k, s, w in rows:
+        if w and s is not None and (k not in last or s - last[k] >= rest):
+            want.add((k, s))
+            last[k] = s
+    df = spark.createDataFrame(rows, "k long, seq long, w boolean").withColumn("_c", F.lit("x")).repartition(5)
+    out = E.cooldown(df, ["k"], "seq", "w", rest)
+    got = [(x["k"], x["seq"]) for x in out.collect() if x["escalates"]]
+    assert len(got) == len(set(got)) and set(got) == want and out.count() == len(rows)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
