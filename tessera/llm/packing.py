@@ -37,7 +37,7 @@ GROUP = 8192
 #: Sequences with a residual of a SLACK-th of their tokens or more are packed again with those of other groups.
 SLACK = 64
 #: Words whose ids a Python worker keeps, and the longest of them in bytes.
-KNOWN, LONG = 1_000_000, 128
+KNOWN, LONG = 1_400_000, 128
 #: One piece to the tokenizer whatever stands beside it: letters that neither decompose nor change their number in lower case. And marks that are a piece of their own after one.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+").fullmatch
 AFTER = b".,;:!?"
@@ -48,6 +48,20 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _loaded: dict = {}
 
 
+class Known(dict):
+    """Ids of words. Words that aren't there are gathered, and stand for no ids meanwhile; very long ones are encoded each time."""
+
+    def __init__(self, encode):
+        self.encode, self.new, self.missed = encode, set(), 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > LONG:
+            return self.encode(word)
+        self.new.add(word)
+        self.missed += 1
+        return b""
+
+
 class Words:
     """Ids of words by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
@@ -60,7 +74,7 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(self._one)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -71,6 +85,9 @@ class Words:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _one(self, word: bytes) -> bytes:
+        return self._ids(word.decode("utf-8", "replace")).tobytes()
+
     def _parted(self, words: list[bytes], gap: bytes) -> None:
         for lo in range(0, len(words), NEW):
             part = words[lo : lo + NEW]
@@ -103,19 +120,26 @@ class Words:
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.after[w[-1]]
         for w in alone:
-            self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+            self.known[w] = self._one(w)
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of some texts' words, end to end."""
-        get = self.known.get
-        found = [list(map(get, words)) for words in texts]
-        new = {w for words, ids in zip(texts, found) if None in ids for w, i in zip(words, ids) if i is None and len(w) <= LONG}
-        if new:
+        known, out, again = self.known, [], []
+        for n, words in enumerate(texts):
+            before = known.missed
+            out.append(b"".join(map(known.__getitem__, words)))
+            if known.missed != before:
+                again.append(n)
+        if again:
+            new, known.new = known.new, set()
             self.learn(new)
-        for ids, words in zip(found, texts):
-            if None in ids:
-                ids[:] = [i if i is not None else get(w) if len(w) <= LONG else self._ids(w.decode("utf-8", "replace")).tobytes() for w, i in zip(words, ids)]
-        return list(map(b"".join, found))
+            for n in again:
+                out[n] = b"".join(map(known.__getitem__, texts[n]))
+            if known.new:  # the others went to make room
+                new, known.new = known.new, set()
+                self.learn(new)
+                return self.encode(texts)
+        return out
 
 
 def _worded(path: str) -> Words:
