@@ -61,16 +61,17 @@ def _freed(spark: SparkSession):
         spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write df to a table in the shared folder and read it again, which cuts its lineage.
 
     Unlike checkpoint(), that runs the plan once rather than twice, and later reads take the
-    columns they need only. The table survives lost executors, so the shuffle files of the plan are
-    dropped as soon as it is written.
+    columns they need only. The table survives lost executors, so with free, for steps that shuffle
+    much, the plan's shuffle files are dropped as soon as it is written. That costs a message to
+    every executor for each shuffle, so steps that shuffle little leave theirs to Spark's cleaner.
     """
     spark = df.sparkSession
     path = scratch(spark, "table")
-    with _freed(spark):
+    with _freed(spark) if free else contextlib.nullcontext():
         df.write.parquet(path)
     place, store = path_in(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -98,8 +99,7 @@ def dealt(spark: SparkSession):
 
     def put(df: DataFrame, column: str) -> DataFrame:
         names.append(f"tessera_{uuid.uuid4().hex}")
-        with _freed(spark):
-            df.write.bucketBy(parts, column).option("path", scratch(spark, "dealt")).saveAsTable(names[-1])
+        df.write.bucketBy(parts, column).option("path", scratch(spark, "dealt")).saveAsTable(names[-1])
         return spark.table(names[-1])
 
     try:
