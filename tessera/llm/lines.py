@@ -324,10 +324,10 @@ def line_groups(docs: DataFrame, text_bytes: int = 0) -> DataFrame:
     """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text. text_bytes: how many their texts have, about."""
     tasks = dealt_to(docs.sparkSession, text_bytes * _RECORD.itemsize // LINE_BYTES)
     blocks = docs.mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
-    distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, size long, keys binary"))
+    distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, size long, keys binary"), free=True)
     known = distinct.select("id", "h1", "h2", "c", "doc")
     signatures = distinct.where("keys IS NOT NULL").select("id", F.col("keys").alias("sig"), (F.lit(WEIGHT[0]) + F.col("size") * WEIGHT[1]).alias("w"))
-    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, BANDS, keys_of, matrix_of, screen=numbered_sets)
+    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, signatures.count(), BANDS, keys_of, matrix_of, screen=numbered_sets)
     return known.join(found.hint("merge"), "id", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("group"))
 
 

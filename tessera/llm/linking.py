@@ -374,21 +374,21 @@ def _candidates(key, part, ids, sig, keys, least, batch):
 
 def link_groups(
     signatures: DataFrame, keys_in: Callable, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
-    percent: int, least: np.ndarray, batch: int, bands: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = binary_matrix, screen: Callable | None = None,
+    percent: int, least: np.ndarray, batch: int, items: int, bands: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = binary_matrix, screen: Callable | None = None,
 ) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
     signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's weight in bytes).
     keys_in: the keys of each band from an Arrow column of signatures. texts: from a table of ids, id and text. shingles: the exact set of a text.
-    sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. keys_of: the
-    keys of each of the bands, in order, from a matrix of signatures. screen: see exact_links. Items
+    sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. items: how many
+    signatures there are at most. keys_of: the keys of each of the bands, in order, from a matrix of signatures. screen: see exact_links. Items
     without links are absent.
     """
     # one exchange by key finds the keys of several items, in one pass over each partition. Keys that very many items
     # share are dealt by a part of the id too, and their parts meet in their smallest ids and in phase two
-    tasks = dealt_to(signatures.sparkSession, signatures.count() * bands * ENTRY)
+    tasks = dealt_to(signatures.sparkSession, items * bands * ENTRY)
     dealt = signatures.select("id", "sig").mapInArrow(_dealer(tasks, _hot(signatures, keys_in), keys_in), "pid int, keys binary, parts binary, ids binary")
-    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"))
+    members = cut(dealt.repartitionById(tasks, F.col("pid")).mapInArrow(_repeated, "key long, part int, id long"), free=True)
 
     # phase one: members meet with their signatures, bucket by bucket
     kind = signatures.schema["sig"].dataType
@@ -408,7 +408,7 @@ def link_groups(
             rows = t.filter(pa.array(live))
             yield from pa.table([*rows.select(["key", "part", "id"]).columns, pa.nulls(rows.num_rows, pa.int64()), pa.array(count[live].astype(np.int64)), rows.column("w"), rows.column("sig")], names=schema.names).to_batches()
 
-    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema))
+    seen = cut(sized.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compared, schema), free=True)
     tops = seen.where("part >= 0 AND n IS NOT NULL").groupBy("key", "part").agg(F.min("id").alias("v"))
     heads = cut(tops.groupBy("key").agg(F.min("v").alias("u")))
     tested = seen.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v"))
