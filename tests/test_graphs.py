@@ -56,6 +56,15 @@ def test_many_paths_stay_few_rows(spark):
     assert sorted(r["path"][-3] + r["path"][-2] for r in got) == ["u28u29", "u28v29", "v28u29"]
 
 
+def test_many_simple_paths_stay_few_rows(spark):
+    """The same ladder, whose prefixes can't all be kept, with a step back in its middle that no simple path takes."""
+    steps = [(f"{a}{i}", f"{b}{i + 1}") for i in range(30) for a in "uv" for b in "uv"]
+    edges = spark.createDataFrame([*steps, ("u15", "u14")], "source string, target string")
+    got = P.simple_paths(edges, spark.createDataFrame([("u0", "u30"), ("u0", "u1")], "src string, dst string"), most=3).collect()
+    ladder = [[f"u{i}" for i in range(28)] + [x, y, "u30"] for x, y in (("u28", "u29"), ("u28", "v29"), ("v28", "u29"))]
+    assert sorted(r["path"] for r in got if r["dst"] == "u30") == ladder and [r["path"] for r in got if r["dst"] == "u1"] == [["u0", "u1"]]
+
+
 def test_first_label_that_holds_a_name(spark):
     r = random.Random(3)
     labels = [(f"f{i}", "fn_" + "".join(r.choice("abc_") for _ in range(r.randint(0, 9))), r.randrange(500)) for i in range(700)] + [("null", None, 0), ("short", "a", 3), ("é", "fn_é日本", 9)]
