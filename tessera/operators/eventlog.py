@@ -74,18 +74,28 @@ def attribute_cost(steps: DataFrame, costs: DataFrame) -> DataFrame:
     return out.select("session", "seq", F.coalesce("file", F.when(F.col("_s")["action"] == "read_file", F.col("_s")["file"])).alias("file"), "usd")
 
 
+def ordered_sum(rows: DataFrame, keys: list[str], value: str, *more: Column, order: str = "seq") -> DataFrame:
+    """keys, value summed by key, and more aggregates. Doubles are added in the order of order and value, one by one.
+
+    So a sum near a limit is the same however rows are dealt to tasks. Without an order column rows go by value.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[c for c in (order, value) if c in rows.columns])
+    so_far = rows.withColumns({"_n": F.row_number().over(w), "_sum": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return so_far.groupBy(*keys).agg(F.max_by("_sum", "_n").alias(value), *more)
+
+
 def costly_files(costs: DataFrame, least: float = 0.5) -> DataFrame:
-    return costs.where("file IS NOT NULL").groupBy("session", "file").agg(F.sum("usd").alias("usd")).where(F.col("usd") >= least).orderBy(F.desc("usd"), "session", "file")
+    return ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd").where(F.col("usd") >= least).orderBy(F.desc("usd"), "session", "file")
 
 
 def cost_escalation(costs: DataFrame, confirmed: DataFrame, limit: float = 2.0, total: float = 10.0) -> DataFrame:
     """session, file, reason: the first costly file that no confirmed observation names in its first 50 characters, else a costly session without one."""
     limit = limit or 2.0
-    files = costs.where("file IS NOT NULL").groupBy("session", "file").agg(F.sum("usd").alias("usd"), F.min("seq").alias("first")).where(F.col("usd") > limit)
+    files = ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd", F.min("seq").alias("first")).where(F.col("usd") > limit)
     heads = confirmed.select(F.col("session").alias("_s"), F.substring("observation", 1, 50).alias("_o"))
     open_ = files.join(heads, (F.col("session") == F.col("_s")) & F.contains("_o", "file"), "left_anti")
     by_file = open_.groupBy("session").agg(F.min_by("file", "first").alias("file")).withColumn("reason", F.lit("file"))
-    totals = costs.groupBy("session").agg(F.sum("usd").alias("usd")).where(F.col("usd") > total).join(confirmed.select("session"), "session", "left_anti").join(by_file.select("session"), "session", "left_anti")
+    totals = ordered_sum(costs, ["session"], "usd").where(F.col("usd") > total).join(confirmed.select("session"), "session", "left_anti").join(by_file.select("session"), "session", "left_anti")
     return by_file.unionByName(totals.select("session", F.lit(None).cast("string").alias("file"), F.lit("total").alias("reason")))
 
 
@@ -239,9 +249,9 @@ def mark_last(events: DataFrame, keys: list[str], order: list[str], flag: str, m
 def summary(events: DataFrame, costs: DataFrame) -> DataFrame:
     """session, report: steps, errors, cost and the three most expensive files of 0.5 or more."""
     w = Window.partitionBy("session").orderBy(F.desc("usd"), "file")
-    top = costs.where("file IS NOT NULL").groupBy("session", "file").agg(F.sum("usd").alias("usd")).where("usd >= 0.5").withColumn("_n", F.row_number().over(w)).where("_n <= 3")
+    top = ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd").where("usd >= 0.5").withColumn("_n", F.row_number().over(w)).where("_n <= 3")
     files = top.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "file", "usd"))), lambda f: F.format_string("%s ($%.2f)", f["file"], f["usd"])), ", ").alias("files"))
-    total = costs.groupBy("session").agg(F.sum("usd").alias("usd"))
+    total = ordered_sum(costs, ["session"], "usd")
     steps = events.groupBy("session").agg(F.count("*").alias("steps"), F.count_if(F.lower("observation").rlike("error|fail|timeout|crash")).alias("errors"))
     out = steps.join(total, "session", "left").join(files, "session", "left")
     return out.select("session", F.format_string("%d steps, %d errors, $%.2f; %s", "steps", "errors", F.coalesce("usd", F.lit(0.0)), F.coalesce("files", F.lit("no costly file"))).alias("report"))

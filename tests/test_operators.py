@@ -130,6 +130,19 @@ def test_circuit_and_cooldown(spark):
     assert [r["seq"] for r in got if r["escalates"]] == [0, 5]
 
 
+def test_sums_near_a_limit_do_not_depend_on_how_rows_are_dealt(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.6, which 0.3 + 0.2 + 0.1 is not."""
+    rows = [("s", 3, "b", 0.3), ("s", 2, "b", 0.2), ("s", 1, "b", 0.1), ("s", 4, "a", 0.6), ("s", 5, None, None)]
+    costs = spark.createDataFrame(rows, "session string, seq long, file string, usd double")
+    none = spark.createDataFrame([], "session string, observation string")
+    steps = costs.select("session", F.lit("ok").alias("observation"))
+    for dealt in (costs.coalesce(1), costs.orderBy("seq").coalesce(1), costs.repartition(4)):
+        assert [(r["file"], r["usd"]) for r in E.costly_files(dealt, 0.6).collect()] == [("b", 0.1 + 0.2 + 0.3), ("a", 0.6)]
+        assert [r["file"] for r in E.cost_escalation(dealt, none, 0.6, 9.0).collect()] == ["b"]
+        assert E.summary(steps, dealt).first()["report"].endswith("; b ($0.60), a ($0.60)")
+        assert [r["usd"] for r in E.ordered_sum(dealt.where("file = 'b'"), ["session"], "usd").collect()] == [0.1 + 0.2 + 0.3]
+
+
 def test_costs(spark):
     steps = spark.createDataFrame([("s", 1, "read_file", "a.c"), ("s", 3, "grep", "b.c")], "session string, seq long, action string, file string")
     costs = spark.createDataFrame([("s", 2, None, 3.0), ("s", 4, None, 9.0), ("s", 5, "c.c", 1.0)], "session string, seq long, file string, usd double")
