@@ -12,12 +12,17 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.vector import latest
-from ..sources.shared import scratch
+from ..sources.shared import path_in, scratch
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream of the Parquet files of this name (or pattern) in a folder."""
-    return spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).option("pathGlobFilter", name).parquet(folder)
+    """A stream of the Parquet files, or of the files in the tables, of this name (or pattern) in a folder."""
+    path = f"{folder}/{name}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    place, store = path_in(spark, path)
+    if any(s.isDirectory() for s in store.globStatus(place) or ()):  # a filter by name would leave out the files in it
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:

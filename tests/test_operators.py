@@ -113,6 +113,14 @@ def test_streak_batch_stream_and_plain_python_agree(spark, tmp_path):
     assert {r["event_id"]: r["streak"] for r in got.collect()} == want
 
 
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(6, 9).coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    read = lambda name: sorted(r["id"] for r in S.drain(S.stream_table(spark, str(tmp_path), name)).collect())
+    assert read("many.parquet") == list(range(6)) and read("one.parquet") == [6, 7, 8] and read("*.parquet") == list(range(9))
+
+
 def test_mailbox_stream(spark, tmp_path):
     rows = [("s", 1, "put", "a"), ("s", 2, "put", "b"), ("s", 3, "consume", None), ("s", 4, "consume", None), ("t", 1, "put", "c"), ("t", 2, "clear", None), ("t", 3, "consume", None)]
     spark.createDataFrame(rows, "session string, seq long, kind string, text string").coalesce(1).write.parquet(str(tmp_path / "m"))
