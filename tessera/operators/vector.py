@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one broadcast may hold; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once: some 8 MB, and a few times that to pick from.
+CELLS = 1 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -56,8 +58,8 @@ def batch_search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     Null vectors are left out on both sides. A shorter vector counts as filled up with zeros.
 
     Queries go to the tasks in blocks of QUERY_BLOCK rows; each task scores its vectors against
-    a block with one matrix product and passes on its own k best a query, so what is shuffled is
-    k rows a query and task, whatever the index holds.
+    a block with matrix products of CELLS scores and passes on its own k best a query, so what is shuffled is
+    k rows a query and task, and what a task holds is bounded, whatever the index holds.
     """
     queries, index = queries.where("query IS NOT NULL"), index.where(F.col(vec_col).isNotNull())
     total, out = queries.count(), None
@@ -86,20 +88,26 @@ def _block(index: DataFrame, queries: list, k: int) -> DataFrame:
 
         q = filled(np.array([x for v in vectors for x in v], np.float64), np.array([len(v) for v in vectors], np.int64), np)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best_s, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        at, best_s, best_i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # the k best a query so far, in order
+        bound, width = np.full(len(ids), -np.inf), max(1, CELLS // max(1, len(ids)))
         for x in batches:
-            if not x.num_rows or not len(ids):
-                continue
-            flat = x.column(1).flatten().fill_null(0.0)
-            v = filled(np.asarray(flat), np.diff(np.asarray(x.column(1).offsets)), np)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            d = min(q.shape[1], v.shape[1])
-            s = q[:, :d] @ (v / np.where(n > 0, n, 1))[:, :d].T
-            i = np.broadcast_to(np.asarray(x.column(0)), s.shape)
-            s, i = np.concatenate((best_s, s), 1), np.concatenate((best_i, i), 1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = best_s.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(best_i.reshape(-1)), pa.array(best_s.reshape(-1))], names=["query_id", "id", "score"])
+            for at_row in range(0, x.num_rows if len(ids) else 0, width):
+                part = x.slice(at_row, width)
+                v = filled(np.asarray(part.column(1).flatten().fill_null(0.0)), np.diff(np.asarray(part.column(1).offsets)), np)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                d = min(q.shape[1], v.shape[1])
+                s = q[:, :d] @ (v / np.where(n > 0, n, 1))[:, :d].T
+                s = np.where(np.isnan(s), -np.inf, s)
+                low = np.maximum(bound, np.partition(s, -k, axis=1)[:, -k]) if k < s.shape[1] else bound
+                row, col = np.nonzero(s >= low[:, None])
+                at, best_s, best_i = np.concatenate((at, row)), np.concatenate((best_s, s[row, col])), np.concatenate((best_i, np.asarray(part.column(0))[col]))
+                order = np.lexsort((best_i, -best_s, at))
+                first = np.searchsorted(at[order], np.arange(len(ids)))
+                order = order[np.arange(len(order)) - first[at[order]] < k]
+                at, best_s, best_i = at[order], best_s[order], best_i[order]
+                ends = np.searchsorted(at, np.arange(len(ids)), side="right")
+                full = np.diff(ends, prepend=0) >= k
+                bound[full] = best_s[ends[full] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), pa.array(best_i), pa.array(np.where(np.isneginf(best_s), np.nan, best_s))], names=["query_id", "id", "score"])
 
     return index.mapInArrow(run, "query_id long, id long, score double")

@@ -51,6 +51,26 @@ def test_batch_search_equals_brute_force(spark):
         assert [got[q, k] for k in (1, 2, 3)] == [w[0] for w in want]
 
 
+def test_batch_search_holds_few_scores_at_once():
+    """1,024 queries against 10,000 vectors in one batch: 80 MB of scores, of which a task holds a part only."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    e = np.random.default_rng(5).integers(-3, 4, (10_000, 8)).astype(float)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 80_001, 8), pa.int32()), pa.array(e.reshape(-1)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), flat], names=["id", "v"])
+    run = V._block(SimpleNamespace(mapInArrow=lambda f, schema: f), [{"query_id": i, "query": e[i].tolist()} for i in range(1024)], 3)
+    tracemalloc.start()
+    (out,) = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1)
+    got = np.asarray(out.column(2)).reshape(1024, 3)
+    assert peak < 80 << 20 and np.allclose(got, -np.sort(-(unit[:1024] @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T), axis=1)[:, :3])
+
+
 def test_batch_search_of_nulls_and_unequal_lengths(spark):
     index = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0, 1.0]), (4, [2.0]), (5, [])], "vec_id long, embedding array<double>")
     ask = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [0.0, 0.0, 3.0])], "query_id long, query array<double>")
