@@ -56,24 +56,25 @@ def evidence_index(evidence: DataFrame) -> DataFrame:
     return evidence.select(F.explode(words).alias("keyword"), "pointer").distinct()
 
 
-_POSTING, _FRAGMENT = "keyword string, pointer {0}, fragment string, ord long", "pointer {0}, fragment string, ord long"
+_POSTING, _FRAGMENT = "keyword string, pointer {0}, ord long", "pointer {0}, fragment string, ord long"
 
 
 def put_evidence(evidence: DataFrame, path: str, ord_: int = 0) -> None:
-    """Add evidence (pointer, fragment and, if given, keywords) to a store: its fragments, and postings that lie in parts by keyword and carry their fragment.
+    """Add evidence (pointer, fragment and, if given, keywords) to a store: its fragments, and postings that lie in parts by keyword. Texts are in the first only.
 
     A pointer that comes again with a higher ord_ replaces its fragment, and its new keywords are
     added to those that it has. Of rows with one pointer in one call the last fragment counts.
     """
-    last = evidence.groupBy("pointer").agg(F.max("fragment").alias("fragment"))
-    postings = evidence_index(evidence).join(last, "pointer").select("keyword", "pointer", "fragment", F.lit(ord_).cast("long").alias("ord"))
-    merge_into(last.withColumn("ord", F.lit(ord_).cast("long")), f"{path}/fragments", ["pointer"], "ord")
+    at = F.lit(ord_).cast("long").alias("ord")
+    postings = evidence_index(evidence).where("pointer IS NOT NULL").select("keyword", "pointer", at)
+    merge_into(evidence.select("pointer", "fragment", at), f"{path}/fragments", ["pointer"], "ord", ties=("fragment",))
     merge_into(postings, f"{path}/postings", ["keyword", "pointer"], "ord", within=["keyword"])
 
 
 def find_evidence(spark: SparkSession, path: str, keyword: str, pointer: str = "string") -> DataFrame:
-    """pointer, fragment of a keyword's postings (pointer: the type of pointers): only the part that may hold the keyword is read."""
-    return read_store(spark, f"{path}/postings", _POSTING.format(pointer), keyword=keyword.lower()).select("pointer", "fragment")
+    """pointer, fragment of a keyword's postings (pointer: the type of pointers): of these only the part that may hold the keyword is read."""
+    hits = read_store(spark, f"{path}/postings", _POSTING.format(pointer), keyword=keyword.lower()).select("pointer")
+    return hits.join(read_store(spark, f"{path}/fragments", _FRAGMENT.format(pointer)).select("pointer", "fragment"), "pointer")
 
 
 def get_evidence(spark: SparkSession, path: str, pointer) -> DataFrame:

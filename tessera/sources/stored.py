@@ -80,12 +80,13 @@ def _parts(spark: SparkSession, path: str) -> int | None:
     return int(read_text(spark, f"{path}/_parts")) if store.exists(place) else None
 
 
-def merge_into(changes: DataFrame, path: str, keys: list[str], order: str, parts: int = PARTS, within: list[str] | None = None, keep_old: bool = False) -> int:
+def merge_into(changes: DataFrame, path: str, keys: list[str], order: str, parts: int = PARTS, within: list[str] | None = None, keep_old: bool = False, ties: tuple[str, ...] = ()) -> int:
     """Upsert changes into a store: one row a key, the last by order (in ties the later change; with keep_old the row that is there stays). Returns the parts that were rewritten.
 
     The store lies in parts by a hash of `within` (of the keys by default; some of them), and only
     parts that changes fall into are read and overwritten. Null keys are keys. One writer at a
-    time; a part is overwritten as a whole. Rows that are equal in key and order count once.
+    time; a part is overwritten as a whole. Rows that are equal in key and order count once: the one with the largest ties, if named.
+    Rows move once: they are dealt by part, which also brings rows of one key together.
     """
     spark, within = changes.sparkSession, within or keys
     known = _parts(spark, path)
@@ -96,14 +97,16 @@ def merge_into(changes: DataFrame, path: str, keys: list[str], order: str, parts
     touched = [r[0] for r in new.select("_part").distinct().collect()]  # numbers below parts
     if not touched:
         return 0
-    rows = new
-    if known is not None and stored_files(spark, path):
+    rows, kept = new, known is not None and stored_files(spark, path)
+    if kept:
         old = spark.read.schema(_with_part(changes.schema)).parquet(path).where(F.col("_part").isin(touched))
         rows = new.unionByName(old.withColumn("_new", F.lit(keep_old)))
     rank = [F.col("_new").desc()] if keep_old else [F.col(order).desc_nulls_last(), F.col("_new").desc()]
-    w = Window.partitionBy(*keys).orderBy(*rank, F.col(order).desc_nulls_last())
-    merged = cut(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new"))  # the store can't be read while it is overwritten
-    merged.repartition(len(touched), "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    w = Window.partitionBy("_part", *keys).orderBy(*rank, F.col(order).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ties])
+    merged = rows.repartition(len(touched), "_part").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    if kept:
+        merged = cut(merged)  # the store can't be read while it is overwritten
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
     return len(touched)
 
 

@@ -296,6 +296,16 @@ def test_hypotheses_and_crashes_raise_risk(spark):
     assert [tuple(r)[:2] for r in short.collect()] == [("f:a", "c")]
 
 
+def test_evidence_keeps_texts_once(spark, tmp_path):
+    """Postings hold no texts, so an older keyword finds the text that replaced its own."""
+    path, schema = str(tmp_path / "evidence"), "pointer string, fragment string, keywords array<string>"
+    R.put_evidence(spark.createDataFrame([("p", "first", ["heap"]), ("p", "other", ["stack"]), (None, "none", ["heap"])], schema), path)
+    assert "fragment" not in spark.read.parquet(f"{path}/postings").columns
+    assert [tuple(r) for r in R.find_evidence(spark, path, "stack").collect()] == [("p", "other" if "other" > "first" else "first")]
+    R.put_evidence(spark.createDataFrame([("p", "a later one", ["new"])], schema), path, 1)
+    assert [tuple(r) for k in ("heap", "stack", "new") for r in R.find_evidence(spark, path, k).collect()] == [("p", "a later one")] * 3
+
+
 def test_evidence(spark, tmp_path):
     ev = spark.createDataFrame([("p1", "The Heap was freed early", None), ("p2", "x", ["UAF"])], "pointer string, fragment string, keywords array<string>")
     assert {(r["keyword"], r["pointer"]) for r in R.evidence_index(ev).collect()} == {("heap", "p1"), ("uaf", "p2")}
