@@ -184,7 +184,7 @@ def _signed(tasks: int):
     def run(batches):
         parts, held = [], 0
         for x in batches:
-            buf, offsets = text_buffer(x.column(2))
+            buf, offsets = text_buffer(x.column(1))
             docs = np.asarray(x.column(0))
             for lo, hi in slices(offsets, SLICE):
                 row, _, lines = _found(buf, offsets, lo, hi)
@@ -256,9 +256,11 @@ def numbered_sets(lines: list[str]) -> list[np.ndarray] | None:
     and nothing rests on a hash. A line shorter than a shingle is one of its own.
     """
     points = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
-    known, at = np.unique(points, return_inverse=True)
-    if len(known) >= 1 << BITS:
-        return None
+    at = points
+    if len(points) and points.max() >= (1 << BITS) - 1:  # smaller ones are their own numbers
+        known, at = np.unique(points, return_inverse=True)
+        if len(known) >= 1 << BITS:
+            return None
     code = at.astype(np.int64) + 1
     every = code[: max(len(code) - SHINGLE + 1, 0)].copy()
     for i in range(1, SHINGLE):
@@ -301,15 +303,17 @@ def _texts(docs: DataFrame, distinct: DataFrame):
 
             for x in batches:
                 buf, offsets = text_buffer(x.column(1))
-                for i in range(x.num_rows):
-                    lines = [line for _, line in _lines(buf[offsets[i] : offsets[i + 1]].tobytes())]
+                for lo, hi in slices(offsets, SLICE):  # a document at a time would cost more than its lines
+                    _, _, lines = _found(buf, offsets, lo, hi)
+                    if not lines:
+                        continue
                     h = _digests(lines)
-                    ids, h2s = np.asarray(x.column(2)[i].values), np.asarray(x.column(3)[i].values)
+                    ids, h2s = (np.asarray(x.column(c).slice(lo, hi - lo).flatten()) for c in (2, 3))
                     known = set(zip(ids.tolist(), h2s.tolist()))
                     hit = np.flatnonzero(np.isin(h[:, 1], h2s))
                     other = _other_name(np.ascontiguousarray(h[hit, 0]), np.ascontiguousarray(h[hit, 1]))
-                    found = [(name, n) for n, a, b, c in zip(hit.tolist(), h[hit, 0].tolist(), h[hit, 1].tolist(), other.tolist()) for name in (a, c) if (name, b) in known]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([lines[n].decode("utf-8") for _, n in found], pa.string())], names=["id", "text"])
+                    found = {name: n for n, a, b, c in zip(hit.tolist(), h[hit, 0].tolist(), h[hit, 1].tolist(), other.tolist()) for name in (a, c) if (name, b) in known}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([lines[n].decode("utf-8") for n in found.values()], pa.string())], names=["id", "text"])
 
         return cut(holders.mapInArrow(pick, "id long, text string").dropDuplicates(["id"]))
 
@@ -323,12 +327,12 @@ WEIGHT = (1024, 24)
 def line_groups(docs: DataFrame, text_bytes: int = 0) -> DataFrame:
     """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text. text_bytes: how many their texts have, about."""
     tasks = dealt_to(docs.sparkSession, text_bytes * _RECORD.itemsize // LINE_BYTES)
-    blocks = docs.mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
+    blocks = docs.select("doc", "text").mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
     distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, size long, keys binary"), free=True)
     known = distinct.select("id", "h1", "h2", "c", "doc")
     signatures = distinct.where("keys IS NOT NULL").select("id", F.col("keys").alias("sig"), (F.lit(WEIGHT[0]) + F.col("size") * WEIGHT[1]).alias("w"))
-    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, signatures.count(), BANDS, keys_of, matrix_of, screen=numbered_sets)
-    return known.join(found.hint("merge"), "id", "left").where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("group"))
+    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, distinct.count(), BANDS, keys_of, matrix_of, screen=numbered_sets)
+    return attach(known, found, ["id"], F.lit(16)).where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("group"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import cut, mix
+from .common import cut, mix, only, slices
 
 #: Members of one bucket that one task compares with as many others, and their weight at most (bytes, about).
 CHUNK, CHUNK_WEIGHT = 4096, 16 << 20
@@ -29,6 +29,8 @@ HOT_KEYS, HOT_ROWS, SAMPLE = 4096, 64, 64
 SMALL = 32
 #: Hashes of sets that a call keeps.
 KEPT = 4 << 20
+#: Characters whose sets are made at once.
+AT_ONCE = 1 << 16
 #: Sets that are compared with one at once.
 BATCH = 32
 #: Pairs whose sets are hashed at once.
@@ -414,14 +416,13 @@ def link_groups(
     tested = seen.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v"))
     tested = cut(tested.unionByName(tops.join(heads.hint("merge"), "key").where("u <> v").select("u", "v")).distinct())
 
-    def verify(candidates: DataFrame) -> DataFrame:
-        ids = cut(candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct())
-        return cut(exact_links(candidates, texts(ids), shingles, percent, screen))
-
-    found = cut(components(verify(tested)))
-
     # phase two: buckets whose members are not all in one component. Where two members only were not pruned, they were tested
     rows = seen.where("n > 2").select("key", "id", "w", "sig")
+
+    # one reading for both phases: nearly all rows of phase two are in a pair of phase one, and a reading scans all documents
+    ends = lambda pairs: pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
+    read = texts(cut(ends(tested).unionByName(rows.select("id")).distinct()))
+    found = cut(components(cut(exact_links(tested, read, shingles, percent, screen))))
     roots = cut(rows.join(found.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "w", "sig"))
     split = cut(roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
     rest = cut(roots.join(split.hint("merge"), "key", "left_semi"))
@@ -438,13 +439,13 @@ def link_groups(
         root, key = t.column("root").to_numpy(), t.column("key").to_numpy()
         return t.select(["key", "id", "root", "w", "sig"]).filter(pa.array(_partners(key, root, keys_of(sig), sig, least, batch, t.column("mine").to_numpy(), cross)))
 
-    # texts are read only for rows that have a partner by their signatures
+    # only rows that have a partner by their signatures meet with their texts
     placed = _dealt(rest, F.ceil(F.count("*") / CHUNK))
     rest = cut(placed.groupBy("pack", "big", "i", "j").applyInArrow(marked, rest.select("key", "id", "root", "w", "sig").schema).dropDuplicates(["key", "id"]))
     if rest.isEmpty():
         return found
     placed = _dealt(rest, F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("w") / CHUNK_WEIGHT)), texts=True)
-    placed = placed.join(texts(cut(rest.select("id").distinct())).hint("merge"), "id")
+    placed = placed.join(only(read, cut(rest.select("id").distinct()), "id").hint("merge"), "id")
 
     def linked(n, to, ids, text, own):
         """Which of to are similar to n, by their sets: one search of all their hashes in n's."""
@@ -485,19 +486,29 @@ def link_groups(
                         group[group == group[m]] = group[n]
                 to = to[group[to] != group[n]]
 
+    def ahead(ids, text) -> dict:
+        """Sets by id, AT_ONCE characters at a time, since a few lines a call cost several times as much; linked() makes those beyond KEPT."""
+        every, own = dict(zip(ids.tolist(), text)), {}
+        names, parts = list(every), list(every.values())
+        sizes = np.cumsum([0, *map(len, parts)])
+        for lo, hi in slices(sizes[sizes <= KEPT], AT_ONCE):
+            own.update(zip(names[lo:hi], sets(parts[lo:hi])))
+        return own
+
     def across(t):
         import pyarrow as pa
 
         t = t.sort_by([("key", "ascending"), ("id", "ascending")])
         key, ids, root, chunk, text, sig = *(t.column(c).to_numpy() for c in ("key", "id", "root", "mine")), t.column("text").to_pylist(), matrix(t.column("sig"))
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        keys, us, vs, own = keys_of(sig), [], [], {}
+        keys, us, vs, own = keys_of(sig), [], [], ahead(ids, text)
         for a, b in zip(*_buckets(key)):
             bucket(key[a], ids[a:b], root[a:b], chunk[a:b], sig[a:b], keys[a:b], text[a:b], cross, own, us, vs)
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     more = placed.groupBy("pack", "big", "i", "j").applyInArrow(across, "u long, v long").where("u <> v").distinct()
-    extra = verify(cut(more))
+    more = cut(more)
+    extra = cut(exact_links(more, only(read, cut(ends(more).distinct()), "id"), shingles, percent, screen))
     if extra.isEmpty():
         return found
     return cut(components(found.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(extra)))
