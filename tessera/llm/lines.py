@@ -18,6 +18,8 @@ half that similarity, which texts of one subject have many of, share far fewer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,13 @@ def shingle_hashes(points: np.ndarray) -> np.ndarray:
     return h
 
 
+def _borrowed():
+    """For each bin the one to borrow from, as often as it takes: chosen by hash at first, then the next ones in turn."""
+    yield from _DONORS
+    for step in range(1, HASHES):
+        yield (np.arange(HASHES) + step) % HASHES
+
+
 def signatures_of(points, starts, ends):
     """(lines, HASHES) uint16 of lines that lie end to end with one separator between; those without a shingle get anything."""
     g = shingle_hashes(points)
@@ -85,24 +94,22 @@ def signatures_of(points, starts, ends):
     cell[over[(over >= 0) & (over < len(g))]] = len(starts) * HASHES
     out = np.full((len(starts) + 1) * HASHES, _EMPTY, np.uint32)
     np.minimum.at(out, cell.view(np.int64), g.astype(np.uint32) >> np.uint32(1))
-    out = out[:-HASHES].reshape(-1, HASHES)
-    row, col = np.nonzero(out == _EMPTY)
+    out = out[:-HASHES]
+    empty = out == _EMPTY
+    empty.reshape(-1, HASHES)[ends - starts < SHINGLE] = False  # they have nothing to borrow
+    at = np.flatnonzero(empty)
+    col = at % HASHES
+    head = at - col
     filled = out.copy()
-    for donors in _DONORS:
-        if not len(row):
-            break
-        got = out[row, donors[col]]
-        full = got != _EMPTY
-        filled[row[full], col[full]] = got[full]
-        row, col = row[~full], col[~full]
-    for step in range(1, HASHES):
-        if not len(row):
+    for borrowed in _borrowed():
+        if not len(at):
             break
-        got = out[row, (col + step) % HASHES]
+        got = out[head + borrowed[col]]
         full = got != _EMPTY
-        filled[row[full], col[full]] = got[full]
-        row, col = row[~full], col[~full]
-    return ((filled * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
+        filled[at[full]] = got[full]
+        left = np.flatnonzero(~full)
+        at, col, head = at[left], col[left], head[left]
+    return ((filled.reshape(-1, HASHES) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
 _SHIFTS = np.arange(ROWS, dtype=np.uint64) * np.uint64(BITS)
@@ -151,8 +158,16 @@ def _occurrences(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), x.column(0).take(take), x.column(1).take(take), pa.array(number, pa.int32())], names=_ID)
 
 
-#: A line on its way to the task that knows all its occurrences: hashes, first document, occurrences, characters, keys.
-_RECORD = np.dtype([("h1", np.int64), ("h2", np.int64), ("doc", np.int64), ("c", np.int64), ("size", np.int64), ("keys", np.int64, BANDS)])
+#: A line on its way to the task that knows all its occurrences: hashes, first document and place in it, occurrences, characters, keys.
+_RECORD = np.dtype([("h1", np.int64), ("h2", np.int64), ("doc", np.int64), ("at", np.int64), ("c", np.int64), ("size", np.int64), ("keys", np.int64, BANDS)])
+
+
+def _place(number, th: np.ndarray) -> np.ndarray:
+    """A line's number and its text's hash as one integer that sorts as the two do; _PLACE is the same in SQL."""
+    return (np.asarray(number, np.int64) << 32) + (th.astype(np.int64) + (1 << 31))
+
+
+_PLACE = "shiftleft(CAST(ln AS BIGINT), 32) + (CAST(th AS BIGINT) + 2147483648)"
 
 
 def _combined(rows: np.ndarray) -> np.ndarray:
@@ -160,7 +175,10 @@ def _combined(rows: np.ndarray) -> np.ndarray:
     rows = rows[np.lexsort((rows["h2"], rows["h1"]))]
     first = np.flatnonzero(np.concatenate(([True], (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]))))
     out = rows[first]
-    out["doc"], out["c"] = np.minimum.reduceat(rows["doc"], first), np.add.reduceat(rows["c"], first)
+    if len(first) < len(rows):
+        out["doc"], out["c"] = np.minimum.reduceat(rows["doc"], first), np.add.reduceat(rows["c"], first)
+        own = rows["doc"] == np.repeat(out["doc"], np.diff(np.append(first, len(rows))))
+        out["at"] = np.minimum.reduceat(np.where(own, rows["at"], np.iinfo(np.int64).max), first)
     return out
 
 
@@ -184,18 +202,20 @@ def _signed(tasks: int):
     def run(batches):
         parts, held = [], 0
         for x in batches:
-            buf, offsets = text_buffer(x.column(1))
-            docs = np.asarray(x.column(0))
+            buf, offsets = text_buffer(x.column(2))
+            docs, th = np.asarray(x.column(0)), np.asarray(x.column(1))
             for lo, hi in slices(offsets, SLICE):
-                row, _, lines = _found(buf, offsets, lo, hi)
+                row, number, lines = _found(buf, offsets, lo, hi)
                 if not lines:
                     continue
+                row = np.array(row)
                 part = np.zeros(len(lines), _RECORD)
                 h = _digests(lines)
                 points = np.frombuffer(b"\n".join(lines).decode("utf-8").encode("utf-32-le"), np.uint32)
                 ends = np.append(np.flatnonzero(points == 10), len(points))
                 starts = np.append(0, ends[:-1] + 1)
-                part["h1"], part["h2"], part["doc"], part["c"], part["size"] = h[:, 0], h[:, 1], docs[np.array(row)], 1, ends - starts
+                part["h1"], part["h2"], part["doc"], part["c"], part["size"] = h[:, 0], h[:, 1], docs[row], 1, ends - starts
+                part["at"] = _place(number, th[row])
                 part["keys"] = keys_of(signatures_of(points, starts, ends))
                 parts.append(part)
                 held += len(part)
@@ -213,7 +233,7 @@ def _other_name(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _distinct(batches):
-    """id, h1, h2, c, doc, size, keys (null for lines without a shingle) of the lines in a partition's blocks.
+    """id, h1, h2, c, doc, at, size, keys (null for lines without a shingle) of the lines in a partition's blocks.
 
     A line's id is h1; of lines that share h1, which meet here, all but the first are named by both hashes.
     """
@@ -230,11 +250,11 @@ def _distinct(batches):
         rows = every[lo : lo + (1 << 14)]
         keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows["keys"]).tobytes())]).cast(pa.binary())
         keys = pc.if_else(pa.array(rows["size"] < SHINGLE), pa.scalar(None, pa.binary()), keys)
-        cols = [np.ascontiguousarray(rows[c]) for c in ("h1", "h2", "c", "doc", "size")]
+        cols = [np.ascontiguousarray(rows[c]) for c in ("h1", "h2", "c", "doc", "at", "size")]
         named = cols[0].copy()
         again = twin[lo : lo + (1 << 14)]
         named[again] = _other_name(cols[0][again], cols[1][again])
-        yield pa.RecordBatch.from_arrays([pa.array(named), *map(pa.array, cols), keys], names=["id", "h1", "h2", "c", "doc", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(named), *map(pa.array, cols), keys], names=["id", "h1", "h2", "c", "doc", "at", "size", "keys"])
 
 
 _LINE = "h1 long, h2 long, doc long, th int, ln int"
@@ -249,6 +269,29 @@ def character_shingles(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)) if len(line) >= SHINGLE else frozenset([line])
 
 
+def _sets_in(every: np.ndarray, lines: list[str], short: Callable[[int, int], np.ndarray]) -> list[np.ndarray]:
+    """Sorted distinct entries of each line's run in every, which has one for each shingle of the lines end to end with one separator between.
+
+    The runs are sorted in place, and what comes twice is found for all of them at once. short: the set of a line without a run, from its start and end.
+    """
+    sizes = np.array([len(x) for x in lines], np.int64)
+    at = np.cumsum(sizes + 1) - sizes - 1
+    long = sizes >= SHINGLE
+    starts, ends = at[long], (at + sizes - SHINGLE + 1)[long]
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        every[a:b].sort()
+    keep = np.zeros(len(every) + 1, np.int8)
+    keep[starts] = 1
+    keep[ends] = -1
+    keep = np.cumsum(keep[:-1], dtype=np.int8).view(bool)
+    new = np.append(True, every[1:] != every[:-1])[: len(every)]
+    new[starts] = True
+    keep &= new
+    found, count = every[keep], np.append(0, np.cumsum(keep))
+    runs = iter(zip(count[starts].tolist(), count[ends].tolist()))
+    return [found[slice(*next(runs))] if n >= SHINGLE else short(a, a + n) for a, n in zip(at.tolist(), sizes.tolist())]
+
+
 def numbered_sets(lines: list[str]) -> list[np.ndarray] | None:
     """Sorted distinct numbers of the lines' shingles, equal for equal shingles only; None for lines of over 4,096 characters apart.
 
@@ -265,30 +308,13 @@ def numbered_sets(lines: list[str]) -> list[np.ndarray] | None:
     every = code[: max(len(code) - SHINGLE + 1, 0)].copy()
     for i in range(1, SHINGLE):
         every |= code[i : len(every) + i] << (BITS * i)
-    out, at = [], 0
-    for x in lines:
-        if len(x) >= SHINGLE:
-            h = np.sort(every[at : at + len(x) - SHINGLE + 1])
-            twice = h[1:] == h[:-1]
-            out.append(h[np.append(True, ~twice)] if twice.any() else h)
-        else:
-            out.append(np.array([sum(int(c) << (BITS * i) for i, c in enumerate(code[at : at + len(x)]))], np.int64))
-        at += len(x) + 1
-    return out
+    return _sets_in(every, lines, lambda a, b: np.array([sum(int(c) << (BITS * i) for i, c in enumerate(code[a:b]))], np.int64))
 
 
 def hashed_sets(lines: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the lines' shingles; all lines are hashed in one pass."""
     points = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    every = grams(points, SHINGLE)
-    out, at = [], 0
-    for x in lines:
-        h = every[at : at + len(x) - SHINGLE + 1] if len(x) >= SHINGLE else grams(points[at : at + len(x)], len(x))
-        h = np.sort(h)
-        twice = h[1:] == h[:-1]
-        out.append(np.delete(h, np.flatnonzero(twice)) if twice.any() else h)
-        at += len(x) + 1
-    return out
+    return _sets_in(grams(points, SHINGLE), lines, lambda a, b: grams(points[a:b], b - a))
 
 
 def _texts(docs: DataFrame, distinct: DataFrame):
@@ -296,7 +322,7 @@ def _texts(docs: DataFrame, distinct: DataFrame):
 
     def read(ids: DataFrame) -> DataFrame:
         at = cut(only(distinct.select("id", "h2", "doc"), ids, "id").groupBy("doc").agg(F.collect_list("id").alias("ids"), F.collect_list("h2").alias("h2s")))
-        holders = only(docs, cut(at.select("doc")), "doc").join(at.hint("merge"), "doc").select("doc", "text", "ids", "h2s")
+        holders = attach(docs.select("doc", "text"), at, ["doc"], F.size("ids") * 16 + 40, "inner").select("doc", "text", "ids", "h2s")
 
         def pick(batches):
             import pyarrow as pa
@@ -325,14 +351,21 @@ WEIGHT = (1024, 24)
 
 
 def line_groups(docs: DataFrame, text_bytes: int = 0) -> DataFrame:
-    """h1, h2 (a line's hashes), group (an id of its component) for lines that occur twice or are linked. docs: doc, th, text. text_bytes: how many their texts have, about."""
+    """h1, h2 (a line's hashes), first, place (document of its component's first occurrence, and where there, see _place) for lines that occur twice or are linked.
+
+    docs: doc, th, text. text_bytes: how many their texts have, about.
+    """
     tasks = dealt_to(docs.sparkSession, text_bytes * _RECORD.itemsize // LINE_BYTES)
-    blocks = docs.select("doc", "text").mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
-    distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, size long, keys binary"), free=True)
-    known = distinct.select("id", "h1", "h2", "c", "doc")
+    blocks = docs.select("doc", "th", "text").mapInArrow(_signed(tasks), "pid int, rows binary").repartitionById(tasks, F.col("pid"))
+    distinct = cut(blocks.mapInArrow(_distinct, "id long, h1 long, h2 long, c long, doc long, at long, size long, keys binary"), free=True, plain=True)
+    known = distinct.select("id", "h1", "h2", "c", "doc", "at")
     signatures = distinct.where("keys IS NOT NULL").select("id", F.col("keys").alias("sig"), (F.lit(WEIGHT[0]) + F.col("size") * WEIGHT[1]).alias("w"))
-    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, distinct.count(), BANDS, keys_of, matrix_of, screen=numbered_sets)
-    return attach(known, found, ["id"], F.lit(16)).where("c > 1 OR root IS NOT NULL").select("h1", "h2", F.coalesce("root", "id").alias("group"))
+    found = link_groups(signatures, _keys_in, _texts(docs, known), character_shingles, hashed_sets, PERCENT, pruning_table(HASHES, BATCH, PERCENT / 100, 1e-5), BATCH, distinct.count(), BANDS, matrix_of, screen=numbered_sets)
+    lines = cut(attach(known, found, ["id"], F.lit(16)).where("c > 1 OR root IS NOT NULL").select("h1", "h2", "root", "doc", "at"))
+    # written first, so that the join has plain exchanges on both sides, and a large component is split
+    firsts = cut(lines.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc", "at")).alias("f")).select("root", F.col("f.doc").alias("first"), F.col("f.at").alias("place")))
+    linked = lines.where("root IS NOT NULL").join(firsts.hint("merge"), "root").select("h1", "h2", "first", "place")
+    return linked.unionByName(lines.where("root IS NULL").select("h1", "h2", F.col("doc").alias("first"), F.col("at").alias("place")))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,24 +380,22 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = base.where("doc IS NOT NULL AND text IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0]
     groups = cut(line_groups(known, size or 0))
-    occurs = cut(attach(known.mapInArrow(_occurrences, _LINE), groups, ["h1", "h2"], F.lit(24), "inner").select("group", "doc", "ln", "th"))
-    # written first, so that the join has plain exchanges on both sides, and a line of every document is split
-    kept = cut(occurs.groupBy("group").agg(F.min(F.struct("doc", "ln", "th")).alias("keep")))
-    gone = occurs.join(kept.hint("merge"), "group").where(F.struct("doc", "ln", "th") != F.col("keep"))
+    occurs = attach(known.mapInArrow(_occurrences, _LINE), groups, ["h1", "h2"], F.lit(32), "inner")
+    gone = occurs.where(f"doc <> first OR {_PLACE} <> place")
     gone = cut(gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("ln")).alias("removed")))
     rows = attach(base, gone, ["doc", "th"], F.size("removed") * 4 + 40)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    parts = F.split("text", "\n", -1)
 
     def rest(p):
         """The parts left, by a hashed set of positions: array_contains in a filter would take lines times removed lines."""
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), removed), lambda i: F.get(p, i)), "\n")
 
-    # a lambda's variable is computed once, a column inside a lambda for each element
-    kept_text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.transform(F.array(parts), rest)[0])
+    # a lambda's variable is computed once, a column inside a lambda for each element: a text is split once
+    split = F.transform(F.array(F.split("text", "\n", -1)), lambda p: F.struct(F.size(p).alias("n"), F.when(F.size(removed) > 0, rest(p)).alias("kept")))[0]
+    rows = rows.select("doc", "text", removed.alias("removed"), split.alias("s"))
     return rows.select(
-        F.col("doc").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), kept_text.alias("kept_text"),
+        F.col("doc").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.col("s.n")).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"), "removed", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("s.kept")).alias("kept_text"),
     )
 
 

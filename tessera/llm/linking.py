@@ -376,14 +376,14 @@ def _candidates(key, part, ids, sig, keys, least, batch):
 
 def link_groups(
     signatures: DataFrame, keys_in: Callable, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str], frozenset], sets: Callable[[list[str]], list[np.ndarray]],
-    percent: int, least: np.ndarray, batch: int, items: int, bands: int, keys_of: Callable[[np.ndarray], np.ndarray], matrix: Callable = binary_matrix, screen: Callable | None = None,
+    percent: int, least: np.ndarray, batch: int, items: int, bands: int, matrix: Callable = binary_matrix, screen: Callable | None = None,
 ) -> DataFrame:
     """Components (id, root) of the links among items that share a band.
 
     signatures: id, sig (uint32s as binary, or what matrix reads), w (an item's weight in bytes).
-    keys_in: the keys of each band from an Arrow column of signatures. texts: from a table of ids, id and text. shingles: the exact set of a text.
+    keys_in: the keys of each of the bands, in order, from an Arrow column of signatures. texts: from a table of ids, id and text. shingles: the exact set of a text.
     sets: sorted hashes of the sets of some texts. least, batch: see pruning_table. items: how many
-    signatures there are at most. keys_of: the keys of each of the bands, in order, from a matrix of signatures. screen: see exact_links. Items
+    signatures there are at most. screen: see exact_links. Items
     without links are absent.
     """
     # one exchange by key finds the keys of several items, in one pass over each partition. Keys that very many items
@@ -403,7 +403,7 @@ def link_groups(
         for t in _whole_buckets(batches):
             key, part, ids = (t.column(c).to_numpy() for c in ("key", "part", "id"))
             sig = matrix(t.column("sig"))
-            us, vs, live, count = _candidates(key, part, ids, sig, keys_of(sig), least, batch)
+            us, vs, live, count = _candidates(key, part, ids, sig, keys_in(t.column("sig")), least, batch)
             pairs = t.select(["key", "part", "id"]).take(pa.array(us))
             none = pa.nulls(len(us), pa.int64())
             yield from pa.table([*pairs.columns, pa.array(ids[vs]), none, none, pa.nulls(len(us), t.column("sig").type)], names=schema.names).to_batches()
@@ -437,7 +437,7 @@ def link_groups(
         sig = matrix(t.column("sig"))
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         root, key = t.column("root").to_numpy(), t.column("key").to_numpy()
-        return t.select(["key", "id", "root", "w", "sig"]).filter(pa.array(_partners(key, root, keys_of(sig), sig, least, batch, t.column("mine").to_numpy(), cross)))
+        return t.select(["key", "id", "root", "w", "sig"]).filter(pa.array(_partners(key, root, keys_in(t.column("sig")), sig, least, batch, t.column("mine").to_numpy(), cross)))
 
     # only rows that have a partner by their signatures meet with their texts
     placed = _dealt(rest, F.ceil(F.count("*") / CHUNK))
@@ -501,7 +501,7 @@ def link_groups(
         t = t.sort_by([("key", "ascending"), ("id", "ascending")])
         key, ids, root, chunk, text, sig = *(t.column(c).to_numpy() for c in ("key", "id", "root", "mine")), t.column("text").to_pylist(), matrix(t.column("sig"))
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        keys, us, vs, own = keys_of(sig), [], [], ahead(ids, text)
+        keys, us, vs, own = keys_in(t.column("sig")), [], [], ahead(ids, text)
         for a, b in zip(*_buckets(key)):
             bucket(key[a], ids[a:b], root[a:b], chunk[a:b], sig[a:b], keys[a:b], text[a:b], cross, own, us, vs)
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})

@@ -137,7 +137,7 @@ def _linked(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, bool]:
     reps = sets.join(copies.select("id").distinct().hint("merge"), "id", "left_anti")
     signatures = reps.select("id", "sig", (F.col("n") * 8).alias("w")).dropDuplicates(["id"])
     keys = lambda sig: band_keys(sig, ROWS)
-    found = link_groups(signatures, lambda col: keys(binary_matrix(col)), lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, sets.count(), BANDS, keys)
+    found = link_groups(signatures, lambda col: keys(binary_matrix(col)), lambda ids: only(known, ids, "id"), word_shingles, hashed_sets, percent, pruning_table(HASHES, BATCH, percent / 100, MISS), BATCH, sets.count(), BANDS)
     roots = copies.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).unionByName(found)
     roots = roots.groupBy("id").agg(F.min("root").alias("root"))
     return signed.select("id", "n"), roots, False
