@@ -290,19 +290,19 @@ def stream_resume(spark, sf):
     return run()
 
 
-@query("""WITH m AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS k, substr(text, 1, 1500) AS text FROM conversations),
+@query("""WITH m AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS k, text FROM conversations),
 q AS (SELECT conv_id, turn * 3 + k AS seq, CASE k WHEN 0 THEN CASE turn % 4 WHEN 3 THEN 'clear' WHEN 1 THEN 'guide' ELSE 'put' END WHEN 1 THEN CASE turn % 3 WHEN 0 THEN 'has' ELSE 'peek' END ELSE CASE turn % 3 WHEN 2 THEN 'consume' WHEN 1 THEN 'guidance' ELSE 'has' END END AS kind, text FROM m),
 w AS (SELECT *, arg_max(CASE kind WHEN 'put' THEN text ELSE '' END, seq) FILTER (kind IN ('put', 'clear', 'consume')) OVER o AS said, arg_max(kind, seq) FILTER (kind IN ('put', 'clear', 'consume')) OVER o AS last, arg_max(substr(text, 1, 1000), seq) FILTER (kind = 'guide') OVER o AS guide
   FROM q WINDOW o AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT CAST(conv_id AS VARCHAR) AS session, seq, kind, CASE kind WHEN 'has' THEN CASE WHEN last = 'put' THEN 'true' ELSE 'false' END WHEN 'guidance' THEN coalesce(guide, '') ELSE said END AS answer
 FROM w WHERE kind IN ('has', 'guidance') OR (kind IN ('peek', 'consume') AND last = 'put')""")
 def stream_mailbox(spark, sf):
-    """Each turn puts, guides or clears, then asks, then asks or consumes."""
+    """Each turn puts, guides or clears, then asks, then asks or consumes. Its whole text comes with the first message only, since questions have none."""
     t, k = F.col("turn"), F.col("k")
     first, second = F.when(t % 4 == 3, "clear").when(t % 4 == 1, "guide").otherwise("put"), F.when(t % 3 == 0, "has").otherwise("peek")
     third = F.when(t % 3 == 2, "consume").when(t % 3 == 1, "guidance").otherwise("has")
     rows = ST.stream_table(spark, sf, "conversations.parquet").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    m = rows.select(F.col("conv_id").cast("string").alias("session"), (t * 3 + k).alias("seq"), F.when(k == 0, first).when(k == 1, second).otherwise(third).alias("kind"), F.substring("text", 1, 1500).alias("text"))
+    m = rows.select(F.col("conv_id").cast("string").alias("session"), (t * 3 + k).alias("seq"), F.when(k == 0, first).when(k == 1, second).otherwise(third).alias("kind"), F.when(k == 0, F.col("text")).alias("text"))
     return ST.drain(ST.mailbox(m))
 
 
