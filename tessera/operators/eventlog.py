@@ -84,18 +84,29 @@ def ordered_sum(rows: DataFrame, keys: list[str], value: str, *more: Column, ord
     return so_far.groupBy(*keys).agg(F.max_by("_sum", "_n").alias(value), *more)
 
 
+def exact_sum(rows: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """keys, value summed by key, and more aggregates. Doubles are added as the decimals they are written as, to 18 places.
+
+    So 0.1 + 0.2 + 0.3 is 0.6 in any order, and equal costs are equal. A key with a value or sum that
+    decimals don't hold (1e20 and more, infinite, NaN) gets the sum of the doubles.
+    """
+    exact = F.col(value).try_cast("decimal(38,18)")
+    total = F.when(F.count(value) == F.count(exact), F.try_sum(exact).cast("double"))
+    return rows.groupBy(*keys).agg(F.coalesce(total, F.sum(value)).alias(value), *more)
+
+
 def costly_files(costs: DataFrame, least: float = 0.5) -> DataFrame:
     return ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd").where(F.col("usd") >= least).orderBy(F.desc("usd"), "session", "file")
 
 
-def cost_escalation(costs: DataFrame, confirmed: DataFrame, limit: float = 2.0, total: float = 10.0) -> DataFrame:
-    """session, file, reason: the first costly file that no confirmed observation names in its first 50 characters, else a costly session without one."""
+def cost_escalation(costs: DataFrame, confirmed: DataFrame, limit: float = 2.0, total: float = 10.0, sums=ordered_sum) -> DataFrame:
+    """session, file, reason: the first costly file that no confirmed observation names in its first 50 characters, else a costly session without one. sums: ordered_sum or exact_sum."""
     limit = limit or 2.0
-    files = ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd", F.min("seq").alias("first")).where(F.col("usd") > limit)
+    files = sums(costs.where("file IS NOT NULL"), ["session", "file"], "usd", F.min("seq").alias("first")).where(F.col("usd") > limit)
     heads = confirmed.select(F.col("session").alias("_s"), F.substring("observation", 1, 50).alias("_o"))
     open_ = files.join(heads, (F.col("session") == F.col("_s")) & F.contains("_o", "file"), "left_anti")
     by_file = open_.groupBy("session").agg(F.min_by("file", "first").alias("file")).withColumn("reason", F.lit("file"))
-    totals = ordered_sum(costs, ["session"], "usd").where(F.col("usd") > total).join(confirmed.select("session"), "session", "left_anti").join(by_file.select("session"), "session", "left_anti")
+    totals = sums(costs, ["session"], "usd").where(F.col("usd") > total).join(confirmed.select("session"), "session", "left_anti").join(by_file.select("session"), "session", "left_anti")
     return by_file.unionByName(totals.select("session", F.lit(None).cast("string").alias("file"), F.lit("total").alias("reason")))
 
 
