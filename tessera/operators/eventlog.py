@@ -257,12 +257,12 @@ def mark_last(events: DataFrame, keys: list[str], order: list[str], flag: str, m
     return out.withColumn(flag, F.col(flag) | F.coalesce(F.col("_m") & (F.col("_n") == 1), F.lit(False))).drop("_n", "_m")
 
 
-def summary(events: DataFrame, costs: DataFrame) -> DataFrame:
-    """session, report: steps, errors, cost and the three most expensive files of 0.5 or more."""
+def summary(events: DataFrame, costs: DataFrame, sums=ordered_sum) -> DataFrame:
+    """session, report: steps, errors, cost and the three most expensive files of 0.5 or more. sums: ordered_sum or exact_sum."""
     w = Window.partitionBy("session").orderBy(F.desc("usd"), "file")
-    top = ordered_sum(costs.where("file IS NOT NULL"), ["session", "file"], "usd").where("usd >= 0.5").withColumn("_n", F.row_number().over(w)).where("_n <= 3")
+    top = sums(costs.where("file IS NOT NULL"), ["session", "file"], "usd").where("usd >= 0.5").withColumn("_n", F.row_number().over(w)).where("_n <= 3")
     files = top.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "file", "usd"))), lambda f: F.format_string("%s ($%.2f)", f["file"], f["usd"])), ", ").alias("files"))
-    total = ordered_sum(costs, ["session"], "usd")
+    total = sums(costs, ["session"], "usd")
     steps = events.groupBy("session").agg(F.count("*").alias("steps"), F.count_if(F.lower("observation").rlike("error|fail|timeout|crash")).alias("errors"))
     out = steps.join(total, "session", "left").join(files, "session", "left")
     return out.select("session", F.format_string("%d steps, %d errors, $%.2f; %s", "steps", "errors", F.coalesce("usd", F.lit(0.0)), F.coalesce("files", F.lit("no costly file"))).alias("report"))
